@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from . import exact_dedup, line_dedup
 from ._common import documents
 from .bpe import bpe
+from .langid import identify
 from .mixing import mix
 from .sharding import shard
+from .toxicity import toxicity
 
 #: The tokenizer file that op2 encodes with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,10 +28,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(documents(spark, sf_dir), TOKENIZER)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.col("lines_in_all").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -43,7 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_bpe": op2_bpe,
+        "op3_langid": op3_langid,
         "op5_source_mix": op5_source_mix,
+        "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_feistel_shards": op10_feistel_shards,
     }
