@@ -18,8 +18,12 @@ from .langid import fold
 #: Bound of the training sample: labelled rows of each class.
 ROWS_A_CLASS = 2000
 #: Words that the learned lexicon holds at most, and how much more often toxic rows must hold them.
-LEXICON_WORDS, LEAST_LIFT, LEAST_SHARE = 256, 4.0, 0.05
+LEXICON_WORDS, LEAST_LIFT, LEAST_SHARE = 256, 4.0, 0.03
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 80, 3, 32, 0.15, 5.0
+#: Letters of a stem, the start that longer words share; ``*`` marks one in the lexicon.
+STEMS = range(3, 8)
+#: Words whose entry a worker keeps.
+KEPT = 300_000
 #: Every n-th row of the sample calibrates and does not train the trees.
 CALIBRATE_EVERY = 4
 
@@ -45,16 +49,50 @@ def unmasked(word: str) -> str:
     return re.sub(r"[^a-z]", "", word.translate(LEET))
 
 
-def distinct_words(text: str | None) -> set[str]:
-    out = set()
-    for w in (text or "").lower().split():
+def distinct_terms(text: str | None) -> set[str]:
+    """Words of the text, and the stems of longer ones."""
+    words = {p for w in set((text or "").lower().split()) if 2 < len(p := plain_word(w)) <= 40}
+    return words | {p[:k] + "*" for p in words for k in STEMS if k < len(p)}
+
+
+def entry_of(word: str, lexicon: dict[str, float]) -> str | None:
+    """The word's own entry in the lexicon, else that of its longest stem."""
+    if word in lexicon:
+        return word
+    for k in reversed(STEMS):
+        if k < len(word) and (stem := word[:k] + "*") in lexicon:
+            return stem
+    return None
+
+
+class Lexicon(dict):
+    """Entries with their weights, and what each word that was met is: its entry and kind."""
+
+    def __init__(self, *a):
+        super().__init__(*a)
+        self.seen: dict[str, tuple[str, int]] = {}
+
+    def look(self, w: str) -> tuple[str, int]:
+        """kind: 1 in the lexicon, 2 second person, 4 plain insult, 8 obfuscated."""
         p = plain_word(w)
-        if 2 < len(p) <= 40:
-            out.add(p)
-    return out
+        kind = 2 * (p in SECOND_PERSON) + 4 * (p in _INSULTS)
+        entry = entry_of(p, self)
+        if not p.isalpha() and _MIXED.search(p):
+            kind += 8
+            q = unmasked(p)
+            entry = entry or entry_of(q, self) or (q if q in _INSULTS else None)
+        if entry:
+            return entry, kind | 1
+        return (p, kind) if kind else _PLAIN
+
+    def __reduce__(self):
+        return Lexicon, (dict(self),)
+
 
+_PLAIN = ("", 0)
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The FEATURES of a whole text. All are 0 for a text without words."""
     text = text or ""
     words = text.lower().split()
@@ -62,22 +100,25 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         return [0.0] * len(FEATURES)
     n = len(words)
     hits, insults, second, obfuscated, masked, shouted = [], [], [], 0, 0, 0
-    known: dict[str, str] = {}
+    known = lexicon.seen
+    if len(known) > KEPT:
+        known.clear()
     for i, w in enumerate(words):
-        p = known.get(w)
-        if p is None:
-            p = known[w] = plain_word(w)
-        if p in lexicon:
+        found = known.get(w)
+        if found is None:
+            found = known[w] = lexicon.look(w)
+        if found is _PLAIN:
+            continue
+        p, kind = found
+        if kind & 1:
             hits.append((i, p))
-        elif p in SECOND_PERSON:
+        if kind & 2:
             second.append(i)
-        if p in _INSULTS:
+        if kind & 4:
             insults.append(p)
-        if not p.isalpha() and _MIXED.search(p):
+        if kind & 8:
             obfuscated += 1
-            if (q := unmasked(p)) in lexicon or q in _INSULTS:
-                masked += 1
-                hits.append((i, q))
+            masked += kind & 1
     near = 0.0
     if hits and second:
         at = np.array(second)
@@ -187,27 +228,27 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Boosted:
     return made
 
 
-def learn_lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Words with their log lift, from (word, toxic rows that hold it, clean rows that hold it)."""
+def learn_lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> Lexicon:
+    """Words and stems with their log lift, from (word, toxic rows that hold it, clean rows that hold it)."""
     scored = []
     for word, t, c in rows:
         lift = ((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))
         if t >= max(3, LEAST_SHARE * n_toxic) and lift >= LEAST_LIFT:
             scored.append((math.log(lift) * math.sqrt(t), word, math.log(lift)))
-    return {w: v for _, w, v in sorted(scored, reverse=True)[:LEXICON_WORDS]}
+    return Lexicon({w: v for _, w, v in sorted(scored, reverse=True)[:LEXICON_WORDS]})
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for w in distinct_words(text):
+            for w in distinct_terms(text):
                 counts.setdefault(w, [0, 0])[1 - toxic] += 1
     both = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 2)
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["word", "toxic", "clean"])
 
 
-def _feature_rows(lexicon: dict[str, float]):
+def _feature_rows(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t, lexicon) for t in batch.column(0).to_pylist()]
@@ -216,7 +257,7 @@ def _feature_rows(lexicon: dict[str, float]):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS_A_CLASS) -> tuple[dict[str, float], Boosted]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS_A_CLASS) -> tuple[Lexicon, Boosted]:
     """The lexicon and the model, from at most about ``rows`` labelled rows of each class whose fold is not 0.
 
     The sample is spread by a hash of the id; its ids are few enough to broadcast, so only
