@@ -13,6 +13,7 @@ from ._common import documents
 from .bpe import bpe
 from .langid import identify
 from .mixing import mix
+from .ngram_join import near_duplicates
 from .sharding import shard
 from .toxicity import toxicity
 
@@ -36,6 +37,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), k=4, num=85, den=100)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op3_langid": op3_langid,
         "op5_source_mix": op5_source_mix,
+        "op7_ngram_join": op7_ngram_join,
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_feistel_shards": op10_feistel_shards,
