@@ -12,6 +12,8 @@ from . import exact_dedup, line_dedup
 from ._common import documents
 from .bpe import bpe
 from .langid import identify
+from .license_scan import document_path, license_scan
+from .media import document_media
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .sharding import shard
@@ -33,10 +35,18 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir).withColumn("path", document_path()))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(documents(spark, sf_dir))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=4, num=85, den=100)
 
@@ -59,7 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_bpe": op2_bpe,
         "op3_langid": op3_langid,
+        "op4_license_scan": op4_license_scan,
         "op5_source_mix": op5_source_mix,
+        "op6_media_columns": op6_media_columns,
         "op7_ngram_join": op7_ngram_join,
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
