@@ -116,6 +116,10 @@ def _passes(rule: Rule, value: Column) -> Column:
     return ok
 
 
+def _numbered(rule_no: int):
+    return lambda v, k: F.struct(F.lit(rule_no).alias("rule_no"), k.alias("nth"), v.alias("value"))
+
+
 def scan(files: DataFrame, key: str, path: Column, text: str, rules: list[Rule] | None = None, allow: list[tuple[str, str]] | None = None, most: int | None = MOST_FINDINGS) -> DataFrame:
     """Findings of all rules: key, rule, category, severity, line, preview, suppressed.
 
@@ -133,7 +137,7 @@ def scan(files: DataFrame, key: str, path: Column, text: str, rules: list[Rule]
         values = F.regexp_extract_all("_text", F.lit(r.pattern), F.lit(r.group))
         if r.quiet_in_tests:
             values = F.when(F.col("_path").rlike(TEST_PATH), F.array().cast("array<string>")).otherwise(values)
-        found.append(F.transform(values, lambda v, k, i=i: F.struct(F.lit(i).alias("rule_no"), k.alias("nth"), v.alias("value"))))
+        found.append(F.transform(values, _numbered(i)))
     rows = base.select(key, "_path", "_text", F.explode(F.concat(*found)).alias("m")).select(key, "_path", "_text", "m.*")
     ok = F.lit(False)
     for i, r in enumerate(rules):

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 @query(r"""
 WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|apikey|secret|password|passwd|token|credential|private[_-]?key|client[_-]?secret)\b["'']?\s*[:=]\s*["'']([^"''\s]{16,})["'']', 1)) AS v FROM documents),
-c AS (SELECT doc_id, v, list_reduce(list_transform(list_distinct(string_split(v, '')), ch -> -(len(list_filter(string_split(v, ''), x -> x = ch)) / len(v)) * log2(len(list_filter(string_split(v, ''), x -> x = ch)) / len(v))), (a, b) -> a + b) AS h FROM m)
+c AS (SELECT doc_id, v, list_reduce(list_transform(list_distinct(string_split(v, '')), lambda ch: -(len(list_filter(string_split(v, ''), lambda x: x = ch)) / len(v)) * log2(len(list_filter(string_split(v, ''), lambda x: x = ch)) / len(v))), lambda a, b: a + b) AS h FROM m)
 SELECT doc_id, count(*) AS n FROM c
 WHERE h >= 3.5 AND NOT (regexp_full_match(v, '[A-Za-z][A-Za-z0-9_.\-]*') AND len(regexp_extract_all(v, '\d')) / length(v) <= 0.15 AND regexp_matches(v, '[A-Za-z]{6,}') AND len(regexp_extract_all(v, '[_.\-]')) <= 3)
   AND NOT regexp_matches(v, '(?i)\b(?:your|my|the)[_-]?(?:api)?[_-]?(?:key|token|secret|password)\b') GROUP BY doc_id
@@ -92,7 +92,7 @@ def path_policy(spark, d):
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 4 = 3 OR lang = 'de' THEN CASE WHEN doc_id % 4 = 3 AND doc_id % 10 = 0 THEN 'restricted' ELSE 'confidential' END WHEN doc_id % 10 = 0 THEN 'restricted' ELSE 'internal' END AS tier FROM documents
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'restricted' WHEN doc_id % 4 = 3 OR lang = 'de' THEN 'confidential' ELSE 'internal' END AS tier FROM documents
 """)
 def sensitivity_tier(spark, d):
     """The highest of default, path rule, markers and configuration (F-R14, F-R15)."""
@@ -102,7 +102,7 @@ def sensitivity_tier(spark, d):
 
 
 @query("""
-WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), x -> length(x) > 2)) AS s, length(text) AS n FROM documents)
+WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) > 2)) AS s, length(text) AS n FROM documents)
 SELECT doc_id, CAST(ceil(n / 3.5) AS BIGINT) AS tokens, len(s) AS terms FROM t
 """)
 def token_estimates(spark, d):
@@ -112,7 +112,7 @@ def token_estimates(spark, d):
 
 
 @query("""
-WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), x -> length(x) > 2)) AS s FROM benchmark)
+WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) > 2)) AS s FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 6) AS similarity
 FROM q a JOIN q b ON b.item_id = a.item_id + 1
 """)
@@ -177,8 +177,8 @@ def permission_set_hash(spark, d):
 
 
 @query("""
-WITH w AS (SELECT doc_id, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '//[^\\n]*', ' ', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '#[^\\n]*', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), x -> x <> '') AS ws FROM documents WHERE length(text) < 1500),
-s AS (SELECT doc_id, CASE WHEN len(ws) < 3 THEN ws ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]) END AS sh FROM w),
+WITH w AS (SELECT doc_id, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '//[^\\n]*', ' ', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '#[^\\n]*', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), lambda x: x <> '') AS ws FROM documents WHERE length(text) < 1500),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 3 THEN ws ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]) END AS sh FROM w),
 h AS (SELECT doc_id, substr(sha256(unnest(sh)), 1, 16) AS hx FROM s),
 b AS (SELECT doc_id, k, sum(CASE WHEN (('0x' || substr(hx, 16 - k // 4, 1))::INT >> (k % 4)) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(0, 64) t(k) GROUP BY doc_id, k)
 SELECT doc_id, CAST(sum(CASE WHEN v > 0 AND k < 32 THEN 1::BIGINT << k::INT ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN v > 0 AND k >= 32 THEN 1::BIGINT << (k::INT - 32) ELSE 0 END) AS BIGINT) AS high FROM b GROUP BY doc_id
