@@ -18,8 +18,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 #: Characters that str.split() takes for white space and the tokenizer does not.
 ODD = regex.compile("[\x1c-\x1f]")
-#: Words whose encoding a worker keeps.
-KEPT = 200_000
+#: Runs and words whose encoding a worker keeps, in each of two generations of runs.
+KEPT = 150_000
+_NONE = 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -45,41 +46,56 @@ class WordBpe:
         #: Letter pairs inside some token. Any other pair marks a cut: no merge can ever span it.
         self.inside = {t[i : i + 2] for t in (x.removesuffix(END) for x in self.ids) for i in range(len(t) - 1)}
         self.kept: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, tuple[str, int, str]] = {}
+        self.kept_words: dict[str, list[int]] = {}
 
     def fragments(self, word: str) -> list[list[str]]:
         """The word's byte letters, cut where no token spans; the last letter carries the word end."""
-        s = "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
-        cuts = [0, *(i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.inside), len(s)]
-        parts = [list(s[a:b]) for a, b in zip(cuts, cuts[1:])]
+        s = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
+        inside = self.inside
+        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inside]
+        parts = [list(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)])]
         parts[-1][-1] += END
         return parts
 
     def merge(self, parts: list[str]) -> list[str]:
-        """Join the pair of lowest rank, everywhere, until no pair has one."""
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: self.rank.get(p, 1 << 60))
-            if best not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        """Join the leftmost pair of lowest rank until no pair has one. Only the two pairs beside a join change rank."""
+        rank = self.rank.get
+        ranks = [rank(p, _NONE) for p in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < _NONE:
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), _NONE)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), _NONE)
         return parts
 
     def word_ids(self, word: str) -> list[int]:
-        return [self.ids[t] for f in self.fragments(word) for t in self.merge(f)]
+        found = self.kept_words.get(word)
+        if found is None:
+            found = [self.ids[t] for f in self.fragments(word) for t in self.merge(f)]
+            if len(word) < 64:
+                if len(self.kept_words) >= KEPT:
+                    self.kept_words.clear()
+                self.kept_words[word] = found
+        return found
 
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Ids as text, their number, and the tokens, of a run without white space."""
-        ids = [i for w in self.words.findall(chunk) for i in self.word_ids(w)]
+        """Ids as text, their number, and the tokens, of a run without white space.
+
+        What was looked up since the last change of generations outlives the next one.
+        """
+        made = self.old.get(chunk)
+        if made is None:
+            ids = [i for w in self.words.findall(chunk) for i in self.word_ids(w)]
+            made = (" ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids]))
+            if len(chunk) >= 64:
+                return made
         if len(self.kept) >= KEPT:
-            self.kept.clear()
-        made = self.kept[chunk] = (" ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids]))
+            self.old, self.kept = self.kept, {}
+        self.kept[chunk] = made
         return made
 
     def encode(self, text: str) -> tuple[str, int, str]:
@@ -91,8 +107,8 @@ class WordBpe:
                 continue
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             chunks = regex.split(f"[{SPACE}]+", plain) if ODD.search(plain) else plain.split()
-            get, make = self.kept.get, self._chunk
-            out += [get(c) or make(c) for c in chunks if c]
+            make = self._chunk
+            out += [self.kept.get(c) or make(c) for c in chunks if c]
         return " ".join([x[0] for x in out if x[1]]), sum([x[1] for x in out]), " ".join([x[2] for x in out if x[1]])
 
     def decode(self, ids: list[int]) -> str:
