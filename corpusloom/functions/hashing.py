@@ -37,8 +37,13 @@ def normal_code(text: Column) -> Column:
 def shingle_words(text: Column, size: int = 3) -> Column:
     """Runs of size words; a shorter text gives its words."""
     words = F.filter(F.split(text, " "), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
-    return F.when(F.size(words) < size, words).otherwise(runs)
+
+    def runs(ws: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(ws) - size + 1), lambda i: F.array_join(F.slice(ws, i, F.lit(size)), " "))
+        return F.when(F.size(ws) < size, ws).otherwise(made)
+
+    # The words are bound to a lambda's variable, so that each run does not split the text again.
+    return F.element_at(F.transform(F.array(words), runs), 1)
 
 
 def hash64(text: Column) -> Column:

@@ -7,14 +7,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.hashing import hamming, simhash
+from corpusloom.functions.hashing import hamming, hash64, normal_code, shingle_words
 
 THRESHOLD, LEAST_TOKENS = 3, 40
 
 
 def fingerprints(chunks: DataFrame, item: str = "chunk_id", text: str = "text", tokens: str = "tokens", least: int = LEAST_TOKENS) -> DataFrame:
-    """item and simhash of chunks that are long enough."""
-    return chunks.where(F.col(tokens) >= least).select(item, simhash(F.col(text)).alias("simhash"))
+    """item and 64-bit simhash of chunks that are long enough, one row each by id.
+
+    Shingles are exploded and each bit is one conditional sum, with partial sums before the
+    shuffle; text without words has fingerprint 0.
+    """
+    long_ = chunks.where(F.col(tokens) >= least).select(item, shingle_words(normal_code(F.col(text))).alias("runs"))
+    hashes = long_.select(item, F.explode_outer("runs").alias("run")).select(item, F.when(F.col("run").isNotNull(), hash64(F.col("run"))).alias("h"))
+    votes = hashes.groupBy(item).agg(*[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{k}") for k in range(64)])
+    out = F.lit(0).cast("long")
+    for k in range(64):
+        bit = 1 << k if k < 63 else -(1 << 63)
+        out = out.bitwiseOR(F.when(F.col(f"v{k}") > 0, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return votes.select(item, out.alias("simhash"))
 
 
 def hamming_pairs(prints: DataFrame, threshold: int = THRESHOLD, item: str = "chunk_id") -> DataFrame:
@@ -58,7 +69,7 @@ def leader_clusters(chunks: DataFrame, threshold: int = THRESHOLD, item: str = "
     fingerprints enter a group once, under their smallest id. The representative is not
     generated if any is not, has most tokens, then the smallest id.
     """
-    prints = fingerprints(chunks, item, text, tokens)
+    prints = fingerprints(chunks, item, text, tokens).checkpoint()
     first = prints.groupBy("simhash").agg(F.min(item).alias("first"))
     groups = fingerprint_groups(prints, hamming_pairs(prints, threshold, item))
     kind = dict(chunks.dtypes)[item]

@@ -28,7 +28,7 @@ def top_neighbours(edges: DataFrame, seeds: DataFrame, most: int = 12, src: str
     central = edges.groupBy(dst).agg(F.count("*").alias("centrality"))
     near = edges.join(F.broadcast(seeds.select(F.col("seed_id"))), F.col(src) == F.col("seed_id")).select("seed_id", dst, "relation").distinct().join(central, dst)
     order = Window.partitionBy("seed_id").orderBy("centrality", dst, "relation")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return near.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
 
 
 def contract_edges(consumers: DataFrame, producers: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ RELATIONS = ["type", "parent", "callee", "implementation", "caller"]
 def ranked(df: DataFrame, query: str, score: Column, item: str, k: int) -> DataFrame:
     """The k best items of each query, ties by id: query, item, rank, score. The window is limited before its shuffle."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), item)
-    return df.select(query, item, score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return df.select(query, item, score.alias("score")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 50, item: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
@@ -69,7 +69,7 @@ def symbol_topk(symbols: DataFrame, queries: DataFrame, k: int = 10, item: str =
     met = symbols.join(asked, low.endswith(F.col("_id")))
     best = met.groupBy(query, item, name).agg(F.max(F.when(low == F.col("_id"), 1.0).otherwise(0.5)).alias("score"))
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.length(name), item)
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, item, "score", "rank")
+    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(query, item, "score", "rank")
 
 
 def fuse(arms: DataFrame, item: str = "doc_id", query: str = "query_id", k: int = RRF_K, limit: int = FUSED) -> DataFrame:
@@ -138,7 +138,7 @@ def neighbour_shortlist(neighbours: DataFrame, seed: str = "seed_id", item: str
     """Each seed's neighbours under the centrality ceiling, by relation then centrality, at most ``most``; adds place."""
     wanted = F.array_position(F.array(*[F.lit(r) for r in RELATIONS]), F.col("relation"))
     order = Window.partitionBy(seed).orderBy(wanted, "centrality", item)
-    return neighbours.where(F.col("centrality") <= ceiling).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return neighbours.where(F.col("centrality") <= ceiling).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
 
 
 def expand(neighbours: DataFrame, budget: int = int(TOTAL_TOKENS * EXPANSION_SHARE), query: str = "query_id", seed_rank: str = "seed_rank", item: str = "symbol_id", tokens: str = "tokens") -> DataFrame:

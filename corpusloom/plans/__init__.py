@@ -1,0 +1,19 @@
+"""The library's own queries, bound to the driver's tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from corpusloom.plans import bindings_graph, bindings_retrieval, bindings_scan
+
+    return bindings_retrieval.Q | bindings_scan.Q | bindings_graph.Q
+
+
+def oracle_sql() -> dict[str, str]:
+    from corpusloom.plans import bindings_graph, bindings_retrieval, bindings_scan
+
+    return bindings_retrieval.SQL | bindings_scan.SQL | bindings_graph.SQL
