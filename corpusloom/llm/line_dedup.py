@@ -273,7 +273,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     added = "lines_in_all long, lines_dropped long, kept_text string"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     if keys * 40 <= index_bytes:
-        data = base.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *rest)
+        data = base.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *rest)
         return data.mapInArrow(_strip(docs.sparkSession, index, shards, min_chars), f"{schema}, {added}")
     # The row's own key: its content, so that a rerun of a task finds the same rows.
     row = F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 256)
@@ -283,11 +283,11 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     spread = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
     dropped = spread.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(_probe_shard(shards), "row string, no int")
-    dropped = dropped.groupBy("row").agg(F.collect_set("no").alias("gone"))
+    dropped = dropped.groupBy("row").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("row", "__row")
     held = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    out = base.withColumn("_row", row).join(dropped, F.col("_row") == F.col("row"), "left").withColumn("_lines", held)
-    left = F.filter("_lines", lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    return out.select(*rest, F.size("_lines").cast("long").alias("lines_in_all"), (F.size("_lines") - F.size(left)).cast("long").alias("lines_dropped"), F.array_join(left, "\n").alias("kept_text"))
+    out = base.withColumn("__own", row).join(dropped, F.col("__own") == F.col("__row"), "left").withColumn("__lines", held)
+    left = F.filter("__lines", lambda _, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
+    return out.select(*rest, F.size("__lines").cast("long").alias("lines_in_all"), (F.size("__lines") - F.size(left)).cast("long").alias("lines_dropped"), F.array_join(left, "\n").alias("kept_text"))
 
 
 def kept_digest(text: str) -> str:

@@ -5,19 +5,19 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, maybe_broadcast
 from .components import components
 
 #: Shared list entries that a pair of large sets must have; lists are longer by as many tokens, so no pair is lost.
-MATCHES = 4
+MATCHES = 2
 #: Entries of the two bounded frequency tables, which set the order of tokens and nothing else.
 TABLE = 1 << 17
 #: Tokens that a task counts at once, and counts below which a table entry is not worth keeping.
@@ -26,8 +26,6 @@ CHUNK, LEAST = 1 << 21, 8
 WEIGHED, LIST_COST = 40, 3.0
 #: Tasks among which the list of a token from the frequency table is dealt.
 SALTS = 16
-#: Star rounds before the remaining pairs are enumerated.
-STAR_ROUNDS = 6
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0x8EBC6AF09C88C6E3)]
 
 
@@ -37,48 +35,74 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Words(dict):
-    """Numbers for words, with each number's hash and rarity in arrays beside."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    step = 0x9E3779B97F4A7C15
+    up = np.full(n, step, np.uint64)
+    down = np.full(n, pow(step, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+class WordHasher:
+    """64-bit hashes of all words of a text at once, from sums over its bytes.
+
+    A word's hash is the sum of a random number for each byte times a power for its place,
+    mixed with its length: differences of running sums, moved to place 0 by the inverse
+    power. A-Z are lower-cased and words cut at ASCII white space.
+    """
+
+    def __init__(self):
+        self.letters = np.random.default_rng(20260101).integers(0, 1 << 64, 256, np.uint64)
+        self.letters[65:91] = self.letters[97:123]
+        self.blank = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+        self.up, self.down = _powers(1 << 16)
+
+    def words(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        if len(raw) >= len(self.up):
+            self.up, self.down = _powers(2 * len(raw))
+        edge = np.diff(np.concatenate([[1], self.blank[raw], [1]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.letters[raw] * self.up[: len(raw)], out=total[1:])
+        return _mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64) * _K[1])
+
+
+class Counted:
+    """Counts of frequent 64-bit keys, found by their leading bits. Of keys that share these the most frequent is kept: the counts only order tokens."""
+
+    BITS = 20
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        super().__init__()
-        self.table = dict(zip(keys.tolist(), (np.log2(counts) * 16).astype(np.int64).tolist()))
-        self.hash, self.weight, self.used = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32), 0
-
-    def __missing__(self, word: bytes) -> int:
-        if self.used == len(self.hash):
-            self.hash, self.weight = np.concatenate([self.hash, self.hash]), np.concatenate([self.weight, self.weight])
-        i, h = self.used, xxhash.xxh64_intdigest(word)
-        self.hash[i], self.weight[i] = h, self.table.get(h, 0)
-        self[word] = i
-        self.used = i + 1
-        return i
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if self.used > 400_000:
-            self.clear()
-            self.used = 0
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def split_words(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, cut at ASCII white space: what bytes.lower() and bytes.split() do."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles(numbers: np.ndarray, words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles as sorted 64-bit tokens, and how common each one's words are."""
-    if not len(numbers):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    size = min(k, len(numbers))
-    h, w = words.hash[numbers], words.weight[numbers]
-    n = len(numbers) - size + 1
-    token, weight = np.full(n, size, np.uint64), np.zeros(n, np.int32)
+        self.keys, self.counts = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int64)
+        by = np.lexsort((keys, counts))
+        at = keys[by] >> np.uint64(64 - self.BITS)
+        self.keys[at], self.counts[at] = keys[by], counts[by]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.BITS)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+
+def raw_shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit token for each run of k words; for fewer words one for all of them."""
+    size = min(k, len(h))
+    if not size:
+        return h
+    n = len(h) - size + 1
+    token = np.full(n, size, np.uint64)
     for j in range(size):
         token = (token + h[j : j + n]) * _K[j % 8] ^ (token >> np.uint64(31))
-        weight += w[j : j + n]
-    token, first = np.unique(_mix(token), return_index=True)
-    return token, weight[first]
+    return _mix(token)
+
+
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit tokens."""
+    token = np.sort(raw_shingles(h, k))
+    return token[np.concatenate([[True], token[1:] != token[:-1]])] if len(token) else token
 
 
 @dataclass(frozen=True)
@@ -102,6 +126,16 @@ class Law:
         """Tokens of a set's start, in the common order, of which linked sets share MATCHES."""
         return min(n, n - -(-self.num * n // self.den) + MATCHES)
 
+    def may_link(self, n, m, pos, at):
+        """Whether sets of n and m tokens can link and a token at places pos and at, from 0, counts for them.
+
+        A linked pair has at most n - overlap and m - overlap tokens that are not shared, so
+        MATCHES of the shared ones stand before these places.
+        """
+        least = -(-self.num * (n.astype(np.int64) + m) // (self.den + self.num))
+        big, small = np.maximum(n, m), np.minimum(n, m)
+        return (small * self.den >= big * self.num) & (pos < n - least + MATCHES) & (at < m - least + MATCHES)
+
     def subset_sizes(self, n: int, most: int) -> list[int]:
         return sorted({self.overlap(n, b) for b in self.sizes(n) if b <= most and self.overlap(n, b) <= min(n, b)})
 
@@ -129,45 +163,44 @@ def subset_tokens(token: np.ndarray, size: int) -> np.ndarray:
     return _mix(left * _K[6] + np.uint64(size))
 
 
-@dataclass
 class _Order:
-    """Frequent tokens with their counts, and frequent words; both bounded."""
-
-    tokens: np.ndarray
-    counts: np.ndarray
-    words: np.ndarray
-    word_counts: np.ndarray
-    _made: list = field(default_factory=list)
-
-    def state(self) -> Words:
-        if not self._made:
-            self._made.append(Words(self.words, self.word_counts))
-        return self._made[0]
-
-    def ranked(self, token: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens from rare to common in an order that is the same for all sets, and which of them are in the table."""
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, token), len(self.tokens) - 1)
-            known = self.tokens[at] == token
-            count = np.where(known, self.counts[at], 0)
-        else:
-            known, count = np.zeros(len(token), bool), np.zeros(len(token), np.int64)
-        order = np.lexsort((token, weight, count))
-        return token[order], known[order]
-
-    def __getstate__(self):
-        return (self.tokens, self.counts, self.words, self.word_counts)
-
-    def __setstate__(self, s):
-        self.tokens, self.counts, self.words, self.word_counts = s
-        self._made = []
+    """Frequent tokens and frequent words with their counts; both bounded. Sent to the tasks as they are, opened there once."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, words: np.ndarray, word_counts: np.ndarray):
+        self.sent = (tokens, counts, words, word_counts)
+        self.open = None
+
+    def __reduce__(self):
+        return _Order, self.sent
+
+    def ranked(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted tokens of a text; the same from rare to common in an order that all sets share; and which of these are in the table.
+
+        Tokens that the table does not have are rare; among them those of rarer words come first.
+        """
+        if self.open is None:
+            t, c, w, n = self.sent
+            self.open = Counted(t, c), Counted(w, (np.log2(np.maximum(n, 1)) * 16).astype(np.int64))
+        tokens, words = self.open
+        all_tokens = raw_shingles(h, k)
+        weight, n = np.zeros(len(all_tokens), np.int64), len(all_tokens)
+        of_words = words.of(h)
+        for j in range(min(k, len(h))):
+            weight += of_words[j : j + n]
+        by = np.argsort(all_tokens, kind="stable")
+        token = all_tokens[by]
+        first = np.concatenate([[True], token[1:] != token[:-1]]) if n else np.zeros(0, bool)
+        token = token[first]
+        count = tokens.of(token)
+        order = np.argsort((count << np.int64(16)) + weight[by][first], kind="stable")
+        return token, token[order], count[order] > 0
 
 
 def _census(k: int):
     """Rows (kind, key, n): 0 tokens and 1 words that a task has seen more than once, with counts; 2 set sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(np.zeros(0, np.uint64), np.zeros(0))
+        hasher = WordHasher()
         held_t: list[np.ndarray] = []
         held_w: list[np.ndarray] = []
         sizes: dict[int, int] = {}
@@ -187,11 +220,13 @@ def _census(k: int):
 
         for batch in batches:
             for text in batch.column(0):
-                numbers = words.numbers(split_words(text.as_py()))
-                token, _ = shingles(numbers, words, k)
+                h = hasher.words(text.as_py())
+                token = raw_shingles(h, k)
+                if len(token) <= WEIGHED + 60:
+                    token = shingles(h, k)
                 sizes[min(len(token), WEIGHED + 60)] = sizes.get(min(len(token), WEIGHED + 60), 0) + 1
                 held_t.append(token)
-                held_w.append(np.unique(words.hash[numbers]))
+                held_w.append(h)
                 size += len(token)
                 if size >= CHUNK:
                     yield from flush()
@@ -205,20 +240,19 @@ def _signatures(law: Law, order: _Order):
     """id, size, 128-bit set hash, list entries, entries of the table among them, and subset hashes of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = order.state()
+        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 n, h1, h2, lists, common, subsets = [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
-                    token, weight = shingles(words.numbers(split_words(text)), words, law.k)
+                    token, ranked, known = order.ranked(hasher.words(text), law.k)
                     size = len(token)
                     whole = xxhash.xxh3_128_intdigest(token.tobytes())
                     n.append(size)
                     h1.append(whole >> 64)
                     h2.append(whole & (1 << 64) - 1)
                     if size and size * law.den >= law.num * (law.boundary + 1):
-                        ranked, known = order.ranked(token, weight)
                         p = law.list_length(size)
                         lists.append(ranked[:p].view(np.int64))
                         common.append(ranked[:p][known[:p]].view(np.int64))
@@ -237,54 +271,66 @@ def _signatures(law: Law, order: _Order):
 
 
 def _runs(law: Law):
-    """Entries arrive sorted by (sig, salt, at). Of each sig that several sets hold, all entries go on, each with the hub of its run.
+    """Entries (sig, salt, class, pos, n, node, w) arrive sorted by these. Of each sig that several sets hold, all entries go on, with the hub of their run.
 
-    The hub is the first entry, or the first whose size is still near enough. Entries of
-    salted sigs go on even when alone, for their like may be under another salt.
+    The hub is, of the sets of one class of sizes, the one in which the token stands nearest
+    to the front: it has the fewest tokens of its own, so of a group of near copies it is the
+    one closest to all others. An entry that cannot link with its hub by size and places is
+    its own hub. Entries of salted sigs all go on, for their like may be under another salt;
+    they keep their class, and get their hubs later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # sig, salt, node, n, w of the entry before
-        hub = hub_n = 0
-        first = True  # the entry before began its run
+        ahead: list[np.ndarray] | None = None  # the last entry so far, not yet given out, its hub, and whether it continues a run
         for batch in batches:
-            out: list[tuple] = []
-            for sig, salt, node, n, w in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                same = last is not None and last[0] == sig and last[1] == salt
-                if same:
-                    if first:
-                        out.append((*last[:1], last[2], last[3], last[4], hub))
-                        first = False
-                    if min(n, hub_n) * law.den < max(n, hub_n) * law.num:
-                        hub, hub_n = node, n
-                    out.append((sig, node, n, w, hub))
-                else:
-                    if first and last is not None and last[1] >= 0:
-                        out.append((last[0], last[2], last[3], last[4], last[2]))
-                    hub, hub_n, first = node, n, True
-                last = (sig, salt, node, n, w)
-            yield _entries(out)
-        if first and last is not None and last[1] >= 0:
-            yield _entries([(last[0], last[2], last[3], last[4], last[2])])
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy() for i in range(7)]
+            hub_ahead, continued = None, False
+            if ahead is not None:
+                hub_ahead, continued = [x[0] for x in ahead[7:10]], bool(ahead[10][0])
+                rows = [np.concatenate([x, y]) for x, y in zip(ahead[:7], rows)]
+            sig, salt, of_class, pos, n, node, w = rows
+            new = np.concatenate([[True], sig[1:] != sig[:-1]])
+            start = np.maximum.accumulate(np.where(new | np.concatenate([[True], of_class[1:] != of_class[:-1]]), np.arange(len(sig)), 0))
+            hub = [x[start] for x in (node, n, pos)]
+            if hub_ahead is not None:
+                for h, x in zip(hub, hub_ahead):
+                    h[start == 0] = x
+            shared = ~new
+            shared[0] = continued
+            shared[:-1] |= ~new[1:]
+            shared |= salt >= 0
+            out = shared.copy()
+            out[-1] = False
+            yield _entries(law, *(x[out] for x in (sig, salt, of_class, pos, n, node, w)), *(h[out] for h in hub))
+            ahead = [*(x[-1:] for x in rows), *(h[-1:] for h in hub), np.array([not new[-1] or (len(new) == 1 and continued)])]
+        if ahead is not None and (ahead[10][0] or ahead[1][0] >= 0):
+            yield _entries(law, *ahead[:10])
 
     return run
 
 
-def _entries(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["sig", "node", "n", "w", "hub"])
+_ENTRIES = "sig long, class int, node long, n int, pos int, w int, hub long"
+
+
+def _entries(law: Law, sig, salt, of_class, pos, n, node, w, hub, hub_n, hub_pos) -> pa.RecordBatch:
+    own = (salt >= 0) | ~(law.may_link(n, hub_n, pos, hub_pos) | (w >= MATCHES))
+    cols = (sig, np.where(salt >= 0, of_class, -1), node, n, pos, w, np.where(own, node, hub))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "class", "node", "n", "pos", "w", "hub"])
 
 
 def _linked(law: Law):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(np.zeros(0, np.uint64), np.zeros(0))
+        hasher = WordHasher()
         for batch in batches:
             ok = []
             last, kept = None, None  # pairs come sorted by their first text: it is cut once
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if last != a:
-                    last, kept = a, shingles(words.numbers(split_words(x.as_py())), words, law.k)[0]
-                other = shingles(words.numbers(split_words(y.as_py())), words, law.k)[0]
+                    last, kept = a, shingles(hasher.words(x.as_py()), law.k)
+                other = shingles(hasher.words(y.as_py()), law.k)
                 both = len(np.intersect1d(kept, other, assume_unique=True))
                 ok.append(both > 0 and law.den * both >= law.num * (len(kept) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
@@ -307,7 +353,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     order of tokens comes from two bounded tables of counts, so no pair is lost whatever
     they hold. Equal sets are one node. Nodes first meet the hub of each list they are in,
     which joins most of each group with as many checks as entries; then only pairs whose
-    components still differ are enumerated. All pairs are checked on their texts.
+    components still differ are met, list by list, and only where size and the places of
+    the token leave room for the overlap. All pairs are checked on their texts.
 
     Rows with one id are one node; rows with a null id take the component of their set.
     """
@@ -317,8 +364,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     law = law.choose({r.key: r.n for r in census.where("kind = 2").collect()})
     top = [census.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(TABLE).select("key", "n").toPandas() for kind in (0, 1)]
     tokens, counts = top[0]["key"].to_numpy(np.int64).view(np.uint64), top[0]["n"].to_numpy(np.int64)
-    by = np.argsort(tokens)
-    order = docs.sparkSession.sparkContext.broadcast(_Order(tokens[by], counts[by], top[1]["key"].to_numpy(np.int64).view(np.uint64), np.maximum(top[1]["n"].to_numpy(np.int64), 1)))
+    order = docs.sparkSession.sparkContext.broadcast(_Order(tokens, counts, top[1]["key"].to_numpy(np.int64).view(np.uint64), top[1]["n"].to_numpy(np.int64)))
 
     def signatures(batches):
         yield from _signatures(law, order.value)(batches)
@@ -326,53 +372,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     kind = "array<long>"
     sets = materialize(thin.mapInArrow(signatures, f"id long, n long, h1 long, h2 long, lists {kind}, common {kind}, subsets {kind}"), "nj-sets")
     nodes = sets.where("n > 0").groupBy("h1", "h2", "n", "lists", "common", "subsets").agg(F.min("id").alias("node")).where("node is not null")
-    in_lists = nodes.select("node", "n", "common", F.explode("lists").alias("sig")).select("sig", F.when(F.array_contains("common", F.col("sig")), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("long").alias("salt"), "node", "n", F.lit(1).alias("w"))
-    in_subsets = nodes.select("node", "n", F.explode("subsets").alias("sig")).select("sig", F.lit(-1).cast("long").alias("salt"), "node", "n", F.lit(MATCHES).alias("w"))
-    dealt = in_lists.unionByName(in_subsets).repartition("sig", "salt").sortWithinPartitions("sig", "salt", "n", "node")
-    entries = materialize(dealt.mapInArrow(_runs(law), "sig long, node long, n long, w int, hub long"), "nj-entries")
-
-    held = entries.select("node").distinct()
-    texts = materialize(_texts_of(thin, held), "nj-texts")
-    near = F.col("n_a") * den >= F.col("n_b") * num
-    checked = None
-    links = None
-    candidates = entries.where("node <> hub").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.sum("w").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
-    for round_no in range(1, STAR_ROUNDS + 2):
-        if checked is not None:
-            candidates = candidates.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialize(_verify(candidates, texts, law), "nj-checked")
-        checked = found if checked is None else checked.unionByName(found)
-        new = found.where("ok").select("a", "b")
-        links = new if links is None else links.select("a", "b").unionByName(new)
-        label = components(links)
-        if round_no == STAR_ROUNDS + 1:
-            break
-        links = label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
-        marked = entries.drop("hub").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-        open_ = materialize(marked.join(mixed, "sig", "left_semi"), "nj-open")
-        per = open_.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        pairs, rows = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not pairs:
-            break
-        if pairs <= 4 * rows or round_no == STAR_ROUNDS or not new.take(1):
-            a, b = (open_.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "w", "label")]) for s in "ab")
-            smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-            met = a.join(b, "sig").where(smaller & near & (F.col("label_a") != F.col("label_b")))
-            candidates = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.sum("w_a").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
-            found = materialize(_verify(candidates.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, law), "nj-checked")
-            label = components(links.unionByName(found.where("ok").select("a", "b")))
-            break
-        # Another hub for each list that still holds several components.
-        draw = F.xxhash64("node", F.lit(round_no))
-        hubs = open_.groupBy("sig").agg(F.min_by(F.struct("node", "n", "label"), draw).alias("hub"))
-        star = open_.join(hubs, "sig").where((F.col("label") != F.col("hub.label")) & (F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num))
-        candidates = star.groupBy(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).agg(F.count("*").alias("c")).select("a", "b")
+    n = F.col("n").cast("int").alias("n")
+    of_class = F.floor(F.log("n") / F.lit(math.log(den / num))).cast("int") if num < den else F.col("n").cast("int")
+    rare = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    in_lists = nodes.select("node", "n", "common", F.posexplode("lists").alias("pos", "sig")).select("sig", F.when(F.array_contains("common", F.col("sig")), rare).otherwise(F.lit(-1)).cast("int").alias("salt"), of_class.alias("class"), "pos", n, "node", F.lit(1).alias("w"))
+    in_subsets = nodes.select("node", "n", F.explode("subsets").alias("sig")).select("sig", F.lit(-1).alias("salt"), of_class.alias("class"), F.lit(0).alias("pos"), n, "node", F.lit(MATCHES).alias("w"))
+    dealt = in_lists.unionByName(in_subsets).repartition("sig", "salt").sortWithinPartitions("sig", "salt", "class", "pos", "n", "node")
+    entries = materialize(dealt.mapInArrow(_runs(law), _ENTRIES), "nj-entries")
+
+    texts = materialize(_texts_of(thin, entries.select("node").distinct()), "nj-texts")
+    # Lists of frequent tokens are dealt over salts, so their hubs are found by an aggregate with map-side combine.
+    hubs = entries.where("class >= 0").groupBy("sig", "class").agg(F.min(F.struct("pos", "n", "node")).alias("h")).where("h is not null")
+    hubs = materialize(hubs.select("sig", "class", F.col("h.node").alias("hub_node"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos")), "nj-hubs")
+    frequent = entries.where("class >= 0").join(maybe_broadcast(hubs, hubs.count(), 64), ["sig", "class"]).where((F.col("node") != F.col("hub_node")) & _room(law, "n", "hub_n", "pos", "hub_pos"))
+    met = entries.where("node <> hub").select("node", "hub", "w").unionByName(frequent.select("node", F.col("hub_node").alias("hub"), "w"))
+    star = met.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.sum("w").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
+    checked = materialize(_verify(star, texts, law), "nj-checked")
+    label = components(checked.where("ok").select("a", "b"))
+
+    marked = entries.drop("hub", "class").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
+    open_ = materialize(marked.join(mixed, "sig", "left_semi"), "nj-open")
+    x, y = (open_.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "w", "label")]) for s in "xy")
+    sized = F.when(F.col("w_x") >= MATCHES, F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num).otherwise(_room(law, "n_x", "n_y", "pos_x", "pos_y"))
+    on = (x["sig"] == y["sig"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & sized
+    met = x.join(y, on).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.sum("w_x").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
+    found = materialize(_verify(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, law), "nj-checked")
+    tied = label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
+    label = components(tied.unionByName(found.where("ok").select("a", "b")))
     named = nodes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"))
     out = sets.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _room(law: Law, n: str, m: str, pos: str, at: str) -> Column:
+    """Law.may_link as an expression."""
+    least = F.expr(f"(({law.num} * ({n} + {m})) + {law.den + law.num - 1}) div {law.den + law.num}")
+    return (F.least(n, m) * law.den >= F.greatest(n, m) * law.num) & (F.col(pos) < F.col(n) - least + MATCHES) & (F.col(at) < F.col(m) - least + MATCHES)
+
+
 def _texts_of(thin: DataFrame, ids: DataFrame) -> DataFrame:
     ids = materialize(ids, "nj-ids")
     return thin.join(maybe_broadcast(ids.withColumnRenamed("node", "id"), ids.count(), 40), "id", "left_semi").select(F.col("id").alias("node"), "text")
