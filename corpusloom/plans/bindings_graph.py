@@ -282,8 +282,8 @@ def access_sessions(spark, d):
 @query("SELECT event_type, count(*) FILTER (WHERE value < 20) AS waiting, count(*) FILTER (WHERE value >= 20) AS active, CAST(max(epoch(TIMESTAMP '2030-01-01' - ts)) AS BIGINT) AS oldest FROM events GROUP BY event_type")
 def queue_stats(spark, d):
     """Waiting and active jobs and the oldest age (A21, F-D3)."""
-    age = F.timestamp_diff("SECOND", F.col("ts"), F.to_timestamp(F.lit("2030-01-01")))
-    return table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") < 20).alias("waiting"), F.count_if(F.col("value") >= 20).alias("active"), F.max(age).alias("oldest"))
+    age = (F.unix_micros(F.lit("2030-01-01").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    return table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") < 20).alias("waiting"), F.count_if(F.col("value") >= 20).alias("active"), F.rint(F.max(age)).cast("long").alias("oldest"))
 
 
 @query("SELECT least(n_chars // 500, 10) AS bucket, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS english, round(count(*) FILTER (WHERE n_chars > 1000) / count(*), 6) AS long_share FROM documents GROUP BY 1")
