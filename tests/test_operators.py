@@ -1,0 +1,64 @@
+"""Operators without SQL, against brute force on small tables."""
+
+import datetime
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import dedupe, scanner
+from corpusloom.streaming import access
+
+DAY = datetime.datetime(2024, 1, 1)
+
+
+def test_hamming_pairs_lose_none(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    prints = list(dict.fromkeys(base + [b ^ sum(1 << k for k in rng.sample(range(63), d)) for b in base for d in (1, 2, 3, 4, 5)]))
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)] + [(999, prints[0])], "chunk_id long, simhash long")
+    want = {(min(a, b), max(a, b), bin(a ^ b).count("1")) for a, b in itertools.combinations(prints, 2) if bin(a ^ b).count("1") <= 3}
+    assert {tuple(r) for r in dedupe.hamming_pairs(df).collect()} == want
+    assert dedupe.hamming_pairs(df.limit(0)).count() == 0
+
+
+def test_equal_texts_share_a_fingerprint(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, words, 60), (2, words, 60), (3, words, 5)], "chunk_id long, text string, tokens long")
+    got = {r.chunk_id: r.simhash for r in dedupe.fingerprints(df).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2]
+
+
+def test_scan_finds_lines_and_allows(spark):
+    digits = "4111 1111 1111 1111"
+    rows = [("a.py", f"x = 1\ncard {digits}\n"), ("b.py", "card 4111 1111 1111 1112"), ("c.py", None), ("d.py", "")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    found = scanner.scan(files, "path", F.col("path"), "text").where("rule = 'credit-card'").collect()
+    assert [(r.path, r.line, r.suppressed) for r in found] == [("a.py", 2, False)] and digits not in found[0].preview
+    kept = scanner.scan(files, "path", F.col("path"), "text", allow=[("*.py", "credit-card")])
+    assert [r.suppressed for r in kept.where("rule = 'credit-card'").collect()] == [True]
+    assert scanner.gate(kept).first().passed
+
+
+def test_paths(spark):
+    files = spark.createDataFrame([("src/a.ts",), ("node_modules/x.js",), (".ssh/id_rsa",), ("logo.png",)], "path string")
+    assert [r.path for r in scanner.readable_paths(files).collect()] == ["src/a.ts"]
+
+
+def test_coalesced_pushes(spark):
+    at = lambda s: DAY + datetime.timedelta(seconds=s)
+    rows = [("r", "main", "a", at(0)), ("r", "main", "b", at(30)), ("r", "main", "c", at(200)), ("r", "dev", "d", at(31))]
+    got = access.coalesced_pushes(spark.createDataFrame(rows, "repo string, ref string, sha string, ts timestamp"))
+    assert {(r.ref, r.sha, r.pushes) for r in got.collect()} == {("main", "b", 2), ("main", "c", 1), ("dev", "d", 1)}
+
+
+def test_breadth_alert_in_a_stream(spark, tmp_path):
+    rows = [("wide", f"r{i}", "m", DAY + datetime.timedelta(seconds=i)) for i in range(45)] + [("near", f"r{i}", "m", DAY + datetime.timedelta(seconds=i)) for i in range(39)]
+    # Two windows of 30 repositories each: neither reaches the limit.
+    rows += [("slow", f"r{i}", "m", DAY + datetime.timedelta(seconds=i if i < 30 else 4000 + i)) for i in range(60)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows, "principal string, repo string, module string, ts timestamp").coalesce(1).write.parquet(src)
+    events = spark.readStream.schema("principal string, repo string, module string, ts timestamp").parquet(src)
+    run = access.breadth_alerts(events).writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert run.awaitTermination(90)
+    assert [tuple(r) for r in spark.table("alerts").collect()] == [("wide", 40, 1, 40)]
