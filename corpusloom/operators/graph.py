@@ -26,7 +26,7 @@ def used_by(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 def top_neighbours(edges: DataFrame, seeds: DataFrame, most: int = 12, src: str = "src", dst: str = "dst") -> DataFrame:
     """Neighbours of the seeds, those with the fewest edges into them first, at most ``most`` each."""
     central = edges.groupBy(dst).agg(F.count("*").alias("centrality"))
-    near = edges.join(F.broadcast(seeds.select(F.col("seed_id"))), F.col(src) == F.col("seed_id")).select("seed_id", dst, "relation").distinct().join(central, dst)
+    near = edges.join(seeds.select(F.col("seed_id")), F.col(src) == F.col("seed_id")).select("seed_id", dst, "relation").distinct().join(central, dst)
     order = Window.partitionBy("seed_id").orderBy("centrality", dst, "relation")
     return near.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
 

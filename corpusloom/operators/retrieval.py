@@ -55,10 +55,10 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, item: str = "d
     sized = chunks.select(item, words.alias("w")).withColumn("len", F.size("w"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.select(query, F.explode(token_set(F.col(query_text))).alias("term"))
-    tf = sized.select(item, "len", F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy(item, "len", "term").agg(F.count("*").alias("tf"))
+    tf = sized.select(item, "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term").groupBy(item, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term").join(F.broadcast(stats), F.lit(True)).withColumn("s", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))))
-    scored = weighed.join(F.broadcast(asked), "term").groupBy(query, item).agg(F.round(F.sum("s"), 6).alias("s"))
+    scored = weighed.join(asked, "term").groupBy(query, item).agg(F.round(F.sum("s"), 6).alias("s"))
     return ranked(scored, query, F.col("s"), item, k)
 
 
