@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, maybe_broadcast
@@ -11,7 +15,7 @@ from ._common import materialize, maybe_broadcast
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may obtain a copy of the License at apache.org licenses LICENSE-2.0",
     "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. You can redistribute it and modify it under the terms of the GNU General Public License",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
     "GPL-2.0": "This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation, version 2",
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
     "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
@@ -26,10 +30,18 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "Proprietary": "Copyright. All rights reserved. Proprietary and confidential. Unauthorized copying is prohibited",
 }
-#: Lines that can state a licence hold one of these stems.
-ANCHORS = ("licens", "licenc", "copyright", "rights reserved", "public domain", "spdx", "permission is hereby")
-#: Cosine from which a line counts as a statement, and its share of a file's words from which the file is a licence file.
-LEAST_COSINE, FILE_SHARE = 0.5, 0.2
+#: Cosine from which a line counts as a statement, and the higher one for the best of many windows.
+LEAST_COSINE, WINDOW_COSINE = 0.5, 0.7
+#: Share of a file's words in its statements from which the file is a licence file.
+FILE_SHARE = 0.2
+#: Template sentences of fewer words go with the one before or behind: "Copyright" alone states nothing.
+LEAST_WORDS = 4
+#: Words on either side of a found term that windows and lines are read from; more than any template sentence has.
+REACH = 40
+#: The tag that names a licence outright; it counts as one term, so its cosine to its own licence is 1.
+SPDX = r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)"
+#: Words of any English text: they have the least idf, that of a term in every sentence.
+COMMON = "the of and to in a is for as with by this that are you at or any may it not under all can from be".split()
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = "[a-z0-9]+"
 
@@ -38,77 +50,150 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(f"({_TERM})"), F.lit(1))
 
 
-def template_weights(spark: SparkSession) -> tuple[DataFrame, float]:
-    """(licence, term, weight, idf) with vectors of length 1, one for each sentence of a template, and the idf of terms that none has.
+def _parts(text: str) -> list[str]:
+    """A template's sentences, those of under LEAST_WORDS words joined to a neighbour."""
+    out: list[str] = []
+    for part in text.split(". "):
+        if out and min(len(re.findall(_TERM, x.lower())) for x in (out[-1], part)) < LEAST_WORDS:
+            out[-1] += ". " + part
+        else:
+            out.append(part)
+    return out
+
+
+def template_weights() -> tuple[list[tuple], dict[str, float], float]:
+    """Rows (licence, term, size, weights) to join on, the idf of each term, and that of terms that no template has.
 
-    The templates' sentences are the collection that idf is counted over, so a line's
-    score hangs on the line alone. Their number is fixed in this module.
+    Each sentence of a template is a vector of length 1; its weights are a map, its size is
+    in words. The sentences are the collection that idf is counted over, so a span's score
+    hangs on the span alone.
+
+    A span of cosine c shares terms that hold c squared of the sentence's squared weights at
+    least. So the terms left out here, common words first and less than LEAST_COSINE squared
+    in all, never make a span alone, and a join on the others loses none.
     """
-    rows = [(name, i, part) for name, text in TEMPLATES.items() for i, part in enumerate(text.split(". "))]
-    n = len(rows)
-    made = spark.createDataFrame(rows, "licence string, part int, text string").select("licence", "part", F.explode(_terms(F.col("text"))).alias("term")).groupBy("licence", "part", "term").agg(F.count("*").alias("tf"))
-    idf = made.groupBy("term").agg((F.log((F.lit(n) + 1.0) / (F.count("*") + 1.0)) + 1.0).alias("idf"))
-    weighed = made.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighed.groupBy("licence", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unseen = spark.range(1).select((F.log(F.lit(n) + 1.0) + 1.0).alias("x")).first()[0]
-    return weighed.join(norm, ["licence", "part"]).select("licence", "part", "term", "idf", (F.col("w") / F.col("norm")).alias("weight")), unseen
+    parts = [(name, re.findall(_TERM, part.lower())) for name, text in TEMPLATES.items() for part in _parts(text)]
+    df = Counter(t for _, words in parts for t in set(words))
+    idf = {t: 1.0 if t in COMMON else math.log((len(parts) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    rows = []
+    for name, words in parts:
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in Counter(words).items()))
+        weights = {t: n * idf[t] / norm for t, n in Counter(words).items()}
+        gone = 0.0
+        for t in sorted(weights, key=lambda t: (t not in COMMON, weights[t], t)):
+            if gone + weights[t] ** 2 < LEAST_COSINE**2 - 1e-9:
+                gone += weights[t] ** 2
+            else:
+                rows.append((name, t, len(words), weights))
+    return rows, idf, math.log(len(parts) + 1) + 1
 
 
-def _stated(text: Column) -> Column:
-    """Whether a text, already in lower case, holds one of the stems."""
-    found = F.lit(False)
-    for stem in ANCHORS:
-        found = found | text.contains(stem)
-    return found
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def licence_lines(files: DataFrame) -> DataFrame:
-    """id, path, n_words of the file, line_no, line and its words, for each line with licence vocabulary.
+def _places(tokens: Column, terms: list[str]) -> Column:
+    """(pos, term, low, near) for each of the terms found: near are the tokens from low on."""
 
-    The texts are read once; all that follows works on these few lines.
-    """
-    words = lambda c: F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    hits = files.where(_stated(F.lower("text"))).select("id", "path", words(F.col("text")).alias("n_words"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return hits.where(_stated(F.translate("line", _UPPER, _LOWER))).withColumn("words", words(F.col("line")))
+    def place(s: Column, ts: Column) -> Column:
+        low = F.greatest(s["pos"] - REACH, F.lit(0))
+        return F.struct(s["pos"].alias("pos"), s["term"].alias("term"), low.alias("low"), F.slice(ts, low + 1, F.lit(2 * REACH + 1)).alias("near"))
+
+    def all_(ts: Column) -> Column:
+        found = F.filter(F.transform(ts, lambda x, i: F.struct(i.alias("pos"), x.alias("term"))), lambda s: s["term"].isin(terms))
+        return F.transform(found, lambda s: place(s, ts))
+
+    return _bound(tokens, all_)
+
+
+def _cosine(words: Column, weights: Column, idf: Column, unseen: float) -> Column:
+    """Cosine of a span's words to a sentence: each word adds its idf times its weight, and to the norm its idf squared times its count."""
 
+    def add(acc: Column, x: Column) -> Column:
+        i = F.coalesce(idf[x], F.lit(unseen))
+        return F.struct((acc["dot"] + i * F.coalesce(weights[x], F.lit(0.0))).alias("dot"), (acc["sq"] + i * i * F.size(F.filter(words, lambda y: y == x))).alias("sq"))
 
-def statements(lines: DataFrame) -> DataFrame:
-    """id, path, licence and score of each file's best line."""
-    keys = ["id", "path", "line_no"]
-    templates, unseen = template_weights(lines.sparkSession)
-    templates = materialize(templates, "licence-templates")
-    terms = lines.select(*keys, F.explode(_terms(F.col("line"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    weighed = terms.join(F.broadcast(templates.groupBy("term").agg(F.max("idf").alias("idf"), F.collect_list(F.struct("licence", "part", "weight")).alias("at"))), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norm = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.select(*keys, "w", F.explode("at").alias("t")).groupBy(*keys, "t.licence", "t.part").agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot"))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keys]
-    scored = dots.alias("d").join(norm.alias("n"), same[0] & same[1] & same[2]).select("d.id", "d.path", "d.licence", F.round(F.col("d.dot") / F.col("n.norm"), 6).alias("score"))
-    return scored.where(F.col("score") >= LEAST_COSINE).groupBy("id", "path").agg(F.max_by("licence", F.struct("score", "licence")).alias("licence"), F.max("score").alias("score"))
+    return F.aggregate(words, F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq")), add, lambda acc: F.when(acc["sq"] > 0, acc["dot"] / F.sqrt(acc["sq"])).otherwise(0.0))
+
+
+def _spans(size: Column) -> Column:
+    """(words, least, from, to) of the line and the windows of size words around ``at``, from its ``near`` tokens."""
+    here = F.col("pos") - F.col("low")
+    marked = F.transform("near", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+
+    def spans(ts: Column) -> Column:
+        words = F.filter(ts, lambda s: s["x"] != "\n")
+        start = F.coalesce(F.array_max(F.transform(F.filter(ts, lambda s: (s["x"] == "\n") & (s["i"] < here)), lambda s: s["i"])), F.lit(-1))
+        end = F.coalesce(F.array_min(F.transform(F.filter(ts, lambda s: (s["x"] == "\n") & (s["i"] > here)), lambda s: s["i"])), F.lit(1 << 30))
+        line = F.filter(words, lambda s: (s["i"] > start) & (s["i"] < end))
+        k = F.size(F.filter(words, lambda s: s["i"] < here))
+        # Starts that keep the term inside; the last window of a text is cut short by its end.
+        windows = F.transform(F.sequence(F.greatest(k - size + 1, F.lit(0)), k), lambda b: F.slice(words, b + 1, size))
+        made = lambda w, least: F.struct(w.alias("w"), F.lit(least).alias("least"))
+        return F.concat(F.array(made(line, LEAST_COSINE)), F.transform(windows, lambda w: made(w, WINDOW_COSINE)))
+
+    return _bound(marked, spans)
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """id, path, licence and score of each file's best span, the file's n_words, and in_spans, the template words in its statements.
+
+    The texts are read for terms and for tags; all that follows works on the surroundings of found terms.
+    Spans are the line of a term and each window as long as the template's sentence, over
+    line ends, so words around a statement do not dilute it.
+    """
+    spark = files.sparkSession
+    rows, idf, unseen = template_weights()
+    terms = sorted({r[1] for r in rows})
+    low = F.translate("text", _UPPER, _LOWER)
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")
+    # explode_outer, as explode has its array computed a second time, to filter by its size.
+    found = files.select("id", "path", words, F.explode_outer(_places(F.regexp_extract_all(low, F.lit(f"({_TERM}|\n)"), F.lit(1)), terms)).alias("a"))
+    found = materialize(found.where("a is not null").select("id", "path", "n_words", "a.*"), "licence-terms")
+    templates = spark.createDataFrame(rows, "licence string, term string, size int, weights map<string,double>")
+    at = found.join(F.broadcast(templates), "term")
+    # No span around the term can reach the least cosine if all words near it together do not.
+    shared = F.aggregate(F.map_keys("weights"), F.lit(0.0), lambda s, t: s + F.when(F.array_contains("near", t), F.col("weights")[t] * F.col("weights")[t]).otherwise(0.0))
+    at = at.where(shared >= LEAST_COSINE**2 - 1e-9)
+    table = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv])
+    rare = F.filter(F.map_keys("weights"), lambda t: ~t.isin(COMMON))
+    # One word in common is no statement, however often it stands there: "mit" is also German.
+    two = F.size(F.array_intersect(rare, F.transform("s.w", lambda s: s["x"]))) > 1
+    score = F.round(_bound(F.transform("s.w", lambda s: s["x"]), lambda ws: _cosine(ws, F.col("weights"), table, unseen)), 6)
+    scored = at.select("id", "path", "n_words", "low", "licence", "weights", F.explode(_spans(F.col("size"))).alias("s")).where(two).select("id", "path", "n_words", "licence", score.alias("score"), "s.least", F.transform(F.filter("s.w", lambda s: F.col("weights")[s["x"]].isNotNull()), lambda s: s["i"] + F.col("low")).alias("covers")).where("score >= least").drop("least")
+    tag = F.regexp_replace("tag", r"(-only|-or-later|\+|\.)$", "")
+    names = spark.createDataFrame([(n.lower(), n) for n in TEMPLATES], "tag string, licence string")
+    tags = files.where(low.contains("spdx-license-identifier:")).select("id", "path", words, F.explode(F.regexp_extract_all(low, F.lit(SPDX), F.lit(1))).alias("tag"))
+    tagged = tags.withColumn("tag", tag).join(F.broadcast(names), "tag").select("id", "path", "n_words", "licence", F.lit(1.0).alias("score"), F.array().cast("array<int>").alias("covers"))
+    spans = materialize(scored.unionByName(tagged), "licence-spans")
+    best = spans.groupBy("id", "path").agg(F.max_by("licence", F.struct("score", "licence")).alias("licence"), F.max("score").alias("score"), F.max("n_words").alias("n_words"))
+    covers = spans.select("id", "path", F.explode("covers").alias("i")).distinct().groupBy("id", "path").agg(F.count("*").alias("in_spans"))
+    b, c = best.alias("b"), covers.alias("c")
+    return b.join(c, F.col("b.id").eqNullSafe(F.col("c.id")) & F.col("b.path").eqNullSafe(F.col("c.path")), "left").select("b.*", F.coalesce("in_spans", F.lit(0)).alias("in_spans"))
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", file_share: float = FILE_SHARE) -> DataFrame:
     """id, path, licence, score, origin and from_dir of every file.
 
-    Lines with licence vocabulary are compared to each sentence of each template by the
-    cosine of sparse TF-IDF vectors. A file's own licence is that of its best line. A file
-    most of whose words, or file_share of them, stand in such lines, or that is named like
+    Lines, and windows as long as a template's sentence, are compared to each sentence of
+    each template by the cosine of sparse TF-IDF vectors; an SPDX tag names its licence. A
+    file's own licence is that of its best span. A file of whose words file_share stand in
+    statements, or that is named like
     one (LICENSE, COPYING, NOTICE), is a licence file and rules its directory; of several,
     the best score rules, then the smallest path. A file without a licence of its own has
     that of the nearest ancestor directory with one, found by joining the ancestors of each
     directory to the ruled ones. origin is ``header``, ``inherited`` or ``none``.
 
-    Null and empty texts have no lines; a null path has no directory. Rows with equal id and
-    path are one file, whose lines count together; each keeps its row.
+    Null and empty texts have no spans; a null path has no directory. Rows with equal id and
+    path are one file, whose spans count together; each keeps its row.
     """
     base = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    lines = materialize(licence_lines(base), "licence-lines")
-    words = lines.groupBy("id", "path").agg(F.max("n_words").alias("n_words"), F.sum("words").alias("in_lines"))
-    best_of = statements(lines).alias("s").join(words.alias("w"), F.col("s.id").eqNullSafe(F.col("w.id")) & F.col("s.path").eqNullSafe(F.col("w.path")))
-    found = materialize(best_of.select("s.id", "s.path", "licence", "score", "n_words", "in_lines"), "licences")
+    found = materialize(statements(base), "licences")
     small = maybe_broadcast(found, found.count(), 160)
     named = F.element_at(F.split("path", "/"), -1).rlike(r"^(LICEN[CS]E|COPYING|NOTICE)")
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    own = found.where(F.col("path").isNotNull() & (named | (F.col("in_lines") >= F.col("n_words") * file_share)))
+    own = found.where(F.col("path").isNotNull() & (named | (F.col("in_spans") >= F.col("n_words") * file_share)))
     best = F.struct(-F.col("score"), F.col("path"))
     rulers = materialize(own.groupBy(directory.alias("dir")).agg(F.min_by("licence", best).alias("licence"), F.max("score").alias("score")), "licence-dirs")
     dirs = base.where("path is not null").select(directory.alias("dir")).distinct()

@@ -319,3 +319,21 @@ def test_license_scan(spark):
     got = {(r.doc_id, r.licence, r.origin, r.from_dir) for r in license_scan(docs).collect()}
     assert got == {(1, "Apache-2.0", "header", None), (2, "GPL-3.0", "inherited", "a/b"), (3, "MIT", "header", None), (4, "GPL-3.0", "inherited", "a/b"), (5, None, "none", None), (6, "CC-BY-NC-4.0", "header", None), (7, "GPL-3.0", "header", None), (8, "GPL-3.0", "inherited", "a/b"), (9, None, "none", None)}
     assert license_scan(docs).count() == len(files) and license_scan(docs.limit(0)).count() == 0
+
+
+def test_license_scan_reads_statements_without_stems_and_inside_text(spark):
+    prose = " ".join(f"plain{i}" for i in range(14))
+    files = [
+        ("bsd/a.c", "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted\n */\n" + prose),
+        ("isc/a.c", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted\n" + prose),
+        ("spdx/a.c", "// SPDX-License-Identifier: MIT\n" + prose),
+        ("spdx3/a.c", "# SPDX-License-Identifier: GPL-3.0-or-later\n" + prose),
+        ("spdx0/a.c", "# SPDX-License-Identifier: Nobody-2.0\n" + prose),
+        ("inside/a.c", f"{prose} released under the MIT License {prose}"),
+        ("gpl2/a.c", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; version 2\n" + prose),
+        ("de/a.txt", f"Mit.\nmit mit mit mit mit\n{prose}"),
+        ("none/a.c", f"{prose} version 2.0 and copyright of the use {prose}"),
+    ]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r.path.split("/")[0]: r.licence for r in license_scan(docs).collect()}
+    assert got == {"bsd": "BSD-3-Clause", "isc": "ISC", "spdx": "MIT", "spdx3": "GPL-3.0", "spdx0": None, "inside": "MIT", "gpl2": "GPL-2.0", "de": None, "none": None}
