@@ -26,6 +26,14 @@ CHUNK, LEAST = 1 << 21, 8
 WEIGHED, LIST_COST = 40, 3.0
 #: Tasks among which the list of a token from the frequency table is dealt.
 SALTS = 16
+#: Words whose hash a worker keeps.
+WORDS_KEPT = 1 << 20
+#: Entries of open lists may meet as many others each before another hub round or keys of two tokens are tried.
+FEW_MEETINGS = 4
+#: A hub round that links fewer of the open nodes than this share is the last one.
+LEAST_LINKED = 0.05
+#: Meetings an entry of a list from which the list counts as heavy: the choices that are weighed against each other.
+HEAVY = (16, 64, 256, 1024)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0x8EBC6AF09C88C6E3)]
 
 
@@ -35,40 +43,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-    step = 0x9E3779B97F4A7C15
-    up = np.full(n, step, np.uint64)
-    down = np.full(n, pow(step, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+class _Seen(dict):
+    """Hashes of words that a worker met; long words are hashed anew each time."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 48:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = h
+        return h
 
-class WordHasher:
-    """64-bit hashes of all words of a text at once, from sums over its bytes.
 
-    A word's hash is the sum of a random number for each byte times a power for its place,
-    mixed with its length: differences of running sums, moved to place 0 by the inverse
-    power. A-Z are lower-cased and words cut at ASCII white space.
-    """
+def words_of(raw: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8: A-Z lower-cased, cut at ASCII white space."""
+    return raw.lower().split() if raw else []
+
+
+class WordHasher:
+    """64-bit hashes of the words of a text."""
 
     def __init__(self):
-        self.letters = np.random.default_rng(20260101).integers(0, 1 << 64, 256, np.uint64)
-        self.letters[65:91] = self.letters[97:123]
-        self.blank = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-        self.up, self.down = _powers(1 << 16)
-
-    def words(self, text: str | None) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        if len(raw) >= len(self.up):
-            self.up, self.down = _powers(2 * len(raw))
-        edge = np.diff(np.concatenate([[1], self.blank[raw], [1]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.letters[raw] * self.up[: len(raw)], out=total[1:])
-        return _mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64) * _K[1])
+        self.seen = _Seen()
+
+    def words(self, raw: bytes | None) -> np.ndarray:
+        words = words_of(raw)
+        return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
 
 
 class Counted:
@@ -126,13 +126,17 @@ class Law:
         """Tokens of a set's start, in the common order, of which linked sets share MATCHES."""
         return min(n, n - -(-self.num * n // self.den) + MATCHES)
 
+    def least(self, n, m):
+        """overlap() of arrays of sizes."""
+        return -(-self.num * (n.astype(np.int64) + m) // (self.den + self.num))
+
     def may_link(self, n, m, pos, at):
         """Whether sets of n and m tokens can link and a token at places pos and at, from 0, counts for them.
 
         A linked pair has at most n - overlap and m - overlap tokens that are not shared, so
         MATCHES of the shared ones stand before these places.
         """
-        least = -(-self.num * (n.astype(np.int64) + m) // (self.den + self.num))
+        least = self.least(n, m)
         big, small = np.maximum(n, m), np.minimum(n, m)
         return (small * self.den >= big * self.num) & (pos < n - least + MATCHES) & (at < m - least + MATCHES)
 
@@ -219,7 +223,7 @@ def _census(k: int):
             size = 0
 
         for batch in batches:
-            for text in batch.column(0):
+            for text in batch.column(0).cast(pa.binary()):
                 h = hasher.words(text.as_py())
                 token = raw_shingles(h, k)
                 if len(token) <= WEIGHED + 60:
@@ -237,18 +241,19 @@ def _census(k: int):
 
 
 def _signatures(law: Law, order: _Order):
-    """id, size, 128-bit set hash, list entries, entries of the table among them, and subset hashes of each text's set."""
+    """id, size, 128-bit set hash, list entries, entries of the table among them, and subset hashes with sizes of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, h1, h2, lists, common, subsets = [], [], [], [], [], []
-                for text in part.column(1).to_pylist():
+                n, h1, h2, lists, common, subsets, sizes = [], [], [], [], [], [], []
+                for text in part.column(1).cast(pa.binary()).to_pylist():
                     token, ranked, known = order.ranked(hasher.words(text), law.k)
                     size = len(token)
-                    whole = xxhash.xxh3_128_intdigest(token.tobytes())
+                    # One shingle alone is hashed as its words, so that 64 bits never decide.
+                    whole = xxhash.xxh3_128_intdigest(token.tobytes() if size > 1 else b" ".join(words_of(text)[: law.k]))
                     n.append(size)
                     h1.append(whole >> 64)
                     h2.append(whole & (1 << 64) - 1)
@@ -260,12 +265,15 @@ def _signatures(law: Law, order: _Order):
                         lists.append(np.zeros(0, np.int64))
                         common.append(np.zeros(0, np.int64))
                     if 0 < size <= law.boundary:
-                        subsets.append(np.concatenate([subset_tokens(token, s) for s in law.subset_sizes(size, law.boundary)]).view(np.int64))
+                        made = [subset_tokens(token, s) for s in law.subset_sizes(size, law.boundary)]
+                        subsets.append(np.concatenate(made).view(np.int64))
+                        sizes.append(np.repeat(np.array(law.subset_sizes(size, law.boundary), np.int32), [len(x) for x in made]))
                     else:
                         subsets.append(np.zeros(0, np.int64))
+                        sizes.append(np.zeros(0, np.int32))
                 as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), as_long(h1), as_long(h2), pa.array(lists, kind), pa.array(common, kind), pa.array(subsets, kind)], names=["id", "n", "h1", "h2", "lists", "common", "subsets"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), as_long(h1), as_long(h2), pa.array(lists, kind), pa.array(common, kind), pa.array(subsets, kind), pa.array(sizes, pa.list_(pa.int32()))], names=["id", "n", "h1", "h2", "lists", "common", "subsets", "sizes"])
 
     return run
 
@@ -277,7 +285,7 @@ def _runs(law: Law):
     to the front: it has the fewest tokens of its own, so of a group of near copies it is the
     one closest to all others. An entry that cannot link with its hub by size and places is
     its own hub. Entries of salted sigs all go on, for their like may be under another salt;
-    they keep their class, and get their hubs later.
+    they are marked as spread, and get their hubs later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,28 +319,47 @@ def _runs(law: Law):
     return run
 
 
-_ENTRIES = "sig long, class int, node long, n int, pos int, w int, hub long"
+_ENTRIES = "sig long, class int, spread boolean, node long, n int, pos int, w int, hub long"
 
 
 def _entries(law: Law, sig, salt, of_class, pos, n, node, w, hub, hub_n, hub_pos) -> pa.RecordBatch:
-    own = (salt >= 0) | ~(law.may_link(n, hub_n, pos, hub_pos) | (w >= MATCHES))
-    cols = (sig, np.where(salt >= 0, of_class, -1), node, n, pos, w, np.where(own, node, hub))
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "class", "node", "n", "pos", "w", "hub"])
+    spread = salt >= 0
+    meets = np.where(w >= MATCHES, law.least(n, hub_n) == pos, law.may_link(n, hub_n, pos, hub_pos))
+    cols = (sig, of_class, spread, node, n, pos, w, np.where(spread | ~meets, node, hub))
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "class", "spread", "node", "n", "pos", "w", "hub"])
+
+
+def shared_shingles(x: list[bytes], y: list[bytes], k: int) -> tuple[int, int]:
+    """Sizes of intersection and union of the shingle sets of two lists of words, from the words themselves."""
+    names: dict[bytes, int] = {}
+    a, b = (np.array([names.setdefault(w, len(names)) for w in words], np.int64) for words in (x, y))
+    size, other = min(k, len(a)), min(k, len(b))
+    na, nb = max(0, len(a) - size + 1) * (size > 0), max(0, len(b) - other + 1) * (other > 0)
+    if size != other or not size:
+        distinct = lambda v, n: n if n < 2 else len(np.unique(np.lib.stride_tricks.sliding_window_view(v, k), axis=0))
+        return 0, distinct(a, na) + distinct(b, nb)
+    token = np.concatenate([a[:na], b[:nb]])
+    for j in range(1, size):  # numbers of the shingles so far, from 0 without gaps, so that no product overflows
+        token = np.unique(token * len(names) + np.concatenate([a[j : j + na], b[j : j + nb]]), return_inverse=True)[1]
+    u, v = np.unique(token[:na]), np.unique(token[na:])
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both, len(u) + len(v) - both
 
 
 def _linked(law: Law):
+    """(a, b, ok) of pairs with their texts, by the words themselves and no hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        last: list = [None, None, None, None]  # pairs come sorted by one of their texts, which is cut once
         for batch in batches:
             ok = []
-            last, kept = None, None  # pairs come sorted by their first text: it is cut once
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if last != a:
-                    last, kept = a, shingles(hasher.words(x.as_py()), law.k)
-                other = shingles(hasher.words(y.as_py()), law.k)
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                ok.append(both > 0 and law.den * both >= law.num * (len(kept) + len(other) - both))
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
+                for at, node, text in ((0, a, x), (2, b, y)):
+                    if last[at] != node or last[at] is None:
+                        last[at : at + 2] = node, words_of(text.as_py())
+                both, union = shared_shingles(last[1], last[3], law.k)
+                ok.append(both > 0 and law.den * both >= law.num * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return run
@@ -351,12 +378,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     if it shares one. Large sets, and small ones near the boundary, enter the inverted
     lists of their rarest tokens, as many as make linked sets meet MATCHES times. The
     order of tokens comes from two bounded tables of counts, so no pair is lost whatever
-    they hold. Equal sets are one node. Nodes first meet the hub of each list they are in,
-    which joins most of each group with as many checks as entries; then only pairs whose
-    components still differ are met, list by list, and only where size and the places of
-    the token leave room for the overlap. All pairs are checked on their texts.
-
-    Rows with one id are one node; rows with a null id take the component of their set.
+    they hold. Equal sets are one node, found by a 128-bit hash.
+
+    Nodes first meet the hub of each list they are in, which joins most of each group with
+    as many checks as entries; then only pairs whose components still differ are met. While
+    many are left and hubs still link, further rounds of hubs follow. In the end lists are
+    met entry by entry where that makes few meetings; where it makes many, linked nodes must
+    share a second token with the first, so heavy lists are split by keys of two tokens. All
+    pairs are checked on their texts, word by word, so hashes never decide a link.
+
+    An empty table gives no rows. Rows with one id are one node; repeated rows count once;
+    rows with a null id take the component of their set, null if no other row has it. Ties do
+    not arise: components have no order but that of ids. Very long texts have long lists and
+    are read one at a time. Other columns are not read, whatever their names.
     """
     law = Law(k, num, den)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -370,55 +404,160 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         yield from _signatures(law, order.value)(batches)
 
     kind = "array<long>"
-    sets = materialize(thin.mapInArrow(signatures, f"id long, n long, h1 long, h2 long, lists {kind}, common {kind}, subsets {kind}"), "nj-sets")
-    nodes = sets.where("n > 0").groupBy("h1", "h2", "n", "lists", "common", "subsets").agg(F.min("id").alias("node")).where("node is not null")
+    sets = thin.mapInArrow(signatures, f"id long, n long, h1 long, h2 long, lists {kind}, common {kind}, subsets {kind}, sizes array<int>")
+    # The number of a row is written with it, so all later stages see the same one.
+    sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "nj-sets")
+    nodes = materialize(sets.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("m")).select("h1", "h2", F.col("m.id").alias("node"), F.col("m.row").alias("row")), "nj-nodes")
+    held = sets.join(maybe_broadcast(nodes.select("row"), nodes.count(), 24), "row", "left_semi").withColumnRenamed("id", "node")
+    entries = _first_meetings(held, law)
+    links, asked = _by_hubs(entries, thin, law)
+    label = components(links)
+    open_, lists, size, meetings = _open(entries, label)
+    linked, spent, r = 1.0, None, 0
+    while meetings > FEW_MEETINGS * size and linked >= LEAST_LINKED:
+        r += 1
+        hubs = _next_hubs(open_, spent)
+        spent = hubs.select("sig", "class", "hub") if spent is None else spent.unionByName(hubs.select("sig", "class", "hub"))
+        spent = materialize(spent, "nj-spent")
+        met = open_.join(maybe_broadcast(hubs, hubs.count(), 72), ["sig", "class"]).where((F.col("label") != F.col("hub_label")) & _meets(law, "n", "hub_n", "pos", "hub_pos"))
+        star = _pairs(met.select(F.col("node").alias("x"), F.col("hub").alias("y"), "w")).join(asked, ["a", "b"], "left_anti")
+        checked = _verify(star, thin, law)
+        linked = checked.where("ok").count() / max(1, open_.select("node").distinct().count())
+        links, asked = links.unionByName(checked.where("ok").select("a", "b")), asked.unionByName(checked.select("a", "b"))
+        label = components(_tied(label, checked))
+        open_, lists, size, meetings = _open(entries, label)
+    found = _verify(_last_meetings(open_, lists, size, meetings, law).join(asked, ["a", "b"], "left_anti"), thin, law)
+    label = components(_tied(label, found))
+    named = nodes.join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"))
+    full = sets.where("n > 0").select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select("id", "n", "label")
+    out = full.unionByName(sets.where("n = 0").select("id", "n", F.col("id").alias("label")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+
+
+def _first_meetings(held: DataFrame, law: Law) -> DataFrame:
+    """Entries of the lists that several nodes are in, each with the hub it meets first."""
     n = F.col("n").cast("int").alias("n")
-    of_class = F.floor(F.log("n") / F.lit(math.log(den / num))).cast("int") if num < den else F.col("n").cast("int")
+    of_class = F.floor(F.log("n") / F.lit(math.log(law.den / law.num))).cast("int") if law.num < law.den else F.col("n").cast("int")
     rare = F.pmod(F.xxhash64("node"), F.lit(SALTS))
-    in_lists = nodes.select("node", "n", "common", F.posexplode("lists").alias("pos", "sig")).select("sig", F.when(F.array_contains("common", F.col("sig")), rare).otherwise(F.lit(-1)).cast("int").alias("salt"), of_class.alias("class"), "pos", n, "node", F.lit(1).alias("w"))
-    in_subsets = nodes.select("node", "n", F.explode("subsets").alias("sig")).select("sig", F.lit(-1).alias("salt"), of_class.alias("class"), F.lit(0).alias("pos"), n, "node", F.lit(MATCHES).alias("w"))
+    in_lists = held.select("node", "n", "common", F.posexplode("lists").alias("pos", "sig")).select("sig", F.when(F.array_contains("common", F.col("sig")), rare).otherwise(F.lit(-1)).cast("int").alias("salt"), of_class.alias("class"), "pos", n, "node", F.lit(1).alias("w"))
+    in_subsets = held.select("node", "n", F.explode(F.arrays_zip("subsets", "sizes")).alias("s")).select(F.col("s.subsets").alias("sig"), F.lit(-1).alias("salt"), of_class.alias("class"), F.col("s.sizes").alias("pos"), n, "node", F.lit(MATCHES).alias("w"))
     dealt = in_lists.unionByName(in_subsets).repartition("sig", "salt").sortWithinPartitions("sig", "salt", "class", "pos", "n", "node")
-    entries = materialize(dealt.mapInArrow(_runs(law), _ENTRIES), "nj-entries")
+    return materialize(dealt.mapInArrow(_runs(law), _ENTRIES), "nj-entries")
+
+
+def _by_hubs(entries: DataFrame, thin: DataFrame, law: Law) -> tuple[DataFrame, DataFrame]:
+    """Links between entries and the hubs of their lists, and all pairs that were checked.
 
-    texts = materialize(_texts_of(thin, entries.select("node").distinct()), "nj-texts")
-    # Lists of frequent tokens are dealt over salts, so their hubs are found by an aggregate with map-side combine.
-    hubs = entries.where("class >= 0").groupBy("sig", "class").agg(F.min(F.struct("pos", "n", "node")).alias("h")).where("h is not null")
+    Lists of frequent tokens are dealt over salts, so their hubs are found by an aggregate with map-side combine.
+    """
+    spread = entries.where("spread")
+    hubs = spread.groupBy("sig", "class").agg(F.min(F.struct("pos", "n", "node")).alias("h"))
     hubs = materialize(hubs.select("sig", "class", F.col("h.node").alias("hub_node"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos")), "nj-hubs")
-    frequent = entries.where("class >= 0").join(maybe_broadcast(hubs, hubs.count(), 64), ["sig", "class"]).where((F.col("node") != F.col("hub_node")) & _room(law, "n", "hub_n", "pos", "hub_pos"))
-    met = entries.where("node <> hub").select("node", "hub", "w").unionByName(frequent.select("node", F.col("hub_node").alias("hub"), "w"))
-    star = met.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.sum("w").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
-    checked = materialize(_verify(star, texts, law), "nj-checked")
-    label = components(checked.where("ok").select("a", "b"))
-
-    marked = entries.drop("hub", "class").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    open_ = materialize(marked.join(mixed, "sig", "left_semi"), "nj-open")
-    x, y = (open_.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "w", "label")]) for s in "xy")
-    sized = F.when(F.col("w_x") >= MATCHES, F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num).otherwise(_room(law, "n_x", "n_y", "pos_x", "pos_y"))
-    on = (x["sig"] == y["sig"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & sized
-    met = x.join(y, on).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.sum("w_x").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
-    found = materialize(_verify(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, law), "nj-checked")
-    tied = label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
-    label = components(tied.unionByName(found.where("ok").select("a", "b")))
-    named = nodes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("label"))
-    out = sets.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id")).alias("component_id"))
+    frequent = spread.join(maybe_broadcast(hubs, hubs.count(), 64), ["sig", "class"]).where((F.col("node") != F.col("hub_node")) & _meets(law, "n", "hub_n", "pos", "hub_pos"))
+    met = entries.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y"), "w").unionByName(frequent.select(F.col("node").alias("x"), F.col("hub_node").alias("y"), "w"))
+    checked = _verify(_pairs(met), thin, law)
+    return checked.where("ok").select("a", "b"), checked.select("a", "b")
+
+
+def _open(entries: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Entries of the lists whose nodes are not all in one component, these lists with their sizes and meetings, and both in all.
+
+    A meeting is a pair of entries of one list whose components differ.
+    """
+    marked = entries.drop("hub", "spread").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = marked.groupBy("sig", "label").agg(F.count("*").alias("k")).groupBy("sig").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+    lists = materialize(of.where("squares < size * size").select("sig", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).cast("long").alias("meetings")), "nj-lists")
+    facts = lists.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("meetings"), F.lit(0))).first()
+    open_ = materialize(marked.join(maybe_broadcast(lists.select("sig"), facts[0], 24), "sig", "left_semi"), "nj-open")
+    return open_, lists, facts[1], facts[2]
+
+
+def _next_hubs(open_: DataFrame, spent: DataFrame | None) -> DataFrame:
+    """For each list and class the hub of its largest component that had none yet: (sig, class, hub, hub_n, hub_pos, hub_label)."""
+    per = open_.groupBy("sig", "class", "label").agg(F.count("*").alias("k"), F.min(F.struct("pos", "n", "node")).alias("h"))
+    if spent is None:  # the first round had the first entry of all
+        had = per.groupBy("sig", "class").agg(F.min_by("label", "h").alias("label"))
+    else:
+        had = open_.join(spent.withColumnRenamed("hub", "node"), ["sig", "class", "node"], "left_semi").select("sig", "class", "label").distinct()
+    best = per.join(had, ["sig", "class", "label"], "left_anti").groupBy("sig", "class").agg(F.max_by(F.struct("h", "label"), F.struct("k", -F.col("label"))).alias("b"))
+    return materialize(best.select("sig", "class", F.col("b.h.node").alias("hub"), F.col("b.h.n").alias("hub_n"), F.col("b.h.pos").alias("hub_pos"), F.col("b.label").alias("hub_label")), "nj-hubs")
+
+
+def _last_meetings(open_: DataFrame, lists: DataFrame, size: int, meetings: int, law: Law) -> DataFrame:
+    """Pairs (a, b) of different components that meet often enough to be checked.
+
+    Light lists pair their entries, and pairs count their meetings. A pair that meets in a
+    heavy list has a second token in common, in a list of either kind, and meets under the
+    key of both. From which weight a list is heavy is chosen by cost: meetings of the light
+    lists against keys of the nodes in heavy ones.
+    """
+    single = F.col("w") < MATCHES
+    weight = (F.col("meetings") / F.col("size")).alias("weight")
+    heavy_from = None
+    if meetings > FEW_MEETINGS * size:
+        weighed = open_.where(single).join(maybe_broadcast(lists.select("sig", weight), lists.count(), 40), "sig")
+        many = [F.count_if(F.col("weight") > x).cast("double").alias(f"m{x}") for x in HEAVY]
+        per = weighed.groupBy("node").agg(F.count("*").cast("double").alias("all"), *many)
+        keys = per.agg(*[F.sum(F.col(f"m{x}") * (F.col("all") - (F.col(f"m{x}") + 1) / 2)) for x in HEAVY]).first()
+        light = lists.agg(*[F.sum(F.when(weight <= x, F.col("meetings")).otherwise(0)) for x in HEAVY]).first()
+        cost, best = min([(k + m, x) for k, m, x in zip(keys, light, HEAVY) if k is not None], default=(math.inf, None))
+        heavy_from = best if cost < meetings else None
+    plain = open_
+    if heavy_from is not None:
+        heavy = materialize(lists.where(weight > heavy_from).select("sig", F.lit(True).alias("heavy")), "nj-heavy")
+        flagged = open_.join(maybe_broadcast(heavy, heavy.count(), 24), "sig", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)) & single)
+        plain = flagged.where(~F.col("heavy")).drop("heavy")
+    x, y = (plain.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "w", "label")]) for s in "xy")
+    on = (x["sig"] == y["sig"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
+    on &= F.when(F.col("w_x") >= MATCHES, _subset_law(law, "n_x", "n_y", "pos_x")).otherwise(_room(law, "n_x", "n_y", "pos_x", "pos_y"))
+    out = _pairs(x.join(y, on).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), F.col("w_x").alias("w")))
+    if heavy_from is None:
+        return out
+    # A node's tokens in the order that all nodes share; a list of a node is as long as its own start of tokens at most.
+    own = flagged.where(single).groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "sig", "heavy"))).alias("ts")).where(F.exists("ts", lambda t: t["heavy"]))
+    two = lambda t, u: F.struct(F.xxhash64(t["sig"], u["sig"]).alias("key"), u["pos"].alias("pos"))
+    both = F.transform("ts", lambda t, i: F.transform(F.filter(F.slice("ts", i + 2, F.size("ts")), lambda u: t["heavy"] | u["heavy"]), lambda u: two(t, u)))
+    keyed = materialize(own.select("node", "label", "n", F.explode(F.flatten(both)).alias("k")).select("node", "label", "n", "k.key", "k.pos"), "nj-keys")
+    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "label")]) for s in "xy")
+    on = (x["key"] == y["key"]) & (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & _room(law, "n_x", "n_y", "pos_x", "pos_y")
+    return out.unionByName(x.join(y, on).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))).distinct()
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of meetings (x, y, w) that come to MATCHES."""
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")).where(F.col("w") >= MATCHES).select("a", "b")
+
+
+def _tied(label: DataFrame, checked: DataFrame) -> DataFrame:
+    return label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(checked.where("ok").select("a", "b"))
+
+
+def _least(law: Law, n: str, m: str) -> Column:
+    """Law.overlap as an expression."""
+    return F.expr(f"(({law.num} * ({n} + {m})) + {law.den + law.num - 1}) div {law.den + law.num}")
 
 
 def _room(law: Law, n: str, m: str, pos: str, at: str) -> Column:
     """Law.may_link as an expression."""
-    least = F.expr(f"(({law.num} * ({n} + {m})) + {law.den + law.num - 1}) div {law.den + law.num}")
+    least = _least(law, n, m)
     return (F.least(n, m) * law.den >= F.greatest(n, m) * law.num) & (F.col(pos) < F.col(n) - least + MATCHES) & (F.col(at) < F.col(m) - least + MATCHES)
 
 
-def _texts_of(thin: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = materialize(ids, "nj-ids")
-    return thin.join(maybe_broadcast(ids.withColumnRenamed("node", "id"), ids.count(), 40), "id", "left_semi").select(F.col("id").alias("node"), "text")
+def _subset_law(law: Law, n: str, m: str, size: str) -> Column:
+    """Sets that share a subset meet where it has just the size that they must share."""
+    return _least(law, n, m) == F.col(size)
+
+
+def _meets(law: Law, n: str, m: str, pos: str, at: str) -> Column:
+    return F.when(F.col("w") >= MATCHES, _subset_law(law, n, m, pos)).otherwise(_room(law, n, m, pos, at))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, law: Law) -> DataFrame:
-    """(a, b, ok) of every pair, from the whole texts."""
-    x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+def _verify(pairs: DataFrame, thin: DataFrame, law: Law) -> DataFrame:
+    """(a, b, ok) of every pair, from the whole texts. Only texts of nodes in pairs are moved."""
+    pairs = materialize(pairs, "nj-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = materialize(thin.join(maybe_broadcast(ids, 2 * pairs.count(), 24), "id", "left_semi"), "nj-texts")
+    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_linked(law), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
+    return materialize(both.mapInArrow(_linked(law), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")), "nj-checked")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, media, mixing, toxicity
+from corpusloom.llm import langid, media, mixing, ngram_join, toxicity
 from corpusloom.llm.components import components
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.langid import fold, identify
@@ -203,10 +203,42 @@ def test_near_duplicates(spark, docs, rows, k, num, den):
     out = near_duplicates(both, k, num, den)
     got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in out.collect() if r.doc_id is not None], key=repr)
     assert got == by_brute_force([*rows, *more], k, num, den)
-    assert {(r.doc_id, r.component_id) for r in out.collect() if r.doc_id is None} == {(None, 4 if num < 100 or k == 3 else 4), (None, None)}
+    assert {(r.doc_id, r.component_id) for r in out.collect() if r.doc_id is None} == {(None, 4), (None, None)}
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few,heavy", [(4, (16, 64)), (0, (0, 1, 4)), (0, (1 << 40,))])
+def test_near_duplicates_of_one_large_group(spark, monkeypatch, few, heavy):
+    """Copies of one text about as far from each other as the threshold: further hub rounds, and lists split by keys of two tokens."""
+    monkeypatch.setattr(ngram_join, "FEW_MEETINGS", few)
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    rng, rows = np.random.default_rng(11), []
+    for i in range(260):
+        w = [f"t{j}" for j in range(int(rng.integers(94, 106)))]
+        for at in rng.integers(0, len(w), int(rng.integers(0, 9))):
+            w[at] = f"v{int(rng.integers(0, 4000))}"
+        rows.append((i, " ".join(w)))
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100)
+    assert table(out, "doc_id", "n_shingles", "component_id") == by_brute_force(rows, 4, 85, 100)
+
+
+def test_words_with_equal_polynomial_hashes_differ(spark):
+    """A Thue-Morse word and its complement have one hash under any sum of powers modulo 2 ** 64."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rows = [(1, morse), (2, other), (3, f"x y z {morse}"), (4, f"x y z {other}"), (5, morse), (6, "a a"), (7, "a a a a"), (8, "a a a a a")]
+    got = table(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100), "doc_id", "component_id")
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1), (6, 6), (7, 7), (8, 7)]
+
+
+def test_shared_shingles():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = ([b"ab"[i : i + 1] for i in rng.integers(0, 2, int(rng.integers(0, 9)))] for _ in "ab")
+        x, y = shingle_set(b" ".join(a).decode(), 3), shingle_set(b" ".join(b).decode(), 3)
+        assert ngram_join.shared_shingles(a, b, 3) == (len(x & y), len(x | y)), (a, b)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (200, 200), (7, 3)]
     got = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
