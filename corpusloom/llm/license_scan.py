@@ -30,6 +30,60 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "Proprietary": "Copyright. All rights reserved. Proprietary and confidential. Unauthorized copying is prohibited",
 }
+# Whole texts of the short licences, without their copyright lines.
+FILES = {
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to '
+        'deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or '
+        'sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above '
+        'copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", '
+        'WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+        'NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF '
+        'CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. '
+    ),
+    "ISC": (
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above '
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
+        'TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, '
+        'INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE '
+        'OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE. '
+    ),
+    "BSD-2-Clause": (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. '
+        'Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in '
+        'binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other '
+        'materials provided with the distribution. '
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        'IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE '
+        'LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE '
+        'GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT '
+        'LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH '
+        'DAMAGE. '
+    ),
+    "BSD-3-Clause": (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. '
+        'Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in '
+        'binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other '
+        'materials provided with the distribution. '
+        '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software '
+        'without specific prior written permission. '
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        'IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE '
+        'LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE '
+        'GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT '
+        'LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH '
+        'DAMAGE. '
+    ),
+    "Unlicense": (
+        'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute '
+        'this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions '
+        'that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We '
+        'make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt '
+        'act of relinquishment in perpetuity of all present and future rights to this software under copyright law. '
+    ),
+}
+#: Cosine from which a whole file is the text of a licence.
+FILE_COSINE = 0.8
 #: Cosine from which a line counts as a statement, and the higher one for the best of many windows.
 LEAST_COSINE, WINDOW_COSINE = 0.5, 0.7
 #: Share of a file's words in its statements from which the file is a licence file.
@@ -42,6 +96,8 @@ REACH = 40
 SPDX = r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)"
 #: Words of any English text: they have the least idf, that of a term in every sentence.
 COMMON = "the of and to in a is for as with by this that are you at or any may it not under all can from be".split()
+#: Words of any statement: neither these nor numbers tell one licence from another.
+GENERIC = ["license", "version", "v"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = "[a-z0-9]+"
 
@@ -88,6 +144,40 @@ def template_weights() -> tuple[list[tuple], dict[str, float], float]:
     return rows, idf, math.log(len(parts) + 1) + 1
 
 
+def file_weights() -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
+    """Rows (licence, term, weight) of the whole texts as vectors of length 1, the idf of their terms, and that of other terms."""
+    counts = {name: Counter(re.findall(_TERM, text.lower())) for name, text in FILES.items()}
+    df = Counter(t for c in counts.values() for t in c)
+    idf = {t: 1.0 if t in COMMON else math.log((len(counts) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    rows = []
+    for name, c in counts.items():
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+        rows += [(name, t, n * idf[t] / norm) for t, n in c.items()]
+    return rows, idf, math.log(len(counts) + 1) + 1
+
+
+def whole_files(files: DataFrame, found: DataFrame) -> DataFrame:
+    """id, path, licence and score of the files in found whose whole text is that of a licence.
+
+    A text of a licence holds statements of it, so only files with a statement are cut into
+    terms; terms are counted by file and joined to those of the templates. Words of other
+    kinds lengthen the file's vector and lower its cosine.
+    """
+    spark = files.sparkSession
+    rows, idf, unseen = file_weights()
+    ids = materialize(found.select(F.col("id").alias("fid"), F.col("path").alias("fpath")).distinct(), "licence-files")
+    same = F.col("id").eqNullSafe(F.col("fid")) & F.col("path").eqNullSafe(F.col("fpath"))
+    held = files.join(maybe_broadcast(ids, ids.count(), 120), same, "left_semi").distinct()
+    terms = held.select("id", "path", F.explode(_terms(F.col("text"))).alias("term")).groupBy("id", "path", "term").agg(F.count("*").alias("n"))
+    known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    weighed = materialize(terms.join(known, "term", "left").withColumn("v", F.col("n") * F.coalesce("idf", F.lit(unseen))).drop("idf", "n"), "licence-terms")
+    norm = weighed.groupBy("id", "path").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).alias("m")
+    templates = F.broadcast(spark.createDataFrame(rows, "licence string, term string, weight double"))
+    dots = weighed.join(templates, "term").groupBy("id", "path", "licence").agg(F.sum(F.col("v") * F.col("weight")).alias("dot")).alias("d")
+    both = dots.join(norm, F.col("d.id").eqNullSafe(F.col("m.id")) & F.col("d.path").eqNullSafe(F.col("m.path"))).select("d.id", "d.path", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return both.where(F.col("score") >= FILE_COSINE).groupBy("id", "path").agg(F.max_by("licence", F.struct("score", "licence")).alias("licence"), F.max("score").alias("score"))
+
+
 def _bound(value: Column, f) -> Column:
     """f of a value that is computed once, however often f uses it."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -137,7 +227,7 @@ def _spans(size: Column) -> Column:
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """id, path, licence and score of each file's best span, the file's n_words, and in_spans, the template words in its statements.
+    """id, path, licence and score of each file's best span or whole text, the file's n_words, in_spans, the template words in its statements, and is_file.
 
     The texts are read for terms and for tags; all that follows works on the surroundings of found terms.
     Spans are the line of a term and each window as long as the template's sentence, over
@@ -157,7 +247,7 @@ def statements(files: DataFrame) -> DataFrame:
     shared = F.aggregate(F.map_keys("weights"), F.lit(0.0), lambda s, t: s + F.when(F.array_contains("near", t), F.col("weights")[t] * F.col("weights")[t]).otherwise(0.0))
     at = at.where(shared >= LEAST_COSINE**2 - 1e-9)
     table = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv])
-    rare = F.filter(F.map_keys("weights"), lambda t: ~t.isin(COMMON))
+    rare = F.filter(F.map_keys("weights"), lambda t: ~t.isin([*COMMON, *GENERIC]) & ~t.rlike("^[0-9]+$"))
     # One word in common is no statement, however often it stands there: "mit" is also German.
     two = F.size(F.array_intersect(rare, F.transform("s.w", lambda s: s["x"]))) > 1
     score = F.round(_bound(F.transform("s.w", lambda s: s["x"]), lambda ws: _cosine(ws, F.col("weights"), table, unseen)), 6)
@@ -169,31 +259,39 @@ def statements(files: DataFrame) -> DataFrame:
     spans = materialize(scored.unionByName(tagged), "licence-spans")
     best = spans.groupBy("id", "path").agg(F.max_by("licence", F.struct("score", "licence")).alias("licence"), F.max("score").alias("score"), F.max("n_words").alias("n_words"))
     covers = spans.select("id", "path", F.explode("covers").alias("i")).distinct().groupBy("id", "path").agg(F.count("*").alias("in_spans"))
-    b, c = best.alias("b"), covers.alias("c")
-    return b.join(c, F.col("b.id").eqNullSafe(F.col("c.id")) & F.col("b.path").eqNullSafe(F.col("c.path")), "left").select("b.*", F.coalesce("in_spans", F.lit(0)).alias("in_spans"))
+    whole = materialize(whole_files(files, spans), "licence-whole")
+    b, c, w = best.alias("b"), covers.alias("c"), whole.alias("w")
+    same = lambda x: F.col("b.id").eqNullSafe(F.col(f"{x}.id")) & F.col("b.path").eqNullSafe(F.col(f"{x}.path"))
+    out = b.join(c, same("c"), "left").join(maybe_broadcast(whole, whole.count(), 160).alias("w"), same("w"), "left")
+    is_file = F.col("w.licence").isNotNull()
+    return out.select("b.id", "b.path", F.coalesce("w.licence", "b.licence").alias("licence"), F.coalesce("w.score", "b.score").alias("score"), "b.n_words", F.coalesce("in_spans", F.lit(0)).alias("in_spans"), is_file.alias("is_file"))
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", file_share: float = FILE_SHARE) -> DataFrame:
     """id, path, licence, score, origin and from_dir of every file.
 
     Lines, and windows as long as a template's sentence, are compared to each sentence of
-    each template by the cosine of sparse TF-IDF vectors; an SPDX tag names its licence. A
-    file's own licence is that of its best span. A file of whose words file_share stand in
+    each template by the cosine of sparse TF-IDF vectors; an SPDX tag names its licence. Whole
+    texts are compared to those of the short licences in the same way. A file's own licence
+    is that of its whole text, else of its best span. A licence's text, a file of whose words file_share stand in
     statements, or that is named like
     one (LICENSE, COPYING, NOTICE), is a licence file and rules its directory; of several,
     the best score rules, then the smallest path. A file without a licence of its own has
     that of the nearest ancestor directory with one, found by joining the ancestors of each
-    directory to the ruled ones. origin is ``header``, ``inherited`` or ``none``.
+    directory to the ruled ones. origin is ``file``, ``header``, ``inherited`` or ``none``.
 
     Null and empty texts have no spans; a null path has no directory. Rows with equal id and
-    path are one file, whose spans count together; each keeps its row.
+    path are one file, whose spans count together; each keeps its row. Of equal scores the
+    licence that is last by name is taken. Very long texts are read whole; what is kept of
+    them grows with the template terms in them. An empty table gives no rows. Columns other
+    than id, path and text are not read, whatever their names.
     """
     base = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     found = materialize(statements(base), "licences")
     small = maybe_broadcast(found, found.count(), 160)
     named = F.element_at(F.split("path", "/"), -1).rlike(r"^(LICEN[CS]E|COPYING|NOTICE)")
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    own = found.where(F.col("path").isNotNull() & (named | (F.col("in_spans") >= F.col("n_words") * file_share)))
+    own = found.where(F.col("path").isNotNull() & (F.col("is_file") | named | (F.col("in_spans") >= F.col("n_words") * file_share)))
     best = F.struct(-F.col("score"), F.col("path"))
     rulers = materialize(own.groupBy(directory.alias("dir")).agg(F.min_by("licence", best).alias("licence"), F.max("score").alias("score")), "licence-dirs")
     dirs = base.where("path is not null").select(directory.alias("dir")).distinct()
@@ -202,7 +300,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     rules = rulers.select(F.col("dir").alias("up"), "licence", "score")
     near = materialize(above.join(maybe_broadcast(rules, rulers.count(), 120), "up").groupBy("dir").agg(F.max_by(F.struct("licence", "score", "up"), "depth").alias("r")), "licence-near")
     out = base.select("id", "path", directory.alias("dir"))
-    out = out.join(small.select(F.col("id").alias("lid"), F.col("path").alias("lpath"), "licence", "score"), F.col("id").eqNullSafe(F.col("lid")) & F.col("path").eqNullSafe(F.col("lpath")), "left")
+    out = out.join(small.select(F.col("id").alias("lid"), F.col("path").alias("lpath"), "licence", "score", "is_file"), F.col("id").eqNullSafe(F.col("lid")) & F.col("path").eqNullSafe(F.col("lpath")), "left")
     out = out.join(maybe_broadcast(near.select(F.col("dir").alias("ndir"), "r"), near.count(), 200), F.col("path").isNotNull() & (F.col("dir") == F.col("ndir")), "left")
     mine = F.col("licence").isNotNull()
     return out.select(
@@ -210,7 +308,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
         "path",
         F.when(mine, F.col("licence")).otherwise(F.col("r.licence")).alias("licence"),
         F.when(mine, F.col("score")).otherwise(F.col("r.score")).alias("score"),
-        F.when(mine, "header").when(F.col("r").isNotNull(), "inherited").otherwise("none").alias("origin"),
+        F.when(mine & F.col("is_file"), "file").when(mine, "header").when(F.col("r").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(~mine, F.col("r.up")).alias("from_dir"),
     )
 
