@@ -46,5 +46,27 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Copies of one row that are numbered in one piece.
+COPIES_A_BLOCK = 4096
+
+
+def numbered_copies(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of each row, with ``copy_no`` from 0 among rows that are equal in all of them.
+
+    Equal rows are counted with map-side combine and come back from the count, so their
+    numbers do not hang on partitions, and no group is ever together. Large groups come back
+    in blocks that are dealt over the tasks.
+    """
+    counted = materialize(rows.groupBy(*columns).agg(F.count("*").alias("__copies")), "row-copies")
+    most = counted.agg(F.max("__copies")).first()[0] or 0
+    last = F.floor((F.col("__copies") - 1) / COPIES_A_BLOCK)
+    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if most > COPIES_A_BLOCK:
+        blocks = blocks.repartition(*columns, "__block")
+    size = F.least(F.lit(COPIES_A_BLOCK).cast("long"), F.col("__copies") - F.col("__block") * COPIES_A_BLOCK)
+    start = F.col("__block") * COPIES_A_BLOCK
+    return blocks.select(*columns, F.explode(F.sequence(start, start + size - 1)).alias("copy_no"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize, maybe_broadcast
+from ._common import materialize, maybe_broadcast, numbered_copies
 
 #: Weights by the rank of a source, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -114,12 +114,12 @@ def _round_groups(seed: int):
             p += got
             if held >= 0:
                 residual[a + held] = True
-        return pdf.assign(p=p, residual=residual)[["rid", "id", "size", "source_no", "bucket", "copies", "p", "residual"]]
+        return pdf.assign(p=p, residual=residual)[["rid", "id", "size", "copy_no", "source_no", "bucket", "copies", "p", "residual"]]
 
     return run
 
 
-_ROUNDED = "rid long, id long, size long, source_no long, bucket long, copies long, p double, residual boolean"
+_ROUNDED = "rid long, id long, size long, copy_no long, source_no long, bucket long, copies long, p double, residual boolean"
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -133,12 +133,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     drawn by its probability, so a source is off its target by one row at most.
 
     Returns id, source, size (words of the text; null text: 0), source_size, target,
-    copies and taken (copies times size). Rows without words take no part and get the
-    whole copies only. Rows with a null id or null source count like others; equal rows
-    are interchangeable. The same input gives the same copies, however it is partitioned.
+    copies, taken (copies times size) and copy_no, the row's number among rows of equal id,
+    source and size. Rows without words take no part and get the whole copies only. Rows
+    with a null id or null source count like others; equal rows are interchangeable. The
+    same input gives the same copies, however it is partitioned. Of a very long text only
+    its number of words goes on. An empty table gives no rows. Columns other than id, text
+    and source are not read, whatever their names. Sources themselves are few: their
+    targets are computed in one small table.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
-    thin = materialize(thin, "mix-sizes")
+    thin = materialize(numbered_copies(thin, ["id", "source", "size"]), "mix-sizes")
     targets = source_targets(thin.select("source", "size"), weights, most)
     targets = materialize(targets.withColumn("source_no", F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())), "mix-targets")
     facts = targets.agg(F.count("*"), F.max("docs")).first()
@@ -147,29 +151,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     wanted = targets.select(F.col("source").alias("s"), "source_size", "target", "source_no", F.least(rate, F.lit(float(most))).alias("rate"), F.ceil(F.col("docs") / ROWS_A_GROUP).alias("groups"))
     rows = thin.join(maybe_broadcast(wanted, n_sources, 256), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     whole = F.floor(F.col("rate") + F.lit(CLOSE)).cast("long")
-    rows = rows.withColumn("copies", whole).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0))).withColumn("rid", F.xxhash64(F.lit(seed), "id", "size"))
+    rows = rows.withColumn("copies", whole).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0))).withColumn("rid", F.xxhash64(F.lit(seed), "id", "size", "copy_no"))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("rid", 7), F.col("groups")).cast("long"))
-    open_ = rows.where("p > 0 and size > 0").select("rid", "id", "size", "source_no", "bucket", "copies", "p")
+    open_ = rows.where("p > 0 and size > 0").select("rid", "id", "size", "copy_no", "source_no", "bucket", "copies", "p")
 
     def level(df: DataFrame, k: int) -> DataFrame:
-        dealt = df.withColumn("grp", F.xxhash64("source_no", "bucket")).repartition("grp").sortWithinPartitions("grp", "source_no", "bucket", "rid", "id", "size")
+        dealt = df.withColumn("grp", F.xxhash64("source_no", "bucket")).repartition("grp").sortWithinPartitions("grp", "source_no", "bucket", "rid", "id", "size", "copy_no")
         return materialize(dealt.mapInPandas(_round_groups(seed + k), _ROUNDED), f"mix-level{k}")
 
     done, k, groups = [], 0, max(1, -(-largest // ROWS_A_GROUP))
     while True:
         out = level(open_, k)
         done.append(out.where("not residual"))
-        open_ = out.where("residual").select("rid", "id", "size", "source_no", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"), "copies", "p")
+        open_ = out.where("residual").select("rid", "id", "size", "copy_no", "source_no", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"), "copies", "p")
         if groups == 1:
             break
         k, groups = k + 1, -(-groups // FAN_IN)
     coin = F.pmod(F.xxhash64(F.lit(seed + 1), "source_no"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     last = open_.withColumn("p", F.when(coin < F.col("p"), 1.0).otherwise(0.0))
-    decided = last.select("id", "size", "source_no", "copies", "p")
+    cols = ["id", "size", "copy_no", "source_no", "copies"]
+    decided = last.select(*cols, "p")
     for d in done:
-        decided = decided.unionByName(d.select("id", "size", "source_no", "copies", "p"))
-    idle = rows.where("not (p > 0 and size > 0)").select("id", "size", "source_no", "copies", F.lit(0.0).alias("p"))
+        decided = decided.unionByName(d.select(*cols, "p"))
+    idle = rows.where("not (p > 0 and size > 0)").select(*cols, F.lit(0.0).alias("p"))
     named = targets.select("source", "source_no", "source_size", "target")
     out = decided.unionByName(idle).join(maybe_broadcast(named, n_sources, 256), "source_no")
     copies = F.col("copies") + F.col("p").cast("long")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "copy_no")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize
+from ._common import materialize, numbered_copies
 
 #: Rows in a bucket of the row numbering, on average, and buckets in one window of the offsets.
 ROWS_A_BUCKET, BUCKETS_A_SPAN = 2048, 2048
@@ -57,21 +57,25 @@ def number_rows(rows: DataFrame, key: str, order: list[str], n: int) -> DataFram
 def shard(docs: DataFrame, shards: int = 24, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal rows into shards whose counts differ by one at most (the ``rows`` law).
 
-    A row's global number is its place by the md5 of its id, text checksum and size, so
-    it does not hang on partitions or file order. The Feistel permutation gives its place
+    A row's global number is its place by the md5 of its id, text checksum, size and, among
+    rows equal in these, its number, so it does not hang on partitions or file order and
+    a large group of equal rows spreads over all buckets. The Feistel permutation gives its place
     in the shuffle: shard is that place modulo the shards, slot the quotient, so the row
     of any slot can be computed back.
 
     Returns id, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot and
     grown_shard (null under this law). A null text has no bytes. Rows with a null id and
     repeated rows are dealt like any other; equal rows change places with each other only.
+    Of a very long text only its checksum and size go on. An empty table gives no rows.
+    Columns other than id and text are not read, whatever their names.
     """
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     thin = docs.select(F.col(id_col).alias("id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("crc"))
-    thin = thin.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "crc", "size")))
+    thin = numbered_copies(thin, ["id", "size", "crc"])
+    thin = thin.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "crc", "size", "copy_no")))
     thin = materialize(thin, "shard-rows")
     n = thin.count()
-    placed = number_rows(thin, "key", ["id", "crc", "size"], n).withColumn("place", feistel(F.col("row_no"), n, seed))
+    placed = number_rows(thin, "key", ["id", "crc", "size", "copy_no"], n).withColumn("place", feistel(F.col("row_no"), n, seed))
     return placed.select(
         F.col("id").alias(id_col),
         "size",
