@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, maybe_broadcast
 
+#: References to one digest from which they are dealt over several tasks of the join, as many to each.
+HOT = 512
 #: Pixels of a stored row, bytes of a row, and the prefix of a reference by digest.
 WIDTH, ROW_BYTES, SCHEME = 64, 192, "sha256:"
 _MEDIA = {"img", "audio", "video", "source", "embed"}
@@ -26,7 +28,8 @@ class SequenceParser(HTMLParser):
     """Collects ordered items: ["text", text, None, None] and ["media", None, reference, caption].
 
     Text runs to the next block tag or medium, with white space collapsed. A caption is the
-    figcaption of the medium's figure, wherever that stands in it, else the alt text.
+    figcaption of the medium's figure, wherever that stands in it, else the alt text. One
+    that is not closed ends with its figure or the page.
     """
 
     def __init__(self):
@@ -75,6 +78,8 @@ class SequenceParser(HTMLParser):
             if self.figures:
                 self.figures[-1][1] = text or None
         elif tag == "figure" and self.figures:
+            if self.caption is not None:
+                self.handle_endtag("figcaption")
             media, caption = self.figures.pop()
             for item in media:
                 item[3] = caption or item[3]
@@ -172,11 +177,20 @@ def described(media: DataFrame) -> DataFrame:
 def resolve(items: DataFrame, media: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each item, with the columns of media for references by digest (null where there is no such digest).
 
-    pos and caption stay with the item they were parsed with.
+    pos and caption stay with the item they were parsed with. References are counted by
+    digest first; those to a hot one are dealt by a hash of themselves, and what is known of
+    that medium, which is small, goes to each of the parts.
     """
     flat = items.select(*keep, F.explode("items").alias("item")).select(*keep, "item.*")
     ref = F.when((F.col("kind") == "media") & F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64))
-    return flat.withColumn("digest", ref).join(media, "digest", "left")
+    refs = materialize(flat.withColumn("digest", ref), "media-items")
+    hot = refs.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("digest", F.ceil(F.col("n") / HOT).cast("long").alias("parts"))
+    hot = materialize(hot, "media-hot")
+    few = maybe_broadcast(hot, hot.count(), 96)
+    part = F.pmod(F.xxhash64(*keep, "pos"), F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = refs.join(few, "digest", "left").withColumn("part", part).drop("parts")
+    known = media.join(few, "digest", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    return dealt.join(known, ["digest", "part"], "left").drop("part")
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +205,9 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns id, n_bytes (unpadded), payload_bytes, payload_sha256, tail_crc32 (unsigned, of
     the last 16 payload bytes), media_bytes, media_sha256, feature, pos and caption. A null
     text counts as empty and gives one row of spaces. Equal texts give equal values, for
-    their digests are one; repeated rows and null ids keep their rows.
+    their digests are one; repeated rows and null ids keep their rows. A very long text is
+    one long medium. An empty table gives no rows. Columns other than id and text are not
+    read, whatever their names.
     """
     raw = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
     full = raw.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), padded(F.col("raw")).alias("payload"))
