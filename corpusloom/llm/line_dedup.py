@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, maybe_broadcast
 
 #: Keys of a shard on average; bits of a level for each key that is still without a place.
 KEYS_A_SHARD, BITS_A_KEY = 16384, 2.0
@@ -21,7 +20,8 @@ KEYS_A_SHARD, BITS_A_KEY = 16384, 2.0
 INDEX_BYTES = 48 << 20
 #: Rows of line hashes that one task of the by-shard way holds, on average.
 PROBES_A_GROUP = 200_000
-_HELD = 200_000
+#: Lines, and bytes of them, whose counts a task holds at once.
+_HELD, _HELD_BYTES = 200_000, 64 << 20
 _NULL_ID = -(1 << 63)
 
 
@@ -39,10 +39,15 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_lines(min_chars: int):
+    """(h1, h2, n, keep) of the keys of rows (id, text) whose ids are distinct: documents that a task has seen, and their largest id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
+        size = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal size
+            size = 0
             h1, h2 = _hashes(list(held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
             both = np.array(list(held.values()), dtype=np.int64).reshape(-1, 2)
             held.clear()
@@ -56,11 +61,12 @@ def _count_lines(min_chars: int):
                         continue
                     if (x := held.get(key)) is None:
                         held[key] = [1, i]
+                        size += len(key)
                     else:
                         x[0] += 1
                         if i > x[1]:
                             x[1] = i
-                if len(held) >= _HELD:
+                if len(held) >= _HELD or size >= _HELD_BYTES:
                     yield flush()
         yield flush()
 
@@ -172,9 +178,22 @@ def line_index(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     """The index as a table with a row for each shard, the number of shards, and its keys.
 
     Every line of every text is hashed and counted, each task first adding up what it has
-    seen. Keys that fewer than min_docs documents hold never lose a line and are left out.
+    seen. Rows that share an id are one document: their keys are told apart by id before
+    they are counted. Keys that fewer than min_docs documents hold never lose a line and are
+    left out.
     """
-    counted = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_count_lines(min_chars), "h1 long, h2 long, n long, keep long")
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    again = materialize(thin.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "line-ids")
+    n_again = again.count()
+    alone, shared = thin, None
+    if n_again:
+        small = maybe_broadcast(again.withColumnRenamed("id", "again"), n_again, 24)
+        alone = thin.join(small, F.col("id").eqNullSafe(F.col("again")), "left_anti")
+        shared = thin.join(small, F.col("id").eqNullSafe(F.col("again")), "left_semi")
+    counted = alone.mapInArrow(_count_lines(min_chars), "h1 long, h2 long, n long, keep long")
+    if shared is not None:
+        each = shared.mapInArrow(_probe_lines(min_chars, 1), "doc long, no int, h1 long, h2 long, shard long")
+        counted = counted.unionByName(each.select("h1", "h2", "doc").distinct().select("h1", "h2", F.lit(1).cast("long").alias("n"), F.col("doc").alias("keep")))
     repeated = materialize(counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keep").alias("keep")).where(F.col("n") >= min_docs), "line-counts")
     keys = repeated.count()
     shards = max(1, -(-keys // KEYS_A_SHARD))
@@ -226,17 +245,22 @@ def _apply(part: pa.RecordBatch, index: LineIndex, min_chars: int) -> pa.RecordB
 
 
 def _probe_lines(min_chars: int, shards: int):
+    """(the columns before the last two, doc, no, h1, h2, shard) of every line of rows (..., id, text) that has a key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, doc, no, keys = [], [], [], []
-                for r, i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                at_row, doc, no, keys = [], [], [], []
+                first = part.num_columns - 2
+                for r, (i, text) in enumerate(zip(part.column(first).to_pylist(), part.column(first + 1).to_pylist())):
                     for k, key in enumerate(line_keys(text, min_chars)[1]):
                         if key is not None:
-                            row.append(r), doc.append(_NULL_ID if i is None else i), no.append(k), keys.append(key)
+                            at_row.append(r), doc.append(_NULL_ID if i is None else i), no.append(k), keys.append(key)
                 h1, h2 = _hashes(keys) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.string()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(shard_of(h1, shards))], names=["row", "doc", "no", "h1", "h2", "shard"])
+                take = pa.array(at_row, pa.int64())
+                cols = [*(part.column(c).take(take) for c in range(first)), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(shard_of(h1, shards))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names[:first], "doc", "no", "h1", "h2", "shard"])
 
     return run
 
@@ -263,35 +287,48 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     hashes go to the shards, salted so that a hot line spreads, and only the numbers of the
     lines to drop come back.
 
-    A null or empty text is one empty line. Rows with one id are one holder for keeping,
-    and count once each; a null id keeps a line only if no other id holds it. Other columns
-    pass through, whatever their names, except the three that are added.
+    A null or empty text is one empty line. Rows with one id are one document, which keeps
+    its lines in each of them or loses them in each; rows with a null id are one document
+    too, behind all others. Very long texts are split one at a time, and a task holds counts
+    of a bounded number of bytes of lines. Ties do not arise: ids of documents are distinct.
+    An empty table gives no rows. Other columns pass through, whatever their names, except
+    the three that are added.
     """
     index, shards, keys = line_index(docs, min_docs, min_chars, id_col, text_col)
     rest = [c for c in docs.columns if c not in ("lines_in_all", "lines_dropped", "kept_text")]
     base = docs.select(*rest)
     added = "lines_in_all long, lines_dropped long, kept_text string"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    numbered = [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]  # so that the columns may have any names
     if keys * 40 <= index_bytes:
-        data = base.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *rest)
-        return data.mapInArrow(_strip(docs.sparkSession, index, shards, min_chars), f"{schema}, {added}")
+        data = base.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *numbered)
+        made = data.mapInArrow(_strip(docs.sparkSession, index, shards, min_chars), ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(rest)) + f", {added}")
+        return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], "lines_in_all", "lines_dropped", "kept_text")
     # The row's own key: its content, so that a rerun of a task finds the same rows.
-    row = F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 256)
-    lines = base.select(row.alias("row"), F.col(id_col).cast("long"), F.col(text_col)).distinct().mapInArrow(_probe_lines(min_chars, shards), "row string, doc long, no int, h1 long, h2 long, shard long")
+    row = F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 256)
+    lines = base.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).distinct().mapInArrow(_probe_lines(min_chars, shards), "row string, doc long, no int, h1 long, h2 long, shard long")
     lines = materialize(lines, "line-probes")
     salts = max(1, -(-lines.count() // (PROBES_A_GROUP * shards)))
     spread = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
     dropped = spread.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(_probe_shard(shards), "row string, no int")
-    dropped = dropped.groupBy("row").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("row", "__row")
-    held = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    out = base.withColumn("__own", row).join(dropped, F.col("__own") == F.col("__row"), "left").withColumn("__lines", held)
-    left = F.filter("__lines", lambda _, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
-    return out.select(*rest, F.size("__lines").cast("long").alias("lines_in_all"), (F.size("__lines") - F.size(left)).cast("long").alias("lines_dropped"), F.array_join(left, "\n").alias("kept_text"))
-
-
-def kept_digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    dropped = dropped.groupBy("row").agg(F.collect_set("no").alias("gone"))
+    packed = base.select(F.struct(*numbered).alias("held"), F.col(text_col).alias("text"), row.alias("own"))
+    out = packed.join(dropped, F.col("own") == F.col("row"), "left").select("text", "gone", "held")
+    made = out.mapInArrow(_drop_numbers, "held struct<" + ",".join(f"c{i}:{kinds[c]}" for i, c in enumerate(rest)) + f">, {added}")
+    return made.select(*[F.col(f"held.c{i}").alias(c) for i, c in enumerate(rest)], "lines_in_all", "lines_dropped", "kept_text")
+
+
+def _drop_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes the lines of the given numbers out of rows (text, gone, held)."""
+    for batch in batches:
+        n, d, kept = [], [], []
+        for text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines, gone = (text or "").split("\n"), set(gone or ())
+            n.append(len(lines))
+            d.append(len(gone))
+            kept.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text or "")
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(kept, pa.string())], names=["held", "lines_in_all", "lines_dropped", "kept_text"])
 
 
 ORACLE = r"""
