@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a window, windows that a task labels at once, units of each direction.
 WINDOW, BATCH, UNITS = 128, 1024, 8
-#: Bound of the training sample: rows of each language, and characters of a row.
-ROWS_A_LANGUAGE, CHARS_A_ROW = 250, 1200
+#: Bound of the training sample: rows of each language, rows in all, pieces of a row's text and characters of a piece.
+ROWS_A_LANGUAGE, ROWS_IN_ALL, PIECES_A_ROW, CHARS_A_PIECE = 250, 20_000, 12, 160
 STEPS, TRAIN_WINDOW, TRAIN_BATCH, RATE = 350, 64, 96, 0.02
 UNDETERMINED = "und"
 
@@ -207,19 +207,25 @@ def pooled(net: ByteBiGru, texts: list[str]) -> np.ndarray:
     return out / np.maximum(lengths, 1)[:, None]
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_A_LANGUAGE, chars: int = CHARS_A_ROW) -> list[tuple[str, str]]:
-    """At most ``rows`` rows of each language, spread by a hash of the id, each cut to ``chars`` characters from a place that the hash sets."""
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_A_LANGUAGE, most: int = ROWS_IN_ALL, pieces: int = PIECES_A_ROW, chars: int = CHARS_A_PIECE) -> list[tuple[str, str]]:
+    """(text, language) of at most ``rows`` rows of each language and ``most`` in all, spread by a hash of the id.
+
+    A row gives pieces from places all over its text that hashes of the id set; a text no
+    longer than all of them is taken whole.
+    """
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where((fold(F.col("i")) != 0) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
     counts = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
+    rows = max(1, min(rows, most // len(counts)))
     spread = 1 << 30
     h = F.pmod(F.xxhash64("i"), F.lit(spread))
     bound = F.lit(0)
     for name, n in counts.items():
         bound = F.when(F.col("l") == name, F.lit(min(spread, int(spread * (2 * rows / n))))).otherwise(bound)
-    start = F.pmod(F.xxhash64("i", F.lit(1)), F.greatest(F.length("t") - chars, F.lit(0)) + 1) + 1
-    picked = known.withColumn("h", h).where(F.col("h") < bound).select("l", "h", F.col("t").substr(start.cast("int"), F.lit(chars)).alias("t")).orderBy("h", "l", "t").limit(4 * rows * len(counts)).collect()
+    piece = lambda k: F.col("t").substr((F.pmod(F.xxhash64("i", k), F.length("t") - chars + 1) + 1).cast("int"), F.lit(chars))
+    cut = F.when(F.length("t") <= pieces * chars, F.col("t")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(pieces)), piece), " "))
+    picked = known.withColumn("h", h).where(F.col("h") < bound).select("l", "h", cut.alias("t")).orderBy("h", "l", "t").limit(4 * rows * len(counts)).collect()
     out, taken = [], dict.fromkeys(counts, 0)
     for r in picked:
         if taken[r.l] < rows and r.t.strip():
@@ -236,7 +242,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     through both directions; a document's probabilities are the means over its bytes, its
     label the most probable, its score that label's probability. A text that is null or
     has no letter is ``und`` with score 0, as is any text if there is nothing to learn
-    from. Equal texts get equal results; repeated rows and null ids pass as they are.
+    from. Equal texts get equal results; repeated rows and null ids pass as they are. A very
+    long text is labelled piece by piece, all of it. Of equally probable labels the first by
+    code point is taken. An empty table gives no rows. Columns that are not named in carry
+    are not returned, whatever their names.
     """
     sample = training_sample(docs, id_col, text_col, lang_col)
     sc = docs.sparkSession.sparkContext
