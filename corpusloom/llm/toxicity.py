@@ -51,7 +51,7 @@ def unmasked(word: str) -> str:
 
 def distinct_terms(text: str | None) -> set[str]:
     """Words of the text, and the stems of longer ones."""
-    words = {p for w in set((text or "").lower().split()) if 2 < len(p := plain_word(w)) <= 40}
+    words = {p for w in set((text or "").lower().split()) if 2 < len(p := plain_word(w))}
     return words | {p[:k] + "*" for p in words for k in STEMS if k < len(p)}
 
 
@@ -121,8 +121,9 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             masked += kind & 1
     near = 0.0
     if hits and second:
-        at = np.array(second)
-        near = max(1.0 / (1.0 + float(np.abs(at - i).min())) for i, _ in hits)
+        at, mine = np.array(second), np.array([i for i, _ in hits])
+        behind = np.searchsorted(at, mine).clip(1, len(at)) - 1  # both come in the order of the text
+        near = 1.0 / (1.0 + float(np.minimum(np.abs(at[behind] - mine), np.abs(at[np.minimum(behind + 1, len(at) - 1)] - mine)).min()))
     raw = text.encode("utf-8", "replace")
     letters = len(raw) - len(raw.translate(None, _LETTERS))
     capitals = len(raw) - len(raw.translate(None, _CAPITALS))
@@ -285,6 +286,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score and predicted of every row, from its whole text alone.
 
+    Features are counted in one pass over a text of any length. An empty table gives no
+    rows. Of equal scores of the sample one block of the calibration is made, and equal
+    lifts of words rank by the word, so ties do not hang on the order of rows. Columns other
+    than id and text are not read, whatever their names.
+
     Null and empty texts have features of 0 and get the score of those. Without labels, or
     with labels of one class only, every score is that class (0 without any). Equal texts
     get equal scores; repeated rows and null ids pass as they are.
