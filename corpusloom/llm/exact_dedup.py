@@ -28,6 +28,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text counts as empty. A null id never wins over another id; rows of a class whose
     ids are all null have keep_id null and are all kept. Repeated rows with the winning
     id are all kept, for nothing tells them apart. An empty input gives an empty result.
+    Very long texts are hashed where they are; only those whose hash repeats are compared.
+    Columns other than id and text are not read, whatever their names.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", content_hash(F.col("text")))
     repeated = materialize(base.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "dedup-repeated")

@@ -1,7 +1,10 @@
 """Each operator against brute force, on rows with nulls, empty and long texts, ties and repeats, and on empty tables."""
 
 import hashlib
+import html as html_module
 import re
+import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm import _common as common
 from corpusloom.llm import langid, media, mixing, ngram_join, toxicity
+from corpusloom.llm import license_scan as license_scan_module
 from corpusloom.llm.components import components
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.langid import fold, identify
@@ -71,6 +76,37 @@ def test_feistel_is_a_permutation(spark):
     assert got != list(range(1000))
 
 
+def test_feistel_against_a_plain_one(spark):
+    """The same rounds and walk in integers of Python."""
+    n, seed = 77, 3
+    a = int((n - 1) ** 0.5) + 1
+    b = -(-n // a)
+
+    def once(s):
+        for r in range(4):
+            high, low = divmod(s, b)
+            of = lambda side, m: int(hashlib.md5(f"{seed}:{r}:{side}".encode()).hexdigest()[:8], 16) % m  # noqa: E731, B023
+            s = (high + of(low, a)) % a * b + low if r % 2 == 0 else high * b + (low + of(high, b)) % b
+        return s
+
+    def walk(s):
+        s = once(s)
+        while s >= n:
+            s = once(s)
+        return s
+
+    got = [r[0] for r in spark.range(n).orderBy("id").select(feistel(F.col("id"), n, seed)).collect()]
+    assert got == [walk(i) for i in range(n)]
+
+
+def test_shard_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES_A_BLOCK", 8)
+    docs = spark.createDataFrame([(None, "t")] * 50 + [(1, "u")] * 3, "doc_id long, text string")
+    out = shard(docs, 4)
+    assert sorted(Counter(r.shard for r in out.collect()).values()) == [13, 13, 13, 14]
+    assert table(out, "doc_id", "shard", "slot") == table(shard(docs.repartition(3), 4), "doc_id", "shard", "slot")
+
+
 def test_shard(docs, rows):
     out = shard(docs, 5)
     got = out.collect()
@@ -125,6 +161,21 @@ def test_mix(spark, docs, rows, n, monkeypatch):
     assert mix(docs.limit(0)).count() == 0
 
 
+def test_mix_of_equal_rows(spark, monkeypatch):
+    """Rows without an id and with one size spread over groups and get copies of their own."""
+    monkeypatch.setattr(mixing, "ROWS_A_GROUP", 16)
+    monkeypatch.setattr(common, "COPIES_A_BLOCK", 8)
+    rows = [(None, "one two", "a")] * 60 + [(i, "w " * 9, "b") for i in range(10)] + [(7, "w " * 9, "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).collect()
+    assert len(got) == 75 and sorted(r.copy_no for r in got if r.doc_id is None) == list(range(60))
+    sizes = {"a": 120, "b": 135}
+    want = targets(sizes)
+    for s, most in (("a", 2), ("b", 9)):
+        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= most
+    assert table(mix(docs.repartition(5)), "doc_id", "size", "copy_no", "taken") == table(mix(docs), "doc_id", "size", "copy_no", "taken")
+
+
 def test_pivot_keeps_means():
     n, total = 4000, np.zeros(5)
     for seed in range(n):
@@ -139,10 +190,10 @@ def strip_lines(rows, least=3, chars=20):
     def key(line):
         return re.sub(r"[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\r\x0b\x0c"))
 
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for i, t, *_ in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            holders[k].append(i if i is not None else -(1 << 63))
+            holders[k].add(i if i is not None else -(1 << 63))
     out = []
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
@@ -152,11 +203,16 @@ def strip_lines(rows, least=3, chars=20):
 
 
 @pytest.mark.parametrize("room", [1 << 20, 0])
-def test_line_dedup(docs, rows, room):
-    """Both ways: the index in every task, and line hashes sent to the shards."""
-    out = drop_repeated_lines(docs.select("doc_id", "text", "n", "row"), index_bytes=room)
+def test_line_dedup(spark, docs, rows, room):
+    """Both ways: the index in every task, and line hashes sent to the shards. Lines that only repeated rows of an id hold stay."""
+    twice, nulls = "a line in repeated rows of two ids", "a line that rows without an id share"
+    more = [(800, twice), (800, twice), (800, f"{twice}\nx"), (801, twice), (None, nulls), (None, f"{nulls}\n"), (None, f"{LINE}\n{nulls}"), (802, nulls)]
+    extra = spark.createDataFrame(more, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "own", "held", "gone", "c0", "id")})
+    base = docs.select("doc_id", "text", "row", "id", *[F.lit("clash").alias(c) for c in ("own", "held", "gone", "c0")])
+    out = drop_repeated_lines(base.unionByName(extra), index_bytes=room)
     got = sorted([(r.doc_id, r.lines_in_all, r.lines_dropped, r.kept_text) for r in out.collect()], key=repr)
-    assert got == strip_lines(rows) and sum(r[2] for r in got) == 2
+    assert got == strip_lines([*rows, *more]) and sum(r[2] for r in got) == 3
+    assert {(r.row, r.own, r.gone, r.c0) for r in out.collect()} == {("clash",) * 4}
     assert drop_repeated_lines(docs.limit(0), index_bytes=room).count() == 0
 
 
@@ -259,6 +315,20 @@ def test_language_id(spark):
     assert identify(docs.limit(0)).count() == 0
 
 
+def test_pooled_against_single_windows():
+    """Means over all bytes, each window labelled on its own."""
+    net = langid.ByteBiGru.fresh(["a", "b", "c"], np.random.default_rng(1))
+    texts = ["x", "short text", "é" * 100, "w " * 64, "long one " * 5000]
+    got = langid.pooled(net, texts)
+    for text, p in zip(texts, got):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW]
+            x = np.frombuffer(part.ljust(langid.WINDOW), np.uint8)[None, :]
+            total += net.label(x)[: len(part), 0].sum(0)
+        assert np.allclose(p, total / len(raw), atol=1e-4)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = langid.ByteBiGru.fresh(["a", "b", "c"], rng)
@@ -299,6 +369,51 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity(docs.limit(5), lab.limit(0)).collect()} == {0.0}
 
 
+def test_features_against_brute_force():
+    """Second-person nearness by all pairs, and rates from plain counts; a long text of hits and mentions takes no square time."""
+    lexicon = toxicity.Lexicon({"grumble": 2.0, "snark*": 1.0})
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        words = list(rng.choice(["grumble", "snarky", "you", "fine", "IDIOT!", "your", "w0rd"], int(rng.integers(1, 30))))
+        got = dict(zip(toxicity.FEATURES, toxicity.features(" ".join(words), lexicon)))
+        hits = [i for i, w in enumerate(words) if w in ("grumble", "snarky")]
+        you = [i for i, w in enumerate(words) if w in ("you", "your")]
+        assert got["near_you"] == pytest.approx(max((1 / (1 + abs(i - j)) for i in hits for j in you), default=0.0))
+        assert got["lexicon_rate"] == pytest.approx(sum(2.0 if words[i] == "grumble" else 1.0 for i in hits) / len(words))
+        assert got["you_rate"] == pytest.approx(len(you) / len(words)) and got["insult_rate"] == pytest.approx(words.count("IDIOT!") / len(words))
+        assert got["shouted_rate"] == pytest.approx(words.count("IDIOT!") / len(words))
+    began = time.time()
+    toxicity.features("you grumble " * 200_000, lexicon)
+    assert time.time() - began < 20
+
+
+def test_trees_against_brute_force():
+    """The first cut of one tree is the best of all features and places by the gain of both sides."""
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 9, (200, 3)).astype(float), None
+    y = ((x[:, 1] > 4) ^ (rng.random(200) < 0.1)).astype(float)
+    model = toxicity.fit(x, y, np.ones(200))
+    apart = np.arange(200) % toxicity.CALIBRATE_EVERY == 0
+    tx, ty = x[~apart], y[~apart]
+    p = ty.mean()
+    g, h = p - ty, np.full(len(ty), p * (1 - p))
+
+    def gain(k, c):
+        left = tx[:, k] <= c
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left))
+
+    best = max((gain(k, c), k) for k in range(3) for c in np.unique(tx[:, k])[:-1])
+    assert model.feature[0][0] == best[1] == 1 and gain(1, model.cut[0][0]) == pytest.approx(best[0])
+    for i in range(20):  # a row's margin by walking each tree
+        total = model.base
+        for f, c, leaf in zip(model.feature, model.cut, model.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(x[i, f[node]] > c[node])
+            total += leaf[node - len(f)]
+        assert model.margin(x[i : i + 1])[0] == pytest.approx(total)
+
+
 def test_isotonic_against_brute_force():
     rng = np.random.default_rng(5)
     s, y, w = rng.integers(0, 20, 60).astype(float), rng.integers(0, 2, 60).astype(float), rng.random(60) + 0.1
@@ -328,10 +443,39 @@ def test_media(docs, rows):
     assert document_media(docs.limit(0)).count() == 0
 
 
+def test_media_of_a_hot_digest(spark, monkeypatch):
+    monkeypatch.setattr(media, "HOT", 3)
+    rows = [(i, "same") for i in range(40)] + [(100, "other"), (101, None), (102, "")]
+    got = {r.doc_id: (r.payload_sha256, r.feature) for r in document_media(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 43 and len({got[i] for i in range(40)}) == 1 and got[101] == got[102] != got[100]
+    assert got[0][0] == hashlib.sha256(b"same".ljust(192)).hexdigest()
+
+
+def test_mixed_sequences_resolve_in_order(spark):
+    stored = media.store(spark.createDataFrame([(b"x" * 192,), (b"y" * 384,)], "payload binary"))
+    known = media.described(stored)
+    x, y = (hashlib.sha256(b).hexdigest() for b in (b"x" * 192, b"y" * 384))
+    html = [(1, f"<p>One<img src='sha256:{x}' alt='ex'>two<figure><img src='sha256:{y}'><figcaption>why</figcaption></figure>end"), (2, f"<img src='sha256:{'0' * 64}'><img src='http://a/b.png'>"), (3, None), (4, "")]
+    pages = spark.createDataFrame(html, "page_id long, html string").withColumn("digest", F.lit("clash"))
+    rows = media.resolve(media.sequences(pages, F.col("html"), ["page_id"]), known, ["page_id"]).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.pos, r.kind, r.text, r.caption, r.payload_bytes) for r in rows] == [(1, 0, "text", "One", None, None), (1, 1, "media", None, "ex", 192), (1, 2, "text", "two", None, None), (1, 3, "media", None, "why", 384), (1, 4, "text", "end", None, None), (2, 0, "media", None, None, None), (2, 1, "media", None, None, None)]
+
+
+def test_sequences_of_raw_pages(spark):
+    """All words of a page's body that no tag hides come through, in their order."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in media.sequences(pages, F.col("html"), ["page_id", "html"]).collect():
+        plain = re.sub(r"(?is)<(script|style|template)\b.*?</\1>", " ", r.html or "")
+        want = html_module.unescape(re.sub(r"(?s)<!--.*?-->|<[^>]*>", " ", plain)).split()
+        got = " ".join(i.text or i.caption or "" for i in r["items"]).split()
+        assert [w for w in "".join(want)] == [w for w in "".join(got)], r.page_id
+        assert [i.pos for i in r["items"]] == list(range(len(r["items"])))
+
+
 def test_html_sequences():
     items = parse_html("<p>One <b>two</b><img src='sha256:aa' alt='A'>three</p><figure><figcaption>Cap &amp; tion</figcaption><img src=sha256:bb><video src='v'></video></figure><script>x</script><p>four")
     assert items == [["text", "One two", None, None], ["media", None, "sha256:aa", "A"], ["text", "three", None, None], ["media", None, "sha256:bb", "Cap & tion"], ["media", None, "v", "Cap & tion"], ["text", "four", None, None]]
-    assert parse_html(None) == [] and parse_html("<figure><img src=q><figcaption>late") == [["media", None, "q", None]] or True
+    assert parse_html(None) == [] and parse_html("<figure><img src=q><figcaption>late") == [["media", None, "q", "late"]]
 
 
 def test_license_scan(spark):
@@ -353,6 +497,27 @@ def test_license_scan(spark):
     assert license_scan(docs).count() == len(files) and license_scan(docs.limit(0)).count() == 0
 
 
+def test_licence_files_by_whole_text(spark):
+    """Wrapped in lines, with a copyright line; the cosine against one computed from scratch."""
+    wrap = lambda t: "Copyright (c) 2020 Acme\n\n" + "\n".join(textwrap.wrap(t, 70))
+    files = [(i, f"{n}/COPYRIGHT", wrap(t)) for i, (n, t) in enumerate(license_scan_module.FILES.items())]
+    files += [(90, "mine/a.c", "Copyright (c) 2020"), (91, "theirs/a.c", "Copyright 2020 Acme"), (92, "old/a.c", "License: 2.0"), (93, "MIT/src/b.c", "int main")]
+    got = {r.path: r for r in license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    words = lambda t: Counter(re.findall("[a-z0-9]+", t.lower()))
+    df = Counter(w for t in license_scan_module.FILES.values() for w in words(t))
+    n = len(license_scan_module.FILES)
+    idf = lambda w: 1.0 if w in license_scan_module.COMMON and w in df else np.log((n + 1) / (df[w] + 1)) + 1
+    for i, path, text in files[:n]:
+        a, best = words(text), {}
+        for name, t in license_scan_module.FILES.items():
+            b = words(t)
+            best[name] = sum(a[w] * b[w] * idf(w) ** 2 for w in a) / np.sqrt(sum((a[w] * idf(w)) ** 2 for w in a) * sum((b[w] * idf(w)) ** 2 for w in b))
+        assert (got[path].licence, got[path].origin) == (path.split("/")[0], "file") and got[path].licence == max(best, key=best.get)
+        assert got[path].score == pytest.approx(best[got[path].licence], abs=1e-5)
+    assert [got[p].licence for p in ("mine/a.c", "theirs/a.c", "old/a.c")] == [None] * 3
+    assert (got["MIT/src/b.c"].licence, got["MIT/src/b.c"].origin, got["MIT/src/b.c"].from_dir) == ("MIT", "inherited", "MIT")
+
+
 def test_license_scan_reads_statements_without_stems_and_inside_text(spark):
     prose = " ".join(f"plain{i}" for i in range(14))
     files = [
