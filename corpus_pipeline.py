@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm._common import materialize, maybe_broadcast
 from corpusloom.llm.bpe import bpe
@@ -46,13 +47,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come to their targets.
 
-    Rows that share id, source and size all get the copies of the one with most.
+    Rows that share id, source and size are numbered by their texts, so that each gets its own copies.
     """
-    taken = mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    taken = materialize(taken, "pipeline-mix").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (words_in(F.col("text")) == F.col("_size"))
-    out = docs.join(maybe_broadcast(taken, taken.count(), 96), on)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    mixed = materialize(mix(docs), "pipeline-mix")
+    alone = (mixed.agg(F.max("copy_no")).first()[0] or 0) == 0
+    taken = mixed.where("copies > 0").select(F.struct("doc_id", "source", "size", "copy_no").alias("_key"), "copies")
+    words = words_in(F.col("text"))
+    number = F.lit(0).cast("long") if alone else (F.row_number().over(Window.partitionBy("doc_id", "source", words).orderBy("text")) - 1).cast("long")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.struct("doc_id", "source", words.alias("size"), number.alias("copy_no")).alias("_key"))
+    on = [F.col(f"k._key.{c}").eqNullSafe(F.col(f"t._key.{c}")) for c in ("doc_id", "source", "size", "copy_no")]
+    out = keyed.alias("k").join(maybe_broadcast(taken, taken.count(), 96).alias("t"), on)
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
