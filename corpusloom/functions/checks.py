@@ -22,7 +22,8 @@ CARDS = [
     ((15,), ("34", "37"), ()),
     ((14,), ("3095", "36", "38", "39"), ((300, 305),)),
     ((16, 19), ("6011", "65"), ((644, 649), (622126, 622925))),
-    ((16, 17, 18, 19), ("62",), ((3528, 3589),)),
+    ((16, 17, 18, 19), (), ((3528, 3589),)),
+    ((16, 17, 18, 19), ("62",), ()),
 ]
 
 

@@ -53,18 +53,6 @@ def hash64(text: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def simhash(text: Column) -> Column:
-    """64-bit fingerprint: bit k is set if most shingle hashes have it; 0 without words.
-
-    The votes of all bits are added up as one array, once for each shingle.
-    """
-    hashes = F.transform(shingle_words(normal_code(text)), hash64)
-    zero = F.array_repeat(F.lit(0), 64)
-    bits = F.sequence(F.lit(0), F.lit(63))
-    votes = F.aggregate(hashes, zero, lambda acc, h: F.zip_with(acc, bits, lambda v, k: v + F.when(F.getbit(h, k) == 1, 1).otherwise(-1)))
-    return F.aggregate(F.zip_with(votes, bits, lambda v, k: F.struct(v.alias("v"), k.alias("k"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.when(x["v"] > 0, F.call_function("shiftleft", F.lit(1).cast("long"), x["k"])).otherwise(F.lit(0).cast("long"))))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -115,11 +115,6 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"^(\./)+", ""), r"^/+|/+$", "")
 
 
-def line_of(text: Column, position: Column) -> Column:
-    """The line, from 1, of a place from 1."""
-    return F.size(F.split(F.substring(text, F.lit(1), position - 1), "\n", -1))
-
-
 def redacted(value: Column) -> Column:
     """First four and last two characters and the length; short values keep one character."""
     n = F.length(value)

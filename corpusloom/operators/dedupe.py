@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,61 +30,90 @@ def fingerprints(chunks: DataFrame, item: str = "chunk_id", text: str = "text",
 def hamming_pairs(prints: DataFrame, threshold: int = THRESHOLD, item: str = "chunk_id") -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within the threshold, as (simhash_a, simhash_b, distance).
 
-    Two 64-bit values that differ in t bits agree on one of t + 1 bands at least, so an
-    equi-join on (band, bits) loses none. Equal fingerprints are one row here; callers
-    join their members back.
+    Two 64-bit values that differ in t bits differ in t of any number of blocks at most, so
+    with t + 2 blocks they agree on two: an equi-join on every pair of blocks, which are
+    about 25 bits together, loses none and has far more keys than single blocks of 16 bits.
+    Equal fingerprints are one row here; callers join their members back.
     """
-    width = 64 // (threshold + 1)
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for k in range(threshold + 1)])
-    rows = prints.select("simhash").distinct().select("simhash", F.explode(bands).alias("x")).select("simhash", "x.*")
+    n = threshold + 2
+    edges = [round(64 * k / n) for k in range(n + 1)]
+    block = lambda k: F.shiftrightunsigned("simhash", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+    keys = [F.struct(F.lit(i * n + j).alias("no"), block(i).alias("x"), block(j).alias("y")) for i in range(n) for j in range(i + 1, n)]
+    rows = prints.select("simhash").distinct().select("simhash", F.explode(F.array(*keys)).alias("k")).select("simhash", "k.*")
     a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.simhash") < F.col("b.simhash")))
-    return met.select(F.col("a.simhash").alias("simhash_a"), F.col("b.simhash").alias("simhash_b"), hamming(F.col("a.simhash"), F.col("b.simhash")).cast("int").alias("distance")).where(F.col("distance") <= threshold).distinct()
+    near = hamming(F.col("a.simhash"), F.col("b.simhash")).cast("int")
+    met = a.join(b, (F.col("a.no") == F.col("b.no")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.simhash") < F.col("b.simhash")) & (near <= threshold))
+    return met.select(F.col("a.simhash").alias("simhash_a"), F.col("b.simhash").alias("simhash_b"), near.alias("distance")).distinct()
 
 
-def fingerprint_groups(prints: DataFrame, pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(simhash, label): fingerprints that pairs connect, by spreading the smallest one until nothing changes.
+def fingerprint_groups(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(simhash, label): fingerprints that pairs connect, label being the smallest of each group.
 
-    Each round is a join and an aggregate, cut by a checkpoint.
+    Each round points every fingerprint to the smallest of its neighbours' and follows the
+    pointers to their ends by doubling, so a chain takes rounds as its length's logarithm.
     """
     both = pairs.select(F.col("simhash_a").alias("s"), F.col("simhash_b").alias("t"))
     both = both.unionByName(both.select(F.col("t").alias("s"), F.col("s").alias("t"))).checkpoint()
-    label = prints.select("simhash").distinct().withColumn("label", F.col("simhash"))
-    for _ in range(most_rounds):
-        low = both.join(label, F.col("t") == F.col("simhash")).groupBy("s").agg(F.min("label").alias("low"))
-        new = label.join(low, F.col("simhash") == F.col("s"), "left").select("simhash", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved")).checkpoint()
-        label = new.select("simhash", "label")
-        if new.where("moved").isEmpty():
+    label = prints.select("simhash").distinct().withColumn("label", F.col("simhash")).checkpoint()
+    while True:
+        near = both.join(label.withColumnRenamed("simhash", "t").withColumnRenamed("label", "far"), "t").join(label.withColumnRenamed("simhash", "s"), "s")
+        low = near.where("far < label").groupBy("label").agg(F.min("far").alias("low"))
+        moved = low.checkpoint()
+        if moved.isEmpty():
             return label
-    raise ValueError("fingerprint groups did not settle")
+        up = label.select(F.col("label").alias("root")).distinct().join(moved, F.col("root") == F.col("label"), "left").select("root", F.coalesce("low", "root").alias("to")).checkpoint()
+        while True:
+            over = up.select(F.col("root").alias("to"), F.col("to").alias("higher"))
+            up = up.join(over, "to").select("root", F.col("higher").alias("to"), (F.col("higher") != F.col("to")).alias("more")).checkpoint()
+            if up.where("more").isEmpty():
+                break
+            up = up.drop("more")
+        label = label.join(up.select(F.col("root").alias("label"), "to"), "label").select("simhash", F.col("to").alias("label")).checkpoint()
+
+
+def elect_leaders(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(simhash, leader) by the rule of input order, as rounds of joins over the pairs; no group is in one task.
+
+    prints (simhash, first): fingerprints with the smallest id that has them. In the order of
+    ids, a fingerprint that no earlier leader is near to leads, and others follow the
+    earliest leader near to them. In each round those lead whose earlier neighbours all
+    follow others, and those follow whose earliest leading neighbour comes before all
+    neighbours that may still lead.
+    """
+    left = prints.select("simhash", "first", F.lit(None).cast(dict(prints.dtypes)["first"]).alias("best")).checkpoint()
+    f = lambda s, name: left.select(F.col("simhash").alias(s), F.col("first").alias(name))
+    p = pairs.select(F.col("simhash_a").alias("s"), F.col("simhash_b").alias("t"))
+    p = p.unionByName(p.select(F.col("t").alias("s"), F.col("s").alias("t"))).join(f("s", "fs"), "s").join(f("t", "early_first"), "t").where("early_first < fs")
+    p = p.select(F.col("s").alias("late"), F.col("t").alias("early"), "early_first").checkpoint()
+    done = []
+    while not left.isEmpty():
+        wait = p.groupBy(F.col("late").alias("simhash")).agg(F.min("early_first").alias("maybe"))
+        x = left.join(wait, "simhash", "left")
+        leads, follows = F.col("best").isNull() & F.col("maybe").isNull(), F.col("best").isNotNull() & (F.col("maybe").isNull() | (F.col("best") < F.col("maybe")))
+        x = x.withColumn("leader", F.when(leads, F.col("first")).when(follows, F.col("best"))).withColumn("leads", leads).checkpoint()
+        done.append(x.where("leader is not null").select("simhash", "leader"))
+        heads = x.where("leads").select(F.col("simhash").alias("early"))
+        won = p.join(heads, "early", "left_semi").groupBy(F.col("late").alias("simhash")).agg(F.min("early_first").alias("won"))
+        left = x.where("leader is null").select("simhash", "first", "best").join(won, "simhash", "left").select("simhash", "first", F.least("best", "won").alias("best")).checkpoint()
+        open_ = left.select("simhash")
+        p = p.join(open_.withColumnRenamed("simhash", "late"), "late", "left_semi").join(open_.withColumnRenamed("simhash", "early"), "early", "left_semi").checkpoint()
+    out = prints.select("simhash", F.col("first").alias("leader")).where(F.lit(False))
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def leader_clusters(chunks: DataFrame, threshold: int = THRESHOLD, item: str = "chunk_id", text: str = "text", tokens: str = "tokens", generated: str = "generated") -> DataFrame:
     """item, leader, cluster_size, representative of chunks in clusters of two or more.
 
     In the order of ids, each chunk without a cluster leads one and takes the later ones
-    without a cluster within the threshold of it. A leader only takes chunks connected to
-    it, so the rule is applied inside each connected group of fingerprints; equal
-    fingerprints enter a group once, under their smallest id. The representative is not
-    generated if any is not, has most tokens, then the smallest id.
+    without a cluster within the threshold of it. Equal fingerprints count once, under
+    their smallest id. The representative is not generated if any is not, has most tokens,
+    then the smallest id.
     """
     prints = fingerprints(chunks, item, text, tokens).checkpoint()
     first = prints.groupBy("simhash").agg(F.min(item).alias("first"))
-    groups = fingerprint_groups(prints, hamming_pairs(prints, threshold, item))
-    kind = dict(chunks.dtypes)[item]
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first")
-        out, left = [], list(zip(pdf["first"].tolist(), pdf["simhash"].tolist()))
-        while left:
-            head, x = left[0]
-            near = [(i, s) for i, s in left if ((x ^ s) & (1 << 64) - 1).bit_count() <= threshold]
-            out += [(s, head) for _, s in near]
-            taken = {s for _, s in near}
-            left = [(i, s) for i, s in left if s not in taken]
-        return pd.DataFrame(out, columns=["simhash", "leader"])
-
-    led = first.join(groups, "simhash").groupBy("label").applyInPandas(lead, f"simhash long, leader {kind}")
+    led = elect_leaders(first, hamming_pairs(prints, threshold, item))
     rows = prints.join(led, "simhash").join(chunks.select(item, tokens, generated), item)
     best = rows.groupBy("leader").agg(F.count("*").alias("cluster_size"), F.min_by(item, F.struct(F.col(generated), -F.col(tokens), F.col(item))).alias("representative")).where("cluster_size > 1")
     return rows.select(item, "leader").join(best, "leader").select(item, "leader", "cluster_size", "representative")

@@ -32,11 +32,23 @@ def top_neighbours(edges: DataFrame, seeds: DataFrame, most: int = 12, src: str
 
 
 def contract_edges(consumers: DataFrame, producers: DataFrame) -> DataFrame:
-    """Equal names, case aside, in different repositories: (repo, name, id) on both sides."""
+    """Equal names, case aside, in different repositories: (repo, name, id) on both sides.
+
+    Every edge is a row of its own, as a caller has as many providers as there are; count
+    them first with ``edge_counts`` where a name may be common.
+    """
     c, p = consumers.alias("c"), producers.alias("p")
     return c.join(p, (F.lower("c.name") == F.lower("p.name")) & (F.col("c.repo") != F.col("p.repo"))).select(F.col("c.id").alias("src"), F.col("p.id").alias("dst"), F.col("c.repo").alias("src_repo"), F.col("p.repo").alias("dst_repo"))
 
 
+def edge_counts(consumers: DataFrame, producers: DataFrame) -> DataFrame:
+    """name, consumers, producers and the edges that contract_edges would make of it, from counts by name and repository alone."""
+    per = lambda df, n: df.groupBy(F.lower("name").alias("name"), "repo").agg(F.count("*").alias(n))
+    both = per(consumers, "c").join(per(producers, "p"), ["name", "repo"], "full").fillna(0, ["c", "p"])
+    out = both.groupBy("name").agg(F.sum("c").alias("consumers"), F.sum("p").alias("producers"), F.sum(F.col("c") * F.col("p")).alias("own"))
+    return out.where("consumers > 0 and producers > 0").select("name", "consumers", "producers", (F.col("consumers") * F.col("producers") - F.col("own")).alias("edges"))
+
+
 def shared_type_edges(types: DataFrame, least_fields: int = 3) -> DataFrame:
     """Types (id, repo, language, fields) with the same field names in another repository and language."""
     key = F.md5(F.array_join(F.array_sort(F.transform("fields", F.lower)), ","))
@@ -91,6 +103,25 @@ def longest_prefix(items: DataFrame, prefixes: DataFrame, path: str, prefix: str
     return items.join(near, path, "left")
 
 
+def chain(events: DataFrame, group: str, order: str, fields: list[str]) -> DataFrame:
+    """events with n, prev_hash and hash: in each group every hash is over the one before and the row's fields.
+
+    Links of a chain hang on each other, so a group's rows are folded in their order in one
+    row; a tenant's chain grows with its own events only.
+    """
+    line = F.concat_ws("\n", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    rows = events.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("xs"))
+    kind = dict(events.dtypes)[order]
+    start = F.struct(F.lit("").alias("h"), F.array().cast(f"array<struct<o:{kind},n:bigint,prev:string,hash:string>>").alias("out"))
+
+    def link(s, x):
+        h = F.sha2(F.concat(s["h"], F.lit("\n"), x["line"]), 256)
+        made = F.struct(x["o"].alias("o"), (F.size(s["out"]) + 1).cast("long").alias("n"), s["h"].alias("prev"), h.alias("hash"))
+        return F.struct(h.alias("h"), F.concat(s["out"], F.array(made)).alias("out"))
+
+    return rows.select(group, F.explode(F.aggregate("xs", start, link)["out"]).alias("x")).select(group, F.col("x.o").alias(order), F.col("x.n").alias("n"), F.col("x.prev").alias("prev_hash"), F.col("x.hash").alias("hash"))
+
+
 def chain_breaks(events: DataFrame, group: str = "org", order: str = "seq") -> DataFrame:
     """Events (prev_hash, hash) whose prev_hash is not the hash before."""
     w = Window.partitionBy(group).orderBy(order)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.hashing import cosine
-from corpusloom.functions.text import jaccard, token_set, trigram_similarity
+from corpusloom.functions.text import token_set, trigram_similarity
 
 RRF_K, FUSED = 60, 100
 LAMBDA, MODULE_CAP, GENERATED_PENALTY = 0.7, 3, 0.25
 TOTAL_TOKENS, PRIMARY_SHARE, EXPANSION_SHARE = 24_000, 0.55, 0.25
+#: Vector queries that go to the tasks at once; terms that are looked up in a set.
+QUERY_BLOCK, MOST_TERMS = 4096, 4096
 SEED_NEIGHBOURS, CENTRALITY_CEILING = 4, 50
 # Relations from most to least wanted.
 RELATIONS = ["type", "parent", "callee", "implementation", "caller"]
@@ -27,20 +32,89 @@ def ranked(df: DataFrame, query: str, score: Column, item: str, k: int) -> DataF
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 50, item: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
-    """Exact nearest vectors by cosine. queries (query_id, query_vector) is a stated batch and is broadcast."""
-    both = vectors.select(item, vector).join(F.broadcast(queries), F.size(vector) == F.size("query_vector"))
-    return ranked(both, query, F.round(cosine(F.col(vector), F.col("query_vector")), 6), item, k)
+    """Exact nearest vectors by cosine of a stated batch of queries (query_id, query_vector).
+
+    The batch goes to the tasks in blocks of QUERY_BLOCK, whatever its size. A task multiplies
+    each batch of its vectors with a block and keeps k rows of each query, so only those
+    are shuffled. Vectors and queries must all have one size; others are an error.
+    """
+    kinds, qkind = dict(vectors.dtypes), dict(queries.dtypes)[query]
+    asked = queries.select(query, F.transform("query_vector", lambda x: x.cast("double")).alias("v"))
+    rows = asked.toLocalIterator()
+    schema = f"`{query}` {qkind}, `{item}` {kinds[item]}, score double"
+    out = None
+    while block := list(itertools.islice(rows, QUERY_BLOCK)):
+        sent = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block])))
+        found = vectors.where(F.col(vector).isNotNull()).select(item, vector).mapInArrow(_nearest(sent, k, query, item), schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = queries.select(query).join(vectors.select(item), F.lit(False)).withColumn("score", F.lit(0.0))
+    return ranked(out, query, F.col("score"), item, k)
+
+
+def _nearest(sent, k: int, query: str, item: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        norms = np.sqrt((q * q).sum(1))
+        kept: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column(1)
+            sizes = np.unique(np.diff(v.offsets.to_numpy()))
+            if len(sizes) != 1 or sizes[0] != q.shape[1]:
+                raise ValueError(f"vectors of {sizes.tolist()} numbers among queries of {q.shape[1]}")
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+            # The same order of additions for each pair, so that a score does not hang on the batch.
+            length = np.sqrt((x * x).sum(1))
+            for j, name in enumerate(names):
+                score = np.round((x * q[j]).sum(1) / (length * norms[j]), 6)
+                top = np.argsort(-score, kind="stable")[: k + 1]
+                ties = np.flatnonzero(score >= score[top[-1]]) if len(top) > k else top
+                kept.append(pa.table({query: pa.array([name] * len(ties)), item: batch.column(0).take(pa.array(ties)), "score": pa.array(score[ties])}))
+            if len(kept) > 64 * len(names):
+                kept = [_best(pa.concat_tables(kept), k, query, item)]
+        if kept:
+            yield from _best(pa.concat_tables(kept), k, query, item).to_batches()
+
+    return run
+
+
+def _best(rows: pa.Table, k: int, query: str, item: str) -> pa.Table:
+    rows = rows.sort_by([(query, "ascending"), ("score", "descending"), (item, "ascending")]).combine_chunks()
+    names = rows.column(query).to_pylist()
+    taken, keep = {}, []
+    for i, name in enumerate(names):
+        taken[name] = taken.get(name, 0) + 1
+        if taken[name] <= k:
+            keep.append(i)
+    return rows.take(pa.array(keep, pa.int64()))
 
 
 def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, item: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """Chunks that hold all terms of a query, by the share of their distinct terms that is asked for plus 0.3 times trigram likeness."""
-    terms = chunks.select(item, text, token_set(F.col(text)).alias("terms"))
-    asked = queries.select(query, query_text, token_set(F.col(query_text)).alias("asked"))
-    met = terms.join(F.broadcast(asked), (F.size("asked") > 0) & (F.size(F.array_except("asked", "terms")) == 0))
-    score = F.size("asked") / F.size("terms") + 0.3 * trigram_similarity(F.col(text), F.col(query_text))
+    met = term_matches(chunks, queries, item, text, query, query_text)
+    met = met.join(chunks.select(F.col(item), F.col(text).alias("_text")), item).join(queries.select(query, query_text), query)
+    score = F.col("n_asked") / F.col("n_terms") + 0.3 * trigram_similarity(F.col("_text"), F.col(query_text))
     return ranked(met, query, F.round(score, 6), item, k)
 
 
+def term_matches(chunks: DataFrame, queries: DataFrame, item: str, text: str, query: str, query_text: str) -> DataFrame:
+    """(query, item, n_asked, n_terms) of chunks that hold all terms of a query.
+
+    A chunk meets a query through the query's rarest term only, by an equi-join, and is then
+    held against all of its terms; queries and chunks of any number will do.
+    """
+    terms = chunks.select(item, token_set(F.col(text)).alias("terms"))
+    asked = queries.select(query, token_set(F.col(query_text)).alias("asked")).where(F.size("asked") > 0)
+    wanted = asked.select(F.explode("asked").alias("term")).distinct()
+    held = terms.select(item, F.explode("terms").alias("term"))
+    counts = held.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = asked.select(query, F.explode("asked").alias("term")).join(counts, "term", "left").groupBy(query).agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
+    near = held.join(rarest, "term").select(item, query)
+    return near.join(terms, item).join(asked, query).where(F.size(F.array_except("asked", "terms")) == 0).select(query, item, F.size("asked").alias("n_asked"), F.size("terms").alias("n_terms"))
+
+
 def document_frequency(chunks: DataFrame, scope: str, item: str, text: str) -> DataFrame:
     """scope, term, ndoc, docs, idf of terms that more than one chunk of a scope holds."""
     terms = chunks.select(scope, item, F.explode(token_set(F.col(text))).alias("term"))
@@ -50,12 +124,21 @@ def document_frequency(chunks: DataFrame, scope: str, item: str, text: str) -> D
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, item: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Ranked by BM25. Only the queries' terms are counted: they are broadcast against the exploded words."""
+    """Ranked by BM25.
+
+    Each text is cut once: its length and the counts of its words, of which only those that
+    are asked for leave the row. They are filtered by a set of terms as long as that has at
+    most MOST_TERMS of them, and by a join on terms beyond that.
+    """
     words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: F.length(t) > 2)
-    sized = chunks.select(item, words.alias("w")).withColumn("len", F.size("w"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.select(query, F.explode(token_set(F.col(query_text))).alias("term"))
-    tf = sized.select(item, "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term").groupBy(item, "len", "term").agg(F.count("*").alias("tf"))
+    terms = asked.select("term").distinct()
+    few = [r[0] for r in terms.limit(MOST_TERMS + 1).collect()]
+    sized = chunks.select(item, words.alias("w")).select(item, F.size("w").alias("len"), F.filter("w", lambda t: t.isin(few)).alias("w") if len(few) <= MOST_TERMS else "w")
+    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    each = sized.select(item, "len", F.explode("w").alias("term"))
+    each = each if len(few) <= MOST_TERMS else each.join(terms, "term")
+    tf = each.groupBy(item, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term").join(F.broadcast(stats), F.lit(True)).withColumn("s", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))))
     scored = weighed.join(asked, "term").groupBy(query, item).agg(F.round(F.sum("s"), 6).alias("s"))
@@ -64,9 +147,12 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, item: str = "d
 
 def symbol_topk(symbols: DataFrame, queries: DataFrame, k: int = 10, item: str = "symbol_id", name: str = "name", query: str = "query_id", wanted: str = "identifier") -> DataFrame:
     """Symbols whose name is an identifier of the query (1.0) or ends with it (0.5); shorter names first."""
-    asked = F.broadcast(queries.select(query, F.lower(wanted).alias("_id")))
+    asked = queries.select(query, F.lower(wanted).alias("_id")).where("_id <> ''")
+    # A name is met by its endings of the lengths that are asked for, so this is an equi-join.
+    sizes = sorted(r[0] for r in asked.select(F.length("_id")).distinct().collect())
     low = F.lower(F.col(name))
-    met = symbols.join(asked, low.endswith(F.col("_id")))
+    ends = F.array_distinct(F.filter(F.array(*[F.when(F.length(low) >= n, F.right(low, F.lit(n))) for n in sizes]), lambda x: x.isNotNull())) if sizes else F.array().cast("array<string>")
+    met = symbols.select(item, name, F.explode(ends).alias("_id")).join(asked, "_id")
     best = met.groupBy(query, item, name).agg(F.max(F.when(low == F.col("_id"), 1.0).otherwise(0.5)).alias("score"))
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.length(name), item)
     return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(query, item, "score", "rank")
@@ -176,6 +262,3 @@ def abstention(evidence: DataFrame, query: str = "query_id", threshold: float =
     hedges = F.filter(F.array(F.when(F.col("n_shallow") == n, "all-shallow"), F.when(F.col("n_stale_repos") > 0, "stale-repos"), F.when(F.col("n_generated") == n, "all-generated"), F.when(~F.col("reranked"), "fusion-order")), lambda x: x.isNotNull())
     return evidence.select(query, abstain.alias("abstain"), reason.alias("reason"), F.when(abstain, F.lit("")).otherwise(F.array_join(hedges, ";")).alias("hedges"))
 
-
-def similarity(a: Column, b: Column) -> Column:
-    return jaccard(token_set(a), token_set(b))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import checks
-from corpusloom.functions.text import glob_regex, line_of, redacted
+from corpusloom.functions.text import glob_regex, redacted
 
-MOST_BYTES, MOST_FINDINGS = 2 * 1024 * 1024, 100
+#: Bytes of a file that is still indexed.
+MOST_BYTES = 2 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -116,52 +118,121 @@ def _passes(rule: Rule, value: Column) -> Column:
     return ok
 
 
-def _numbered(rule_no: int):
-    return lambda v, k: F.struct(F.lit(rule_no).alias("rule_no"), k.alias("nth"), v.alias("value"))
+_MATCH = "struct<rule_no:int,nth:int,value:string,at:int>"
 
 
-def scan(files: DataFrame, key: str, path: Column, text: str, rules: list[Rule] | None = None, allow: list[tuple[str, str]] | None = None, most: int | None = MOST_FINDINGS) -> DataFrame:
-    """Findings of all rules: key, rule, category, severity, line, preview, suppressed.
+def _matches(rule_no: int, rule: Rule, text: Column) -> Column:
+    """(rule_no, nth, value, at) of each match of a rule; at counts the characters before the match.
+
+    The text between matches, split off by the same pattern, and the matches themselves give
+    the places by running lengths. That is only worked out for texts with a match.
+    """
+    wholes = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+
+    def placed(ws: Column, vs: Column, between: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_MATCH}>").alias("out"))
+
+        def step(s: Column, i: Column) -> Column:
+            at = s["at"] + F.length(F.get(between, i))
+            value = F.when(F.get(vs, i) == "", F.get(ws, i)).otherwise(F.get(vs, i))
+            made = F.struct(F.lit(rule_no).alias("rule_no"), i.alias("nth"), value.alias("value"), at.alias("at"))
+            return F.struct((at + F.length(F.get(ws, i))).alias("at"), F.concat(s["out"], F.array(made)).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(ws) - 1), start, step, lambda s: s["out"])
+
+    none = F.array().cast(f"array<{_MATCH}>")
+    parts = F.struct(wholes.alias("w"), values.alias("v"), F.split(text, rule.pattern, -1).alias("b"))
+    found = F.element_at(F.transform(F.array(parts), lambda x: placed(x["w"], x["v"], x["b"])), 1)
+    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+
+
+def scan(files: DataFrame, key: str, path: Column, text: str, rules: list[Rule] | None = None, allow: list[tuple[str, str]] | None = None, most: int | None = None) -> DataFrame:
+    """Findings of all rules: key, path, rule, category, severity, line, column, preview, suppressed.
 
     One pass over the texts: each rule's matches become an array of its own, and one
-    explode lists them, so a text is read once however many rules there are. Texts past
-    2 MiB are left out, as are rules that are quiet in test folders there. Findings are
-    counted in rule order, then by place; past ``most`` of them a file's others are left
-    out (None: all are kept). allow: (path glob, rule id) pairs whose findings stay, suppressed.
+    explode lists them. Every finding of every text is given; ``most`` bounds what is listed
+    of a file, in rule order, then by place, and is not for use before a gate. Rules that
+    are quiet in test folders find nothing there. allow: (path glob, rule id) pairs whose
+    findings stay, suppressed.
     """
     rules = rules or RULES
-    body = F.col(text)
-    base = files.where(F.octet_length(body) <= MOST_BYTES).select(F.col(key), path.alias("_path"), body.alias("_text"))
+    base = files.where(F.col(text).isNotNull()).select(F.col(key), path.alias("_path"), F.col(text).alias("_text"))
     found = []
     for i, r in enumerate(rules):
-        values = F.regexp_extract_all("_text", F.lit(r.pattern), F.lit(r.group))
+        values = _matches(i, r, F.col("_text"))
         if r.quiet_in_tests:
-            values = F.when(F.col("_path").rlike(TEST_PATH), F.array().cast("array<string>")).otherwise(values)
-        found.append(F.transform(values, _numbered(i)))
+            values = F.when(F.coalesce(F.col("_path").rlike(TEST_PATH), F.lit(False)), F.array().cast(f"array<{_MATCH}>")).otherwise(values)
+        found.append(values)
     rows = base.select(key, "_path", "_text", F.explode(F.concat(*found)).alias("m")).select(key, "_path", "_text", "m.*")
     ok = F.lit(False)
     for i, r in enumerate(rules):
         ok = ok | ((F.col("rule_no") == i) & _passes(r, F.col("value")))
     rows = rows.where(ok)
     name = lambda f: F.element_at(F.array(*[F.lit(getattr(r, f)) for r in rules]), F.col("rule_no") + 1)
-    # The line of the first place where the value stands.
-    rows = rows.select(key, "_path", "rule_no", "nth", name("id").alias("rule"), name("category").alias("category"), name("severity").alias("severity"), line_of(F.col("_text"), F.call_function("position", F.col("value"), F.col("_text"))).cast("long").alias("line"), redacted(F.col("value")).alias("preview"))
+    before = F.substring("_text", F.lit(1), F.col("at"))
+    line = (F.regexp_count(before, F.lit("\n")) + 1).cast("long")
+    column = (F.length(F.substring_index(before, "\n", -1)) + 1).cast("long")
+    rows = rows.select(key, F.col("_path").alias("path"), "rule_no", "at", name("id").alias("rule"), name("category").alias("category"), name("severity").alias("severity"), line.alias("line"), column.alias("column"), redacted(F.col("value")).alias("preview"))
     if most is not None:
-        order = Window.partitionBy(key).orderBy("rule_no", "nth")
+        order = Window.partitionBy(key).orderBy("rule_no", "at")
         rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
     hidden = F.lit(False)
     for glob, rule in allow or []:
-        hidden = hidden | (F.col("_path").rlike(glob_regex(glob)) & (F.col("rule") == rule))
-    return rows.select(key, "rule", "category", "severity", "line", "preview", hidden.alias("suppressed"))
+        hidden = hidden | (F.col("path").rlike(glob_regex(glob)) & (F.col("rule") == rule))
+    return rows.select(key, "path", "rule", "category", "severity", "line", "column", "preview", F.coalesce(hidden, F.lit(False)).alias("suppressed"))
+
+
+def custom_rules(patterns: list[tuple[str, str, str]]) -> list[Rule]:
+    """The rules and a repository's own secret patterns (id, pattern, severity) behind them."""
+    return [*RULES, *[Rule(name, "secret", severity, pattern) for name, pattern, severity in patterns]]
+
+
+def skipped_files(files: DataFrame, key: str, path: Column, text: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """key and reason of files that are not indexed: denied-path, binary-or-generated, or too-large."""
+    reason = F.when(any_match(path, DENIED_PATHS), "denied-path").when(any_match(path, SKIPPED_PATHS), "binary-or-generated").when(F.octet_length(text) > most_bytes, "too-large")
+    return files.select(F.col(key), reason.alias("reason")).where("reason is not null")
 
 
 def gate(findings: DataFrame) -> DataFrame:
-    """One row: counts by category, and whether no open secret or personal data is left."""
+    """One row: counts by category, and whether no open secret or personal data is left. Give it all findings."""
     open_ = ~F.col("suppressed")
     count = lambda c: F.count_if(open_ & (F.col("category") == c)).alias(f"n_{c}")
     return findings.agg(F.count("*").alias("n_all"), count("secret"), count("pii"), count("injection"), F.count_if(F.col("suppressed")).alias("n_suppressed")).withColumn("passed", (F.col("n_secret") == 0) & (F.col("n_pii") == 0))
 
 
+def by_severity(findings: DataFrame) -> DataFrame:
+    """Findings in report order: severity, path, line, column, rule."""
+    return findings.orderBy(rank(F.col("severity"), SEVERITIES), "path", "line", "column", "rule")
+
+
+def annotations(findings: DataFrame) -> DataFrame:
+    """findings with ``annotation``, a workflow command that marks the place in a change."""
+    level = F.when(F.col("category") == "injection", "warning").otherwise("error")
+    return findings.withColumn("annotation", F.format_string("::%s file=%s,line=%d,col=%d,title=%s::%s (%s)", level, "path", "line", "column", "rule", "category", "preview"))
+
+
+def ruleset_hash(rules: list[Rule] | None = None) -> str:
+    """32 hex digits that change with any rule's pattern or entropy, and not with their order."""
+    lines = sorted(f"{r.id}:{r.pattern}:{'' if r.least_entropy is None else r.least_entropy}" for r in rules or RULES)
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:32]
+
+
+def visible_to(content: Column, clearance: Column) -> Column:
+    """Whether content of a tier may be seen with a clearance; restricted never."""
+    return (rank(content, TIERS) <= rank(clearance, TIERS)) & (content != "restricted")
+
+
+def embeddable(content: Column) -> Column:
+    """Whether content of a tier may be embedded: all but restricted."""
+    return F.coalesce(content != "restricted", F.lit(False))
+
+
+def is_downgrade(before: Column, after: Column) -> Column:
+    """Whether the tier falls."""
+    return rank(after, TIERS) < rank(before, TIERS)
+
+
 def tier(default: Column, raised: list[Column], markers: Column, configured: Column) -> Column:
     """The highest of the default, the rules' tiers, confidential for marked code, and the configured tier. public never rises from rules."""
     marked = F.exists(F.coalesce(markers, F.array().cast("array<string>")), lambda m: F.regexp_replace(m, r"[\[\]()@]", "").rlike(MARKERS))

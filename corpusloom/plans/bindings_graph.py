@@ -37,11 +37,6 @@ def _views(spark, d):
     return spark_sql(_OLD), spark_sql(_NEW)
 
 
-def _lines(spark, d):
-    """One row an order, named like a line."""
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("o_custkey") + 1).alias("l_partkey"), (F.col("o_orderkey") % 100).alias("l_suppkey"), F.col("o_orderstatus").alias("l_returnflag"), (F.col("o_totalprice") / 10000).alias("l_quantity"))
-
-
 _CHANGES = f"""
 o AS ({_OLD}), n AS ({_NEW}),
 j AS (SELECT n.*, o.symbol_id AS oid, r.symbol_id AS rid, o.http AS oh, o.signature_hash AS osh, o.visibility AS ov, o.deprecated AS od, o.doc_hash AS odh, o.body_hash AS obh, o.path AS op, o.line AS ol, o.signature AS os FROM n LEFT JOIN o ON o.symbol_id = n.symbol_id LEFT JOIN o r ON r.symbol_id = n.previous_ids[1]),
@@ -81,19 +76,22 @@ def breaking_surface(spark, d):
 
 
 @query("""
+WITH b AS (SELECT l_orderkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, l_partkey AS p, l_returnflag AS t, l_quantity AS q FROM lineitem),
+a AS (SELECT s, pos + CASE WHEN s % 3 = 0 THEN 1 ELSE 0 END AS pos, CASE WHEN p % 5 = 0 THEN 'X' ELSE t END AS t FROM b WHERE p % 7 = 0)
 SELECT kind, count(*) AS n FROM (
- SELECT CASE WHEN l_partkey % 5 = 0 THEN 'parameter-removed' ELSE 'parameter-renamed' END AS kind FROM (SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber, o_custkey + 1 AS l_partkey, o_orderkey % 100 AS l_suppkey, o_orderstatus AS l_returnflag, o_totalprice / 10000 AS l_quantity FROM orders) WHERE l_partkey % 7 = 0
- UNION ALL SELECT 'parameter-type-changed' FROM (SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber, o_custkey + 1 AS l_partkey, o_orderkey % 100 AS l_suppkey, o_orderstatus AS l_returnflag, o_totalprice / 10000 AS l_quantity FROM orders) WHERE l_partkey % 7 <> 0 AND l_partkey % 5 = 0
- UNION ALL SELECT 'parameter-made-required' FROM (SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber, o_custkey + 1 AS l_partkey, o_orderkey % 100 AS l_suppkey, o_orderstatus AS l_returnflag, o_totalprice / 10000 AS l_quantity FROM orders) WHERE l_partkey % 7 <> 0 AND l_quantity >= 20 AND l_quantity < 25
- UNION ALL SELECT 'parameter-added-required' FROM (SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber, o_custkey + 1 AS l_partkey, o_orderkey % 100 AS l_suppkey, o_orderstatus AS l_returnflag, o_totalprice / 10000 AS l_quantity FROM orders) WHERE l_partkey % 7 = 0 AND l_quantity >= 20) GROUP BY kind
+ SELECT CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.s = b.s AND a.pos = b.pos AND a.t = b.t) THEN 'parameter-renamed' ELSE 'parameter-removed' END AS kind FROM b WHERE p % 7 = 0
+ UNION ALL SELECT 'parameter-type-changed' FROM b WHERE p % 7 <> 0 AND p % 5 = 0
+ UNION ALL SELECT 'parameter-made-required' FROM b WHERE p % 7 <> 0 AND q >= 20 AND q < 25
+ UNION ALL SELECT 'parameter-added-required' FROM b WHERE p % 7 = 0 AND q >= 20) GROUP BY kind
 """)
 def breaking_parameters(spark, d):
-    """Breaking changes of parameters by kind."""
-    x = _lines(spark, d).select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("symbol_id"), F.col("l_linenumber").alias("pos"), "l_partkey", "l_returnflag", "l_quantity")
-    row = lambda name, kind, opt: x.select("symbol_id", "pos", F.concat(F.lit("p"), name.cast("string")).alias("name"), kind.alias("type"), opt.alias("optional"), F.lit(False).alias("has_default"), F.lit(False).alias("rest"))
-    p = F.col("l_partkey")
-    old = row(p, F.col("l_returnflag"), F.col("l_quantity") < 25)
-    new = row(p + F.when(p % 7 == 0, 1_000_000).otherwise(0), F.when(p % 5 == 0, "X").otherwise(F.col("l_returnflag")), F.col("l_quantity") < 20)
+    """Breaking changes of parameters by kind: an order is a symbol, its lines are parameters, some moved by one place."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("symbol_id"), F.row_number().over(w).alias("pos"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("t"), F.col("l_quantity").alias("q"))
+    p, fresh = F.col("p"), F.col("p") % 7 == 0
+    row = lambda pos, name, kind, opt: x.select("symbol_id", pos.alias("pos"), F.concat_ws("-", name, F.col("pos")).alias("name"), kind.alias("type"), opt.alias("optional"), F.lit(False).alias("has_default"), F.lit(False).alias("rest"))
+    old = row(F.col("pos"), p, F.col("t"), F.col("q") < 25)
+    new = row(F.col("pos") + F.when(F.col("symbol_id") % 3 == 0, 1).otherwise(0), p + F.when(fresh, 1_000_000).otherwise(0), F.when(p % 5 == 0, "X").otherwise(F.col("t")), F.col("q") < 20)
     return diff.parameter_changes(old, new).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -119,13 +117,13 @@ def reverse_edges(spark, d):
 
 
 @query("""
-WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem), c AS (SELECT dst, count(*) AS centrality FROM e GROUP BY dst), n AS (SELECT DISTINCT src, dst FROM e WHERE src <= 20)
+WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem), c AS (SELECT dst, count(*) AS centrality FROM e GROUP BY dst), n AS (SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT s_suppkey FROM supplier))
 SELECT src AS seed_id, dst, centrality, row_number() OVER (PARTITION BY src ORDER BY centrality, dst) AS place FROM n JOIN c USING (dst) QUALIFY place <= 12
 """)
 def graph_neighbours(spark, d):
     """The twelve least central neighbours of each seed."""
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("callee").alias("relation"))
-    seeds = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("seed_id"))
+    seeds = table(spark, d, "supplier").select(F.col("s_suppkey").alias("seed_id"))
     return graph.top_neighbours(e, seeds).select("seed_id", "dst", "centrality", "place")
 
 
@@ -148,28 +146,29 @@ def shared_type_edges(spark, d):
 
 
 @query("""
-SELECT DISTINCT u.l_orderkey * 10 + u.l_linenumber AS src, p.p_partkey AS dst, p.p_brand AS package FROM (SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber, o_custkey + 1 AS l_partkey, o_orderkey % 100 AS l_suppkey, o_orderstatus AS l_returnflag, o_totalprice / 10000 AS l_quantity FROM orders) u JOIN part q ON q.p_partkey = u.l_partkey JOIN part p ON p.p_name = q.p_name AND p.p_brand = 'Brand#' || (u.l_suppkey % 25 + 1) WHERE p.p_type <> q.p_type AND u.l_orderkey < 300
+SELECT DISTINCT concat_ws(':', u.l_orderkey, u.l_linenumber, u.l_partkey, u.l_suppkey) AS src, p.p_partkey AS dst, p.p_brand AS package FROM lineitem u JOIN part q ON q.p_partkey = u.l_partkey JOIN part p ON p.p_name = q.p_name AND p.p_brand = 'Brand#' || (u.l_suppkey % 25 + 1) WHERE p.p_type <> q.p_type
 """)
 def package_edges(spark, d):
     """Unresolved names found in the packages that a module depends on."""
     p = table(spark, d, "part")
-    u = _lines(spark, d).where("l_orderkey < 300").join(p, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src"), F.concat_ws("@", "p_type", F.col("l_suppkey") % 25 + 1).alias("module"), F.col("p_name").alias("name"), "p_type", (F.col("l_suppkey") % 25 + 1).alias("b"))
+    line = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    u = table(spark, d, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey")).select(line.alias("src"), F.concat_ws("@", "p_type", F.col("l_suppkey") % 25 + 1).alias("module"), F.col("p_name").alias("name"), "p_type", (F.col("l_suppkey") % 25 + 1).alias("b"))
     dep = u.select("module", F.concat(F.lit("Brand#"), F.col("b").cast("string")).alias("package")).distinct()
     packages = p.select(F.col("p_brand").alias("package"), F.concat_ws("#", "p_brand", "p_type").alias("module")).distinct()
     symbols = p.select(F.concat_ws("#", "p_brand", "p_type").alias("module"), F.col("p_name").alias("name"), F.col("p_partkey").alias("symbol_id"))
     out = graph.package_edges(dep, packages, u.select("src", "module", "name"), symbols)
-    own = u.select("src", F.col("p_type").alias("t"))
+    own = u.select("src", F.col("p_type").alias("t")).distinct()
     return out.join(own, "src").join(p.select(F.col("p_partkey").alias("dst"), "p_type"), "dst").where("p_type <> t").select("src", "dst", "package").distinct()
 
 
 @query("""
-WITH d AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1), c AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 2), u AS (SELECT src, dst, 'direct' AS via FROM d UNION ALL SELECT src, dst, 'cross-repo' FROM c)
+WITH d AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber % 2 = 1), c AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber % 2 = 0), u AS (SELECT src, dst, 'direct' AS via FROM d UNION ALL SELECT src, dst, 'cross-repo' FROM c)
 SELECT src, dst, via, count(*) OVER (PARTITION BY dst) AS total FROM u
 """)
 def find_usages(spark, d):
     """Direct and cross-repository usages with totals."""
     x = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_linenumber")
-    return graph.usages(x.where("l_linenumber = 1"), x.where("l_linenumber = 2")).select("src", "dst", "via", "total")
+    return graph.usages(x.where("l_linenumber % 2 = 1"), x.where("l_linenumber % 2 = 0")).select("src", "dst", "via", "total")
 
 
 @query("""
@@ -189,13 +188,13 @@ def invariants(spark, d):
 
 
 @query("""
-WITH e AS (SELECT event_id AS item, [event_id, event_id + 3] AS expected FROM events WHERE event_id % 50 = 0), m AS (SELECT item, unnest(expected) AS sym FROM e)
+WITH e AS (SELECT event_id AS item, [event_id, event_id + 3] AS expected FROM events), m AS (SELECT item, unnest(expected) AS sym FROM e)
 SELECT DISTINCT item FROM m WHERE sym NOT IN (SELECT event_id FROM events WHERE event_type <> 'click') AND sym NOT IN (SELECT event_id + 1 FROM events WHERE user_id % 2 = 0)
 """)
 def eval_quarantine(spark, d):
     """Items that expect what is neither a symbol nor an alias."""
     ev = table(spark, d, "events")
-    m = ev.where("event_id % 50 = 0").select(F.col("event_id").alias("item"), F.explode(F.array("event_id", F.col("event_id") + 3)).alias("sym"))
+    m = ev.select(F.col("event_id").alias("item"), F.explode(F.array("event_id", F.col("event_id") + 3)).alias("sym"))
     symbols = ev.where("event_type <> 'click'").select(F.col("event_id").alias("sym"))
     aliases = ev.where("user_id % 2 = 0").select((F.col("event_id") + 1).alias("sym"))
     return m.join(symbols, "sym", "left_anti").join(aliases, "sym", "left_anti").select("item").distinct()
@@ -206,7 +205,7 @@ WITH g AS (SELECT p_name AS name, min(p_partkey) AS g FROM part GROUP BY p_name)
 SELECT x.p_partkey AS src, coalesce(l.l, g.g) AS dst FROM part x LEFT JOIN l ON l.module = CASE WHEN x.p_size % 2 = 0 THEN x.p_type ELSE 'none' END AND l.name = x.p_name LEFT JOIN g ON g.name = x.p_name
 """)
 def resolve_names(spark, d):
-    """Names to symbols: the module's last, else the first of all."""
+    """Names to symbols: the module's last, else the first of all."""
     p = table(spark, d, "part")
     refs = p.select(F.col("p_partkey").alias("src"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("none").alias("module"), F.col("p_name").alias("name"))
     sym = p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_type").alias("module"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
@@ -217,7 +216,7 @@ def resolve_names(spark, d):
 SELECT n_name, r_name, count(DISTINCT c_custkey) AS customers, list_sort(list(DISTINCT c_mktsegment) FILTER (WHERE c_acctbal > 0)) AS segments FROM nation LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey WHERE n_name ILIKE '%a%' OR n_name ILIKE '%1%' GROUP BY ALL
 """)
 def list_repositories(spark, d):
-    """Left joins with distinct counts and filtered sorted sets."""
+    """Left joins with distinct counts and filtered sorted sets."""
     n = table(spark, d, "nation").where(F.col("n_name").ilike("%a%") | F.col("n_name").ilike("%1%"))
     x = n.join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return x.groupBy("n_name", "r_name").agg(F.countDistinct("c_custkey").alias("customers"), F.sort_array(F.collect_set(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")))).alias("segments"))
@@ -231,7 +230,7 @@ def latest_per_key(spark, d):
 
 @query("SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 1000000, c_acctbal FROM customer WHERE c_custkey % 3 = 0")
 def table_upsert(spark, d):
-    """Rows over those with the same keys."""
+    """Rows over those with the same keys."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     third = c.where("c_custkey % 3 = 0")
     new = third.withColumn("c_acctbal", F.col("c_acctbal") + 1).unionByName(third.withColumn("c_custkey", F.col("c_custkey") + 1_000_000))
@@ -265,7 +264,7 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts, eve
 SELECT user_id AS repo, event_type AS ref, min(ts) AS first, count(*) AS pushes FROM s GROUP BY user_id, event_type, run
 """)
 def coalesced_pushes(spark, d):
-    """Runs of pushes without a gap (ST3, P14)."""
+    """Runs of pushes without a gap (ST3)."""
     p = table(spark, d, "events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("ref"), "ts", F.col("event_id").alias("sha"))
     return streams.coalesced_pushes(p, "1 hour").select("repo", "ref", "first", "pushes")
 
@@ -288,15 +287,30 @@ def queue_stats(spark, d):
 
 @query("SELECT least(n_chars // 500, 10) AS bucket, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS english, round(count(*) FILTER (WHERE n_chars > 1000) / count(*), 6) AS long_share FROM documents GROUP BY 1")
 def token_histogram(spark, d):
-    """Histogram with filtered counts."""
+    """Histogram with filtered counts."""
     b = F.least(F.floor(F.col("n_chars") / 500), F.lit(10)).alias("bucket")
     return table(spark, d, "documents").groupBy(b).agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("english"), F.round(F.count_if(F.col("n_chars") > 1000) / F.count("*"), 6).alias("long_share"))
 
 
 @query("""
-SELECT conv_id, turn, md5(coalesce(lag(text) OVER w, '') || text) AS link, lag(turn) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+WITH RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations),
+c AS (SELECT conv_id, turn, n, '' AS prev_hash, sha256('' || chr(10) || conv_id || chr(10) || role || chr(10) || text) AS hash FROM t WHERE n = 1
+ UNION ALL SELECT t.conv_id, t.turn, t.n, c.hash, sha256(c.hash || chr(10) || t.conv_id || chr(10) || t.role || chr(10) || t.text) FROM c JOIN t ON t.conv_id = c.conv_id AND t.n = c.n + 1)
+SELECT conv_id, turn, n, prev_hash, hash FROM c
+""")
+def audit_chain(spark, d):
+    """Each tenant's chain of hashes, every link over the one before (W6, F-H7)."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return graph.chain(rows, "conv_id", "turn", ["conv_id", "role", "text"]).select("conv_id", "turn", "n", "prev_hash", "hash")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, md5(text) AS hash, lag(md5(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn FROM t WHERE before IS NOT NULL AND turn % 3 = 2
 """)
-def audit_links(spark, d):
-    """Each row's link over the row before (W6, F-H7)."""
+def audit_breaks(spark, d):
+    """Links that do not hold the hash before them."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.concat(F.coalesce(F.lag("text").over(w), F.lit("")), "text")).alias("link"), F.lag("turn").over(w).alias("before"))
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("hash"))
+    x = x.withColumn("prev_hash", F.when(F.col("turn") % 3 == 2, "forged").otherwise(F.lag("hash").over(w)))
+    return graph.chain_breaks(x, "conv_id", "turn").select("conv_id", "turn")

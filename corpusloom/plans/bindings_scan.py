@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import checks, hashing, text
-from corpusloom.operators import scanner
+from corpusloom.operators import dedupe, scanner
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -56,24 +56,95 @@ def scan_card_numbers(spark, d):
     return scanner.scan(table(spark, d, "documents"), "doc_id", F.lit("data.txt"), "text", rules, most=None).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+_ENTROPY = "list_reduce(list_transform(list_distinct(string_split(v, '')), lambda ch: -(len(list_filter(string_split(v, ''), lambda x: x = ch)) / len(v)) * log2(len(list_filter(string_split(v, ''), lambda x: x = ch)) / len(v))), lambda a, b: a + b)"
+_LUHN = """(SELECT sum(CASE WHEN (length(s) - i) % 2 = 0 THEN CAST(substr(s, i, 1) AS INT) ELSE CAST(substr(s, i, 1) AS INT) * 2 - CASE WHEN CAST(substr(s, i, 1) AS INT) > 4 THEN 9 ELSE 0 END END) FROM range(1, 20) t(i) WHERE i <= length(s)) % 10 = 0
+ AND s NOT LIKE '0%' AND ((length(s) IN (13, 16, 19) AND s LIKE '4%') OR (length(s) = 16 AND (CAST(substr(s,1,2) AS INT) BETWEEN 51 AND 55 OR CAST(substr(s,1,4) AS INT) BETWEEN 2221 AND 2720))
+ OR (length(s) = 15 AND substr(s,1,2) IN ('34','37')) OR (length(s) = 14 AND (CAST(substr(s,1,3) AS INT) BETWEEN 300 AND 305 OR s LIKE '3095%' OR substr(s,1,2) IN ('36','38','39')))
+ OR (length(s) IN (16, 19) AND (s LIKE '6011%' OR s LIKE '65%' OR CAST(substr(s,1,3) AS INT) BETWEEN 644 AND 649 OR CAST(substr(s,1,6) AS INT) BETWEEN 622126 AND 622925))
+ OR (length(s) BETWEEN 16 AND 19 AND (CAST(substr(s,1,4) AS INT) BETWEEN 3528 AND 3589 OR s LIKE '62%')))"""
+#: What DuckDB's expressions lack is said by a plain pattern and a filter behind it.
+_PLAIN = {
+    "email-address": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"NOT regexp_matches(v, '^(no-?reply|donotreply|do-not-reply)@|@(example\.|test\.|localhost)|@[A-Za-z0-9.-]*\bnoreply\.')"),
+    "us-ssn": (r"\b(\d{3})-(\d{2})-(\d{4})\b", "NOT regexp_matches(v, '^(000|666|9)')"),
+    "phone-e164": (r"(?:^|[^\w.-])\+\d{1,3}[\s-]?\d{6,14}(?:$|[^\w.-])", "true"),
+}
+
+
+def _rule_sql(r: scanner.Rule) -> str:
+    pattern, keep = _PLAIN.get(r.id, (r.pattern, "true"))
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    if r.category == "secret":
+        keep += "".join(f" AND NOT regexp_matches(trim(v), {quote(p)})" for p in checks.PLACEHOLDERS)
+    if r.least_entropy is not None:
+        keep += rf" AND {_ENTROPY} >= {r.least_entropy} AND NOT (regexp_full_match(v, '[A-Za-z][A-Za-z0-9_.\-]*') AND len(regexp_extract_all(v, '\d')) / length(v) <= 0.15 AND regexp_matches(v, '[A-Za-z]{{6,}}') AND len(regexp_extract_all(v, '[_.\-]')) <= 3)"
+    if r.id == "credit-card":
+        keep += f" AND {_LUHN}"
+    return f"SELECT doc_id, '{r.id}' AS rule, '{r.category}' AS category, '{r.severity}' AS severity FROM (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS s FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quote(pattern)}, {r.group})) AS v FROM documents)) WHERE {keep}"
+
+
+_FINDINGS = " UNION ALL ".join(_rule_sql(r) for r in scanner.RULES if r.id != "iban")
+
+
+@query(f"SELECT doc_id, rule, category, severity, count(*) AS n FROM ({_FINDINGS}) GROUP BY ALL")
 def scan_findings(spark, d):
-    """All rules over all documents, with line, preview and the cap of findings a file (F-R1 to F-R3, F-R11, F-S13, F-S14)."""
-    return scanner.scan(table(spark, d, "documents"), "doc_id", F.concat(F.lit("src/"), F.col("doc_id").cast("string")), "text")
+    """All rules over all documents, every finding counted (F-R1 to F-R3, F-R5 to F-R9, F-R11)."""
+    found = scanner.scan(table(spark, d, "documents"), "doc_id", F.concat(F.lit("src/"), F.col("doc_id").cast("string")), "text")
+    return found.groupBy("doc_id", "rule", "category", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+WITH f AS (SELECT f.*, rule = 'email-address' AND source = 'src1' AS hidden FROM ({_FINDINGS}) f JOIN documents USING (doc_id))
+SELECT count(*) AS n_all, count(*) FILTER (WHERE NOT hidden AND category = 'secret') AS n_secret, count(*) FILTER (WHERE NOT hidden AND category = 'pii') AS n_pii, count(*) FILTER (WHERE NOT hidden AND category = 'injection') AS n_injection, count(*) FILTER (WHERE hidden) AS n_suppressed,
+ count(*) FILTER (WHERE NOT hidden AND category IN ('secret', 'pii')) = 0 AS passed FROM f
+""")
 def publish_scan_gate(spark, d):
     """The gate over all findings, with one allowlisted folder (C13, F-R10, F-R12, A19)."""
     found = scanner.scan(table(spark, d, "documents"), "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")), "text", allow=[("src1/**", "email-address")])
     return scanner.gate(found)
 
 
+@query(r"""
+WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS v, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') AS parts, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') AS vs, unnest(range(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')))) AS k FROM documents),
+p AS (SELECT doc_id, v, array_to_string(list_slice(parts, 1, k + 1), '') AS gaps, array_to_string(list_slice(vs, 1, k), '') AS before, text FROM m),
+s AS (SELECT doc_id, v, substr(text, 1, length(gaps) + length(before)) AS head FROM p WHERE NOT regexp_matches(v, '^(no-?reply|donotreply|do-not-reply)@|@(example\.|test\.|localhost)|@[A-Za-z0-9.-]*\bnoreply\.'))
+SELECT doc_id, length(head) - length(replace(head, chr(10), '')) + 1 AS line, length(list_last(string_split(head, chr(10)))) + 1 AS column_no, CASE WHEN length(v) <= 8 THEN substr(v, 1, 1) || repeat('*', greatest(length(v) - 1, 3)) ELSE substr(v, 1, 4) || '********' || substr(v, -2) || ' (' || length(v) || ' chars)' END AS preview,
+ '::error file=src/' || doc_id || ',line=' || line || ',col=' || column_no || ',title=email-address::pii (' || preview || ')' AS annotation FROM s
+""")
+def scan_places(spark, d):
+    """Lines, columns, previews and annotations of findings of one rule (F-S13, F-S14, O19)."""
+    rules = [r for r in scanner.RULES if r.id == "email-address"]
+    found = scanner.scan(table(spark, d, "documents"), "doc_id", F.concat(F.lit("src/"), F.col("doc_id").cast("string")), "text", rules)
+    return scanner.annotations(found).select("doc_id", "line", F.col("column").alias("column_no"), "preview", "annotation")
+
+
+@query(f"""
+WITH f AS (SELECT f.*, source FROM ({_FINDINGS}) f JOIN documents USING (doc_id))
+SELECT source, rule, severity, count(*) AS n, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, source NULLS FIRST, rule) AS place FROM f GROUP BY source, rule, severity
+""")
+def findings_report(spark, d):
+    """Findings by source in report order: severity, path, rule."""
+    from pyspark.sql.window import Window
+
+    docs = table(spark, d, "documents")
+    found = scanner.scan(docs, "doc_id", F.col("source"), "text")
+    per = found.groupBy(F.col("path").alias("source"), "rule", "severity").agg(F.count("*").alias("n"))
+    order = Window.orderBy(scanner.rank(F.col("severity"), scanner.SEVERITIES), "source", "rule")  # a row for each source and rule
+    return per.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+@query(f"SELECT '{scanner.ruleset_hash()}' AS hash, CASE WHEN doc_id % 4 = 3 THEN 'restricted' WHEN doc_id % 4 = 2 THEN 'confidential' WHEN doc_id % 4 = 1 THEN 'internal' ELSE 'public' END AS tier, count(*) FILTER (WHERE doc_id % 4 <= 1) AS visible, count(*) FILTER (WHERE doc_id % 4 <> 3) AS embeddable, count(*) FILTER (WHERE doc_id % 4 > doc_id % 3) AS downgraded FROM documents GROUP BY ALL")
+def visibility_by_tier(spark, d):
+    """Documents by tier: visible with the internal clearance, embeddable, and in a lower tier than before (F-R13, F-R15, O21)."""
+    tiers = F.array(*[F.lit(t) for t in scanner.TIERS])
+    x = table(spark, d, "documents").select(F.get(tiers, (F.col("doc_id") % 4).cast("int")).alias("tier"), F.get(tiers, (F.col("doc_id") % 3).cast("int")).alias("now"))
+    return x.groupBy(F.lit(scanner.ruleset_hash()).alias("hash"), "tier").agg(F.count_if(scanner.visible_to(F.col("tier"), F.lit("internal"))).alias("visible"), F.count_if(scanner.embeddable(F.col("tier"))).alias("embeddable"), F.count_if(scanner.is_downgrade(F.col("tier"), F.col("now"))).alias("downgraded"))
+
+
 @query("""
 SELECT category, severity, count(*) AS n FROM (VALUES ('secret','critical',8),('secret','high',6),('pii','critical',2),('pii','high',1),('pii','medium',2),('injection','high',5)) v(category, severity, k), range(v.k) GROUP BY ALL
 """)
 def scan_rule_table(spark, d):
-    """The rules as data (F-R13, X4)."""
+    """The rules as data."""
     return spark.createDataFrame([(r.category, r.severity) for r in scanner.RULES], "category string, severity string").groupBy("category", "severity").agg(F.count("*").alias("n"))
 
 
@@ -86,7 +157,7 @@ SELECT p_partkey, regexp_matches(p, '(^|/)[.]env([.].*)?$|[.](pem|key)$|(^|/)(se
 FROM (SELECT p_partkey, {_PATHS} AS p FROM part)
 """)
 def path_policy(spark, d):
-    """Denied, skipped and language of paths (P12, S2, F-S20)."""
+    """Denied, skipped and language of paths."""
     p = table(spark, d, "part").select("p_partkey", F.expr(_PATHS).alias("p"))
     return p.select("p_partkey", scanner.any_match(F.col("p"), scanner.DENIED_PATHS).alias("denied"), scanner.any_match(F.col("p"), scanner.SKIPPED_PATHS).alias("skipped"), text.language_of(F.col("p")).alias("language"))
 
@@ -95,7 +166,7 @@ def path_policy(spark, d):
 SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'restricted' WHEN doc_id % 4 = 3 OR lang = 'de' THEN 'confidential' ELSE 'internal' END AS tier FROM documents
 """)
 def sensitivity_tier(spark, d):
-    """The highest of default, path rule, markers and configuration (F-R14, F-R15)."""
+    """The highest of default, path rule, markers and configuration (F-R14)."""
     i = F.col("doc_id")
     markers = F.when(F.col("lang") == "de", F.array(F.lit("[Sensitive]"))).otherwise(F.array().cast("array<string>"))
     return table(spark, d, "documents").select("doc_id", scanner.tier(F.lit("internal"), [F.when(i % 4 == 3, "confidential")], markers, F.when(i % 10 == 0, "restricted").otherwise("public")).alias("tier"))
@@ -133,7 +204,7 @@ SELECT conv_id, turn, CASE WHEN regexp_matches(l, '\\b(why|rationale|decision|ch
  ELSE 'conceptual' END AS intent FROM w
 """.replace("\\\\", "\\"))
 def query_intent(spark, d):
-    """Intent of user turns (F-S4, F-S5, F-S7)."""
+    """Intent of user turns (F-S4, F-S5)."""
     c = table(spark, d, "conversations").where("role = 'user'")
     return c.select("conv_id", "turn", text.intent(F.col("text")).alias("intent"))
 
@@ -177,17 +248,17 @@ def permission_set_hash(spark, d):
 
 
 @query("""
-WITH w AS (SELECT doc_id, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '//[^\\n]*', ' ', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '#[^\\n]*', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), lambda x: x <> '') AS ws FROM documents WHERE length(text) < 1500),
+WITH w AS (SELECT doc_id, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '//[^\\n]*', ' ', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '#[^\\n]*', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, CASE WHEN len(ws) < 3 THEN ws ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]) END AS sh FROM w),
 h AS (SELECT doc_id, substr(sha256(unnest(sh)), 1, 16) AS hx FROM s),
 b AS (SELECT doc_id, k, sum(CASE WHEN (('0x' || substr(hx, 16 - k // 4, 1))::INT >> (k % 4)) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(0, 64) t(k) GROUP BY doc_id, k)
 SELECT doc_id, CAST(sum(CASE WHEN v > 0 AND k < 32 THEN 1::BIGINT << k::INT ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN v > 0 AND k >= 32 THEN 1::BIGINT << (k::INT - 32) ELSE 0 END) AS BIGINT) AS high FROM b GROUP BY doc_id
 """.replace("\\\\", "\\"))
 def simhash_prints(spark, d):
-    """SimHash fingerprints of the shorter texts, in halves."""
-    x = table(spark, d, "documents").where(F.length("text") < 1500).select("doc_id", hashing.simhash(F.col("text")).alias("s"))
+    """SimHash fingerprints of all texts, in halves."""
+    x = dedupe.fingerprints(table(spark, d, "documents").select("doc_id", "text", F.length("text").alias("tokens")), "doc_id", least=0)
     half = F.lit((1 << 32) - 1)
-    return x.where(F.lit(True)).select("doc_id", F.col("s").bitwiseAND(half).alias("low"), F.shiftrightunsigned("s", 32).bitwiseAND(half).alias("high"))
+    return x.select("doc_id", F.col("simhash").bitwiseAND(half).alias("low"), F.shiftrightunsigned("simhash", 32).bitwiseAND(half).alias("high"))
 
 
 @query("""
