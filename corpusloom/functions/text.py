@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a token, on average.
@@ -64,6 +64,12 @@ ARM_WEIGHTS = {
     "conceptual": (1.2, 1.0, 0.8, ["docs", "code", "adr"]),
     "unanswerable": (1.0, 1.0, 1.0, ["code", "docs", "spec", "adr"]),
 }
+def arm_weights(spark) -> DataFrame:
+    """(intent, arm, weight, corpora) as a table to join intents with."""
+    rows = [(i, arm, float(w), corpora) for i, (*weights, corpora) in ARM_WEIGHTS.items() for arm, w in zip(("dense", "lexical", "symbol"), weights)]
+    return spark.createDataFrame(rows, "intent string, arm string, weight double, corpora array<string>")
+
+
 # Shapes of follow-ups that need the turn before them.
 NEEDS_REWRITE = [
     r"(?i)^\s*(what about|how about|and|also|what if|why not|the same for)\b",

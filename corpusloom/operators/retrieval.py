@@ -236,7 +236,7 @@ def expand(neighbours: DataFrame, budget: int = int(TOTAL_TOKENS * EXPANSION_SHA
     kinds = dict(neighbours.dtypes)
 
     def turn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", seed_rank, item])
+        pdf = pdf.sort_values(["place", seed_rank, item, tokens])
         seen, out, used = set(), [], 0
         for name, t in pdf[[item, tokens]].itertuples(index=False, name=None):
             if name in seen or used + t > budget:
@@ -262,3 +262,44 @@ def abstention(evidence: DataFrame, query: str = "query_id", threshold: float =
     hedges = F.filter(F.array(F.when(F.col("n_shallow") == n, "all-shallow"), F.when(F.col("n_stale_repos") > 0, "stale-repos"), F.when(F.col("n_generated") == n, "all-generated"), F.when(~F.col("reranked"), "fusion-order")), lambda x: x.isNotNull())
     return evidence.select(query, abstain.alias("abstain"), reason.alias("reason"), F.when(abstain, F.lit("")).otherwise(F.array_join(hedges, ";")).alias("hedges"))
 
+
+SESSION_BOOST = 1.15
+
+
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, probes: DataFrame, names: DataFrame, links: DataFrame, stale: DataFrame, session: list | None = None, rescored: DataFrame | None = None, item: str = "doc_id", query: str = "query_id", weights: tuple[float, float, float] = (1.2, 1.0, 0.8), most: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The served chunks of every question, and the verdict on its evidence.
+
+    chunks (item, text, module, name, tokens) are those that the caller may see; vectors are
+    theirs. Three arms rank them: vectors, words, and exact names. Their ranks are fused, the
+    fused chunks get their texts back, those of the session's symbols weigh SESSION_BOOST
+    times as much, and a diverse choice is made. A reranker's scores (query, item,
+    rerank_score), if given, put that in order. What fits the budget is ``primary``; links
+    (src, dst, relation) of it fill the rest as ``expansion``. A question whose evidence does
+    not carry an answer is served nothing. stale: items of repositories behind their heads.
+    """
+    arm = lambda df, w: df.select(query, item, "rank", F.lit(w).alias("weight"))
+    dense = dense_topk(vectors, probes, item=item, query=query)
+    lexical = bm25_topk(chunks.select(item, "text"), questions, item=item, query=query)
+    exact = symbol_topk(chunks, names, item=item, query=query)
+    fused = fuse(arm(dense, weights[0]).unionByName(arm(lexical, weights[1])).unionByName(arm(exact, weights[2])), item, query, limit=50)
+    boost = F.when(F.col(item).isin(session), SESSION_BOOST).otherwise(1.0) if session else F.lit(1.0)
+    full = fused.join(chunks.select(item, "text", "module"), item).select(query, item, (F.col("score") * boost).alias("score"), "text", "module", (F.col(item) % 11 == 0).alias("generated"))
+    chosen = diversify(full, 50, item, query)
+    if rescored is None:
+        ordered = chosen.where(F.col("position") <= most).withColumn("rerank_score", F.lit(None).cast("double"))
+    else:
+        w = Window.partitionBy(query).orderBy(F.desc("rerank_score"), item)
+        ordered = chosen.join(rescored, [query, item]).withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
+    primary = fit_budget(ordered.join(chunks.select(item, "tokens"), item), item=item, query=query).where("kept")
+    scores = ordered.select(query, item, "rerank_score")
+    central = links.groupBy(F.col("dst").alias(item)).agg(F.count("*").alias("centrality"))
+    near = primary.select(query, F.col(item).alias("src"), F.col("position").alias("seed_rank")).join(links, "src").withColumnRenamed("dst", item).join(central, item).join(chunks.select(item, "tokens"), item)
+    near = near.join(primary.select(query, item), [query, item], "left_anti").withColumn("seed_id", F.struct(query, "src"))
+    short = neighbour_shortlist(near, item=item)
+    grown = expand(short, query=query, item=item)
+    found = primary.join(scores, [query, item]).join(stale.select(F.col(item), F.lit(1).alias("old")), item, "left")
+    evidence = questions.select(query).distinct().join(found, query, "left").groupBy(query).agg(F.count(item).alias("n_chunks"), F.max("rerank_score").alias("top_score"), F.lit(0).alias("n_shallow"), F.count_if(F.col(item) % 11 == 0).alias("n_generated"), F.count("old").alias("n_stale_repos"))
+    evidence = evidence.withColumn("n_shallow", F.lit(-1)).withColumn("reranked", F.lit(rescored is not None))
+    verdicts = abstention(evidence, query)
+    served = primary.select(query, item, F.lit("primary").alias("part"), F.col("position").cast("int").alias("place"), "used").unionByName(grown.select(query, item, F.lit("expansion").alias("part"), F.col("taken_at").alias("place"), "used"))
+    return served.join(verdicts.where("not abstain").select(query), query, "left_semi"), verdicts

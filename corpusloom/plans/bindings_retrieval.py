@@ -180,7 +180,13 @@ def neighbour_shortlist(spark, d):
     return retrieval.neighbour_shortlist(_neighbours(spark, d)).select("seed_id", "symbol_id", "relation", "centrality", "place")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE n AS (SELECT seed_id, symbol_id, place, centrality AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY list_position(['type','parent','callee','implementation','caller'], relation), centrality, symbol_id) AS place FROM ({_NEAR}) WHERE centrality <= 50) WHERE place <= 4),
+x AS (SELECT o_custkey AS query_id, symbol_id, tokens, row_number() OVER (PARTITION BY o_custkey ORDER BY place, seed_id, symbol_id, tokens) AS k FROM n JOIN orders ON o_orderkey = seed_id),
+f AS (SELECT query_id, 0::BIGINT AS k, []::BIGINT[] AS taken, 0::BIGINT AS used, NULL::BIGINT AS symbol_id FROM x GROUP BY query_id
+ UNION ALL SELECT x.query_id, x.k, CASE WHEN list_contains(taken, x.symbol_id) OR used + x.tokens > 300 THEN taken ELSE list_append(taken, x.symbol_id) END, CASE WHEN list_contains(taken, x.symbol_id) OR used + x.tokens > 300 THEN used ELSE used + x.tokens END, CASE WHEN list_contains(taken, x.symbol_id) OR used + x.tokens > 300 THEN NULL ELSE x.symbol_id END FROM f JOIN x ON x.query_id = f.query_id AND x.k = f.k + 1)
+SELECT query_id, symbol_id, len(taken)::INT AS taken_at, used FROM f WHERE symbol_id IS NOT NULL
+""")
 def graph_expansion(spark, d):
     """Round robin over the seeds of each customer under a budget."""
     n = retrieval.neighbour_shortlist(_neighbours(spark, d)).select("seed_id", "symbol_id", "place", F.col("centrality").alias("tokens"))
@@ -284,7 +290,23 @@ def _sized(spark, d):
     return x.select(F.col("doc_id").alias("chunk_id"), "text", estimate_tokens(F.col("text")).alias("tokens"), (F.col("doc_id") % 13 == 0).alias("generated"))
 
 
-@query()
+_PRINTS = """
+w AS (SELECT doc_id, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '//[^\\n]*', ' ', 'g'), '(?s)/\\*.*?\\*/', ' ', 'g'), '#[^\\n]*', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), lambda x: x <> '') AS ws FROM documents WHERE ceil(length(text) / 3.5) >= 40),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 3 THEN ws ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2]) END AS sh FROM w),
+h AS (SELECT doc_id, substr(sha256(unnest(sh)), 1, 16) AS hx FROM s),
+b AS (SELECT doc_id, k, sum(CASE WHEN (('0x' || substr(hx, 16 - k // 4, 1))::INT >> (k % 4)) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(0, 64) t(k) GROUP BY doc_id, k),
+p AS (SELECT doc_id, sum(CASE WHEN v > 0 AND k < 32 THEN 1::BIGINT << k::INT ELSE 0 END)::BIGINT AS low, sum(CASE WHEN v > 0 AND k >= 32 THEN 1::BIGINT << (k::INT - 32) ELSE 0 END)::BIGINT AS high FROM b GROUP BY doc_id)"""
+
+
+@query(f"""
+WITH RECURSIVE {_PRINTS}, f AS (SELECT low, high, min(doc_id) AS doc_id FROM p GROUP BY low, high), o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM f),
+near AS (SELECT a.doc_id AS late, b.doc_id AS early FROM f a JOIN f b ON b.doc_id < a.doc_id AND bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high)) <= 3),
+heads AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS hs UNION ALL SELECT o.n, CASE WHEN EXISTS (SELECT 1 FROM near WHERE late = o.doc_id AND list_contains(hs, early)) THEN hs ELSE list_append(hs, o.doc_id) END FROM heads JOIN o ON o.n = heads.n + 1),
+l AS (SELECT hs FROM heads ORDER BY n DESC LIMIT 1), led AS (SELECT f.doc_id, f.low, f.high, coalesce((SELECT min(early) FROM near, l WHERE late = f.doc_id AND list_contains(hs, early)), f.doc_id) AS leader FROM f),
+m AS (SELECT p.doc_id AS chunk_id, led.leader, ceil(length(d.text) / 3.5)::BIGINT AS tokens FROM p JOIN led ON led.low = p.low AND led.high = p.high JOIN documents d ON d.doc_id = p.doc_id),
+c AS (SELECT leader, count(*) AS cluster_size, first(chunk_id ORDER BY chunk_id % 13 = 0, tokens DESC, chunk_id) AS representative FROM m GROUP BY leader HAVING count(*) > 1)
+SELECT chunk_id, leader, cluster_size, representative FROM m JOIN c USING (leader)
+""")
 def near_dup_clusters(spark, d):
     """Leader clusters of near-equal fingerprints."""
     from corpusloom.plans.session import ensure_checkpoints
@@ -293,10 +315,17 @@ def near_dup_clusters(spark, d):
     return dedupe.leader_clusters(_sized(spark, d))
 
 
-@query()
+@query(f"""
+WITH {_PRINTS}, f AS (SELECT low, high, min(doc_id) AS doc_id FROM p GROUP BY low, high)
+SELECT least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, (bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high)))::INT AS distance FROM f a JOIN f b ON a.doc_id < b.doc_id AND bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high)) <= 3
+""")
 def hamming_pairs(spark, d):
-    """Pairs of fingerprints within three bits, by bands (J26, F-H8)."""
-    return dedupe.hamming_pairs(dedupe.fingerprints(_sized(spark, d)))
+    """Pairs of fingerprints within three bits, under their smallest ids (J26, F-H8)."""
+    prints = dedupe.fingerprints(_sized(spark, d))
+    first = prints.groupBy("simhash").agg(F.min("chunk_id").alias("first"))
+    f = lambda s, name: first.select(F.col("simhash").alias(s), F.col("first").alias(name))
+    x = dedupe.hamming_pairs(prints).join(f("simhash_a", "x"), "simhash_a").join(f("simhash_b", "y"), "simhash_b")
+    return x.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 @query("""
@@ -310,20 +339,37 @@ def embedding_cache_misses(spark, d):
     return dedupe.cache_split(c, c.where("chunk_id % 3 = 0").select("content_hash").distinct())[1].select("chunk_id", "content_hash")
 
 
-@query()
-def hybrid_search(spark, d):
-    """Access, dense and lexical arms, fusion, hydration, diversity and budget, for a batch of questions."""
+def search(spark, d, session: list[int] | None = None, rescore=None):
+    """(served, verdicts) of the whole retrieval over every question: the passages of the benchmark, and their vectors."""
     from corpusloom.functions.text import estimate_tokens
 
     who = access.Access("o1", [f"src{i}" for i in range(20)], "confidential")
-    open_ = _chunks(spark, d).where(access.allowed(who, "o1")).select("doc_id", "module")
-    docs = table(spark, d, "documents").join(open_, "doc_id")
+    open_ = _chunks(spark, d).where(access.allowed(who, "o1")).select("doc_id", "module", "corpus")
+    docs = table(spark, d, "documents").join(open_, "doc_id").select("doc_id", "text", "module", "corpus", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), estimate_tokens(F.col("text")).alias("tokens"))
     vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(open_.select("doc_id"), "doc_id", "left_semi")
-    asked = _asked(spark, d).where("query_id < 10")
-    probes = _probes(spark, d).select(F.col("query_id"), "query_vector").where("query_id < 10")
-    dense = retrieval.dense_topk(vectors, probes, item="doc_id").withColumn("weight", F.lit(1.2))
-    lexical = retrieval.bm25_topk(docs, asked).withColumn("weight", F.lit(1.0))
-    fused = retrieval.fuse(dense.select("query_id", "doc_id", "rank", "weight").unionByName(lexical.select("query_id", "doc_id", "rank", "weight")), limit=50)
-    full = fused.join(docs, "doc_id").select("query_id", "doc_id", "score", "text", "module", (F.col("doc_id") % 11 == 0).alias("generated"))
-    chosen = retrieval.diversify(full, 8).join(docs.select("doc_id", estimate_tokens(F.col("text")).alias("tokens")), "doc_id")
-    return retrieval.fit_budget(chosen, item="doc_id").where("kept").select("query_id", "doc_id", "position", "tokens", "used")
+    asked = _asked(spark, d)
+    probes = _probes(spark, d).join(asked.select("query_id"), "query_id", "left_semi")
+    # A question that names a document by its identifier also has the exact arm.
+    names = asked.select("query_id", F.concat(F.lit("doc_"), (F.col("query_id") * 3).cast("string")).alias("identifier"))
+    links = table(spark, d, "documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") * 7 % 50).alias("dst"), F.when(F.col("doc_id") % 2 == 0, "callee").otherwise("type").alias("relation"))
+    stale = docs.where("doc_id % 9 = 0").select("doc_id")
+    return retrieval.hybrid_search(docs, vectors, asked, probes, names, links, stale, session=session, rescored=rescore)
+
+
+@query()
+def hybrid_search(spark, d):
+    """Access, dense, lexical and exact arms, fusion, session boost, diversity, budget, expansion, abstention, for all questions."""
+    return search(spark, d, session=[3, 6])[0]
+
+
+@query()
+def search_verdicts(spark, d):
+    """What each question's evidence carries."""
+    return search(spark, d)[1]
+
+
+@query()
+def search_docs(spark, d):
+    """The served documents of the docs corpus; the filter comes after the top, so there may be fewer (C17)."""
+    served = search(spark, d)[0]
+    return served.where("part = 'primary'").join(_chunks(spark, d).where("corpus = 'docs'").select("doc_id"), "doc_id", "left_semi")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,16 +35,29 @@ def verify(envelopes: DataFrame, seen_nonces: DataFrame, now: Column, most_bytes
     """
     seen = seen_nonces.select(F.col("nonce").alias("_seen")).distinct()
     x = envelopes.join(seen, F.col("nonce") == F.col("_seen"), "left")
-    signed = F.lit(True)
-    if key is not None:
+    signed = F.lit(True) if key is None else hmac_sha256(key, F.encode(F.concat_ws("\n", "payload_hash", "nonce", "commit"), "UTF-8")) == F.col("signature")
+    failure = F.when(F.col("size") > most_bytes, "too-large").when(F.sha2("payload", 256) != F.col("payload_hash"), "hash-mismatch").when(~F.coalesce("scan_passed", F.lit(False)), "scan-failed").when(F.col("expires_at") <= now, "expired").when(F.col("_seen").isNotNull(), "replayed").when(~F.coalesce(signed, F.lit(False)), "bad-signature").when(~F.col("commit").eqNullSafe(F.col("expected_commit")), "commit-mismatch")
+    return x.withColumn("failure", failure).drop("_seen")
 
-        @F.udf("string")
-        def mac(body: str | None) -> str:
-            return hmac.new(key, (body or "").encode(), hashlib.sha256).hexdigest()
 
-        signed = mac(F.concat_ws("\n", "payload_hash", "nonce", "commit")) == F.col("signature")
-    failure = F.when(F.col("size") > most_bytes, "too-large").when(F.sha2("payload", 256) != F.col("payload_hash"), "hash-mismatch").when(~F.coalesce("scan_passed", F.lit(False)), "scan-failed").when(F.col("expires_at") <= now, "expired").when(F.col("_seen").isNotNull(), "replayed").when(~F.coalesce(signed, F.lit(False)), "bad-signature").when(~F.col("commit").eqNullSafe(F.col("expected_commit")), "commit-mismatch")
-    return x.drop("_seen").withColumn("failure", failure)
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """Hex HMAC-SHA256 of bytes with one key: two hashes over the padded key, all in the JVM."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ x for b in block)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+
+
+def upcast(bundles: DataFrame, steps: dict[int, dict[str, Column]]) -> DataFrame:
+    """Bundles (version, ...) that can be read, brought to the newest major: for each major below it the columns that its step sets.
+
+    A row takes the steps from its own major on, in their order; rows with a version that
+    cannot be read are left out.
+    """
+    major = F.split("version", r"\.")[0].cast("int")
+    out = bundles.where(accepted_version(F.col("version"))).withColumn("_major", major)
+    for at in sorted(k for k in steps if k < NEWEST[0]):
+        out = out.withColumns({c: F.when(F.col("_major") <= at, v).otherwise(F.col(c)) for c, v in steps[at].items()})
+    return out.withColumn("version", F.concat_ws(".", *[F.lit(str(x)) for x in NEWEST])).drop("_major")
 
 
 def accepted_version(version: Column) -> Column:
@@ -62,6 +76,11 @@ def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str]) -> Data
     return current.unionByName(incoming.join(current.select(*keys).distinct(), keys, "left_anti"))
 
 
+def replace_by(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Incoming rows, and the current ones whose key none of them has; a null key replaces nothing."""
+    return incoming.unionByName(current.join(incoming.select(key).distinct(), key, "left_anti"))
+
+
 def swap(rows: DataFrame, root: str, partitions: list[str]) -> None:
     """Replace exactly the partitions that rows hold: what is not in this run's rows is gone from them."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(root)
@@ -100,6 +119,17 @@ def region(name: str, body: str) -> str:
     return f"<!-- region:{name} hash:{hashlib.sha256(body.encode()).hexdigest()[:12]} -->\n{body}\n<!-- /region:{name} -->"
 
 
+def merged_documents(documents: DataFrame, text: str = "text", made: str = "made", force: bool = False) -> DataFrame:
+    """documents with merged: struct(text, kept, orphans), their regions renewed by ``made``, a map of names to texts."""
+
+    @F.pandas_udf("struct<text:string,kept:array<string>,orphans:array<string>>")
+    def merge(texts: pd.Series, regions: pd.Series) -> pd.DataFrame:
+        rows = [merge_regions(t or "", dict(r or {}), force) for t, r in zip(texts, regions)]
+        return pd.DataFrame(rows, columns=["text", "kept", "orphans"])
+
+    return documents.withColumn("merged", merge(F.col(text), F.col(made)))
+
+
 def merge_regions(existing: str, made: dict[str, str], force: bool = False) -> tuple[str, list[str], list[str]]:
     """The document with its generated regions renewed, names kept for human edits, and names that are no longer made.
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 REPOS, MODULES, WINDOW_MS = 40, 150, 3_600_000
@@ -68,6 +69,39 @@ def once(jobs: DataFrame, key: str = "job_id", keep: str = "24 hours") -> DataFr
     return jobs.withWatermark("ts", keep).dropDuplicatesWithinWatermark([key]) if jobs.isStreaming else jobs.dropDuplicates([key])
 
 
+def bounded_sessions(events: DataFrame, idle: str = "30 minutes", most_seconds: int = 8 * 3600) -> DataFrame:
+    """Sessions by idle gap that also end a fixed time after they began: principal, start, events.
+
+    An event past that time opens a session of its own; the fold is over one idle session's times.
+    """
+    runs = events.groupBy(F.session_window("ts", idle), "principal").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("xs"))
+    start = F.array().cast("array<struct<start:bigint,events:bigint>>")
+    one = lambda x, n: F.struct(x.alias("start"), n.cast("long").alias("events"))
+
+    def step(s, x):
+        last = F.element_at(s, -1)
+        same = (F.size(s) > 0) & (x - last["start"] < F.lit(most_seconds * 1_000_000))
+        return F.when(same, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(one(last["start"], last["events"] + 1)))).otherwise(F.concat(s, F.array(one(x, F.lit(1)))))
+
+    # element_at of an empty array is an error, so the first event is the start of the fold.
+    folded = F.aggregate(F.slice("xs", 2, F.size("xs")), F.concat(start, F.array(one(F.get("xs", 0), F.lit(1)))), step)
+    return runs.select("principal", F.explode(folded).alias("s")).select("principal", F.timestamp_micros("s.start").alias("start"), F.col("s.events").alias("events"))
+
+
+def cached_permissions(requests: DataFrame, snapshots: DataFrame, ttl_seconds: int = 300, hard_seconds: int = 3600) -> DataFrame:
+    """requests (principal, ts, request_id) with the permissions of the last snapshot before: fresh, stale or expired by its age.
+
+    Requests and snapshots of a principal are one ordered run, so there is no join on times.
+    """
+    a = requests.select("principal", "ts", "request_id", F.lit(None).cast(dict(snapshots.dtypes)["permissions"]).alias("permissions"), F.lit(1).alias("_is"))
+    b = snapshots.select("principal", "ts", F.lit(None).cast(dict(requests.dtypes)["request_id"]).alias("request_id"), "permissions", F.lit(0).alias("_is"))
+    w = Window.partitionBy("principal").orderBy("ts", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("_last", F.last(F.when(F.col("_is") == 0, F.struct("ts", "permissions")), ignorenulls=True).over(w)).where("_is = 1")
+    age = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_last.ts").cast("timestamp"))) / 1e6
+    state = F.when(F.col("_last").isNull() | (age > hard_seconds), "expired").when(age > ttl_seconds, "stale").otherwise("fresh")
+    return both.select("request_id", "principal", state.alias("state"), F.when(state != "expired", F.col("_last.permissions")).alias("permissions"))
+
+
 def sessions(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
     """Sessions by idle gap: principal, start, end, events."""
     return events.groupBy(F.session_window("ts", idle), "principal").agg(F.count("*").alias("events")).select("principal", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
