@@ -173,14 +173,15 @@ def scan(files: DataFrame, key: str, path: Column, text: str, rules: list[Rule]
     before = F.substring("_text", F.lit(1), F.col("at"))
     line = (F.regexp_count(before, F.lit("\n")) + 1).cast("long")
     column = (F.length(F.substring_index(before, "\n", -1)) + 1).cast("long")
-    rows = rows.select(key, F.col("_path").alias("path"), "rule_no", "at", name("id").alias("rule"), name("category").alias("category"), name("severity").alias("severity"), line.alias("line"), column.alias("column"), redacted(F.col("value")).alias("preview"))
+    named = [key] if key == "path" else [key, "path"]
+    rows = rows.select(*[F.col(key) if c == key else F.col("_path").alias(c) for c in named], "rule_no", "at", name("id").alias("rule"), name("category").alias("category"), name("severity").alias("severity"), line.alias("line"), column.alias("column"), redacted(F.col("value")).alias("preview"))
     if most is not None:
         order = Window.partitionBy(key).orderBy("rule_no", "at")
         rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
     hidden = F.lit(False)
     for glob, rule in allow or []:
         hidden = hidden | (F.col("path").rlike(glob_regex(glob)) & (F.col("rule") == rule))
-    return rows.select(key, "path", "rule", "category", "severity", "line", "column", "preview", F.coalesce(hidden, F.lit(False)).alias("suppressed"))
+    return rows.select(*named, "rule", "category", "severity", "line", "column", "preview", F.coalesce(hidden, F.lit(False)).alias("suppressed"))
 
 
 def custom_rules(patterns: list[tuple[str, str, str]]) -> list[Rule]:

@@ -14,16 +14,38 @@ from pyspark.sql.window import Window
 from corpusloom.functions.text import glob_regex, language_of, normal_path
 from corpusloom.operators.scanner import DENIED_PATHS, SKIPPED_PATHS, any_match
 
-MOST_FILES = 200_000
 # Manifest names and their ecosystems.
 MANIFESTS = {"package.json": "npm", "pyproject.toml": "pypi", "setup.py": "pypi"}
 
 
-def walk(spark: SparkSession, root: str, exclude: list[str] | None = None, most: int = MOST_FILES) -> DataFrame:
-    """path (below root), size and content of the readable files of a tree, sorted, at most ``most``.
+def ignore_patterns(text: str) -> list[tuple[str, bool]]:
+    """(expression, ignores) of the lines of an ignore file; the last line that matches a path decides."""
+    out = []
+    for line in text.splitlines():
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
+        ignores, body = not line.startswith("!"), line.lstrip("!")
+        rooted, folder = "/" in body.rstrip("/"), body.endswith("/")
+        glob = body.strip("/") if rooted else "**/" + body.strip("/")
+        inside = glob_regex(glob + "/**")
+        out.append((inside if folder else f"(?:{glob_regex(glob)})|(?:{inside})", ignores))
+    return out
+
+
+def ignored(path: Column, patterns: list[tuple[str, bool]]) -> Column:
+    out = F.lit(False)
+    for pattern, ignores in patterns:
+        out = F.when(path.rlike(pattern), ignores).otherwise(out)
+    return out
+
+
+def walk(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: str = "") -> DataFrame:
+    """path (below root), size and content of the readable files of a tree.
 
     Spark's binary file reader lists and reads, so any store that Spark reads will do;
-    content is read only by plans that ask for it.
+    content is read only by plans that ask for it. ignore is the text of ignore files. Files
+    come in no order and without a limit; sort and cut what is shown.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^[a-z0-9]+:/*", "", root).strip("/")
@@ -32,7 +54,7 @@ def walk(spark: SparkSession, root: str, exclude: list[str] | None = None, most:
     out = out.where(~any_match(F.col("path"), DENIED_PATHS) & ~any_match(F.col("path"), SKIPPED_PATHS))
     for glob in exclude or []:
         out = out.where(~F.col("path").rlike(glob_regex(glob)))
-    return out.orderBy("path").limit(most)
+    return out.where(~ignored(F.col("path"), ignore_patterns(ignore)))
 
 
 def with_language(files: DataFrame) -> DataFrame:
