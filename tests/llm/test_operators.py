@@ -257,9 +257,10 @@ def test_near_duplicates(spark, docs, rows, k, num, den):
     more += [(5000, more[0][1], "en", "s"), (5001, more[1][1], "en", "s")]
     both = docs.select("doc_id", "text", "sig", "label").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string").select("doc_id", "text", F.lit("c").alias("sig"), F.lit("c").alias("label")))
     out = near_duplicates(both, k, num, den)
-    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in out.collect() if r.doc_id is not None], key=repr)
+    found = out.collect()
+    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None], key=repr)
     assert got == by_brute_force([*rows, *more], k, num, den)
-    assert {(r.doc_id, r.component_id) for r in out.collect() if r.doc_id is None} == {(None, 4), (None, None)}
+    assert {(r.doc_id, r.component_id) for r in found if r.doc_id is None} == {(None, 4), (None, None)}
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
