@@ -221,3 +221,29 @@ def supersede(shallow: DataFrame, deep: DataFrame) -> DataFrame:
 def first_by_id(rows: DataFrame, item: str, order: str) -> DataFrame:
     w = Window.partitionBy(item).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def compose_services(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """name, image, depends_on, ports and path of the services of compose files.
+
+    Lines are read by their indentation: a service is a key below ``services:``, its keys
+    are one level deeper, and lists may stand in brackets, as lines with a dash, or, for
+    depends_on, as keys.
+    """
+    named = files.where(F.col(path).rlike(r"(^|/)(docker-)?compose[^/]*\.ya?ml$"))
+    lines = named.select(F.col(path).alias("path"), F.posexplode(F.split(text, r"\r?\n", -1)).alias("no", "line")).where(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    lines = lines.withColumn("at", F.length(F.regexp_extract("line", r"^( *)", 1)))
+    w = Window.partitionBy("path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("section", F.last(F.when(F.col("at") == 0, F.regexp_extract("line", r"^([\w-]+):", 1)), ignorenulls=True).over(w)).where("section = 'services' and at > 0")
+    step = lines.groupBy("path").agg(F.min("at").alias("step"))
+    lines = lines.join(step, "path").withColumn("level", F.floor(F.col("at") / F.col("step")))
+    key = F.regexp_extract("line", r"^\s*[\"']?([\w.-]+)[\"']?:", 1)
+    lines = lines.withColumn("name", F.last(F.when(F.col("level") == 1, key), ignorenulls=True).over(w)).withColumn("key", F.last(F.when((F.col("level") == 2) & ~F.col("line").rlike(r"^\s*-"), key), ignorenulls=True).over(w)).where("level > 1")
+    value = F.trim(F.regexp_replace(F.regexp_extract("line", r"^\s*[\w.-]+:\s*(.*)$", 1), r"\s+#.*$", ""))
+    plain = lambda c: F.regexp_replace(c, "^[\"']|[\"']$", "")
+    item = F.when(F.col("line").rlike(r"^\s*-"), plain(F.regexp_extract("line", r"^\s*-\s*(.*?)\s*$", 1)))
+    listed = F.when(value.startswith("["), F.transform(F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), r"\s*,\s*"), plain)).when(item.isNotNull(), F.array(item)).when((F.col("key") == "depends_on") & (F.col("level") == 3), F.array(key)).otherwise(F.array().cast("array<string>"))
+    per = lines.select("path", "name", "key", "no", F.when((F.col("key") == "image") & (F.col("level") == 2), plain(value)).alias("image"), listed.alias("items"))
+    gather = lambda k: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("key").isin(k), F.struct("no", "items")))), lambda x: x["items"]))
+    out = per.groupBy("path", "name").agg(F.max("image").alias("image"), gather(["depends_on", "links"]).alias("depends_on"), gather(["ports"]).alias("p"))
+    return out.select("name", "image", "depends_on", F.filter(F.transform("p", lambda x: F.element_at(F.split(x, ":"), -1)), lambda x: x.rlike(r"^\d+$")).alias("ports"), "path")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import normalize
-from corpusloom.operators import access, assembly, dedupe, graph, scanner
+from corpusloom.operators import access, assembly, dedupe, graph, indexing, scanner
 from corpusloom.sources import repository, store
 from corpusloom.streaming import access as streams
 
@@ -166,6 +166,28 @@ def test_pushes_and_jobs_in_a_stream(spark, tmp_path):
     assert [(r.calls, r.repos) for r in hours] == [(4, 1)]
 
 
+def test_index_documents_splits_by_the_cache(spark):
+    docs = spark.createDataFrame([(1, "one text"), (2, "two text"), (3, "two text"), (4, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "content_hash string")
+    chunks, misses = indexing.index_documents(docs, none, title=F.lit("t"))
+    assert chunks.where("cached").count() == 0 and (chunks.count(), misses.count()) == (3, 2)
+    known = chunks.where("doc_id = 2").select("content_hash")
+    chunks, misses = indexing.index_documents(docs, known, title=F.lit("t"))
+    assert sorted((r.doc_id, r.cached) for r in chunks.collect()) == [(1, False), (2, True), (3, True)]
+    assert [r.doc_id for r in misses.collect()] == [1]
+
+
+def test_index_symbols_embeds_representatives(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    body = " ".join(f"word{i}" for i in range(80))
+    rows = [("s1", "m", "f", "function", "a.ts", body, "internal", None), ("s2", "m", "f", "function", "a.ts", body, "internal", None), ("s3", "m", "g", "function", "a.ts", "short", "internal", None), ("s4", "m", "h", "function", "a.ts", body, "restricted", None), ("s5", "m", "A.x", "enum-member", "a.ts", "x", "internal", None)]
+    symbols = spark.createDataFrame(rows, "symbol_id string, module string, name string, kind string, path string, body string, sensitivity string, doc string")
+    out, misses = indexing.index_symbols(symbols, spark.createDataFrame([], "content_hash string"))
+    got = {r.symbol_id: r.is_representative for r in out.collect()}
+    assert set(got) == {"s1", "s2", "s3"} and got["s3"] and got["s1"] != got["s2"]
+    assert {r.symbol_id for r in misses.collect()} == {"s3", "s1" if got["s1"] else "s2"}
+
+
 def test_services_of_one_name(spark):
     rows = [("db", None, ["a"], ["1"], "y"), ("db", "postgres", ["b", "a"], [], "z"), ("db", "other", None, ["2"], "x")]
     got = repository.merge_services(spark.createDataFrame(rows, "name string, image string, depends_on array<string>, ports array<string>, path string")).first()
