@@ -56,7 +56,7 @@ def _cross(spark, d):
     n = table(spark, d, "nation")
     package = n.select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("src"), F.col("n_regionkey").alias("dst"))
     types = table(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("repo"), F.col("p_brand").alias("language"), F.split("p_name", " ").alias("fields"))
-    refs = s.select(F.col("id").cast("string").alias("src"))
+    refs = s.select(F.col("id").cast("string").alias("src")).unionByName(table(spark, d, "region").select(F.col("r_name").alias("src")))
     return indexing.cross_repo_edges(graph.contract_edges(s, c), package, graph.shared_type_edges(types, 2), refs)
 
 
@@ -74,7 +74,7 @@ def cross_repo_edges(spark, d):
     return _cross(spark, d)[0].groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"), F.md5(F.array_join(ordered, ",")).alias("edges"))
 
 
-@query(f"WITH {_CROSS} SELECT s_suppkey::VARCHAR AS src FROM supplier WHERE s_suppkey::VARCHAR NOT IN (SELECT src FROM e)")
+@query(f"WITH {_CROSS} SELECT src FROM (SELECT s_suppkey::VARCHAR AS src FROM supplier UNION ALL SELECT r_name FROM region) WHERE src NOT IN (SELECT src FROM e)")
 def pending_references(spark, d):
     """References that no edge answers."""
     return _cross(spark, d)[1]
