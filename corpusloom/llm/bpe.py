@@ -22,7 +22,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 #: Characters that str.split() takes for white space and the tokenizer does not.
 ODD = regex.compile("[\x1c-\x1f]")
 #: Runs and words whose encoding a worker keeps, in each of two generations of runs.
-KEPT = 150_000
+KEPT = 100_000
 #: Letters of a fragment from which its pairs wait in a heap, so that time grows as n log n and not as n squared.
 LONG = 64
 _NONE = 1 << 60

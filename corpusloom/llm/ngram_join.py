@@ -27,7 +27,7 @@ WEIGHED, LIST_COST = 40, 3.0
 #: Tasks among which the list of a token from the frequency table is dealt.
 SALTS = 16
 #: Words whose hash a worker keeps.
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 16
 #: Entries of open lists may meet as many others each before another hub round or keys of two tokens are tried.
 FEW_MEETINGS = 4
 #: A hub round that links fewer of the open nodes than this share is the last one.
