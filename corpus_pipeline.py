@@ -25,9 +25,9 @@ LEAST_SCORE = 0.4
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts that no language fits."""
-    carry = [c for c in docs.columns if c != "doc_id"]
-    out = identify(docs, carry=carry)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    packed = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))  # columns of docs may have any names
+    out = identify(packed, carry=["_row"])
+    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
