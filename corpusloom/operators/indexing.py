@@ -98,6 +98,11 @@ def redirects(stored: DataFrame, renames: DataFrame) -> DataFrame:
     return last.unionByName(stored.join(last.select("org", "previous_id"), ["org", "previous_id"], "left_anti"))
 
 
+# Examples by type and by format.
+PLAIN = {"integer": 0, "number": 0, "boolean": True}
+FORMATS = {"date-time": "2026-08-20T09:00:00Z", "uuid": "00000000-0000-0000-0000-000000000000"}
+
+
 def example_of(schema: dict | None, schemas: dict, name: str = "value", depth: int = 0):
     """A value of a JSON schema: its example, first choice or default, else one built of its parts, five levels deep."""
     if not schema or depth > 4:
@@ -113,9 +118,7 @@ def example_of(schema: dict | None, schemas: dict, name: str = "value", depth: i
         return [example_of(s.get("items"), schemas, name, depth + 1)]
     if kind == "object":
         return {k: example_of(v, schemas, k, depth + 1) for k, v in (s.get("properties") or {}).items()}
-    plain = {"integer": 0, "number": 0, "boolean": True}
-    formats = {"date-time": "2026-08-20T09:00:00Z", "uuid": "00000000-0000-0000-0000-000000000000"}
-    return plain[kind] if kind in plain else formats.get(s.get("format"), f"<{name}>")
+    return PLAIN[kind] if kind in PLAIN else FORMATS.get(s.get("format"), f"<{name}>")
 
 
 def with_examples(specs: DataFrame, schema: str = "schema", components: str = "components") -> DataFrame:
