@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, hard_negatives, line_dedup
 from ._common import documents
 from .bpe import bpe
 from .langid import identify
@@ -16,11 +16,14 @@ from .license_scan import document_path, license_scan
 from .media import document_media
 from .mixing import mix
 from .ngram_join import near_duplicates
+from .packing import pack
+from .runs import periodic_runs, run_digests, with_planted_runs
 from .sharding import shard
 from .toxicity import toxicity
 
-#: The tokenizer file that op2 encodes with.
+#: The tokenizer files of op2 and op12.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +67,20 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), 24)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.embedded_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.hard_negatives(rows, F.col("key") % 100 == 0)
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(documents(spark, sf_dir), PACK_TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(documents(spark, sf_dir))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -76,8 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_feistel_shards": op10_feistel_shards,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_curve_packing": op12_curve_packing,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
