@@ -1,4 +1,4 @@
-"""Edges between symbols and repositories: resolution, reversal, usages, cross-repository links, invariants."""
+"""Edges between symbols: resolution, reversal, usages, invariants, chains."""
 
 from __future__ import annotations
 
@@ -31,44 +31,14 @@ def top_neighbours(edges: DataFrame, seeds: DataFrame, most: int = 12, src: str
     return near.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
 
 
-def contract_edges(consumers: DataFrame, producers: DataFrame) -> DataFrame:
-    """Equal names, case aside, in different repositories: (repo, name, id) on both sides.
-
-    Every edge is a row of its own, as a caller has as many providers as there are; count
-    them first with ``edge_counts`` where a name may be common.
-    """
-    c, p = consumers.alias("c"), producers.alias("p")
-    return c.join(p, (F.lower("c.name") == F.lower("p.name")) & (F.col("c.repo") != F.col("p.repo"))).select(F.col("c.id").alias("src"), F.col("p.id").alias("dst"), F.col("c.repo").alias("src_repo"), F.col("p.repo").alias("dst_repo"))
-
-
 def edge_counts(consumers: DataFrame, producers: DataFrame) -> DataFrame:
-    """name, consumers, producers and the edges that contract_edges would make of it, from counts by name and repository alone."""
+    """name, consumers, producers and the contract links between them, from counts by name and repository alone."""
     per = lambda df, n: df.groupBy(F.lower("name").alias("name"), "repo").agg(F.count("*").alias(n))
     both = per(consumers, "c").join(per(producers, "p"), ["name", "repo"], "full").fillna(0, ["c", "p"])
     out = both.groupBy("name").agg(F.sum("c").alias("consumers"), F.sum("p").alias("producers"), F.sum(F.col("c") * F.col("p")).alias("own"))
     return out.where("consumers > 0 and producers > 0").select("name", "consumers", "producers", (F.col("consumers") * F.col("producers") - F.col("own")).alias("edges"))
 
 
-def shared_type_edges(types: DataFrame, least_fields: int = 3) -> DataFrame:
-    """Types (id, repo, language, fields) with the same field names in another repository and language."""
-    key = F.md5(F.array_join(F.array_sort(F.transform("fields", F.lower)), ","))
-    t = types.where(F.size("fields") >= least_fields).select("id", "repo", "language", key.alias("k"))
-    a, b = t.alias("a"), t.alias("b")
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.repo") < F.col("b.repo")) & (F.col("a.language") != F.col("b.language"))).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.repo").alias("src_repo"), F.col("b.repo").alias("dst_repo"))
-
-
-def package_edges(dependencies: DataFrame, packages: DataFrame, unresolved: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Names that a module could not resolve, found in the packages it depends on.
-
-    dependencies (module, package), packages (package, module), unresolved (src, module,
-    name), symbols (symbol_id, module, name). All joins are on equal keys.
-    """
-    p = packages.select("package", F.col("module").alias("owner"))
-    s = symbols.select(F.col("module").alias("owner"), "name", F.col("symbol_id").alias("dst"))
-    reach = unresolved.join(dependencies, "module").join(p, "package").where("owner <> module")
-    return reach.join(s, ["owner", "name"]).select("src", "dst", "package").distinct()
-
-
 def pending(refs: DataFrame, edges: DataFrame) -> DataFrame:
     """References that no edge answers."""
     return refs.join(edges.select("src").distinct(), "src", "left_anti")

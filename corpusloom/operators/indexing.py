@@ -62,22 +62,6 @@ def index_symbols(symbols: DataFrame, cache: DataFrame, budget: int = chunking.M
     return out, dedupe.cache_split(out.where("is_representative"), cache)[1]
 
 
-def cross_repo_edges(contract: DataFrame, package: DataFrame, shared: DataFrame, refs: DataFrame, most: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(src, dst, kind, confidence) of the three kinds of edges, each once, and the references (src) that none answers.
-
-    most: how many edges of a kind are listed, by (src, dst); without it all are.
-    """
-    kinds = (("api-contract", contract, 0.95), ("package-dependency", package, 0.9), ("shared-type", shared, 0.7))
-    out = None
-    for kind, df, sure in kinds:
-        rows = df.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
-        if most and kind in most:
-            rows = rows.orderBy("src", "dst").limit(most[kind])
-        rows = rows.withColumns({"kind": F.lit(kind), "confidence": F.lit(sure)})
-        out = rows if out is None else out.unionByName(rows)
-    return out, refs.join(out.select("src").distinct(), "src", "left_anti")
-
-
 def neighbour_edges(symbols: DataFrame, cross: DataFrame) -> DataFrame:
     """(seed_id, symbol_id, relation): what a symbol calls, its types, what calls it, and its edges to other repositories.
 

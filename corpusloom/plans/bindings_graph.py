@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators import diff, graph
+from corpusloom.operators import cross_repo, diff, graph
 from corpusloom.plans.bindings_scan import table
 from corpusloom.sources import store
 from corpusloom.streaming import access as streams
@@ -127,38 +127,53 @@ def graph_neighbours(spark, d):
     return graph.top_neighbours(e, seeds).select("seed_id", "dst", "centrality", "place")
 
 
-@query("SELECT s.s_suppkey AS src, c.c_custkey AS dst, s.s_nationkey AS src_repo, c.c_nationkey AS dst_repo FROM supplier s JOIN customer c ON substr(lower(s.s_name), -4) = substr(lower(c.c_name), -4) AND s.s_nationkey <> c.c_nationkey")
+#: Pairs of the three kinds of links, for the SQL only: the library never makes them.
+CONTRACT_PAIRS = "SELECT lower(substr(s_name, -4)) AS key, s_suppkey::VARCHAR AS src, c_custkey::VARCHAR AS dst FROM supplier JOIN customer ON substr(lower(s_name), -4) = substr(lower(c_name), -4) AND s_nationkey <> c_nationkey"
+TYPE_PAIRS = """SELECT a.k AS key, a.id::VARCHAR AS src, b.id::VARCHAR AS dst FROM (SELECT p_partkey AS id, p_type AS repo, p_brand AS language, md5(array_to_string(list_sort(string_split(lower(p_name), ' ')), ',')) AS k FROM part WHERE len(string_split(p_name, ' ')) >= 2) a
+ JOIN (SELECT p_partkey AS id, p_type AS repo, p_brand AS language, md5(array_to_string(list_sort(string_split(lower(p_name), ' ')), ',')) AS k FROM part WHERE len(string_split(p_name, ' ')) >= 2) b ON a.k = b.k AND a.repo < b.repo AND a.language <> b.language"""
+PACKAGE_PAIRS = """SELECT DISTINCT p.p_brand || ':' || p.p_name AS key, concat_ws(':', u.l_orderkey, u.l_linenumber, u.l_partkey, u.l_suppkey) AS src, p.p_partkey::VARCHAR AS dst FROM lineitem u JOIN part q ON q.p_partkey = u.l_partkey
+ JOIN part p ON p.p_name = q.p_name AND p.p_brand = 'Brand#' || (u.l_suppkey % 25 + 1) WHERE p.p_type <> q.p_type"""
+_MEMBERS = "WITH e AS ({0}) SELECT key, src AS id, 'source' AS side, count(*) AS links FROM e GROUP BY key, src UNION ALL SELECT key, dst, 'target', count(*) FROM e GROUP BY key, dst"
+
+
+def contract_sides(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.expr("right(s_name, 4)").alias("name"), F.col("s_nationkey").alias("repo"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.expr("upper(right(c_name, 4))").alias("name"), F.col("c_nationkey").alias("repo"))
+    return cross_repo.contract_sides(s, c)
+
+
+def types(spark, d):
+    t = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("repo"), F.col("p_brand").alias("language"), F.split("p_name", " ").alias("fields"))
+    return cross_repo.typed(t, 2)
+
+
+def package_sides(spark, d):
+    p = table(spark, d, "part")
+    line = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    module = F.concat_ws("@", "p_type", F.col("l_suppkey") % 25 + 1)
+    u = table(spark, d, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey")).select(line.alias("src"), module.alias("module"), F.col("p_name").alias("name"), F.col("p_type").alias("repo"), (F.col("l_suppkey") % 25 + 1).alias("b"))
+    depends = u.select("module", F.concat(F.lit("Brand#"), F.col("b").cast("string")).alias("package"))
+    owner = F.concat_ws("#", "p_brand", "p_type").alias("module")
+    symbols = p.select(owner, F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("symbol_id"), F.col("p_type").alias("repo"))
+    return cross_repo.package_sides(depends, p.select(F.col("p_brand").alias("package"), owner), u.drop("b"), symbols)
+
+
+@query(_MEMBERS.format(CONTRACT_PAIRS))
 def contract_edges(spark, d):
-    """Equal names in different repositories."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("right(s_name, 4)").alias("name"), F.col("s_nationkey").alias("repo"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("upper(right(c_name, 4))").alias("name"), F.col("c_nationkey").alias("repo"))
-    return graph.contract_edges(s, c)
+    """Equal names in different repositories: each member with its links."""
+    return cross_repo.other_repository(*contract_sides(spark, d))[1].select("key", "id", "side", "links")
 
 
-@query("""
-WITH t AS (SELECT p_partkey AS id, p_type AS repo, p_brand AS language, md5(array_to_string(list_sort(string_split(lower(p_name), ' ')), ',')) AS k, len(string_split(p_name, ' ')) AS n FROM part)
-SELECT a.id AS src, b.id AS dst, a.repo AS src_repo, b.repo AS dst_repo FROM t a JOIN t b ON a.k = b.k AND a.repo < b.repo AND a.language <> b.language WHERE a.n >= 2 AND b.n >= 2
-""")
+@query(_MEMBERS.format(TYPE_PAIRS))
 def shared_type_edges(spark, d):
-    """Types with the same fields in two repositories and languages."""
-    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("repo"), F.col("p_brand").alias("language"), F.split("p_name", " ").alias("fields"))
-    return graph.shared_type_edges(t, 2)
+    """Types with the same fields in two repositories and languages: each with its links."""
+    return cross_repo.other_language(types(spark, d))[1].select("key", "id", "side", "links")
 
 
-@query("""
-SELECT DISTINCT concat_ws(':', u.l_orderkey, u.l_linenumber, u.l_partkey, u.l_suppkey) AS src, p.p_partkey AS dst, p.p_brand AS package FROM lineitem u JOIN part q ON q.p_partkey = u.l_partkey JOIN part p ON p.p_name = q.p_name AND p.p_brand = 'Brand#' || (u.l_suppkey % 25 + 1) WHERE p.p_type <> q.p_type
-""")
+@query(_MEMBERS.format(PACKAGE_PAIRS))
 def package_edges(spark, d):
-    """Unresolved names found in the packages that a module depends on."""
-    p = table(spark, d, "part")
-    line = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    u = table(spark, d, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey")).select(line.alias("src"), F.concat_ws("@", "p_type", F.col("l_suppkey") % 25 + 1).alias("module"), F.col("p_name").alias("name"), "p_type", (F.col("l_suppkey") % 25 + 1).alias("b"))
-    dep = u.select("module", F.concat(F.lit("Brand#"), F.col("b").cast("string")).alias("package")).distinct()
-    packages = p.select(F.col("p_brand").alias("package"), F.concat_ws("#", "p_brand", "p_type").alias("module")).distinct()
-    symbols = p.select(F.concat_ws("#", "p_brand", "p_type").alias("module"), F.col("p_name").alias("name"), F.col("p_partkey").alias("symbol_id"))
-    out = graph.package_edges(dep, packages, u.select("src", "module", "name"), symbols)
-    own = u.select("src", F.col("p_type").alias("t")).distinct()
-    return out.join(own, "src").join(p.select(F.col("p_partkey").alias("dst"), "p_type"), "dst").where("p_type <> t").select("src", "dst", "package").distinct()
+    """Unresolved names and the symbols that the packages of their modules have for them."""
+    return cross_repo.other_repository(*package_sides(spark, d))[1].select("key", "id", "side", "links")
 
 
 @query("""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, indexing, platform
+from corpusloom.operators import cross_repo, graph, indexing, platform
+from corpusloom.plans import bindings_graph
 from corpusloom.plans.bindings_assembly import _fill
 from corpusloom.plans.bindings_scan import table
 from corpusloom.sources import repository, store
@@ -50,34 +51,32 @@ def blurb_worklist(spark, d):
     return indexing.blurb_worklist(x, x.where("ordinal % 9 = 0")).select("ordinal", "signature_hash")
 
 
-def _cross(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("right(s_name, 3)").alias("name"), F.col("s_nationkey").alias("repo"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("upper(right(c_name, 3))").alias("name"), F.col("c_nationkey").alias("repo"))
-    n = table(spark, d, "nation")
-    package = n.select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("src"), F.col("n_regionkey").alias("dst"))
-    types = table(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("repo"), F.col("p_brand").alias("language"), F.split("p_name", " ").alias("fields"))
-    refs = s.select(F.col("id").cast("string").alias("src")).unionByName(table(spark, d, "region").select(F.col("r_name").alias("src")))
-    return indexing.cross_repo_edges(graph.contract_edges(s, c), package, graph.shared_type_edges(types, 2), refs)
+_CROSS = f"""
+e AS (SELECT 'api-contract' AS kind, 0.95::DOUBLE AS confidence, * FROM ({bindings_graph.CONTRACT_PAIRS}) UNION ALL SELECT 'package-dependency', 0.9::DOUBLE, * FROM ({bindings_graph.PACKAGE_PAIRS}) UNION ALL SELECT 'shared-type', 0.7::DOUBLE, * FROM ({bindings_graph.TYPE_PAIRS}))"""
 
 
-_CROSS = """
-e AS (SELECT DISTINCT s_suppkey::VARCHAR AS src, c_custkey::VARCHAR AS dst, 'api-contract' AS kind FROM supplier JOIN customer ON lower(substr(s_name, -3)) = lower(substr(c_name, -3)) AND s_nationkey <> c_nationkey
- UNION ALL SELECT 'p' || n_nationkey, n_regionkey::VARCHAR, 'package-dependency' FROM nation
- UNION ALL SELECT DISTINCT 't' || a.p_partkey, 't' || b.p_partkey, 'shared-type' FROM part a JOIN part b ON list_sort(string_split(lower(a.p_name), ' ')) = list_sort(string_split(lower(b.p_name), ' ')) AND a.p_type < b.p_type AND a.p_brand <> b.p_brand WHERE len(string_split(a.p_name, ' ')) >= 2)"""
+def _cross(spark, d):
+    return cross_repo.all_links(bindings_graph.contract_sides(spark, d), bindings_graph.package_sides(spark, d), bindings_graph.types(spark, d))
 
 
-@query(f"WITH {_CROSS} SELECT kind, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, md5(string_agg(src || '>' || dst, ',' ORDER BY src, dst)) AS edges FROM e GROUP BY kind")
+@query(f"WITH {_CROSS} SELECT kind, key, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, count(*) AS links, confidence FROM e GROUP BY kind, key, confidence")
 def cross_repo_edges(spark, d):
-    """All edges between repositories in one pass, each once."""
-    pair = F.concat_ws(">", "src", "dst")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", pair.alias("p")))), lambda x: x["p"])
-    return _cross(spark, d)[0].groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"), F.md5(F.array_join(ordered, ",")).alias("edges"))
+    """All links between repositories, as classes with counts."""
+    return _cross(spark, d)[0]
+
+
+@query(f"WITH e AS ({bindings_graph.TYPE_PAIRS}) SELECT key, src, dst FROM e ORDER BY src, key, dst LIMIT 5000")
+def cross_repo_page(spark, d):
+    """The first 5000 pairs of shared types."""
+    return cross_repo.page(cross_repo.other_language(bindings_graph.types(spark, d))[1], 5000)
 
 
-@query(f"WITH {_CROSS} SELECT src FROM (SELECT s_suppkey::VARCHAR AS src FROM supplier UNION ALL SELECT r_name FROM region) WHERE src NOT IN (SELECT src FROM e)")
+@query(f"WITH {_CROSS} SELECT s_suppkey::VARCHAR AS src FROM supplier EXCEPT ALL SELECT DISTINCT src FROM e WHERE kind = 'api-contract'")
 def pending_references(spark, d):
-    """References that no edge answers."""
-    return _cross(spark, d)[1]
+    """References that no contract link answers."""
+    refs = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("src"))
+    linked = cross_repo.other_repository(*bindings_graph.contract_sides(spark, d))[1].where("side = 'source'")
+    return graph.pending(refs, linked.select(F.col("id").alias("src")))
 
 
 @query("""
