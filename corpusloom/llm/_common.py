@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,33 @@ def numbered_copies(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: What operators keep in a worker from task to task, by operator: functions that let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def sole_owner(name: str, let_go: Callable[[], None] | None = None) -> None:
+    """Called at the start of a task: what other operators left in this worker is let go.
+
+    Workers outlive tasks, and operators keep vocabularies and words in them; so a worker
+    never holds those of two operators at once.
+    """
+    for other in [k for k in _KEPT if k != name]:
+        _KEPT.pop(other)()
+    if let_go is not None:
+        _KEPT[name] = let_go
+
+
+#: Rows of texts in one batch between Spark and a worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to the workers in batches of BATCH_ROWS rows, unless the session has set a number of its own.
+
+    A batch is in memory on both sides; the default of 10 000 rows is meant for numbers.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -7,7 +7,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 from operator import add
 
 import pyarrow as pa
@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import small_batches, sole_owner
+
 END = "</w>"
 # Fixed values of the tokenizer format: what counts as white space, how a text splits into words.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -42,7 +44,8 @@ class WordBpe:
         data = json.loads(spec)
         model = data["model"]
         self.ids: dict[str, int] = model["vocab"]
-        self.tokens = {i: t for t, i in self.ids.items()} | {x["id"]: x["content"] for x in data["added_tokens"]}
+        named = {i: t for t, i in self.ids.items()} | {x["id"]: x["content"] for x in data["added_tokens"]}
+        self.tokens = [named.get(i, "") for i in range(max(named) + 1)]
         #: For the ids of two tokens that merge, the merge's rank and the made token's id as one number.
         self.wide = max(self.ids.values()).bit_length()
         self.low = (1 << self.wide) - 1
@@ -58,9 +61,9 @@ class WordBpe:
         self.end_ids = {x: self.ids[x + END] for x in self.letters}
         #: Letter pairs inside some token. Any other pair marks a cut: no merge can ever span it.
         self.inside = {t[i : i + 2] for t in (x.removesuffix(END) for x in self.ids) for i in range(len(t) - 1)}
-        self.kept: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
-        self.kept_words: dict[str, tuple[str, int, str]] = {}
+        self.kept: dict[str, tuple[str, list[int]]] = {}
+        self.old: dict[str, tuple[str, list[int]]] = {}
+        self.kept_words: dict[str, tuple[str, list[int]]] = {}
 
     def fragments(self, word: str) -> list[list[int]]:
         """Ids of the word's byte letters, cut where no token spans; the last letter carries the word end."""
@@ -111,19 +114,19 @@ class WordBpe:
                 heapq.heappush(heap, (x, h))
         return [x for x in ids if x >= 0]
 
-    def _word(self, word: str) -> tuple[str, int, str]:
-        """Ids as text, their number, and the tokens, of a word."""
+    def _word(self, word: str) -> tuple[str, list[int]]:
+        """Ids of a word, as text and as numbers."""
         made = self.kept_words.get(word)
         if made is None:
             ids = [t for f in self.fragments(word) for t in self.merge(f)]
-            made = (" ".join(map(str, ids)), len(ids), " ".join(map(self.tokens.__getitem__, ids)))
+            made = " ".join(map(str, ids)), ids
             if len(word) < 64:
                 if len(self.kept_words) >= KEPT:
                     self.kept_words.clear()
                 self.kept_words[word] = made
         return made
 
-    def _chunk(self, chunk: str) -> tuple[str, int, str]:
+    def _chunk(self, chunk: str) -> tuple[str, list[int]]:
         """The same of a run without white space.
 
         What was looked up since the last change of generations outlives the next one.
@@ -134,7 +137,7 @@ class WordBpe:
                 made = self._word(chunk)
             else:
                 parts = [self._word(w) for w in self.words.findall(chunk)]
-                made = parts[0] if len(parts) == 1 else (" ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts]))
+                made = parts[0] if len(parts) == 1 else (" ".join([x[0] for x in parts]), [i for x in parts for i in x[1]])
             if len(chunk) >= 64:
                 return made
         if len(self.kept) >= KEPT:
@@ -142,27 +145,22 @@ class WordBpe:
         self.kept[chunk] = made
         return made
 
-    def encode(self, text: str) -> tuple[str, int, str]:
-        """(decimal ids joined by a space, their number, decoded text) of a whole text."""
-        out: list[tuple[str, int, str]] = []
+    def encode(self, text: str) -> tuple[str, list[int]]:
+        """Ids of a whole text: decimal, joined by a space, and as numbers."""
+        out: list[tuple[str, list[int]]] = []
         for part in self.special_at.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append((str(self.special[part]), 1, part))
+                out.append((str(self.special[part]), [self.special[part]]))
                 continue
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             chunks = regex.split(f"[{SPACE}]+", plain) if ODD.search(plain) else plain.split()
             make = self._chunk
             out += [self.kept.get(c) or make(c) for c in chunks if c]
-        if not out:
-            return "", 0, ""
-        ids, counts, texts = zip(*out)
-        if 0 in counts:
-            ids, texts = [x for x in ids if x], [x for x, n in zip(texts, counts) if n]
-        return " ".join(ids), sum(counts), " ".join(texts)
+        return " ".join([x[0] for x in out if x[1]]), list(chain.from_iterable([x[1] for x in out]))
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, special ones too, joined by a space: the file names no other decoder."""
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 _MADE: dict[str, WordBpe] = {}
@@ -189,22 +187,25 @@ def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_owner("bpe", _MADE.clear)
         coder = _encoder(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, a, b, ids, texts = [], [], [], [], []
                 for text in part.column(1).to_pylist():
-                    joined, count, decoded = coder.encode(text or "")
-                    n.append(count)
+                    joined, made = coder.encode(text or "")
+                    decoded = coder.decode(made)
+                    n.append(len(made))
                     a.append(hashlib.sha256(joined.encode()).hexdigest())
                     b.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
-                        ids.append([int(x) for x in joined.split()])
+                        ids.append(made)
                     if with_text:
                         texts.append(decoded)
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]

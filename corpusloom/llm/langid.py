@@ -9,11 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ._common import small_batches, sole_owner
 
 #: Bytes of a window, windows that a task labels at once, units of each direction.
 WINDOW, BATCH, UNITS = 128, 1024, 8
-#: Bound of the training sample: rows of each language, rows in all, pieces of a row's text and characters of a piece.
-ROWS_A_LANGUAGE, ROWS_IN_ALL, PIECES_A_ROW, CHARS_A_PIECE = 250, 20_000, 12, 160
+#: Bound of the training sample: rows of each language and rows in all; windows that training takes from the rows of a language, and characters of a window.
+ROWS_A_LANGUAGE, ROWS_IN_ALL, PIECES_A_LANGUAGE, CHARS_A_PIECE = 250, 20_000, 6000, 160
 STEPS, TRAIN_WINDOW, TRAIN_BATCH, RATE = 350, 64, 96, 0.02
 UNDETERMINED = "und"
 
@@ -207,11 +210,12 @@ def pooled(net: ByteBiGru, texts: list[str]) -> np.ndarray:
     return out / np.maximum(lengths, 1)[:, None]
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_A_LANGUAGE, most: int = ROWS_IN_ALL, pieces: int = PIECES_A_ROW, chars: int = CHARS_A_PIECE) -> list[tuple[str, str]]:
-    """(text, language) of at most ``rows`` rows of each language and ``most`` in all, spread by a hash of the id.
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_A_LANGUAGE, most: int = ROWS_IN_ALL, pieces: int = PIECES_A_LANGUAGE, chars: int = CHARS_A_PIECE) -> list[tuple[str, str]]:
+    """(piece of text, language) from at most ``rows`` rows of each language and ``most`` in all, spread by a hash of the id.
 
-    A row gives pieces from places all over its text that hashes of the id set; a text no
-    longer than all of them is taken whole.
+    The tasks cut the rows' whole texts into pieces, and training draws ``pieces`` of a
+    language's pieces by their hashes: every place of every text is as likely as any other,
+    whatever the text's length, and the driver holds a bounded number of characters.
     """
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where((fold(F.col("i")) != 0) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
     counts = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -223,15 +227,13 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     bound = F.lit(0)
     for name, n in counts.items():
         bound = F.when(F.col("l") == name, F.lit(min(spread, int(spread * (2 * rows / n))))).otherwise(bound)
-    piece = lambda k: F.col("t").substr((F.pmod(F.xxhash64("i", k), F.length("t") - chars + 1) + 1).cast("int"), F.lit(chars))
-    cut = F.when(F.length("t") <= pieces * chars, F.col("t")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(pieces)), piece), " "))
-    picked = known.withColumn("h", h).where(F.col("h") < bound).select("l", "h", cut.alias("t")).orderBy("h", "l", "t").limit(4 * rows * len(counts)).collect()
-    out, taken = [], dict.fromkeys(counts, 0)
-    for r in picked:
-        if taken[r.l] < rows and r.t.strip():
-            taken[r.l] += 1
-            out.append((r.t, r.l))
-    return out
+    order = Window.partitionBy("l").orderBy("h", "i")
+    picked = known.withColumn("h", h).where(F.col("h") < bound).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    starts = F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)), F.lit(chars))
+    each = picked.select("l", "i", F.explode(starts).alias("at"), "t").select("l", "i", "at", F.col("t").substr(F.col("at"), F.lit(chars)).alias("t"))
+    each = each.where(F.col("t").rlike(r"\p{L}"))
+    drawn = each.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i", "at"), "t"))).where(F.col("r") <= pieces)
+    return [(r.t, r.l) for r in drawn.select("l", "r", "t").orderBy("l", "r").collect()]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
@@ -251,24 +253,30 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     sc = docs.sparkSession.sparkContext
     net = sc.broadcast(train(sample) if sample else None)
     carry = carry or []
+    small_batches(docs.sparkSession)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    data = docs.select(F.when(letters, F.col(text_col)).alias("_text"), F.col(id_col).alias("_id"), (fold(F.col(id_col)) == 0).alias("_held"), *[F.col(c) for c in carry])
+    # A text that is carried goes to the worker once, as the carried column.
+    text_at = 3 + carry.index(text_col) if text_col in carry else 3 + len(carry)
+    sent = carry if text_col in carry else [*carry, text_col]
+    data = docs.select(letters.alias("_letters"), F.col(id_col).alias("_id"), (fold(F.col(id_col)) == 0).alias("_held"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(sent)])
     kinds = dict(docs.dtypes)
-    schema = f"`{id_col}` {kinds[id_col]}, held_out boolean, " + "".join(f"`_c{i}` {kinds[c]}, " for i, c in enumerate(carry)) + "lang_pred string, score double"
+    schema = f"_id {kinds[id_col]}, _held boolean, " + "".join(f"_c{i} {kinds[c]}, " for i, c in enumerate(carry)) + "lang_pred string, score double"
+    names = ["_id", "_held", *[f"_c{i}" for i in range(len(carry))], "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_owner("langid")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = part.column(0).to_pylist()
-                known = [i for i, t in enumerate(texts) if t is not None and net.value is not None]
-                label, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+                lettered = part.column(0).to_pylist()
+                known = [i for i, x in enumerate(lettered) if x and net.value is not None]
+                label, score = [UNDETERMINED] * len(lettered), [0.0] * len(lettered)
                 if known:
-                    p = pooled(net.value, [texts[i] for i in known])
+                    p = pooled(net.value, part.column(text_at).take(pa.array(known)).to_pylist())
                     for i, k, s in zip(known, p.argmax(1).tolist(), p.max(1).tolist()):
                         label[i], score[i] = net.value.labels[k], round(min(1.0, s), 4)
-                rest = [part.column(i) for i in range(1, part.num_columns)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[id_col, "held_out", *[f"_c{i}" for i in range(len(carry))], "lang_pred", "score"])
+                rest = [part.column(i) for i in range(1, 3 + len(carry))]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(label, pa.string()), pa.array(score, pa.float64())], names=names)
 
     out = data.mapInArrow(run, schema)
-    return out.select(id_col, "held_out", "lang_pred", "score", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "lang_pred", "score", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])

@@ -93,7 +93,7 @@ LEAST_WORDS = 4
 #: Words on either side of a found term that windows and lines are read from; more than any template sentence has.
 REACH = 40
 #: The tag that names a licence outright; it counts as one term, so its cosine to its own licence is 1.
-SPDX = r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)"
+SPDX = r"(?i)spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)"
 #: Words of any English text: they have the least idf, that of a term in every sentence.
 COMMON = "the of and to in a is for as with by this that are you at or any may it not under all can from be".split()
 #: Words of any statement: neither these nor numbers tell one licence from another.
@@ -252,10 +252,12 @@ def statements(files: DataFrame) -> DataFrame:
     two = F.size(F.array_intersect(rare, F.transform("s.w", lambda s: s["x"]))) > 1
     score = F.round(_bound(F.transform("s.w", lambda s: s["x"]), lambda ws: _cosine(ws, F.col("weights"), table, unseen)), 6)
     scored = at.select("id", "path", "n_words", "low", "licence", "weights", F.explode(_spans(F.col("size"))).alias("s")).where(two).select("id", "path", "n_words", "licence", score.alias("score"), "s.least", F.transform(F.filter("s.w", lambda s: F.col("weights")[s["x"]].isNotNull()), lambda s: s["i"] + F.col("low")).alias("covers")).where("score >= least").drop("least")
-    tag = F.regexp_replace("tag", r"(-only|-or-later|\+|\.)$", "")
+    tags = files.where(low.contains("spdx-license-identifier:")).select("id", "path", words, F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("said"))
+    tags = tags.withColumn("tag", F.regexp_replace(F.lower("said"), r"(-only|-or-later|\+|\.)$", "")).where(~F.col("tag").isin("none", "noassertion"))
     names = spark.createDataFrame([(n.lower(), n) for n in TEMPLATES], "tag string, licence string")
-    tags = files.where(low.contains("spdx-license-identifier:")).select("id", "path", words, F.explode(F.regexp_extract_all(low, F.lit(SPDX), F.lit(1))).alias("tag"))
-    tagged = tags.withColumn("tag", tag).join(F.broadcast(names), "tag").select("id", "path", "n_words", "licence", F.lit(1.0).alias("score"), F.array().cast("array<int>").alias("covers"))
+    # A tag without a template names a licence all the same, as it is written.
+    named = F.coalesce("licence", F.regexp_replace("said", r"\.$", ""))
+    tagged = tags.join(F.broadcast(names), "tag", "left").select("id", "path", "n_words", named.alias("licence"), F.lit(1.0).alias("score"), F.array().cast("array<int>").alias("covers"))
     spans = materialize(scored.unionByName(tagged), "licence-spans")
     best = spans.groupBy("id", "path").agg(F.max_by("licence", F.struct("score", "licence")).alias("licence"), F.max("score").alias("score"), F.max("n_words").alias("n_words"))
     covers = spans.select("id", "path", F.explode("covers").alias("i")).distinct().groupBy("id", "path").agg(F.count("*").alias("in_spans"))
@@ -271,7 +273,8 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     """id, path, licence, score, origin and from_dir of every file.
 
     Lines, and windows as long as a template's sentence, are compared to each sentence of
-    each template by the cosine of sparse TF-IDF vectors; an SPDX tag names its licence. Whole
+    each template by the cosine of sparse TF-IDF vectors; an SPDX tag names its
+    licence, one without a template too. Whole
     texts are compared to those of the short licences in the same way. A file's own licence
     is that of its whole text, else of its best span. A licence's text, a file of whose words file_share stand in
     statements, or that is named like

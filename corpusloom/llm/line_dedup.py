@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, maybe_broadcast
+from ._common import materialize, maybe_broadcast, small_batches, sole_owner
 
 #: Keys of a shard on average; bits of a level for each key that is still without a place.
 KEYS_A_SHARD, BITS_A_KEY = 16384, 2.0
@@ -208,6 +208,7 @@ def _strip(spark: SparkSession, index: DataFrame, shards: int, min_chars: int):
     made: list[LineIndex] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_owner("line_dedup", made.clear)
         if not made:
             made.append(LineIndex.join(shards, sent.value))
         for batch in batches:
@@ -276,8 +277,8 @@ def _probe_shard(shards: int):
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs with kept_text, lines_in_all and lines_dropped.
+def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES, keep_text: bool = True) -> DataFrame:
+    """docs with kept_text, lines_in_all and lines_dropped; without the old text, where keep_text is false.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys
     of at least min_chars code points that at least min_docs documents hold lose all their
@@ -294,9 +295,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     An empty table gives no rows. Other columns pass through, whatever their names, except
     the three that are added.
     """
+    small_batches(docs.sparkSession)
     index, shards, keys = line_index(docs, min_docs, min_chars, id_col, text_col)
-    rest = [c for c in docs.columns if c not in ("lines_in_all", "lines_dropped", "kept_text")]
-    base = docs.select(*rest)
+    rest = [c for c in docs.columns if c not in ("lines_in_all", "lines_dropped", "kept_text") and (keep_text or c != text_col)]
+    base = docs.select(*rest) if keep_text else docs.select(*rest, text_col)
     added = "lines_in_all long, lines_dropped long, kept_text string"
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     numbered = [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]  # so that the columns may have any names

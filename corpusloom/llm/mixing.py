@@ -122,6 +122,40 @@ def _round_groups(seed: int):
 _ROUNDED = "rid long, id long, size long, copy_no long, source_no long, bucket long, copies long, p double, residual boolean"
 
 
+#: Rows of one source and size up to which those to turn are numbered; beyond, a share of their hashes is taken.
+NUMBERED = 4096
+
+
+def balanced(decided: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """decided rows, some of them decided the other way so that each source comes near its target.
+
+    With a source e words over its target, rows that were rounded up are turned down, the
+    shortest first, as long as their words are within e; with too few words, rows that were
+    rounded down are turned up. What is left is less than one row of the next size, or no row
+    is left to turn. Sizes are counted, so a window holds the distinct sizes of a source, and
+    of one source and size NUMBERED rows at most.
+    """
+    taken = (F.col("copies") + F.col("p")) * F.col("size")
+    off = decided.groupBy("source_no").agg(F.sum(taken).alias("words")).join(targets.select("source_no", "target"), "source_no").select("source_no", (F.col("words") - F.col("target")).alias("e"))
+    off = materialize(off.where(F.abs("e") >= 1), "mix-off")
+    can = F.col("open") & (F.col("size") > 0) & (F.col("size") <= F.abs("e")) & F.when(F.col("e") > 0, F.col("p") == 1).otherwise(F.col("p") == 0)
+    may = decided.join(maybe_broadcast(off, off.count(), 48), "source_no").where(can)
+    before = Window.partitionBy("source_no").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = may.groupBy("source_no", "size", "e").agg(F.count("*").alias("n"))
+    room = F.abs("e") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0))
+    turns = sizes.withColumn("m", F.least(F.col("n"), F.floor(room / F.col("size")))).where("m > 0").select("source_no", "size", "n", "m")
+    turns = materialize(turns, "mix-turns")
+    keys = ["source_no", "size", "id", "copy_no"]
+    hit = may.select(*keys).join(maybe_broadcast(turns, turns.count(), 64), ["source_no", "size"]).withColumn("h", F.xxhash64(F.lit(seed + 2), "id", "copy_no"))
+    share = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("m") / F.col("n")
+    all_or_share = hit.where((F.col("m") == F.col("n")) | ((F.col("n") > NUMBERED) & share))
+    few = hit.where((F.col("m") < F.col("n")) & (F.col("n") <= NUMBERED)).withColumn("r", F.row_number().over(Window.partitionBy("source_no", "size").orderBy("h", "id", "copy_no"))).where("r <= m")
+    turned = materialize(all_or_share.select(*keys).unionByName(few.select(*keys)), "mix-turned").withColumn("turn", F.lit(True))
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys]
+    both = decided.alias("d").join(maybe_broadcast(turned, turned.count(), 56).alias("t"), on, "left")
+    return both.select(*[F.col(f"d.{c}").alias(c) for c in ("id", "size", "copy_no", "source_no", "copies")], F.when(F.col("turn"), 1 - F.col("d.p")).otherwise(F.col("d.p")).alias("p"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Copies of each row that bring every source to its target.
 
@@ -130,7 +164,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     are split into groups of about ROWS_A_GROUP rows by a hash of the row, so a hot source
     spreads over many tasks; each group leaves one row at most undecided, and those meet
     FAN_IN groups at a time, level by level, until one is left for a source. That one is
-    drawn by its probability, so a source is off its target by one row at most.
+    drawn by its probability. A draw over a long text may leave a source far off its
+    target, so short rows are then decided the other way, as ``balanced`` says: a source is
+    off by less than the next of these rows, if there is one.
 
     Returns id, source, size (words of the text; null text: 0), source_size, target,
     copies, taken (copies times size) and copy_no, the row's number among rows of equal id,
@@ -173,8 +209,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     decided = last.select(*cols, "p")
     for d in done:
         decided = decided.unionByName(d.select(*cols, "p"))
-    idle = rows.where("not (p > 0 and size > 0)").select(*cols, F.lit(0.0).alias("p"))
+    decided = decided.withColumn("open", F.lit(True))
+    idle = rows.where("not (p > 0 and size > 0)").select(*cols, F.lit(0.0).alias("p"), F.lit(False).alias("open"))
+    settled = balanced(materialize(decided.unionByName(idle), "mix-decided"), targets, seed)
     named = targets.select("source", "source_no", "source_size", "target")
-    out = decided.unionByName(idle).join(maybe_broadcast(named, n_sources, 256), "source_no")
+    out = settled.join(maybe_broadcast(named, n_sources, 256), "source_no")
     copies = F.col("copies") + F.col("p").cast("long")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "copy_no")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, maybe_broadcast
+from ._common import materialize, maybe_broadcast, small_batches, sole_owner
 from .components import components
 
 #: Shared list entries that a pair of large sets must have; lists are longer by as many tokens, so no pair is lost.
@@ -26,6 +26,8 @@ CHUNK, LEAST = 1 << 21, 8
 WEIGHED, LIST_COST = 40, 3.0
 #: Tasks among which the list of a token from the frequency table is dealt.
 SALTS = 16
+#: Partners that meet a hub's text in one piece.
+PARTNERS = 64
 #: Words whose hash a worker keeps.
 WORDS_KEPT = 1 << 16
 #: Entries of open lists may meet as many others each before another hub round or keys of two tokens are tried.
@@ -204,6 +206,7 @@ def _census(k: int):
     """Rows (kind, key, n): 0 tokens and 1 words that a task has seen more than once, with counts; 2 set sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_owner("ngram_join")
         hasher = WordHasher()
         held_t: list[np.ndarray] = []
         held_w: list[np.ndarray] = []
@@ -244,6 +247,7 @@ def _signatures(law: Law, order: _Order):
     """id, size, 128-bit set hash, list entries, entries of the table among them, and subset hashes with sizes of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_owner("ngram_join")
         hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -348,19 +352,29 @@ def shared_shingles(x: list[bytes], y: list[bytes], k: int) -> tuple[int, int]:
 
 
 def _linked(law: Law):
-    """(a, b, ok) of pairs with their texts, by the words themselves and no hash."""
+    """(a, b, ok) of pairs, by the words themselves and no hash.
+
+    Rows (hub, part, first, partner, text) arrive sorted by these: the text of a hub, then
+    those of its partners. A hub's text is cut once for all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list = [None, None, None, None]  # pairs come sorted by one of their texts, which is cut once
+        sole_owner("ngram_join")
+        at, hub_words = None, []
         for batch in batches:
-            ok = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
-                for at, node, text in ((0, a, x), (2, b, y)):
-                    if last[at] != node or last[at] is None:
-                        last[at : at + 2] = node, words_of(text.as_py())
-                both, union = shared_shingles(last[1], last[3], law.k)
-                ok.append(both > 0 and law.den * both >= law.num * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            a, b, ok = [], [], []
+            for hub, part, later, partner, text in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4).cast(pa.binary())):
+                if (hub, part) != at:
+                    at, hub_words = (hub, part), []
+                words = words_of(text.as_py())
+                if not later:
+                    hub_words.append(words)
+                    continue
+                a.append(min(hub, partner))
+                b.append(max(hub, partner))
+                both = [shared_shingles(x, words, law.k) for x in hub_words]
+                ok.append(any(n > 0 and law.den * n >= law.num * union for n, union in both))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return run
 
@@ -393,6 +407,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     are read one at a time. Other columns are not read, whatever their names.
     """
     law = Law(k, num, den)
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     census = materialize(thin.select("text").mapInArrow(_census(k), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where((F.col("kind") == 2) | (F.col("n") >= LEAST)), "nj-census")
     law = law.choose({r.key: r.n for r in census.where("kind = 2").collect()})
@@ -553,11 +568,23 @@ def _meets(law: Law, n: str, m: str, pos: str, at: str) -> Column:
 
 
 def _verify(pairs: DataFrame, thin: DataFrame, law: Law) -> DataFrame:
-    """(a, b, ok) of every pair, from the whole texts. Only texts of nodes in pairs are moved."""
+    """(a, b, ok) of every pair, from the whole texts.
+
+    Of a pair the node in more pairs is the hub. A hub's text is moved once for each
+    PARTNERS of its partners, each partner's once for each of its hubs; hubs with many
+    partners are dealt over several tasks.
+    """
     pairs = materialize(pairs, "nj-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialize(thin.join(maybe_broadcast(ids, 2 * pairs.count(), 24), "id", "left_semi"), "nj-texts")
-    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_linked(law), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")), "nj-checked")
+    n = pairs.count()
+    degrees = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("k")), "nj-degrees")
+    small = lambda c: maybe_broadcast(degrees.select(F.col("id").alias(c), F.col("k").alias(f"k_{c}")), 2 * n, 32)
+    first = F.col("k_a") >= F.col("k_b")
+    parts = F.ceil(F.greatest("k_a", "k_b") / PARTNERS)
+    stars = pairs.join(small("a"), "a").join(small("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("partner"), parts.alias("parts"))
+    stars = materialize(stars.select("hub", "partner", F.pmod(F.xxhash64("partner"), "parts").cast("int").alias("part")), "nj-stars")
+    texts = materialize(thin.join(maybe_broadcast(degrees.select("id"), 2 * n, 24), "id", "left_semi"), "nj-texts")
+    named = lambda c: texts.select(F.col("id").alias(c), "text")
+    hubs = stars.select("hub", "part").distinct().join(named("hub"), "hub").select("hub", "part", F.lit(False).alias("later"), F.lit(None).cast("long").alias("partner"), "text")
+    partners = stars.join(named("partner"), "partner").select("hub", "part", F.lit(True).alias("later"), "partner", "text")
+    dealt = hubs.unionByName(partners).repartition("hub", "part").sortWithinPartitions("hub", "part", "later", "partner")
+    return materialize(dealt.mapInArrow(_linked(law), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")), "nj-checked")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import materialize, maybe_broadcast
+from ._common import materialize, maybe_broadcast, small_batches, sole_owner
 from .bpe import byte_letters
 
 LENGTH, END = 1024, 0
@@ -112,6 +112,7 @@ def projected(ids: list[np.ndarray], size: int) -> np.ndarray:
 
 def _encode(path: str, end: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_owner("packing", encoder.cache_clear)
         enc = encoder(path)
         kind = "<u2" if enc.size <= 1 << 16 else "<u4"
         for batch in batches:
@@ -179,6 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     rows comes first does not show. A text of any length is encoded whole and cut as often
     as needed. An empty table gives no rows. Columns other than id and text are not read.
     """
+    small_batches(docs.sparkSession)
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = docs.select(id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tie"))
     made = rows.mapInArrow(_encode(tokenizer, end, id_col), f"`{id_col}` {kind}, tie long, n long, place long, ids binary")

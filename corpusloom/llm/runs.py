@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import small_batches
+
 #: A run is at least so many words long, and so many times its period.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -167,6 +169,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of any length is refined whole, in time n log n and memory that grows with it. Columns
     other than id and text are not read, whatever their names.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

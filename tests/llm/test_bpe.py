@@ -18,9 +18,9 @@ HARD = ["", " ", "Hello WORLD's can't I'LL 12 3½ ²", "a\x1cb\x1d c", "ΟΔΥΣ
 
 def same(text):
     enc = LIB.encode(text, add_special_tokens=False)
-    ids, n, decoded = OWN.encode(text)
-    assert ids == " ".join(map(str, enc.ids)), text
-    assert n == len(enc.ids) and decoded == LIB.decode(enc.ids, skip_special_tokens=False) == OWN.decode(enc.ids)
+    joined, ids = OWN.encode(text)
+    assert joined == " ".join(map(str, enc.ids)), text
+    assert ids == enc.ids and LIB.decode(enc.ids, skip_special_tokens=False) == OWN.decode(ids)
 
 
 def test_hard_texts():
