@@ -23,22 +23,43 @@ from corpusloom.llm.queries import TOKENIZER
 LEAST_SCORE = 0.4
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """docs with columns named by number, the number of each column, and the way back: columns may have any names."""
+    names = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(n) for c, n in names.items()]), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts that no language fits."""
-    packed = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))  # columns of docs may have any names
-    out = identify(packed, carry=["_row"])
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    """Rejects texts without letters and texts that no language fits.
+
+    Null, empty and letterless texts go; repeated rows and null ids stay as often as they
+    are; of equally probable languages the first by code point counts. A text of any length
+    is labelled whole. Of an empty table nothing is left.
+    """
+    plain, n, back = _numbered(docs)
+    out = identify(plain, n["doc_id"], n["text"], n["lang"], carry=[x for x in n.values() if x != n["doc_id"]])
+    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; every document stays."""
-    out = drop_repeated_lines(docs)
+    """Takes repeated lines out of the texts; every document stays, with the length of what is left.
+
+    A null text is one empty line and comes back empty. Rows of one id, and rows with a null
+    id, are one document for the count. Of documents that hold a line the one with the
+    largest id keeps it.
+    """
+    plain, n, _ = _numbered(docs)
+    out = drop_repeated_lines(plain, id_col=n["doc_id"], text_col=n["text"], keep_text=False)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col(n[c])).alias(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5 words, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near duplicates (5 words, similarity 0.8) the document with the smallest id stays.
+
+    Rows with a null id stay, however alike: nothing names them. Repeated rows of the id that
+    stays stay with it. Null and empty texts are like no other. Of an empty table nothing is left.
+    """
     near = near_duplicates(docs, k=5, num=80, den=100)
     gone = materialize(near.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
     return docs.join(maybe_broadcast(gone, gone.count(), 40), "doc_id", "left_anti").select(*docs.columns)
@@ -47,7 +68,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come to their targets.
 
-    Rows that share id, source and size are numbered by their texts, so that each gets its own copies.
+    Rows that share id, source and size are numbered by their texts, so that each gets its
+    own copies; such rows are few, as ids name documents. Null ids and null sources count
+    like others; texts without words get whole copies only.
     """
     mixed = materialize(mix(docs), "pipeline-mix")
     alone = (mixed.agg(F.max("copy_no")).first()[0] or 0) == 0
@@ -61,7 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with digests of ids and decoded text."""
+    """Token ids of every document of the mix, with digests of ids and decoded text; a row for each copy, null ids too."""
     return bpe(docs, TOKENIZER, with_ids=True)
 
 
