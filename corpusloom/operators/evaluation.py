@@ -108,8 +108,45 @@ def detectable_effect(results: DataFrame, metric: Column, stratum: str = "stratu
     return results.groupBy(stratum).agg(F.count("*").alias("n"), F.round(F.when(F.count("*") < 2, F.lit(1.0)).otherwise(2.8 * F.stddev_samp(metric) / F.sqrt(F.count("*"))), 6).alias("mde"))
 
 
-def gate(comparisons: DataFrame, rates: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """Verdict of each stratum: too-small, regressed, false-answers or ok."""
-    x = comparisons.join(rates.select(stratum, "false_answer_rate"), stratum, "left")
-    verdict = F.when(F.col("false_answer_rate") > WORST_FALSE, "false-answers").when(F.col("n") < LEAST_STRATUM, "too-small").when(F.col("significant") & (F.col("delta") < -WORST_DELTA), "regressed").otherwise("ok")
-    return x.select(stratum, "n", "delta", verdict.alias("verdict"))
+#: Latency at the 95th percentile beyond which a stratum is warned of, and the stratum of questions without an answer.
+SLOW_MS, UNANSWERABLE = 2500, "unanswerable"
+METRICS = {"recall@10": lambda: recall_at(10), "mrr": reciprocal_rank}
+
+
+def compared(baseline: DataFrame, candidate: DataFrame, item: str = "item_id", stratum: str = "stratum") -> DataFrame:
+    """(stratum, metric, n, baseline, candidate, delta, low, high, significant) of both gated metrics.
+
+    Rows of the two runs (item, stratum, expected, retrieved) meet by item and stratum.
+    """
+    side = lambda df, name: df.select(item, stratum, F.explode(F.create_map(*[x for m, f in METRICS.items() for x in (F.lit(m), f())])).alias("metric", name))
+    both = side(baseline, "base").join(side(candidate, "cand"), [item, stratum, "metric"])
+    out = paired_bootstrap(both.select(F.to_json(F.struct(stratum, "metric")).alias("of"), F.col(item).alias("item_id"), "base", "cand"), stratum="of")
+    kind = dict(baseline.dtypes)[stratum]
+    named = F.from_json("of", f"`{stratum}` {kind}, metric string")
+    return out.select(named[stratum].alias(stratum), named["metric"].alias("metric"), *[c for c in out.columns if c != "of"])
+
+
+def findings(comparisons: DataFrame, strata: DataFrame, stratum: str = "stratum") -> DataFrame:
+    """(level, stratum, metric, rule, value): every failure and warning of a candidate.
+
+    Failures: a metric of a stratum of LEAST_STRATUM items that is surely worse by more than
+    WORST_DELTA; false answers beyond WORST_FALSE in the unanswerable stratum. Warnings: a
+    smaller stratum, whose metrics never fail; no unanswerable stratum, or one without a
+    rate; a stratum that is slow at its 95th percentile.
+    """
+    none = F.lit(None).cast("string")
+    row = lambda level, metric, rule, value: [F.lit(level).alias("level"), F.col(stratum).cast("string").alias("stratum"), metric.alias("metric"), F.lit(rule).alias("rule"), value.cast("double").alias("value")]
+    small = comparisons.where(F.col("n") < LEAST_STRATUM).select(*row("warning", F.col("metric"), "few-items", F.col("n")))
+    worse = comparisons.where((F.col("n") >= LEAST_STRATUM) & F.col("significant") & (F.col("delta") < -WORST_DELTA)).select(*row("failure", F.col("metric"), "regressed", F.col("delta")))
+    asked = strata.where(F.col(stratum) == UNANSWERABLE)
+    wrong = asked.where(F.col("false_answer_rate") > WORST_FALSE).select(*row("failure", none, "false-answers", F.col("false_answer_rate")))
+    unmeasured = asked.agg(F.count("false_answer_rate").alias("k")).where("k = 0").select(F.lit("warning").alias("level"), none.alias("stratum"), none.alias("metric"), F.lit("no-unanswerable").alias("rule"), F.lit(None).cast("double").alias("value"))
+    slow = strata.where(F.col("p95_ms") > SLOW_MS).select(*row("warning", none, "slow", F.col("p95_ms")))
+    return small.unionByName(worse).unionByName(wrong).unionByName(unmeasured).unionByName(slow)
+
+
+def gate(comparisons: DataFrame, strata: DataFrame, stratum: str = "stratum") -> DataFrame:
+    """One row: passed, n_failures, n_warnings. A candidate passes without failures; warnings do not stop it."""
+    found = findings(comparisons, strata, stratum)
+    count = lambda level: F.count_if(F.col("level") == level)
+    return found.agg((count("failure") == 0).alias("passed"), count("failure").alias("n_failures"), count("warning").alias("n_warnings"))

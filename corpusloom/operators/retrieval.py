@@ -1,25 +1,26 @@
-"""Hybrid retrieval: three arms, fusion, diversity, budgets, one-hop expansion and abstention."""
+"""Hybrid retrieval: routing, five arms, fusion, diversity, budgets, one-hop expansion and abstention."""
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.text import token_set, trigram_similarity
+from corpusloom.functions.text import ARM_WEIGHTS, identifiers, intent, needs_rewrite, stitched, token_set
+from corpusloom.operators.lexical import bm25_topk, lexical_topk
+from corpusloom.operators.tables import written
+from corpusloom.operators.vectors import dense_topk
+
+__all__ = ["bm25_topk", "dense_topk", "lexical_topk"]
 
 RRF_K, FUSED = 60, 100
 LAMBDA, MODULE_CAP, GENERATED_PENALTY = 0.7, 3, 0.25
 TOTAL_TOKENS, PRIMARY_SHARE, EXPANSION_SHARE = 24_000, 0.55, 0.25
-#: Vector queries that go to the tasks at once; terms that are looked up in a set.
-QUERY_BLOCK, MOST_TERMS = 4096, 4096
 SEED_NEIGHBOURS, CENTRALITY_CEILING = 4, 50
 # Relations from most to least wanted.
 RELATIONS = ["type", "parent", "callee", "implementation", "caller"]
@@ -31,74 +32,6 @@ def ranked(df: DataFrame, query: str, score: Column, item: str, k: int) -> DataF
     return df.select(query, item, score.alias("score")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 50, item: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
-    """Exact nearest vectors by cosine of a stated batch of queries (query_id, query_vector).
-
-    The batch goes to the tasks in blocks of QUERY_BLOCK, whatever its size. A task multiplies
-    each batch of its vectors with a block and keeps k rows of each query, so only those
-    are shuffled. Vectors and queries must all have one size; others are an error.
-    """
-    kinds, qkind = dict(vectors.dtypes), dict(queries.dtypes)[query]
-    asked = queries.select(query, F.transform("query_vector", lambda x: x.cast("double")).alias("v"))
-    rows = asked.toLocalIterator()
-    schema = f"`{query}` {qkind}, `{item}` {kinds[item]}, score double"
-    out = None
-    while block := list(itertools.islice(rows, QUERY_BLOCK)):
-        sent = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block])))
-        found = vectors.where(F.col(vector).isNotNull()).select(item, vector).mapInArrow(_nearest(sent, k, query, item), schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = queries.select(query).join(vectors.select(item), F.lit(False)).withColumn("score", F.lit(0.0))
-    return ranked(out, query, F.col("score"), item, k)
-
-
-def _nearest(sent, k: int, query: str, item: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = sent.value
-        norms = np.sqrt((q * q).sum(1))
-        kept: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(1)
-            sizes = np.unique(np.diff(v.offsets.to_numpy()))
-            if len(sizes) != 1 or sizes[0] != q.shape[1]:
-                raise ValueError(f"vectors of {sizes.tolist()} numbers among queries of {q.shape[1]}")
-            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-            # The same order of additions for each pair, so that a score does not hang on the batch.
-            length = np.sqrt((x * x).sum(1))
-            for j, name in enumerate(names):
-                score = np.round((x * q[j]).sum(1) / (length * norms[j]), 6)
-                top = np.argsort(-score, kind="stable")[: k + 1]
-                ties = np.flatnonzero(score >= score[top[-1]]) if len(top) > k else top
-                kept.append(pa.table({query: pa.array([name] * len(ties)), item: batch.column(0).take(pa.array(ties)), "score": pa.array(score[ties])}))
-            if len(kept) > 64 * len(names):
-                kept = [_best(pa.concat_tables(kept), k, query, item)]
-        if kept:
-            yield from _best(pa.concat_tables(kept), k, query, item).to_batches()
-
-    return run
-
-
-def _best(rows: pa.Table, k: int, query: str, item: str) -> pa.Table:
-    rows = rows.sort_by([(query, "ascending"), ("score", "descending"), (item, "ascending")]).combine_chunks()
-    names = rows.column(query).to_pylist()
-    taken, keep = {}, []
-    for i, name in enumerate(names):
-        taken[name] = taken.get(name, 0) + 1
-        if taken[name] <= k:
-            keep.append(i)
-    return rows.take(pa.array(keep, pa.int64()))
-
-
-def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, item: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
-    """Chunks that hold all terms of a query, by the share of their distinct terms that is asked for plus 0.3 times trigram likeness."""
-    met = term_matches(chunks, queries, item, text, query, query_text)
-    met = met.join(chunks.select(F.col(item), F.col(text).alias("_text")), item).join(queries.select(query, query_text), query)
-    score = F.col("n_asked") / F.col("n_terms") + 0.3 * trigram_similarity(F.col("_text"), F.col(query_text))
-    return ranked(met, query, F.round(score, 6), item, k)
-
-
 def term_matches(chunks: DataFrame, queries: DataFrame, item: str, text: str, query: str, query_text: str) -> DataFrame:
     """(query, item, n_asked, n_terms) of chunks that hold all terms of a query.
 
@@ -123,28 +56,6 @@ def document_frequency(chunks: DataFrame, scope: str, item: str, text: str) -> D
     return df.withColumn("idf", F.round(F.log((F.col("docs") - F.col("ndoc") + 0.5) / (F.col("ndoc") + 0.5) + 1.0), 6))
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, item: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Ranked by BM25.
-
-    Each text is cut once: its length and the counts of its words, of which only those that
-    are asked for leave the row. They are filtered by a set of terms as long as that has at
-    most MOST_TERMS of them, and by a join on terms beyond that.
-    """
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: F.length(t) > 2)
-    asked = queries.select(query, F.explode(token_set(F.col(query_text))).alias("term"))
-    terms = asked.select("term").distinct()
-    few = [r[0] for r in terms.limit(MOST_TERMS + 1).collect()]
-    sized = chunks.select(item, words.alias("w")).select(item, F.size("w").alias("len"), F.filter("w", lambda t: t.isin(few)).alias("w") if len(few) <= MOST_TERMS else "w")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    each = sized.select(item, "len", F.explode("w").alias("term"))
-    each = each if len(few) <= MOST_TERMS else each.join(terms, "term")
-    tf = each.groupBy(item, "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "term").join(F.broadcast(stats), F.lit(True)).withColumn("s", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))))
-    scored = weighed.join(asked, "term").groupBy(query, item).agg(F.round(F.sum("s"), 6).alias("s"))
-    return ranked(scored, query, F.col("s"), item, k)
-
-
 def symbol_topk(symbols: DataFrame, queries: DataFrame, k: int = 10, item: str = "symbol_id", name: str = "name", query: str = "query_id", wanted: str = "identifier") -> DataFrame:
     """Symbols whose name is an identifier of the query (1.0) or ends with it (0.5); shorter names first."""
     asked = queries.select(query, F.lower(wanted).alias("_id")).where("_id <> ''")
@@ -204,20 +115,29 @@ def diversify(scored: DataFrame, limit: int, item: str = "doc_id", query: str =
 def fit_budget(items: DataFrame, budget: int = int(TOTAL_TOKENS * PRIMARY_SHARE), item: str = "doc_id", query: str = "query_id", order: str = "position", tokens: str = "tokens") -> DataFrame:
     """Items in order while they fit: one that does not is passed over, the first is always kept. Adds kept and used.
 
-    The fold runs in the JVM over each query's ordered items.
+    What fits hangs on all that was kept before, so a query's items are folded in their
+    order: sorted by query, they stream through a task, which carries one number from row to
+    row. A query of any length needs no memory of its own.
     """
-    rows = items.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i"), F.col(tokens).cast("long").alias("t")))).alias("xs"))
-    kept_type = f"array<struct<o:{dict(items.dtypes)[order]},i:{dict(items.dtypes)[item]},t:bigint,kept:boolean,used:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.from_json(F.lit("[]"), kept_type).alias("out"))
+    kinds = dict(items.dtypes)
+    schema = f"`{query}` {kinds[query]}, `{item}` {kinds[item]}, `{order}` {kinds[order]}, `{tokens}` long, kept boolean, used long"
 
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["used"] + x["t"] <= budget) | (s["n"] == 0)
-        used = s["used"] + F.when(fits, x["t"]).otherwise(F.lit(0).cast("long"))
-        made = F.struct(x["o"].alias("o"), x["i"].alias("i"), x["t"].alias("t"), fits.alias("kept"), used.alias("used"))
-        return F.struct(used.alias("used"), (s["n"] + fits.cast("int")).alias("n"), F.concat(s["out"], F.array(made)).alias("out"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, n = None, 0, 0
+        for batch in batches:
+            kept, sums = [], []
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if n == 0 or name != now:
+                    now, used, n = name, 0, 0
+                n += 1
+                fits = n == 1 or used + t <= budget
+                used += t if fits else 0
+                kept.append(fits)
+                sums.append(used)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(kept, pa.bool_()), pa.array(sums, pa.int64())], names=[query, item, order, tokens, "kept", "used"])
 
-    folded = rows.select(query, F.explode(F.aggregate("xs", start, step)["out"]).alias("x"))
-    return folded.select(query, F.col("x.i").alias(item), F.col("x.o").alias(order), F.col("x.t").alias(tokens), F.col("x.kept").alias("kept"), F.col("x.used").alias("used"))
+    dealt = items.select(query, item, order, F.col(tokens).cast("long").alias(tokens)).repartition(query).sortWithinPartitions(query, order, item)
+    return dealt.mapInArrow(fold, schema)
 
 
 def neighbour_shortlist(neighbours: DataFrame, seed: str = "seed_id", item: str = "symbol_id", most: int = SEED_NEIGHBOURS, ceiling: int = CENTRALITY_CEILING) -> DataFrame:
@@ -264,42 +184,81 @@ def abstention(evidence: DataFrame, query: str = "query_id", threshold: float =
 
 
 SESSION_BOOST = 1.15
+#: Ranks of an arm, of the fused list, and of exact names.
+ARM_DEPTH, CHOSEN, NAMED = 50, 50, 10
+# Corpora of documentation; all others are code.
+DOCUMENTATION = ["docs", "adr"]
+
+
+def routed(questions: DataFrame, query: str = "query_id", text: str = "query", turn: str = "last_turn") -> DataFrame:
+    """questions with what is searched for, the intent, the arms' weights, the corpora and the names in the question.
+
+    A question that needs the turn before it is searched for together with it.
+    """
+    said = F.when(needs_rewrite(F.col(text)), stitched(F.col(text), F.col(turn))).otherwise(F.col(text)) if turn in questions.columns else F.col(text)
+    table = {i: F.struct(*[F.lit(float(w)).alias(n) for n, w in zip(("dense", "lexical", "symbol"), (d, l, y))], F.array(*[F.lit(c) for c in corpora]).alias("corpora")) for i, (d, l, y, corpora) in ARM_WEIGHTS.items()}
+    out = questions.withColumn("asked", said).withColumn("intent", intent(F.col("asked")))
+    arms = None
+    for name, value in table.items():
+        arms = F.when(F.col("intent") == name, value) if arms is None else arms.when(F.col("intent") == name, value)
+    return out.withColumn("arms", arms).withColumn("names", identifiers(F.col("asked")))
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, probes: DataFrame, names: DataFrame, links: DataFrame, stale: DataFrame, session: list | None = None, rescored: DataFrame | None = None, item: str = "doc_id", query: str = "query_id", weights: tuple[float, float, float] = (1.2, 1.0, 0.8), most: int = 8) -> tuple[DataFrame, DataFrame]:
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, links: DataFrame, stale: DataFrame, session: list | None = None, rescored: DataFrame | None = None, item: str = "doc_id", query: str = "query_id", most: int = 8) -> tuple[DataFrame, DataFrame]:
     """The served chunks of every question, and the verdict on its evidence.
 
-    chunks (item, text, module, name, tokens) are those that the caller may see; vectors are
-    theirs. Three arms rank them: vectors, words, and exact names. Their ranks are fused, the
-    fused chunks get their texts back, those of the session's symbols weigh SESSION_BOOST
-    times as much, and a diverse choice is made. A reranker's scores (query, item,
-    rerank_score), if given, put that in order. What fits the budget is ``primary``; links
-    (src, dst, relation) of it fill the rest as ``expansion``. A question whose evidence does
-    not carry an answer is served nothing. stale: items of repositories behind their heads.
+    chunks (item, text, module, name, tokens, corpus, depth, generated) are those that the
+    caller may see; vectors (item, embedding) are theirs. questions: (query, query text as
+    ``query``, query_vector, which may be null, and last_turn if there is a conversation).
+
+    A question's intent gives its weights and corpora. Code and documentation are ranked
+    apart, so that the larger does not crowd out the other: five arms in all, vectors and
+    words of both and exact names in code. Their ranks are fused, chunks of the session's
+    symbols weigh SESSION_BOOST times as much, and a diverse choice is made. A reranker's
+    scores (query, item, rerank_score), if given, put that in order. What fits the budget is
+    ``primary``; links (src, dst, relation) of it fill the rest as ``expansion``. A question
+    whose evidence does not carry an answer is served nothing. stale: items of repositories
+    behind their heads.
+
+    The arms, the choice and the primary chunks are written once each; arms rank by
+    question and corpus, in parts, and only ranks are shuffled.
     """
-    arm = lambda df, w: df.select(query, item, "rank", F.lit(w).alias("weight"))
-    dense = dense_topk(vectors, probes, item=item, query=query)
-    lexical = bm25_topk(chunks.select(item, "text"), questions, item=item, query=query)
-    exact = symbol_topk(chunks, names, item=item, query=query)
-    fused = fuse(arm(dense, weights[0]).unionByName(arm(lexical, weights[1])).unionByName(arm(exact, weights[2])), item, query, limit=50)
+    asked = written(routed(questions, query), "questions")
+    corpus = F.coalesce("corpus", F.lit("code"))
+    of = chunks.withColumn("corpus", corpus)
+    each = asked.select(query, "asked", "query_vector", "arms", F.explode("arms.corpora").alias("corpus"))
+    # One name for a question and a corpus, so that each is ranked by itself; the best of a side are among them.
+    pair = F.struct(query, "corpus")
+    dense = dense_topk(vectors.join(of.select(item, "corpus"), item), each.select(pair.alias("_q"), "query_vector", "corpus"), ARM_DEPTH, item, query="_q", within="corpus")
+    words = bm25_topk(of.select(item, "text", "corpus"), each.select(pair.alias("_q"), F.col("asked").alias("query"), "corpus"), ARM_DEPTH, item, query="_q", within="corpus")
+    side = F.when(F.col("_q.corpus").isin(DOCUMENTATION), "docs").otherwise("code")
+    named = lambda df, arm: df.select(F.col(f"_q.{query}").alias(query), item, "score", F.concat(F.lit(arm), side).alias("arm"))
+    order = Window.partitionBy(query, "arm").orderBy(F.desc("score"), item)
+    both = named(dense, "dense-").unionByName(named(words, "lexical-")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= ARM_DEPTH)
+    code = of.where(~F.col("corpus").isin(DOCUMENTATION))
+    exact = symbol_topk(code, asked.select(query, F.explode("names").alias("identifier")), NAMED, item, query=query)
+    allowed = exact.join(code.select(item, "corpus"), item).join(asked.select(query, "arms.corpora"), query).where(F.array_contains("corpora", F.col("corpus")))
+    ranks = both.select(query, item, "arm", "rank").unionByName(allowed.select(query, item, F.lit("symbol").alias("arm"), "rank"))
+    weight = F.when(F.col("arm").startswith("dense"), F.col("arms.dense")).when(F.col("arm").startswith("lexical"), F.col("arms.lexical")).otherwise(F.col("arms.symbol"))
+    arms = written(ranks.join(asked.select(query, "arms"), query).select(query, item, "rank", weight.alias("weight")), "arms")
+    fused = fuse(arms, item, query, limit=CHOSEN)
     boost = F.when(F.col(item).isin(session), SESSION_BOOST).otherwise(1.0) if session else F.lit(1.0)
-    full = fused.join(chunks.select(item, "text", "module"), item).select(query, item, (F.col("score") * boost).alias("score"), "text", "module", (F.col(item) % 11 == 0).alias("generated"))
-    chosen = diversify(full, 50, item, query)
+    full = fused.join(chunks.select(item, "text", "module", "generated"), item).select(query, item, (F.col("score") * boost).alias("score"), "text", "module", "generated")
+    chosen = written(diversify(full, CHOSEN, item, query), "chosen")
     if rescored is None:
         ordered = chosen.where(F.col("position") <= most).withColumn("rerank_score", F.lit(None).cast("double"))
     else:
         w = Window.partitionBy(query).orderBy(F.desc("rerank_score"), item)
         ordered = chosen.join(rescored, [query, item]).withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
-    primary = fit_budget(ordered.join(chunks.select(item, "tokens"), item), item=item, query=query).where("kept")
-    scores = ordered.select(query, item, "rerank_score")
+    known = chunks.select(item, "tokens", "depth", "generated")
+    fitted = fit_budget(ordered.join(known.select(item, "tokens"), item), item=item, query=query).where("kept")
+    primary = written(fitted.join(ordered.select(query, item, "rerank_score"), [query, item]).join(known.drop("tokens"), item), "primary")
     central = links.groupBy(F.col("dst").alias(item)).agg(F.count("*").alias("centrality"))
     near = primary.select(query, F.col(item).alias("src"), F.col("position").alias("seed_rank")).join(links, "src").withColumnRenamed("dst", item).join(central, item).join(chunks.select(item, "tokens"), item)
     near = near.join(primary.select(query, item), [query, item], "left_anti").withColumn("seed_id", F.struct(query, "src"))
-    short = neighbour_shortlist(near, item=item)
-    grown = expand(short, query=query, item=item)
-    found = primary.join(scores, [query, item]).join(stale.select(F.col(item), F.lit(1).alias("old")), item, "left")
-    evidence = questions.select(query).distinct().join(found, query, "left").groupBy(query).agg(F.count(item).alias("n_chunks"), F.max("rerank_score").alias("top_score"), F.lit(0).alias("n_shallow"), F.count_if(F.col(item) % 11 == 0).alias("n_generated"), F.count("old").alias("n_stale_repos"))
-    evidence = evidence.withColumn("n_shallow", F.lit(-1)).withColumn("reranked", F.lit(rescored is not None))
-    verdicts = abstention(evidence, query)
+    grown = expand(neighbour_shortlist(near, item=item), query=query, item=item)
+    found = primary.join(stale.select(F.col(item), F.lit(1).alias("old")), item, "left")
+    evidence = questions.select(query).distinct().join(found, query, "left").groupBy(query).agg(F.count(item).alias("n_chunks"), F.max("rerank_score").alias("top_score"), F.count_if(F.col("depth") == "shallow").alias("n_shallow"), F.count_if(F.col("generated")).alias("n_generated"), F.count("old").alias("n_stale_repos"))
+    verdicts = abstention(evidence.withColumn("reranked", F.lit(rescored is not None)), query)
     served = primary.select(query, item, F.lit("primary").alias("part"), F.col("position").cast("int").alias("place"), "used").unionByName(grown.select(query, item, F.lit("expansion").alias("part"), F.col("taken_at").alias("place"), "used"))
     return served.join(verdicts.where("not abstain").select(query), query, "left_semi"), verdicts

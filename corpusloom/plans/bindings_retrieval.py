@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import access, chunking, dedupe, evaluation, retrieval
+from corpusloom.operators import access, chunking, dedupe, evaluation, lexical, retrieval, vectors
 from corpusloom.plans.bindings_scan import table
 
 Q: dict = {}
@@ -39,6 +39,25 @@ def dense_topk(spark, d):
     return retrieval.dense_topk(table(spark, d, "embeddings"), _probes(spark, d))
 
 
+#: Cells of the index and cells that a query probes.
+CELLS, PROBES = 24, 18
+
+
+@query()
+def vector_search(spark, d):
+    """The 50 nearest vectors that the probed cells hold."""
+    index = vectors.build_cells(table(spark, d, "embeddings"), CELLS)
+    return vectors.search_cells(index, _probes(spark, d), 50, PROBES)
+
+
+@query("SELECT count(*) AS queries, true AS recall_is_090 FROM embeddings WHERE vec_id % 20 = 0")
+def vector_recall(spark, d):
+    """Whether the probed cells hold nine tenths of the exact neighbours, over all queries (T1, F-V1)."""
+    e = table(spark, d, "embeddings")
+    found = vectors.recall(vectors.search_cells(vectors.build_cells(e, CELLS), _probes(spark, d), 50, PROBES), vectors.dense_topk(e, _probes(spark, d)))
+    return found.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_is_090"))
+
+
 _QUERIES = "SELECT item_id AS query_id, text AS query, " + _TERMS + " AS asked FROM benchmark"
 
 
@@ -54,21 +73,38 @@ SELECT query_id, count(*) AS matches FROM m GROUP BY query_id
 """)
 def lexical_match(spark, d):
     """Documents that hold all terms of each query (F-S17)."""
-    out = retrieval.lexical_topk(table(spark, d, "documents"), _asked(spark, d), k=1 << 30)
+    out = retrieval.term_matches(table(spark, d, "documents"), _asked(spark, d), "doc_id", "text", "query_id", "query")
     return out.groupBy("query_id").agg(F.count("*").alias("matches"))
 
 
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
+#: Minimal covers: for each occurrence the latest place of every asked term up to it; the earliest of these is where a cover starts.
+_COVERS = f"""
+q AS ({_QUERIES}), w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS ws FROM documents),
+c AS (SELECT q.query_id, w.doc_id, q.asked, w.ws FROM w, q WHERE len(q.asked) > 0 AND len(list_intersect(q.asked, w.ws)) = len(q.asked)),
+o AS (SELECT query_id, doc_id, asked, ws[p] AS term, p, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY p) AS k FROM (SELECT query_id, doc_id, asked, ws, unnest(range(1, len(ws) + 1)) AS p FROM c) WHERE list_contains(asked, ws[p])),
+t AS (SELECT query_id, doc_id, p, k, len(asked) AS n, max(CASE WHEN term = a THEN p END) OVER (PARTITION BY query_id, doc_id, a ORDER BY p) AS latest FROM (SELECT *, unnest(asked) AS a FROM o)),
+s AS (SELECT query_id, doc_id, p, k, CASE WHEN count(latest) = any_value(n) THEN min(latest) END AS start FROM t GROUP BY ALL),
+m AS (SELECT *, lag(start) OVER (PARTITION BY query_id, doc_id ORDER BY p) AS was FROM s),
+x AS (SELECT m.query_id, m.doc_id, sum(0.1::DOUBLE / (1 + m.p - m.start - (m.k - o.k))) AS density FROM m JOIN o ON o.query_id = m.query_id AND o.doc_id = m.doc_id AND o.p = m.start WHERE m.start IS NOT NULL AND (m.was IS NULL OR m.start > m.was) GROUP BY ALL)"""
+
+
+@query(f"WITH {_COVERS} SELECT query_id, doc_id, round(density, 6) AS density FROM x")
+def cover_density(spark, d):
+    """Minimal covers of the asked terms in the documents that hold them all (F-S17)."""
+    out = lexical.cover_density(table(spark, d, "documents"), _asked(spark, d))
+    return out.select("query_id", "doc_id", F.round("density", 6).alias("density"))
+
+
 @query(f"""
-WITH q AS ({_QUERIES}), c AS (SELECT doc_id, text, {_TERMS} AS terms FROM documents),
-m AS (SELECT q.query_id, c.doc_id, len(q.asked) / len(c.terms) AS share, {_TRIGRAMS.format('c.text')} AS a, {_TRIGRAMS.format('q.query')} AS b FROM c, q WHERE len(q.asked) > 0 AND len(list_intersect(q.asked, c.terms)) = len(q.asked)),
-s AS (SELECT query_id, doc_id, round(share + 0.3 * len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS score FROM m)
-SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 50
+WITH {_COVERS}, g AS (SELECT x.query_id, x.doc_id, x.density, {_TRIGRAMS.format('d.text')} AS a, {_TRIGRAMS.format('b.text')} AS b FROM x JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = x.query_id),
+z AS (SELECT query_id, doc_id, round(density + 0.3 * len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS score FROM g)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM z QUALIFY rank <= 50
 """)
 def lexical_topk(spark, d):
-    """The 50 best documents by terms and trigram likeness (T2, F-S16, F-S17)."""
+    """The 50 best documents by cover density and trigram likeness (T2, F-S16, F-S17)."""
     return retrieval.lexical_topk(table(spark, d, "documents"), _asked(spark, d))
 
 
@@ -271,10 +307,42 @@ def paired_bootstrap(spark, d):
     return evaluation.paired_bootstrap(_paired(spark, d))
 
 
+_GATED = """
+g AS (SELECT d.doc_id AS item_id, CASE WHEN l.quality IS NULL THEN 'unanswerable' WHEN d.n_chars > 4000 THEN 'long-' || coalesce(d.lang, 'none') ELSE coalesce(d.lang, 'none') END AS stratum, CASE WHEN l.quality IS NULL THEN [] ELSE [d.doc_id, d.doc_id + 1] END AS expected, d.doc_id % 12 > 0 AS abstained, d.n_chars AS latency_ms
+ FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+def _gated(spark, d):
+    """Two runs over the documents: the candidate finds less in long texts and more in others."""
+    i = F.col("doc_id")
+    x = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    long = F.col("n_chars") > 4000
+    lang = F.coalesce("lang", F.lit("none"))
+    stratum = F.when(F.col("quality").isNull(), "unanswerable").when(long, F.concat(F.lit("long-"), lang)).otherwise(lang)
+    base = x.select(i.alias("item_id"), stratum.alias("stratum"), F.when(F.col("quality").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(i, i + 1)).alias("expected"), F.when(i % 3 == 0, F.array(i + 1, i + 5)).otherwise(F.array(i + 7, i)).alias("retrieved"), (i % 12 > 0).alias("abstained"), F.col("n_chars").alias("latency_ms"))
+    return base, base.withColumn("retrieved", F.when(F.col("latency_ms") > 4000, F.array(F.col("item_id") + 9)).otherwise(F.array("item_id", F.col("item_id") + 1)))
+
+
+@query(f"""
+WITH {_GATED}, s AS (SELECT stratum, count(*) AS n, round(avg((NOT abstained)::INT) FILTER (WHERE len(expected) = 0), 6) AS rate, list_sort(list(latency_ms))[least(floor(0.95 * count(*)), count(*) - 1)::INT + 1] AS p95 FROM g GROUP BY stratum)
+SELECT 'warning' AS level, stratum, metric, 'few-items' AS rule, n::DOUBLE AS value FROM s, (VALUES ('recall@10'), ('mrr')) m(metric) WHERE n < 30
+ UNION ALL SELECT 'failure', stratum, metric, 'regressed', NULL FROM s, (VALUES ('recall@10'), ('mrr')) m(metric) WHERE n >= 30 AND stratum LIKE 'long-%'
+ UNION ALL SELECT 'failure', stratum, NULL, 'false-answers', rate FROM s WHERE stratum = 'unanswerable' AND rate > 0.1
+ UNION ALL SELECT 'warning', NULL, NULL, 'no-unanswerable', NULL WHERE NOT EXISTS (SELECT 1 FROM s WHERE stratum = 'unanswerable' AND rate IS NOT NULL)
+ UNION ALL SELECT 'warning', stratum, NULL, 'slow', p95::DOUBLE FROM s WHERE p95 > 2500
+""")
+def eval_findings(spark, d):
+    """Failures and warnings of a candidate; the value of a regression hangs on draws and is left out."""
+    base, new = _gated(spark, d)
+    out = evaluation.findings(evaluation.compared(base, new), evaluation.summary(new))
+    return out.withColumn("value", F.when(F.col("rule") != "regressed", F.col("value")))
+
+
 @query()
 def eval_gate(spark, d):
-    """Verdict of each stratum (C14)."""
-    return evaluation.gate(evaluation.paired_bootstrap(_paired(spark, d)), evaluation.summary(_results(spark, d)))
+    """The verdict over two runs, one row (C14)."""
+    base, new = _gated(spark, d)
+    return evaluation.gate(evaluation.compared(base, new), evaluation.summary(new))
 
 
 @query()
@@ -340,25 +408,28 @@ def embedding_cache_misses(spark, d):
 
 
 def search(spark, d, session: list[int] | None = None, rescore=None):
-    """(served, verdicts) of the whole retrieval over every question: the passages of the benchmark, and their vectors."""
+    """(served, verdicts) of the whole retrieval over every passage of the benchmark.
+
+    A passage's vector is the one of its number. Every fifth passage asks for a document by
+    name, others start like questions of one intent each.
+    """
     from corpusloom.functions.text import estimate_tokens
 
     who = access.Access("o1", [f"src{i}" for i in range(20)], "confidential")
-    open_ = _chunks(spark, d).where(access.allowed(who, "o1")).select("doc_id", "module", "corpus")
-    docs = table(spark, d, "documents").join(open_, "doc_id").select("doc_id", "text", "module", "corpus", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), estimate_tokens(F.col("text")).alias("tokens"))
-    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(open_.select("doc_id"), "doc_id", "left_semi")
-    asked = _asked(spark, d)
-    probes = _probes(spark, d).join(asked.select("query_id"), "query_id", "left_semi")
-    # A question that names a document by its identifier also has the exact arm.
-    names = asked.select("query_id", F.concat(F.lit("doc_"), (F.col("query_id") * 3).cast("string")).alias("identifier"))
-    links = table(spark, d, "documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") * 7 % 50).alias("dst"), F.when(F.col("doc_id") % 2 == 0, "callee").otherwise("type").alias("relation"))
-    stale = docs.where("doc_id % 9 = 0").select("doc_id")
-    return retrieval.hybrid_search(docs, vectors, asked, probes, names, links, stale, session=session, rescored=rescore)
+    i, q = F.col("doc_id"), F.col("item_id")
+    open_ = _chunks(spark, d).where(access.allowed(who, "o1")).select("doc_id", "module", F.when(i % 15 == 0, "adr").otherwise(F.col("corpus")).alias("corpus"))
+    docs = table(spark, d, "documents").join(open_, "doc_id").select("doc_id", "text", "module", "corpus", F.concat(F.lit("doc_"), i.cast("string")).alias("name"), estimate_tokens(F.col("text")).alias("tokens"), F.when(F.length("text") < 400, "shallow").otherwise("semantic").alias("depth"), (i % 13 == 0).alias("generated"))
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").join(open_.select("doc_id"), "doc_id", "left_semi")
+    start = F.when(q % 5 == 0, F.concat(F.lit("what does doc_"), (q * 3).cast("string"), F.lit(" do "))).when(q % 5 == 1, F.lit("why ")).when(q % 5 == 2, F.lit("how to ")).otherwise(F.lit(""))
+    asked = table(spark, d, "benchmark").select(q.alias("query_id"), F.concat(start, F.col("text")).alias("query"))
+    asked = asked.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
+    links = table(spark, d, "documents").select(i.alias("src"), (i * 7 % 50).alias("dst"), F.when(i % 2 == 0, "callee").otherwise("type").alias("relation"))
+    return retrieval.hybrid_search(docs, e, asked, links, docs.where("doc_id % 9 = 0").select("doc_id"), session=session, rescored=rescore)
 
 
 @query()
 def hybrid_search(spark, d):
-    """Access, dense, lexical and exact arms, fusion, session boost, diversity, budget, expansion, abstention, for all questions."""
+    """Routing, access, five arms, fusion, session boost, diversity, budget, expansion, abstention, for all questions (C1, C2, F-S7)."""
     return search(spark, d, session=[3, 6])[0]
 
 
@@ -370,6 +441,7 @@ def search_verdicts(spark, d):
 
 @query()
 def search_docs(spark, d):
-    """The served documents of the docs corpus; the filter comes after the top, so there may be fewer (C17)."""
+    """The served documents of the docs and adr corpora; the filter comes after the top, so there may be fewer (C17)."""
     served = search(spark, d)[0]
-    return served.where("part = 'primary'").join(_chunks(spark, d).where("corpus = 'docs'").select("doc_id"), "doc_id", "left_semi")
+    docs = _chunks(spark, d).where(F.col("corpus").isin(retrieval.DOCUMENTATION) | (F.col("doc_id") % 15 == 0))
+    return served.where("part = 'primary'").join(docs.select("doc_id"), "doc_id", "left_semi")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, evaluation, retrieval
+from corpusloom.operators import chunking, evaluation, lexical, retrieval, vectors
 
 
 def words(text):
@@ -47,50 +47,77 @@ def corpus():
     return docs, vectors, questions
 
 
-def arms(corpus, q, text, vector, name):
-    docs, vectors, _ = corpus
-    cos = sorted(((-round(float(np.dot(v, vector) / (np.linalg.norm(v) * np.linalg.norm(vector))), 6), i) for i, v in vectors)) if vector is not None else []
-    n, lists = len(docs), {i: [w for w in re.split("[^a-z0-9_]+", t.lower()) if len(w) > 2] for i, t, *_ in docs}
-    mean, bm = sum(map(len, lists.values())) / n, {}
+def arms(docs, vectors, allowed, text, vector, names):
+    """Five ranked lists of item ids: vectors and words of code and documentation, and exact names of code."""
+    n, lists = len(docs), {d[0]: [w for w in re.split("[^a-z0-9_]+", d[1].lower()) if len(w) > 2] for d in docs}
+    mean, bm, corpus = sum(map(len, lists.values())) / n, {}, {d[0]: d[5] for d in docs}
     for w in words(text):
         df = sum(w in x for x in lists.values())
         for i, x in lists.items():
             if tf := x.count(w):
                 bm[i] = bm.get(i, 0) + math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
-    exact = sorted((-(1.0 if d[3] == name else 0.5), len(d[3]), d[0]) for d in docs if name and d[3].endswith(name))
-    return [i for _, i in cos[:50]], [i for _, i in sorted((-round(s, 6), i) for i, s in bm.items())[:50]], [i for *_, i in exact[:10]]
+    out = {}
+    for side in ("code", "docs"):
+        mine = {i for i, c in corpus.items() if c in allowed and (c in ("docs", "adr")) == (side == "docs")}
+        out[f"dense-{side}"] = [i for _, i in sorted((-round(float(np.dot(v, vector) / (np.linalg.norm(v) * np.linalg.norm(vector))), 6), i) for i, v in vectors if i in mine)][:50] if vector is not None else []
+        out[f"lexical-{side}"] = [i for _, i in sorted((-round(s, 6), i) for i, s in bm.items() if i in mine)][:50]
+    named = {}
+    for d in docs:
+        for x in names:
+            if d[5] not in ("docs", "adr") and d[3].lower().endswith(x.lower()):
+                named[d[0]] = max(named.get(d[0], 0), 1.0 if d[3].lower() == x.lower() else 0.5)
+    by = {d[0]: d for d in docs}
+    out["symbol"] = [i for i in sorted(named, key=lambda i: (-named[i], len(by[i][3]), i))[:10] if corpus[i] in allowed]
+    return out
+
+
+#: Question, its intent, the weights and corpora of that intent, and the names in it; {0} is some words.
+ROUTED = [
+    ("what does doc_3 do", (0.8, 1.2, 2.0), ["code", "spec"], ["doc_3"]),
+    ("why {0}", (1.4, 0.8, 0.4), ["adr", "docs", "code"], []),
+    ("how to {0}", (1.2, 1.0, 0.8), ["docs", "spec", "code"], []),
+    ("{0}", (1.2, 1.0, 0.8), ["docs", "code", "adr"], []),
+    ("{0} which service calls doc_40", (1.0, 1.0, 1.4), ["code", "spec", "infra"], ["doc_40"]),
+]
 
 
 @pytest.mark.parametrize("reranked", [False, True])
-def test_hybrid_search_against_a_plain_one(spark, corpus, reranked):
-    docs, vectors, questions = corpus
-    session, probes = [2, 5], {0: vectors[10][1], 1: vectors[3][1], 2: vectors[7][1]}
-    links = [(i, (i * 7) % 62, ["callee", "type", "caller"][i % 3]) for i in range(62)] + [(i, (i * 5 + 1) % 62, "parent") for i in range(62)]
-    stale = [i for i in range(62) if i % 9 == 0]
-    scores = [(q, i, ((q * 31 + i * 17) % 100) / 100) for q, _ in questions for i, *_ in docs] if reranked else None
-    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_hybrid_search_against_a_plain_one(spark, corpus, reranked, text_ids):
+    plain, vectors, said = corpus
+    name = (lambda i: f"i{i:03d}") if text_ids else (lambda i: i)
+    kind = "string" if text_ids else "long"
+    # The last module holds shallow chunks only, some chunks are generated.
+    docs = [(name(i), t, m, n, k, ["code", "docs", "spec", "adr", "infra"][i % 5], "shallow" if m == "m3" else "semantic", i % 7 == 0) for i, t, m, n, k in plain]
+    vectors = [(name(i), v) for i, v in vectors]
+    questions = [(q, ROUTED[q % 5][0].format(t), None if q == 4 else vectors[q * 5][1]) for q, t in said]
+    session = [name(2), name(5)]
+    links = [(name(i), name((i * 7) % 62), ["callee", "type", "caller"][i % 3]) for i in range(62)] + [(name(i), name((i * 5 + 1) % 62), "parent") for i in range(62)]
+    stale = [name(i) for i in range(62) if i % 9 == 0]
+    scores = [(q, d[0], ((q * 31 + k * 17) % 100) / 100) for q, *_ in questions for k, d in enumerate(docs)] if reranked else None
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
     served, verdicts = retrieval.hybrid_search(
-        frame(docs, "doc_id long, text string, module string, name string, tokens long"),
-        frame(vectors, "doc_id long, embedding array<double>"),
-        frame(questions, "query_id long, query string"),
-        frame(list(probes.items()), "query_id long, query_vector array<double>"),
-        frame([(3, "doc_3"), (4, "DOC_4")], "query_id long, identifier string"),
-        frame(links, "src long, dst long, relation string"),
-        frame([(i,) for i in stale], "doc_id long"),
+        frame(docs, f"doc_id {kind}, text string, module string, name string, tokens long, corpus string, depth string, generated boolean"),
+        frame(vectors, f"doc_id {kind}, embedding array<double>"),
+        frame(questions, "query_id long, query string, query_vector array<double>"),
+        frame(links, f"src {kind}, dst {kind}, relation string"),
+        frame([(i,) for i in stale], f"doc_id {kind}"),
         session,
-        frame(scores, "query_id long, doc_id long, rerank_score double") if reranked else None,
+        frame(scores, f"query_id long, doc_id {kind}, rerank_score double") if reranked else None,
     )
     got = sorted((r.query_id, r.part, r.place, r.doc_id) for r in served.collect())
-    said = {r.query_id: (r.abstain, r.reason) for r in verdicts.collect()}
+    said_of = {r.query_id: r for r in verdicts.collect()}
     by, want = {d[0]: d for d in docs}, []
     central = {i: sum(t == i for _, t, _ in links) for i in by}
-    for q, text in questions:
+    for q, text, vector in questions:
+        _, weights, allowed, names = ROUTED[q % 5]
         fused = {}
-        for ranked, w in zip(arms(corpus, q, text, probes.get(q), {3: "doc_3", 4: "doc_4"}.get(q)), (1.2, 1.0, 0.8)):
+        for arm, ranked in arms(docs, vectors, allowed, text, vector, names).items():
+            w = weights[["dense", "lexical", "symbol"].index(arm.split("-")[0])]
             for k, i in enumerate(ranked):
                 fused[i] = fused.get(i, 0) + w / (61 + k)
         top = sorted((-round(s, 9), i) for i, s in fused.items())[:50]
-        chosen = mmr([(i, -s * (1.15 if i in session else 1), by[i][1], by[i][2], i % 11 == 0) for s, i in top], 50)
+        chosen = mmr([(i, -s * (1.15 if i in session else 1), by[i][1], by[i][2], by[i][7]) for s, i in top], 50)
         mine = {i: s for x, i, s in scores or [] if x == q}
         if reranked:
             chosen = sorted(chosen, key=lambda i: (-mine[i], i))
@@ -99,11 +126,13 @@ def test_hybrid_search_against_a_plain_one(spark, corpus, reranked):
             if not kept or used + by[i][4] <= 13200:
                 kept.append((k + 1, i))
                 used += by[i][4]
-        best = max((mine[i] for i in chosen), default=None) if reranked else None
+        best = max((mine[i] for _, i in kept), default=None) if reranked else None
         weak = (best is None or best < 0.35) if reranked else len(kept) < 3
-        assert said[q][0] == (not kept or weak), q
+        assert said_of[q].abstain == (not kept or weak), q
         if not kept or weak:
             continue
+        hedges = [h for h, x in (("all-shallow", all(by[i][6] == "shallow" for _, i in kept)), ("stale-repos", any(i in stale for _, i in kept)), ("all-generated", all(by[i][7] for _, i in kept)), ("fusion-order", not reranked)) if x]
+        assert said_of[q].hedges == ";".join(hedges)
         want += [(q, "primary", k, i) for k, i in kept]
         turns = []
         for k, i in kept:
@@ -116,6 +145,65 @@ def test_hybrid_search_against_a_plain_one(spark, corpus, reranked):
                 seen.append(t)
                 room += by[t][4]
                 want.append((q, "expansion", len(seen), t))
+    assert got == sorted(want) and want
+
+
+def test_all_shallow_evidence_is_hedged(spark):
+    docs = [(i, f"word{i} shared text", f"m{i}", f"n{i}", 10, "code", "shallow", True) for i in range(4)]
+    frame = spark.createDataFrame
+    _, verdicts = retrieval.hybrid_search(frame(docs, "doc_id long, text string, module string, name string, tokens long, corpus string, depth string, generated boolean"), frame([], "doc_id long, embedding array<double>"), frame([(1, "shared text", None)], "query_id long, query string, query_vector array<double>"), frame([], "src long, dst long, relation string"), frame([], "doc_id long"))
+    assert [(r.abstain, r.hedges) for r in verdicts.collect()] == [(False, "all-shallow;all-generated;fusion-order")]
+
+
+def test_follow_ups_are_searched_with_the_turn_before(spark):
+    rows = [(1, "what about the async one?", "tell me of parseTree"), (2, "why is parseTree slow", "x"), (3, "and then?", None)]
+    got = {r.query_id: r for r in retrieval.routed(spark.createDataFrame(rows, "query_id long, query string, last_turn string")).collect()}
+    assert got[1].asked == "tell me of parseTree — what about the async one?" and got[1].names == ["parseTree"]
+    assert got[2].asked == rows[1][1] and got[2].intent == "why-rationale" and got[2].arms.corpora == ["adr", "docs", "code"]
+    assert got[3].asked == "and then?"
+
+
+def test_covers_against_all_stretches():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        text = rng.integers(0, 6, int(rng.integers(0, 14))).tolist()
+        terms = list(range(int(rng.integers(1, 4))))
+        whole = lambda a, b: all(t in text[a:b] for t in terms)  # noqa: E731, B023
+        minimal = [(a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if whole(a, b) and not whole(a + 1, b) and not whole(a, b - 1)]
+        want = sum(0.1 / (1 + sum(x not in terms for x in text[a:b])) for a, b in minimal)
+        assert lexical.covers([(i, x) for i, x in enumerate(text) if x in terms], len(terms)) == pytest.approx(want)
+
+
+def test_cells_find_clustered_neighbours_and_read_few(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 16)) * 4
+    rows = [(i, (centres[i % 12] + rng.standard_normal(16)).tolist()) for i in range(1200)] + [(1200, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id < 60 and vec_id % 12 < 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = vectors.build_cells(v, 12)
+    found = vectors.search_cells(index, q, 10, probes=2)
+    exact = vectors.dense_topk(v, q, 10)
+    assert vectors.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9
+    assert sum(index.sizes.values()) == 1200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    every = vectors.search_cells(index, q, 10, probes=12)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_exact_search_in_parts_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART_ROWS", 40)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(150)]
+    v = spark.createDataFrame([r for r in rows if any(r[1])], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 15 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = sorted(map(tuple, vectors.dense_topk(v, q, 7).collect()))
+    held, want = [r for r in rows if any(r[1])], []
+    for a, x in held:
+        if a % 15 == 0:
+            s = sorted((-round(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))), 6), i) for i, y in held)[:7]
+            want += [(a, i, -t, k + 1) for k, (t, i) in enumerate(s)]
     assert got == sorted(want)
 
 
@@ -157,10 +245,25 @@ def test_bootstrap_against_plain_draws(spark):
     assert got["a"].significant
 
 
-def test_gate_verdicts(spark):
-    compared = spark.createDataFrame([("a", 100, -0.1, True), ("b", 10, -0.5, True), ("c", 100, -0.01, True), ("d", 100, 0.1, True)], "stratum string, n long, delta double, significant boolean")
-    rates = spark.createDataFrame([("a", 0.0), ("b", 0.0), ("c", None), ("d", 0.5)], "stratum string, false_answer_rate double")
-    assert {r.stratum: r.verdict for r in evaluation.gate(compared, rates).collect()} == {"a": "regressed", "b": "too-small", "c": "ok", "d": "false-answers"}
+def test_gate_rules(spark):
+    kind = "stratum string, metric string, n long, delta double, significant boolean"
+    compared = [("a", "mrr", 100, -0.1, True), ("a", "recall@10", 100, -0.1, False), ("b", "mrr", 10, -0.5, True), ("c", "mrr", 100, -0.01, True), ("d", "mrr", 100, 0.1, True), ("unanswerable", "mrr", 3, 0.0, False)]
+    strata = [("a", 0.9, 10), ("b", None, 3000), ("unanswerable", 0.2, 2500)]
+    frame = lambda rows, k: spark.createDataFrame(rows, k)
+    of = lambda rows: frame(rows, "stratum string, false_answer_rate double, p95_ms long")
+    got = {(r.level, r.stratum, r.metric, r.rule) for r in evaluation.findings(frame(compared, kind), of(strata)).collect()}
+    assert got == {("failure", "a", "mrr", "regressed"), ("warning", "b", "mrr", "few-items"), ("warning", "unanswerable", "mrr", "few-items"), ("failure", "unanswerable", None, "false-answers"), ("warning", "b", None, "slow")}
+    assert tuple(evaluation.gate(frame(compared, kind), of(strata)).first()) == (False, 2, 3)
+    # False answers elsewhere do not fail; an unmeasured stratum is warned of.
+    assert tuple(evaluation.gate(frame(compared[3:5], kind), of([("a", 0.9, 10)])).first()) == (True, 0, 1)
+
+
+def test_two_runs_are_compared_by_both_metrics(spark):
+    kind = "item_id long, stratum string, expected array<long>, retrieved array<long>"
+    base = spark.createDataFrame([(i, "s", [i], [i, 0]) for i in range(1, 60)], kind)
+    new = spark.createDataFrame([(i, "s", [i], [0, i]) for i in range(1, 60)], kind)
+    got = {r.metric: r for r in evaluation.compared(base, new).collect()}
+    assert got["mrr"].delta == -0.5 and got["mrr"].significant and got["recall@10"].delta == 0 and not got["recall@10"].significant
 
 
 def test_percentiles_against_sorted_lists(spark):
