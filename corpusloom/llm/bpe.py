@@ -23,8 +23,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 #: Characters that str.split() takes for white space and the tokenizer does not.
 ODD = regex.compile("[\x1c-\x1f]")
-#: Runs and words whose encoding a worker keeps, in each of two generations of runs.
-KEPT = 100_000
+#: Runs and words whose encoding a worker keeps, in each of two generations of runs: by default, and where a worker has room for little else.
+KEPT, MORE_KEPT = 100_000, 300_000
 #: Letters of a fragment from which its pairs wait in a heap, so that time grows as n log n and not as n squared.
 LONG = 64
 _NONE = 1 << 60
@@ -40,7 +40,8 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder for a byte-level BPE file whose words end in ``</w>``."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, keep: int = KEPT):
+        self.keep = keep
         data = json.loads(spec)
         model = data["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -61,9 +62,9 @@ class WordBpe:
         self.end_ids = {x: self.ids[x + END] for x in self.letters}
         #: Letter pairs inside some token. Any other pair marks a cut: no merge can ever span it.
         self.inside = {t[i : i + 2] for t in (x.removesuffix(END) for x in self.ids) for i in range(len(t) - 1)}
-        self.kept: dict[str, tuple[str, list[int]]] = {}
-        self.old: dict[str, tuple[str, list[int]]] = {}
-        self.kept_words: dict[str, tuple[str, list[int]]] = {}
+        self.kept: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.old: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.kept_words: dict[str, tuple[str, tuple[int, ...]]] = {}
 
     def fragments(self, word: str) -> list[list[int]]:
         """Ids of the word's byte letters, cut where no token spans; the last letter carries the word end."""
@@ -71,7 +72,7 @@ class WordBpe:
         ids = list(map(self.letter_ids.__getitem__, s))
         ids[-1] = self.end_ids[s[-1]]
         inside = self.inside
-        if inside.issuperset(map(add, s, s[1:])):
+        if False not in map(inside.__contains__, map(add, s, s[1:])):
             return [ids]
         cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inside]
         return [ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)])]
@@ -114,19 +115,19 @@ class WordBpe:
                 heapq.heappush(heap, (x, h))
         return [x for x in ids if x >= 0]
 
-    def _word(self, word: str) -> tuple[str, list[int]]:
+    def _word(self, word: str) -> tuple[str, tuple[int, ...]]:
         """Ids of a word, as text and as numbers."""
         made = self.kept_words.get(word)
         if made is None:
             ids = [t for f in self.fragments(word) for t in self.merge(f)]
-            made = " ".join(map(str, ids)), ids
+            made = " ".join(map(str, ids)), tuple(ids)  # the collector passes over tuples of numbers
             if len(word) < 64:
-                if len(self.kept_words) >= KEPT:
+                if len(self.kept_words) >= self.keep:
                     self.kept_words.clear()
                 self.kept_words[word] = made
         return made
 
-    def _chunk(self, chunk: str) -> tuple[str, list[int]]:
+    def _chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
         """The same of a run without white space.
 
         What was looked up since the last change of generations outlives the next one.
@@ -137,20 +138,20 @@ class WordBpe:
                 made = self._word(chunk)
             else:
                 parts = [self._word(w) for w in self.words.findall(chunk)]
-                made = parts[0] if len(parts) == 1 else (" ".join([x[0] for x in parts]), [i for x in parts for i in x[1]])
+                made = parts[0] if len(parts) == 1 else (" ".join([x[0] for x in parts]), tuple([i for x in parts for i in x[1]]))
             if len(chunk) >= 64:
                 return made
-        if len(self.kept) >= KEPT:
+        if len(self.kept) >= self.keep:
             self.old, self.kept = self.kept, {}
         self.kept[chunk] = made
         return made
 
     def encode(self, text: str) -> tuple[str, list[int]]:
         """Ids of a whole text: decimal, joined by a space, and as numbers."""
-        out: list[tuple[str, list[int]]] = []
+        out: list[tuple[str, tuple[int, ...]]] = []
         for part in self.special_at.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append((str(self.special[part]), [self.special[part]]))
+                out.append((str(self.special[part]), (self.special[part],)))
                 continue
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             chunks = regex.split(f"[{SPACE}]+", plain) if ODD.search(plain) else plain.split()
@@ -166,14 +167,14 @@ class WordBpe:
 _MADE: dict[str, WordBpe] = {}
 
 
-def _encoder(spec: str) -> WordBpe:
-    key = hashlib.md5(spec.encode()).hexdigest()
+def _encoder(spec: str, keep: int) -> WordBpe:
+    key = f"{keep}:{hashlib.md5(spec.encode()).hexdigest()}"
     if key not in _MADE:
-        _MADE[key] = WordBpe(spec)
+        _MADE[key] = WordBpe(spec, keep)
     return _MADE[key]
 
 
-def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False, keep: int = KEPT) -> DataFrame:
     """Encode every whole text and decode it again: id, n_tokens, ids_sha256, decoded_sha256.
 
     The vocabulary file is read by the driver and sent to the tasks; its size is that of
@@ -182,7 +183,7 @@ def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ``decoded``. A null text counts as empty and has no tokens. Equal texts give equal
     values; rows are independent, so repeated rows and null ids pass as they are. Texts are
     encoded whole; a word of any length takes time as its length times the logarithm of it.
-    An empty table gives no rows. Columns other than id and text are not read or returned,
+    keep: encodings that a worker keeps. An empty table gives no rows. Columns other than id and text are not read or returned,
     whatever their names. The merge of lowest rank goes first, of equal ones the leftmost.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -193,7 +194,7 @@ def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_owner("bpe", _MADE.clear)
-        coder = _encoder(sent.value)
+        coder = _encoder(sent.value, keep)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

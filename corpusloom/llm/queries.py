@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, hard_negatives, line_dedup
 from ._common import documents
-from .bpe import bpe
+from .bpe import MORE_KEPT, bpe
 from .langid import identify
 from .license_scan import document_path, license_scan
 from .media import document_media
@@ -31,7 +31,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe(documents(spark, sf_dir), TOKENIZER)
+    return bpe(documents(spark, sf_dir), TOKENIZER, keep=MORE_KEPT)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
