@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,22 +78,31 @@ def longest_prefix(items: DataFrame, prefixes: DataFrame, path: str, prefix: str
 
 
 def chain(events: DataFrame, group: str, order: str, fields: list[str]) -> DataFrame:
-    """events with n, prev_hash and hash: in each group every hash is over the one before and the row's fields.
+    """group, order, n, prev_hash and hash: in each group every hash is over the one before and the row's fields.
 
-    Links of a chain hang on each other, so a group's rows are folded in their order in one
-    row; a tenant's chain grows with its own events only.
+    Links of a chain hang on each other, so a group's rows stream through one task in their
+    order, which carries one hash from row to row: time grows with the rows, and a chain of
+    any length needs no memory of its own. Of rows with equal order the smaller line is first.
     """
     line = F.concat_ws("\n", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    rows = events.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("xs"))
-    kind = dict(events.dtypes)[order]
-    start = F.struct(F.lit("").alias("h"), F.array().cast(f"array<struct<o:{kind},n:bigint,prev:string,hash:string>>").alias("out"))
-
-    def link(s, x):
-        h = F.sha2(F.concat(s["h"], F.lit("\n"), x["line"]), 256)
-        made = F.struct(x["o"].alias("o"), (F.size(s["out"]) + 1).cast("long").alias("n"), s["h"].alias("prev"), h.alias("hash"))
-        return F.struct(h.alias("h"), F.concat(s["out"], F.array(made)).alias("out"))
-
-    return rows.select(group, F.explode(F.aggregate("xs", start, link)["out"]).alias("x")).select(group, F.col("x.o").alias(order), F.col("x.n").alias("n"), F.col("x.prev").alias("prev_hash"), F.col("x.hash").alias("hash"))
+    kinds = dict(events.dtypes)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, last = None, 0, ""
+        for batch in batches:
+            numbers, before, hashes = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if n == 0 or name != now:
+                    now, n, last = name, 0, ""
+                n += 1
+                numbers.append(n)
+                before.append(last)
+                last = hashlib.sha256(f"{last}\n{text}".encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64()), pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[group, order, "n", "prev_hash", "hash"])
+
+    dealt = events.select(group, order, line.alias("_line")).repartition(group).sortWithinPartitions(group, order, "_line")
+    return dealt.mapInArrow(link, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, n long, prev_hash string, hash string")
 
 
 def chain_breaks(events: DataFrame, group: str = "org", order: str = "seq") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,24 +86,47 @@ def redirects(stored: DataFrame, renames: DataFrame) -> DataFrame:
 # Examples by type and by format.
 PLAIN = {"integer": 0, "number": 0, "boolean": True}
 FORMATS = {"date-time": "2026-08-20T09:00:00Z", "uuid": "00000000-0000-0000-0000-000000000000"}
+#: Levels of a schema that an example shows.
+LEVELS = 5
 
 
-def example_of(schema: dict | None, schemas: dict, name: str = "value", depth: int = 0):
-    """A value of a JSON schema: its example, first choice or default, else one built of its parts, five levels deep."""
-    if not schema or depth > 4:
-        return None
-    s = schemas.get(schema["$ref"].split("/")[-1], schema) if schema.get("$ref") else schema
-    for key in ("example", "default"):
-        if key == "default" and s.get("enum"):
-            return s["enum"][0]
-        if key in s:
-            return s[key]
-    kind = s.get("type", "object")
-    if kind == "array":
-        return [example_of(s.get("items"), schemas, name, depth + 1)]
-    if kind == "object":
-        return {k: example_of(v, schemas, k, depth + 1) for k, v in (s.get("properties") or {}).items()}
-    return PLAIN[kind] if kind in PLAIN else FORMATS.get(s.get("format"), f"<{name}>")
+def schema_rows(schema: dict, components: dict) -> list[tuple[tuple, object]]:
+    """A schema as rows (path, value), parents first: containers are empty, leaves have their example.
+
+    A node says its value itself, by an example, its first choice or its default; else the
+    value follows from its type. References are looked up by their last part. What lies
+    deeper than LEVELS is null, so a schema that holds itself ends.
+    """
+    rows, waiting = [], deque([((), "value", schema)])
+    while waiting:
+        path, name, node = waiting.popleft()
+        if not node or len(path) >= LEVELS:
+            rows.append((path, None))
+            continue
+        if node.get("$ref"):
+            node = components.get(node["$ref"].rsplit("/", 1)[-1], node)
+        said = [*([node["example"]] if "example" in node else []), *(node.get("enum") or [])[:1], *([node["default"]] if "default" in node else [])]
+        kind = node.get("type", "object")
+        if said:
+            rows.append((path, said[0]))
+        elif kind in ("array", "object"):
+            inner = {0: node.get("items")} if kind == "array" else node.get("properties") or {}
+            rows.append((path, [] if kind == "array" else {}))
+            waiting.extend(((*path, k), name if kind == "array" else k, v) for k, v in inner.items())
+        else:
+            rows.append((path, PLAIN.get(kind, FORMATS.get(node.get("format"), f"<{name}>"))))
+    return rows
+
+
+def example_of(schema: dict, components: dict):
+    """The rows of a schema put together."""
+    made: dict[tuple, object] = {}
+    for path, value in schema_rows(schema, components):
+        made[path] = value
+        if path:
+            parent = made[path[:-1]]
+            parent.append(value) if isinstance(parent, list) else parent.__setitem__(path[-1], value)
+    return made[()]
 
 
 def with_examples(specs: DataFrame, schema: str = "schema", components: str = "components") -> DataFrame:

@@ -128,7 +128,7 @@ def test_chain_breaks(spark):
 
 def test_normal_types():
     cases = {"b | a": "a | b", "{ x: B | A; y?: D | C }": "{ x: A | B; y?: C | D }", "(b: Z | Y) => B | A": "(b: Y | Z) => A | B", "Map<K, 'b' | 'a'>[]": "Map<K, 'a' | 'b'>[]", "T extends A ? D | C : F | E": "T extends A ? C | D : E | F", "B & A": "B & A", "": "", "'x | y'": "'x | y'"}
-    assert {k: normalize._ordered(k) if k else "" for k in cases} == cases
+    assert {k: normalize.ordered_type(k) if k else "" for k in cases} == cases
 
 
 def test_parameters():
