@@ -534,4 +534,4 @@ def test_license_scan_reads_statements_without_stems_and_inside_text(spark):
     ]
     docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
     got = {r.path.split("/")[0]: r.licence for r in license_scan(docs).collect()}
-    assert got == {"bsd": "BSD-3-Clause", "isc": "ISC", "spdx": "MIT", "spdx3": "GPL-3.0", "spdx0": None, "inside": "MIT", "gpl2": "GPL-2.0", "de": None, "none": None}
+    assert got == {"bsd": "BSD-3-Clause", "isc": "ISC", "spdx": "MIT", "spdx3": "GPL-3.0", "spdx0": "Nobody-2.0", "inside": "MIT", "gpl2": "GPL-2.0", "de": None, "none": None}
