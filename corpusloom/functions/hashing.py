@@ -16,9 +16,23 @@ def stable_id(prefix: str, *parts: Column, digits: int = 40) -> Column:
     return F.concat(F.lit(prefix), short_sha(joined, digits))
 
 
-def content_hash(struct: Column) -> Column:
-    """SHA-256 of a struct's JSON; fields keep their order, so sort them when building it."""
-    return F.sha2(F.to_json(struct, {"ignoreNullFields": "false"}), 256)
+def canonical_json(value: Column) -> Column:
+    """JSON with the keys of every level in order, of a struct, map or array, however nested.
+
+    A variant keeps the fields of an object sorted, so no key order of the input is left.
+    Nulls stay; a value over the size that a variant may have is an error.
+    """
+    return F.to_json(F.parse_json(F.to_json(value, {"ignoreNullFields": "false"})))
+
+
+def canonical_text(text: Column) -> Column:
+    """The same of a JSON text; null if it is none, or has a key twice."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def content_hash(value: Column) -> Column:
+    """SHA-256 of the canonical JSON: equal for all orders of fields and keys."""
+    return F.sha2(canonical_json(value), 256)
 
 
 def permission_hash(*lists: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.text import NAME
 from corpusloom.operators.scanner import TIERS, rank
+from corpusloom.operators.tables import placed
 
 EVIDENCE, RERANKED = 8, 8
 ZERO_SHA = "0" * 40
@@ -163,8 +164,7 @@ def module_ranks(modules: DataFrame, edges: DataFrame, symbols: DataFrame) -> Da
     degree = edges.where("src_module <> dst_module").distinct().groupBy(F.col("dst_module").alias("module")).agg(F.count("*").alias("in_degree"))
     per = symbols.groupBy("module").agg(F.count_if(F.col("visibility") == "public").alias("n_public"), F.count("http").alias("n_endpoints"))
     out = modules.join(degree, "module", "left").join(per, "module", "left").fillna(0, ["in_degree", "n_public", "n_endpoints"])
-    w = Window.orderBy(F.desc("in_degree"), F.desc("n_public"), "path")  # modules of one architecture page
-    return out.withColumn("place", F.row_number().over(w).cast("long"))
+    return placed(out, F.desc("in_degree"), F.desc("n_public"), F.asc("path"))
 
 
 def dependency_edges(dependencies: DataFrame, modules: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Sides of joins whose counted rows take at most so many bytes are broadcast.
 SMALL_BYTES = 24 << 20
@@ -41,3 +42,19 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
 def sent_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df, with a broadcast hint if its counted rows are few enough."""
     return F.broadcast(df) if rows * row_bytes <= SMALL_BYTES else df
+
+
+def placed(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """df with its place, from 1, in an order of all rows; ties fall in any order.
+
+    Rows are sorted over ranges and written once. A row's place is its number in its range,
+    and the rows of the ranges before: only one count a range is added up in one task.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    kept = written(ranges.withColumn("_range", F.shiftright("_row", 33)), "placed")
+    before = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # at most n rows
+    at = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return kept.join(F.broadcast(before), "_range").select(*df.columns, at.cast("long").alias(name))

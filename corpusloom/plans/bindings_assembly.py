@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import normalize
 from corpusloom.operators import assembly, chunking, diff
 from corpusloom.plans.bindings_scan import table
-from corpusloom.sources import repository, store
+from corpusloom.sources import repository, rules, store
 from corpusloom.streaming import access
 
 Q: dict = {}
@@ -190,7 +190,25 @@ def code_owners(spark, d):
     k = F.col("p_partkey")
     names = F.array(*[F.lit(x) for x in ("docs/a{k}.md", "web/x{k}.ts", "src/api/y{k}.py", "src/api/z{k}.md", "other/{k}.py", "docs/deep/er/{k}.txt")])
     x = table(spark, d, "part").select("p_partkey", F.replace(F.get(names, (k % 6).cast("int")), F.lit("{k}"), k.cast("string")).alias("path"))
-    return x.join(repository.owners(x, _OWNERS), "path").select("p_partkey", "owners")
+    return x.join(rules.owners(x, _OWNERS), "path").select("p_partkey", "owners")
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_partkey % 3 AS d, p_partkey % 2 AS keep, p_size % 2 AS ts, right(p_brand, 1)::INT AS b FROM part)
+SELECT p_partkey FROM f WHERE NOT (CASE WHEN d = 1 AND b % 2 = 0 THEN true WHEN d = 2 AND b % 3 = 0 AND keep = 1 THEN true WHEN d = 1 AND ts = 1 THEN true WHEN ts = 0 THEN NOT (keep = 1 AND b % 2 = 0) ELSE false END)
+""")
+def nested_ignores(spark, d):
+    """Files that the ignore files of their folders leave in: the nearest file, the last line, folders as wholes."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    digit = F.right("p_brand", F.lit(1)).cast("int")
+    x = table(spark, d, "part")
+    pick = lambda names, n: F.get(F.array(*[F.lit(v) for v in names]), (n % len(names)).cast("int"))
+    files = x.select("p_partkey", F.concat_ws("/", "p_brand", pick(["src", "tmp", "lib"], k), F.concat(pick(["a", "keep"], k), k.cast("string"), pick([".log", ".ts"], z))).alias("path"))
+    brands = x.select("p_brand", digit.alias("b")).distinct()
+    top = brands.select(F.concat("p_brand", F.lit("/.gitignore")).alias("path"), F.when(F.col("b") % 2 == 0, "# kept\n!keep*.log\n/tmp/\n").otherwise("tmp/*.ts\n").alias("text"))
+    deep = brands.where("b % 3 = 0").select(F.concat("p_brand", F.lit("/lib/.gitignore")).alias("path"), F.lit("[k-m]eep*\n").alias("text"))
+    root = brands.limit(1).select(F.lit(".gitignore").alias("path"), F.lit("*.log\n").alias("text"))
+    return rules.not_ignored(files, rules.rules_of(top.unionByName(deep).unionByName(root))).select("p_partkey")
 
 
 @query("""

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.functions import text
 from corpusloom.operators import graph, platform, scanner
+from corpusloom.operators.tables import placed
 from corpusloom.plans.bindings_scan import table
 from corpusloom.sources import repository, store
 
@@ -407,7 +407,7 @@ SELECT p_partkey AS spec, coalesce((SELECT module FROM o WHERE dir = 'src/' || p
 def spec_modules(spark, d):
     """The first module above each spec, else the first of all."""
     p = table(spark, d, "part")
-    m = p.select("p_type").distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("p_type"))).select(F.concat(F.lit("src/"), "p_type").alias("dir"), F.col("p_type").alias("module"), "ordinal")
+    m = placed(p.select("p_type").distinct(), "p_type", name="ordinal").select(F.concat(F.lit("src/"), "p_type").alias("dir"), F.col("p_type").alias("module"), "ordinal")
     specs = p.select(F.col("p_partkey").alias("spec"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("src/"), "p_type", F.lit("/api/spec.json"))).otherwise("docs/spec.json").alias("path"))
     return platform.spec_modules(specs, m).select("spec", "module")
 
@@ -486,12 +486,20 @@ def service_kinds(spark, d):
     return table(spark, d, "part").select("p_partkey", repository.service_kind(F.lit("app"), F.get(images, (F.col("p_partkey") % 5).cast("int"))).alias("kind"))
 
 
-@query("SELECT doc_id, sha256('{\"a\":' || CASE WHEN lang IS NULL THEN 'null' ELSE '\"' || lang || '\"' END || ',\"b\":' || n_chars || '}') AS hash FROM documents")
+@query("""
+WITH t AS (SELECT doc_id, '{"a":{"n":' || n_chars || ',"tags":["' || doc_id % 3 || '"]},"lang":' || CASE WHEN lang IS NULL THEN 'null' ELSE '"' || lang || '"' END || '}' AS j FROM documents)
+SELECT doc_id, sha256(j) AS hash, sha256(j) AS moved_hash, j AS json FROM t
+""")
 def content_hashes(spark, d):
-    """Hashes of structs by their JSON with sorted fields (F-H2)."""
-    from corpusloom.functions.hashing import content_hash
-
-    return table(spark, d, "documents").select("doc_id", content_hash(F.struct(F.col("lang").alias("a"), F.col("n_chars").alias("b"))).alias("hash"))
+    """Hashes of nested values by their JSON with sorted keys, and of texts whose keys come in changing orders (F-H2)."""
+    from corpusloom.functions.hashing import canonical_text, content_hash
+
+    n, tag = F.col("n_chars"), F.array((F.col("doc_id") % 3).cast("string"))
+    lang = F.col("lang").alias("lang")
+    one = F.struct(lang, F.struct(tag.alias("tags"), n.alias("n")).alias("a"))
+    other = F.struct(F.struct(n.alias("n"), tag.alias("tags")).alias("a"), lang)
+    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(one, {"ignoreNullFields": "false"})).otherwise(F.to_json(other, {"ignoreNullFields": "false"}))
+    return table(spark, d, "documents").select("doc_id", content_hash(one).alias("hash"), content_hash(other).alias("moved_hash"), canonical_text(text).alias("json"))
 
 
 _CONFIG = {"chunkMaxTokens": 900, "embeddingModel": "m1", "rrfK": 60}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import checks, hashing, text
 from corpusloom.operators import dedupe, scanner
+from corpusloom.operators.tables import placed
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -123,13 +124,10 @@ SELECT source, rule, severity, count(*) AS n, row_number() OVER (ORDER BY CASE s
 """)
 def findings_report(spark, d):
     """Findings by source in report order: severity, path, rule."""
-    from pyspark.sql.window import Window
-
     docs = table(spark, d, "documents")
     found = scanner.scan(docs, "doc_id", F.col("source"), "text")
     per = found.groupBy(F.col("path").alias("source"), "rule", "severity").agg(F.count("*").alias("n"))
-    order = Window.orderBy(scanner.rank(F.col("severity"), scanner.SEVERITIES), "source", "rule")  # a row for each source and rule
-    return per.withColumn("place", F.row_number().over(order).cast("long"))
+    return placed(per, scanner.rank(F.col("severity"), scanner.SEVERITIES), F.asc("source"), F.asc("rule"))
 
 
 @query(f"SELECT '{scanner.ruleset_hash()}' AS hash, CASE WHEN doc_id % 4 = 3 THEN 'restricted' WHEN doc_id % 4 = 2 THEN 'confidential' WHEN doc_id % 4 = 1 THEN 'internal' ELSE 'public' END AS tier, count(*) FILTER (WHERE doc_id % 4 <= 1) AS visible, count(*) FILTER (WHERE doc_id % 4 <> 3) AS embeddable, count(*) FILTER (WHERE doc_id % 4 > doc_id % 3) AS downgraded FROM documents GROUP BY ALL")

@@ -13,48 +13,30 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.text import glob_regex, language_of, normal_path
 from corpusloom.operators.scanner import DENIED_PATHS, SKIPPED_PATHS, any_match
+from corpusloom.sources.rules import not_ignored, rules_of
 
 # Manifest names and their ecosystems.
 MANIFESTS = {"package.json": "npm", "pyproject.toml": "pypi", "setup.py": "pypi"}
 
 
-def ignore_patterns(text: str) -> list[tuple[str, bool]]:
-    """(expression, ignores) of the lines of an ignore file; the last line that matches a path decides."""
-    out = []
-    for line in text.splitlines():
-        line = line.strip()
-        if not line or line.startswith("#"):
-            continue
-        ignores, body = not line.startswith("!"), line.lstrip("!")
-        rooted, folder = "/" in body.rstrip("/"), body.endswith("/")
-        glob = body.strip("/") if rooted else "**/" + body.strip("/")
-        inside = glob_regex(glob + "/**")
-        out.append((inside if folder else f"(?:{glob_regex(glob)})|(?:{inside})", ignores))
-    return out
-
-
-def ignored(path: Column, patterns: list[tuple[str, bool]]) -> Column:
-    out = F.lit(False)
-    for pattern, ignores in patterns:
-        out = F.when(path.rlike(pattern), ignores).otherwise(out)
-    return out
-
-
-def walk(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: str = "") -> DataFrame:
+def walk(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: str = "", names: tuple[str, ...] = (".gitignore",)) -> DataFrame:
     """path (below root), size and content of the readable files of a tree.
 
     Spark's binary file reader lists and reads, so any store that Spark reads will do;
-    content is read only by plans that ask for it. ignore is the text of ignore files. Files
-    come in no order and without a limit; sort and cut what is shown.
+    content is read only by plans that ask for it. Ignore files of any folder, called one
+    of ``names``, hold for what is below them; ignore is the text of one more at the top.
+    Files come in no order and without a limit; sort and cut what is shown.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^[a-z0-9]+:/*", "", root).strip("/")
     below = normal_path(F.regexp_replace("path", rf"^[a-z0-9]+:/*{re.escape(base)}/?", ""))
-    out = files.select(below.alias("path"), F.col("length").alias("size"), "content")
-    out = out.where(~any_match(F.col("path"), DENIED_PATHS) & ~any_match(F.col("path"), SKIPPED_PATHS))
+    found = files.select(below.alias("path"), F.col("length").alias("size"), "content")
+    out = found.where(~any_match(F.col("path"), DENIED_PATHS) & ~any_match(F.col("path"), SKIPPED_PATHS))
     for glob in exclude or []:
         out = out.where(~F.col("path").rlike(glob_regex(glob)))
-    return out.where(~ignored(F.col("path"), ignore_patterns(ignore)))
+    written = found.where(F.element_at(F.split("path", "/"), -1).isin(*names)).select("path", F.decode("content", "UTF-8").alias("text"))
+    given = spark.createDataFrame([(".ignore", ignore)], "path string, text string")
+    return not_ignored(out.where(~F.element_at(F.split("path", "/"), -1).isin(*names)), rules_of(written.unionByName(given)))
 
 
 def with_language(files: DataFrame) -> DataFrame:
@@ -89,24 +71,6 @@ def modules(files: DataFrame, found: DataFrame) -> DataFrame:
     return longest_prefix(files, found, "path", "dir").withColumn("dir", F.coalesce("dir", F.lit(".")))
 
 
-def owners(paths: DataFrame, codeowners: str) -> DataFrame:
-    """path and owners by the longest pattern that matches, of equal ones the last line."""
-    rows = []
-    for no, line in enumerate(codeowners.splitlines()):
-        parts = line.split("#")[0].split()
-        if len(parts) > 1:
-            p = parts[0]
-            rooted = p.startswith("/")
-            body = p.strip("/")
-            glob = body + ("/**" if p.endswith("/") else "") if rooted or "/" in body else "**/" + body + ("/**" if p.endswith("/") else "")
-            rows.append((no, len(p), glob_regex(glob), glob_regex(glob + "/**"), parts[1:]))
-    if not rows:
-        return paths.select("path", F.array().cast("array<string>").alias("owners"))
-    rules = paths.sparkSession.createDataFrame(rows, "no int, size int, re string, below string, owners array<string>")
-    met = paths.select("path").join(F.broadcast(rules), F.expr("path rlike re or path rlike below")).groupBy("path").agg(F.max_by("owners", F.struct("size", "no")).alias("owners"))
-    return paths.select("path").join(met, "path", "left").withColumn("owners", F.coalesce("owners", F.array().cast("array<string>")))
-
-
 def front_matter(text: Column) -> tuple[Column, Column]:
     """The scalar ``key: value`` pairs between the first two --- lines as a map, and the text behind them."""
     head = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
