@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import cross_repo, graph, indexing, platform
+from corpusloom.operators.module_index import index_module, read_index
+from corpusloom.operators.symbol_chunks import symbol_chunks as symbol_chunks_of
+from corpusloom.operators.tables import shared_folder
 from corpusloom.plans import bindings_graph
 from corpusloom.plans.bindings_assembly import _fill
 from corpusloom.plans.bindings_scan import table
@@ -175,3 +180,48 @@ def index_documents(spark, d):
     docs = table(spark, d, "documents")
     chunks, _ = indexing.index_documents(docs, spark.createDataFrame([], "content_hash string"), title=F.col("source"))
     return chunks.select("doc_id", "ordinal", "tokens", "content_hash", "cached")
+
+
+_SYMBOLS = """
+s AS (SELECT p_partkey AS symbol_id, p_partkey AS k, p_size AS z, p_brand AS module, p_type AS t, replace(p_name, ' ', '.') AS q FROM part),
+c AS (SELECT symbol_id, k, z, concat_ws(chr(10), '// Module: ' || module || CASE WHEN k % 2 = 0 THEN ' (pkg-' || z || ')' ELSE '' END, '// File: src/' || k || '.ts', CASE WHEN k % 3 = 0 AND instr(q, '.') > 0 THEN '// Declared in: ' || regexp_replace(q, '\\.[^.]*$', '') END, '// Kind: public function', CASE WHEN z % 4 = 0 THEN '// Analysis: shallow — signature as written, types not resolved' END, CASE WHEN k % 5 = 0 THEN '// Context: says ' || t END)
+ || chr(10) || chr(10) || concat_ws(chr(10), q, 'f(a: ' || z || ')', CASE WHEN k % 2 = 1 THEN chr(10) || 'Does ' || t END, CASE WHEN z % 3 > 0 THEN chr(10) || 'Parameters:' || chr(10) || '  a' || CASE WHEN z % 2 = 0 THEN '?' ELSE '' END || ': ' || CASE WHEN z % 3 = 1 THEN 'string' ELSE 'unknown' END || CASE WHEN k % 4 = 0 THEN ' — of ' || t ELSE '' END END,
+ CASE WHEN z % 5 = 0 THEN chr(10) || 'Returns: number' END, CASE WHEN k % 7 = 0 THEN chr(10) || 'Throws:' || chr(10) || '  Bad: ' || t END, CASE WHEN k % 11 = 0 THEN chr(10) || 'DEPRECATED: no reason given' END, CASE WHEN k % 6 = 0 THEN chr(10) || 'HTTP: GET /' || z END, CASE WHEN k % 6 = 0 THEN 'Auth: key, oauth' END, CASE WHEN k % 6 = 0 THEN 'Responses: 200 ok; 404' END, CASE WHEN z % 6 = 0 THEN chr(10) || 'Attributes: @a @b' END)
+ || CASE WHEN z % 2 = 1 THEN chr(10) || chr(10) || 'return ' || t || ';' ELSE '' END AS content FROM s)"""
+
+
+def _symbols(spark, d):
+    k, z, t = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
+    text = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
+    return table(spark, d, "part").select(
+        k.alias("symbol_id"), F.col("p_brand").alias("module"), F.when(k % 2 == 0, text("pkg-", z.cast("string"))).alias("package"), text("src/", k.cast("string"), ".ts").alias("path"), F.replace("p_name", F.lit(" "), F.lit(".")).alias("qualified_name"), F.when(k % 3 == 0, "up").alias("parent_id"),
+        F.lit("public").alias("visibility"), F.lit("function").alias("kind"), F.when(z % 4 == 0, "shallow").otherwise("semantic").alias("depth"), F.when(k % 5 == 0, text(" says\n ", t)).alias("blurb"), text("f(a: ", z.cast("string"), ")").alias("signature"), F.when(k % 2 == 1, text("Does ", t)).alias("summary"), F.lit(None).cast("string").alias("description"),
+        F.when(z % 3 > 0, F.array(F.struct(F.lit("a").alias("name"), F.when(z % 3 == 1, "string").alias("type"), (z % 2 == 0).alias("optional"), F.when(k % 4 == 0, text("of ", t)).alias("description")))).alias("parameters"),
+        F.when(z % 5 == 0, "number").alias("return_type"), F.lit(None).cast("string").alias("returns"), F.when(k % 7 == 0, F.array(F.struct(F.lit("Bad").alias("type"), t.alias("description")))).alias("throws"), F.when(k % 11 == 0, "").alias("deprecated"),
+        F.when(k % 6 == 0, F.struct(F.lit("GET").alias("method"), text("/", z.cast("string")).alias("route"), F.lit(None).cast("string").alias("operation_id"), F.array(F.lit("key"), F.lit("oauth")).alias("schemes"), F.array(F.struct(F.lit("200").alias("status"), F.lit("ok").alias("description")), F.struct(F.lit("404").alias("status"), F.lit("").alias("description"))).alias("responses"))).alias("http"),
+        F.when(z % 6 == 0, F.array(F.lit("@a"), F.lit("@b"))).alias("decorators"), F.when(z % 2 == 1, text("return ", t, ";")).alias("source_text"), F.when(z % 9 == 0, "restricted").otherwise("internal").alias("sensitivity"),
+    )
+
+
+@query(f"WITH {_SYMBOLS} SELECT symbol_id, 0 AS ordinal, CASE WHEN k % 6 = 0 THEN 'spec' ELSE 'code' END AS corpus, content, sha256(content) AS content_hash FROM c")
+def symbol_chunks(spark, d):
+    """Header, facts and source of each symbol as one chunk."""
+    return symbol_chunks_of(_symbols(spark, d)).select("symbol_id", "ordinal", "corpus", "content", "content_hash")
+
+
+@query(f"""
+WITH {_SYMBOLS}, n AS (SELECT symbol_id, content FROM c WHERE z % 9 <> 0 AND k % 10 <> 3)
+SELECT symbol_id, 'o' AS org, 'parts' AS module, '1' AS version, content, (SELECT count(*) FROM n) AS first_written, (SELECT count(*) FROM c WHERE z % 9 <> 0 AND k % 10 = 3) AS second_deleted, true AS third_skipped FROM n
+""")
+def module_index(spark, d):
+    """A module indexed, indexed again without some of its symbols, and once more without a change."""
+    root = f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}/module-index-{uuid.uuid4().hex}"
+    x = _symbols(spark, d)
+    none = spark.createDataFrame([], "content_hash string")
+    run = lambda rows: index_module(rows, none, root, "o", "parts", "1")
+    run(x.where("symbol_id % 10 = 3"))
+    run(x.where("symbol_id % 10 = 3"))
+    second = run(x.where("symbol_id % 10 <> 3"))
+    third = run(x.where("symbol_id % 10 <> 3"))
+    out = read_index(spark, root).select("symbol_id", "org", "module", "version", "content")
+    return out.withColumns({"first_written": F.lit(second.written).cast("long"), "second_deleted": F.lit(second.deleted).cast("long"), "third_skipped": F.lit(third.skipped)})
