@@ -8,7 +8,7 @@ from corpusloom.functions import normalize
 from corpusloom.operators import assembly, chunking, diff
 from corpusloom.plans.bindings_scan import table
 from corpusloom.sources import repository, rules, store
-from corpusloom.streaming import access
+from corpusloom.streaming import access, sessions
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -333,6 +333,13 @@ def eligible_symbols(spark, d):
     return chunking.eligible(x).agg(F.count("*").alias("n"))
 
 
+@query()
+def session_ends(spark, d):
+    """Sessions of users that end by idle time, lifetime or for a sixth one (ST6); SQL has no such fold, a plain loop checks it."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("principal"), (F.col("event_id") % 9).alias("session_id"), "ts")
+    return sessions.session_ends(e, 24 * 3_600_000, 5 * 24 * 3_600_000)
+
+
 @query("""
 WITH RECURSIVE x AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 f AS (SELECT user_id, ts, n, ts AS start FROM x WHERE n = 1 UNION ALL SELECT x.user_id, x.ts, x.n, CASE WHEN x.fresh = 1 OR x.ts - f.start >= INTERVAL 8 HOUR THEN x.ts ELSE f.start END FROM f JOIN x ON x.user_id = f.user_id AND x.n = f.n + 1)

@@ -72,20 +72,30 @@ def once(jobs: DataFrame, key: str = "job_id", keep: str = "24 hours") -> DataFr
 def bounded_sessions(events: DataFrame, idle: str = "30 minutes", most_seconds: int = 8 * 3600) -> DataFrame:
     """Sessions by idle gap that also end a fixed time after they began: principal, start, events.
 
-    An event past that time opens a session of its own; the fold is over one idle session's times.
+    An event past that time opens a session of its own. Events of a principal stream through
+    one task in the order of time, which carries the open session only. Events without a
+    time are in none; those without a principal share their sessions.
     """
-    runs = events.groupBy(F.session_window("ts", idle), "principal").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("xs"))
-    start = F.array().cast("array<struct<start:bigint,events:bigint>>")
-    one = lambda x, n: F.struct(x.alias("start"), n.cast("long").alias("events"))
-
-    def step(s, x):
-        last = F.element_at(s, -1)
-        same = (F.size(s) > 0) & (x - last["start"] < F.lit(most_seconds * 1_000_000))
-        return F.when(same, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(one(last["start"], last["events"] + 1)))).otherwise(F.concat(s, F.array(one(x, F.lit(1)))))
-
-    # element_at of an empty array is an error, so the first event is the start of the fold.
-    folded = F.aggregate(F.slice("xs", 2, F.size("xs")), F.concat(start, F.array(one(F.get("xs", 0), F.lit(1)))), step)
-    return runs.select("principal", F.explode(folded).alias("s")).select("principal", F.timestamp_micros("s.start").alias("start"), F.col("s.events").alias("events"))
+    kind, most = dict(events.dtypes)["principal"], most_seconds * 1_000_000
+    w = Window.partitionBy("who").orderBy("at")
+    rows = events.where("ts is not null").select(F.col("principal").cast("string").alias("who"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    rows = rows.withColumn("fresh", F.coalesce(F.timestamp_micros("at") >= F.timestamp_micros(F.lag("at").over(w)) + F.expr(f"interval {idle}"), F.lit(True)))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list | None = None  # principal, start, events
+        for pdf in batches:
+            out = []
+            for who, at, fresh in zip(pdf["who"], pdf["at"].tolist(), pdf["fresh"].tolist()):
+                # The first event of a principal is fresh, so a new principal always opens a session.
+                if fresh or at - held[1] >= most:
+                    out += [held] if held else []
+                    held = [who, at, 0]
+                held[2] += 1
+            yield pd.DataFrame(out, columns=["who", "start", "events"])
+        yield pd.DataFrame([held] if held else [], columns=["who", "start", "events"])
+
+    # The window leaves each principal's rows in one task and in order.
+    return rows.mapInPandas(fold, "who string, start long, events long").select(F.col("who").cast(kind).alias("principal"), F.timestamp_micros("start").alias("start"), "events")
 
 
 def cached_permissions(requests: DataFrame, snapshots: DataFrame, ttl_seconds: int = 300, hard_seconds: int = 3600) -> DataFrame:
