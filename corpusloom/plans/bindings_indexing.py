@@ -13,7 +13,7 @@ from corpusloom.operators.tables import shared_folder
 from corpusloom.plans import bindings_graph
 from corpusloom.plans.bindings_assembly import _fill
 from corpusloom.plans.bindings_scan import table
-from corpusloom.sources import repository, store
+from corpusloom.sources import connector, repository, store
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -225,3 +225,29 @@ def module_index(spark, d):
     third = run(x.where("symbol_id % 10 <> 3"))
     out = read_index(spark, root).select("symbol_id", "org", "module", "version", "content")
     return out.withColumns({"first_written": F.lit(second.written).cast("long"), "second_deleted": F.lit(second.deleted).cast("long"), "third_skipped": F.lit(third.skipped)})
+
+
+@query("""
+WITH x AS (SELECT doc_id, source, text, doc_id % 10 AS m FROM documents), c AS (SELECT count(*) FILTER (WHERE m IN (1, 3)) AS upserts, count(*) FILTER (WHERE m = 2) AS tombstones FROM x)
+SELECT doc_id::VARCHAR AS external_id, CASE WHEN m = 3 THEN 'r2' ELSE 'r1' END AS revision, source AS title, sha256(coalesce(text, '')) AS content_sha256, upserts, tombstones FROM x, c WHERE m <> 2
+""")
+def connector_pulls(spark, d):
+    """Two listings of a source published as changes, pulled page by page from cursors, and applied."""
+    connector.register(spark)
+    root = f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}/feed-{uuid.uuid4().hex}"
+    m = F.col("doc_id") % 10
+    x = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("external_id"), m.alias("m"), F.lit("r1").alias("revision"), F.col("source").alias("title"), F.lit("reference").alias("document_type"), F.coalesce("text", F.lit("")).alias("content"))
+    pull = lambda after, n: spark.read.format(connector.FORMAT).option("path", root).option("after", after).option("pages", n).load()
+    connector.publish(x.where("m <> 1").drop("m"), root)
+    state, at = None, ""
+    while connector.has_more(root, at):
+        page = pull(at, 64)
+        first = page.where("not deleted").drop("deleted")
+        state = first if state is None else connector.apply_changes(state, page)
+        at = connector.next_cursor(page, at)
+    connector.publish(x.where("m <> 2").withColumn("revision", F.when(F.col("m") == 3, "r2").otherwise("r1")).drop("m"), root)
+    changes = pull(at, 1 << 20)
+    counts = changes.agg(F.count_if(~F.col("deleted")).alias("upserts"), F.count_if("deleted").alias("tombstones"))
+    state = pull("", 1 << 20).where("false").drop("deleted") if state is None else state
+    out = connector.apply_changes(state, changes).select("external_id", "revision", "title", F.sha2("content", 256).alias("content_sha256"))
+    return out.crossJoin(F.broadcast(counts))
