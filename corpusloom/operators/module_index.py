@@ -60,17 +60,17 @@ def index_module(symbols: DataFrame, cache: DataFrame, root: str, org: str, modu
     ensure_checkpoints(spark)
     worth = chunking.eligible(symbols.withColumn("doc", F.concat_ws("", "summary", "description"))).drop("doc")
     chunks = written(symbol_chunks(worth, budget), "chunks")
-    clusters = dedupe.leader_clusters(chunks.select("chunk_id", F.col("content").alias("text"), "tokens", F.lit(False).alias("generated")))
-    rows = chunks.join(clusters.select("chunk_id", F.col("leader").alias("cluster"), "representative"), "chunk_id", "left")
-    rows = written(rows, "indexed")
-    # Order-free: counts, a sum and an exclusive or of the rows' hashes.
-    code = F.xxhash64(*rows.columns)
-    state = rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(code), F.lit(0)).alias("x"), F.coalesce(F.sum(F.pmod(code, F.lit((1 << 31) - 1))), F.lit(0)).alias("s")).first()
+    # Order-free: a count, a sum and an exclusive or of the chunks' hashes; clusters follow from the chunks.
+    code = F.xxhash64(*chunks.columns)
+    state = chunks.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(code), F.lit(0)).alias("x"), F.coalesce(F.sum(F.pmod(code, F.lit((1 << 31) - 1))), F.lit(0)).alias("s")).first()
     digest = f"{state.n}-{state.x}-{state.s}"
     now = pointers(spark, root).where((F.col("org") == org) & (F.col("module") == module) & (F.col("version") == version)).first()
-    misses = dedupe.cache_split(rows, cache)[1]
+    misses = dedupe.cache_split(chunks, cache)[1]
     if now is not None and now.digest == digest:
         return IndexRun(0, 0, True, misses)
+    clusters = dedupe.leader_clusters(chunks.select("chunk_id", F.col("content").alias("text"), "tokens", F.lit(False).alias("generated")))
+    rows = chunks.join(clusters.select("chunk_id", F.col("leader").alias("cluster"), "representative"), "chunk_id", "left")
+    rows = written(rows, "indexed")
     before = spark.read.parquet(f"{root}/chunks/generation={now.generation}").select("chunk_id") if now is not None else chunks.select("chunk_id").where(F.lit(False))
     added, gone = (a.join(b, "chunk_id", "left_anti").count() for a, b in ((rows.select("chunk_id"), before), (before, rows.select("chunk_id"))))
     generation = uuid.uuid4().hex
