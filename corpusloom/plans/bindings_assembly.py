@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import normalize
-from corpusloom.operators import assembly, chunking, diff
+from corpusloom.operators import api_guide, assembly, chunking, diff
 from corpusloom.plans.bindings_scan import table
 from corpusloom.sources import repository, rules, store
 from corpusloom.streaming import access, sessions
@@ -359,3 +359,60 @@ def cached_permissions(spark, d):
     """Permissions of the last snapshot before a request, by its age (ST5)."""
     e = table(spark, d, "events").select(F.col("user_id").alias("principal"), "ts", "event_id", "event_type")
     return access.cached_permissions(e.where("event_type <> 'view'").withColumnRenamed("event_id", "request_id"), e.where("event_type = 'view'").withColumnRenamed("event_id", "permissions"), 3600, 86400)
+
+
+def _part_specs(spark, d):
+    """A specification for each five parts: an operation and a component a part, components that refer to the next or an earlier one, some to nothing."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    text = lambda c: c.cast("string")
+    ref = lambda c: F.struct(F.concat(F.lit("#/components/schemas/C"), text(c)).alias("$ref"))
+    said = lambda c: F.struct(c.alias("description"))
+    answers = F.map_concat(F.create_map(F.lit("404"), said(F.concat(F.lit("no "), "p_brand")), F.lit("200"), said(F.lit("fine"))), F.when(z % 2 == 0, F.create_map(F.lit("409"), said(F.lit("")))).otherwise(F.create_map().cast("map<string,struct<description:string>>")))
+    asked = F.when(z % 4 > 0, F.create_map(F.lit("application/json"), F.struct(ref(k).alias("schema"))))
+    op = F.struct(F.when(z % 3 == 0, F.concat(F.lit("op"), text(k))).alias("operationId"), F.col("p_name").alias("summary"), F.array("p_type").alias("tags"), F.struct(asked.alias("content")).alias("requestBody"), answers.alias("responses"))
+    item = F.when(z % 4 > 0, F.create_map(F.lit("post"), op)).otherwise(F.create_map(F.lit("get"), op))
+    props = F.struct(F.when(z % 3 != 0, ref(k + 1)).alias("next"), ref(k - z % 4).alias("back"), F.struct(F.lit("string").alias("type")).alias("name"))
+    per = table(spark, d, "part").groupBy(F.floor(k / 5).alias("g")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/x"), text(k)), item))).alias("paths"),
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("C"), text(k)), F.struct(props.alias("properties"))))).alias("schemas"),
+    )
+    name = F.concat(F.lit("s"), text(F.col("g")))
+    schemes = F.create_map(F.lit("key"), F.struct(F.lit("apiKey").alias("type"), F.lit("header").alias("in"), F.lit("X-Key").alias("name")))
+    doc = F.struct(F.lit("3.0.1").alias("openapi"), F.struct(name.alias("title"), F.lit("1").alias("version")).alias("info"), "paths", F.struct("schemas", F.when(F.col("g") % 2 == 0, schemes).alias("securitySchemes")).alias("components"))
+    return per.select(name.alias("path"), F.when(F.col("g") % 7 == 0, "{").otherwise(F.to_json(doc)).alias("text"))
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT 's' || p_partkey // 5 AS spec, p_partkey AS k, p_size AS z FROM part WHERE p_partkey // 5 % 7 <> 0),
+e AS (SELECT a.spec, a.k, b.k AS t FROM p a JOIN p b ON a.spec = b.spec AND ((a.z % 3 <> 0 AND b.k = a.k + 1) OR b.k = a.k - a.z % 4)),
+c AS (SELECT spec, k AS root, k AS n FROM p UNION SELECT c.spec, c.root, e.t FROM c JOIN e ON c.spec = e.spec AND c.n = e.k)
+SELECT spec, 'C' || root AS root, 'C' || n AS name FROM c
+""")
+def spec_closures(spark, d):
+    """What each component of a specification reaches by references (F-A5, X13)."""
+    return api_guide.component_closure(api_guide.components(api_guide.read_specs(_part_specs(spark, d)))).select("spec", "root", "name")
+
+
+@query("""
+WITH o AS (SELECT 's' || p_partkey // 5 AS spec, '/x' || p_partkey AS route, CASE WHEN p_size % 3 = 0 THEN 'op' || p_partkey ELSE CASE WHEN p_size % 4 > 0 THEN 'POST' ELSE 'GET' END || ' /x' || p_partkey END AS label, 'no ' || p_brand AS said, p_size FROM part WHERE p_partkey // 5 % 7 <> 0),
+m AS (SELECT spec, string_agg(said, ' / ' ORDER BY route) AS meaning FROM (SELECT spec, said, min(route) AS route FROM o GROUP BY ALL) GROUP BY spec)
+SELECT spec, '404' AS status, meaning, count(*) AS n, list(label ORDER BY route)[1:4] AS operations FROM o JOIN m USING (spec) GROUP BY spec, meaning
+UNION ALL SELECT spec, '409', '', count(*), list(label ORDER BY route)[1:4] FROM o WHERE p_size % 2 = 0 GROUP BY spec
+""")
+def guide_error_rows(spark, d):
+    """The error catalogue of each specification: a status once, what it means and who returns it."""
+    return api_guide.error_catalogue_rows(api_guide.operations(api_guide.read_specs(_part_specs(spark, d))))
+
+
+@query("""
+WITH p AS (SELECT 's' || p_partkey // 5 AS spec, p_partkey // 5 AS g, p_type AS tag FROM part WHERE p_partkey // 5 % 7 <> 0),
+t AS (SELECT spec, tag, 2 + row_number() OVER (PARTITION BY spec ORDER BY tag) AS place FROM (SELECT DISTINCT spec, tag FROM p)),
+s AS (SELECT spec, g, count(DISTINCT tag) AS n_tags, count(*) AS n FROM p GROUP BY ALL)
+SELECT spec, 0 AS place, 'guide.overview' AS section, 0 AS n_calls FROM s UNION ALL SELECT spec, 1, 'guide.authentication', 0 FROM s UNION ALL SELECT spec, 2, 'guide.quickstart', 1 FROM s
+UNION ALL SELECT spec, t.place, 'guide.endpoints.' || regexp_replace(lower(tag), '[^a-z0-9]+', '-', 'g'), count(*) FROM t JOIN p USING (spec, tag) GROUP BY ALL
+UNION ALL SELECT spec, 3 + n_tags, 'guide.errors', 0 FROM s
+""")
+def integration_guides(spark, d):
+    """Guides of specifications as sections in their order, with the calls that each shows; their texts are held in test_api_guide.py."""
+    out = api_guide.guide_sections(_part_specs(spark, d))
+    return out.select("spec", "place", "section", (F.size(F.split("body", "```bash\n")) - 1).alias("n_calls"))
