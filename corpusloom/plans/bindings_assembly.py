@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import normalize
 from corpusloom.operators import api_guide, assembly, chunking, diff
 from corpusloom.plans.bindings_scan import table
-from corpusloom.sources import repository, rules, store
+from corpusloom.sources import repository, rules, services, store
 from corpusloom.streaming import access, sessions
 
 Q: dict = {}
@@ -416,3 +416,26 @@ def integration_guides(spark, d):
     """Guides of specifications as sections in their order, with the calls that each shows; their texts are held in test_api_guide.py."""
     out = api_guide.guide_sections(_part_specs(spark, d))
     return out.select("spec", "place", "section", (F.size(F.split("body", "```bash\n")) - 1).alias("n_calls"))
+
+
+@query("""
+WITH f AS (SELECT 'c' || p_partkey % 50 AS name, p_partkey AS k, p_size AS z, p_brand, p_type, CASE p_partkey % 4 WHEN 0 THEN 'docker-compose.yml' WHEN 1 THEN 'Chart.yaml' WHEN 2 THEN 'main.tf' ELSE 'main.bicep' END AS base FROM part),
+r AS (SELECT name, 'service' AS kind, k, lower(p_type) AS dep, '80' AS port, 'own/' || z % 3 AS image, 'd' || k || '/' || base AS path FROM f WHERE k % 4 = 0
+UNION ALL SELECT name, 'service', k, lower(p_type), NULL, NULL, 'd' || k || '/' || base FROM f WHERE k % 4 = 1
+UNION ALL SELECT name, 'service', k, 'base', NULL, NULL, 'd' || k || '/' || base FROM f WHERE k % 4 = 1
+UNION ALL SELECT name, 'queue', k, 't' || z, NULL, NULL, 'd' || k || '/' || base FROM f WHERE k % 4 = 2 AND z % 3 <> 0
+UNION ALL SELECT name, 'cache', k, NULL, NULL, NULL, 'd' || k || '/' || base FROM f WHERE k % 4 = 3)
+SELECT name, arg_min(kind, path) AS kind, arg_min(image, path) FILTER (WHERE image IS NOT NULL) AS image, coalesce(list_sort(list(DISTINCT dep) FILTER (WHERE dep IS NOT NULL)), []) AS depends_on, coalesce(list_sort(list(DISTINCT port) FILTER (WHERE port IS NOT NULL)), []) AS ports FROM r GROUP BY name
+""")
+def service_maps(spark, d):
+    """Services of compose files, charts, Terraform and Bicep, one row a name (S9, S10, F-S21)."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    n, dep = F.concat(F.lit("c"), (k % 50).cast("string")), F.lower("p_type")
+    compose = _fill("services:\n  {n}:\n    image: own/{z}\n    depends_on: [{d}]\n    ports: ['8080:80']\n", n=n, z=z % 3, d=dep)
+    chart = _fill("# chart\napiVersion: v2\nname: \"{n}\"\ndependencies:\n  - version: 1\n    name: {d} # own\n    import-values:\n      - name: deeper\n\n  - name: 'base'\nmaintainers:\n  - name: nobody\n", n=n, d=dep)
+    tf = _fill('resource "{t}" "{n}" {\n  q = aws_sns.t{z}.arn\n  self = aws_x.{n}.id\n}\n', t=F.when(z % 3 == 0, "aws_iam_role").otherwise("aws_sqs_queue"), n=n, z=z)
+    bicep = _fill("resource {n} 'Microsoft.Cache/Redis@2023-04-01' = {\n}\n", n=n)
+    kind = (k % 4).cast("int")
+    base = F.get(F.array(*[F.lit(x) for x in ("docker-compose.yml", "Chart.yaml", "main.tf", "main.bicep")]), kind)
+    files = table(spark, d, "part").select(F.concat(F.lit("d"), k.cast("string"), F.lit("/"), base).alias("path"), F.get(F.array(compose, chart, tf, bicep), kind).alias("text"))
+    return services.service_map(services.infra_services(files))

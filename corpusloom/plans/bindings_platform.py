@@ -8,7 +8,7 @@ from corpusloom.functions import text
 from corpusloom.operators import graph, platform, scanner
 from corpusloom.operators.tables import placed
 from corpusloom.plans.bindings_scan import table
-from corpusloom.sources import repository, store
+from corpusloom.sources import repository, services, store
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -478,12 +478,14 @@ def path_facts(spark, d):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'database' WHEN p_partkey % 5 = 1 THEN 'cache' WHEN p_partkey % 5 = 2 THEN 'queue' WHEN p_partkey % 5 = 3 THEN 'gateway' ELSE 'service' END AS kind FROM part
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'database' WHEN p_partkey % 7 = 1 THEN 'cache' WHEN p_partkey % 7 = 2 THEN 'queue' WHEN p_partkey % 7 = 3 THEN 'service' WHEN p_partkey % 7 = 4 THEN 'job' WHEN p_partkey % 7 = 5 THEN 'external' WHEN p_size % 3 = 0 THEN 'database' WHEN p_size % 3 = 1 THEN 'job' ELSE 'service' END AS kind FROM part
 """)
 def service_kinds(spark, d):
-    """Kinds of services by name and image (F-S21)."""
-    images = F.array(*[F.lit(x) for x in ("postgres:16", "redis", "rabbitmq", "nginx", "own/app")])
-    return table(spark, d, "part").select("p_partkey", repository.service_kind(F.lit("app"), F.get(images, (F.col("p_partkey") % 5).cast("int"))).alias("kind"))
+    """Kinds of services by name and image, the first that fits (F-S21)."""
+    k = F.col("p_partkey") % 7
+    images = F.array(*[F.lit(x) for x in ("Postgres:16", "redis/worker", "rabbitmq", "nginx", "own/cron", "third-party/x", "own/app")])
+    name = F.when(k < 6, F.col("p_brand")).otherwise(F.concat("p_name", F.get(F.array(F.lit(" db"), F.lit("worker"), F.lit("dbx")), F.col("p_size") % 3)))
+    return table(spark, d, "part").select("p_partkey", services.service_kind(name, F.get(images, k.cast("int"))).alias("kind"))
 
 
 @query("""

@@ -151,11 +151,6 @@ def bind_operations(operations: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("symbol_id", "qualified_name", "name", "op.spec", "op.method", "op.route")
 
 
-def service_kind(name: Column, image: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", name, image))
-    return F.when(text.rlike(r"postgres|mysql|mariadb|mongo|mssql|sqlserver|cosmos|\bdb\b|database"), "database").when(text.rlike(r"redis|memcached|cache"), "cache").when(text.rlike(r"rabbit|kafka|nats|queue|servicebus|sqs"), "queue").when(text.rlike(r"nginx|traefik|gateway|ingress|proxy"), "gateway").when(text.rlike(r"worker|job|cron"), "worker").when(text.rlike(r"web|ui|frontend"), "web").otherwise("service")
-
-
 def terraform_services(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """name, type, path of each resource block of Terraform files."""
     found = F.regexp_extract_all(F.col(text), F.lit(r'(?m)^\s*resource\s+"[^"]+"\s+"([^"]+)"'), F.lit(1))
