@@ -107,12 +107,11 @@ def slug(name: Column) -> Column:
 
 
 def canonical_remote(url: Column) -> Column:
-    """host/path of a git remote: no scheme, user, .git or slashes at the ends, lower case."""
-    x = F.regexp_replace(F.trim(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
-    x = F.regexp_replace(x, r"^[^@/]+@", "")
-    x = F.regexp_replace(x, r"^([^/:]+):(?!\d+/)", "$1/")
-    x = F.regexp_replace(x, r"[/.]+$", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(x, r"(?i)\.git$", ""), r"/+$", ""))
+    """host/path of a git remote: no scheme or user, no .git, dots and slashes at its end, colons as slashes, lower case."""
+    x = F.regexp_replace(F.trim(url), r"^[a-zA-Z]+://", "")
+    x = F.replace(F.regexp_replace(x, r"^(?:git@)?(?:[^@/]+@)?", ""), F.lit(":"), F.lit("/"))
+    ends = lambda c: F.regexp_replace(c, r"[./]+$", "")
+    return F.lower(ends(F.regexp_replace(ends(x), r"(?i)\.git$", "")))
 
 
 def normal_path(path: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.hashing import stable_id
+from corpusloom.functions.ids import symbol_id
 from corpusloom.functions.normalize import normal_doc, normal_signature
 from corpusloom.operators.graph import resolve_names, used_by
 
@@ -95,8 +95,8 @@ def assemble(raw: DataFrame, calls: DataFrame, org: str) -> tuple[DataFrame, Dat
     symbol; of equal ids the first by ordinal stays. A name means the module's last symbol
     of that name, else the first of all; names that mean none are unresolved edges.
     """
-    parts = [F.lit(org), F.col("module"), F.col("language"), F.col("kind"), F.col("qualified_name"), F.col("overload")]
-    marked = raw.withColumn("symbol_id", stable_id("sym_", *parts))
+    parts = [F.col("module"), F.col("language"), F.col("kind"), F.col("qualified_name"), F.col("overload")]
+    marked = raw.withColumn("symbol_id", symbol_id(F.lit(org), *parts))
     canonical = normal_signature(F.col("signature"), F.col("language"))
     doc = normal_doc(F.col("doc"))
     marked = marked.withColumns({"signature": canonical, "doc_hash": F.when(doc != "", F.sha2(doc, 256))}).withColumn("signature_hash", F.sha2(F.concat_ws("\n", "language", "kind", "signature"), 256))

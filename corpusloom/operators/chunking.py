@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import stable_id
+from corpusloom.functions.ids import document_chunk_id
 from corpusloom.functions.text import estimate_tokens
 
 MOST_TOKENS, OVERLAP_TOKENS, LEAST_ROOM = 900, 60, 80
@@ -101,7 +101,7 @@ def chunk_documents(docs: DataFrame, item: str = "doc_id", title: Column | None
             yield pd.DataFrame(rows, columns=[item, "ordinal", "heading", "first_line", "last_line", "content"])
 
     out = base.mapInPandas(run, f"{item} {kind}, ordinal int, heading string, first_line int, last_line int, content string")
-    return out.withColumn("tokens", estimate_tokens(F.col("content"))).withColumn("chunk_id", stable_id("dch_", F.col(item), F.col("ordinal"), F.sha2("content", 256)))
+    return out.withColumn("tokens", estimate_tokens(F.col("content"))).withColumn("chunk_id", document_chunk_id(F.col(item), F.col("ordinal"), F.sha2("content", 256)))
 
 
 def eligible(symbols: DataFrame) -> DataFrame:

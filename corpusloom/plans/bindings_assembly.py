@@ -110,7 +110,7 @@ def doc_comment_parts(spark, d):
 
 _RAW = """
 r AS (SELECT p_partkey AS ordinal, p_type AS module, CASE WHEN p_size % 5 = 0 THEN 'python' ELSE 'typescript' END AS language, 'function' AS kind, p_name AS name, (p_size % 2)::VARCHAR AS overload, CASE p_size % 3 WHEN 0 THEN 'artifact' WHEN 1 THEN 'semantic' ELSE 'shallow' END AS depth FROM part),
-i AS (SELECT *, 'sym_' || substr(sha256(array_to_string(['o1', module, language, kind, name, overload], chr(10))), 1, 40) AS id FROM r),
+i AS (SELECT *, 'sym_' || substr(sha256(array_to_string(['v2', 'o1', module, language, kind, name, overload], chr(10))), 1, 40) AS id FROM r),
 s AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordinal) = 1),
 u AS (SELECT i.id AS src, i.module, coalesce(q.p_name, 'nobody') AS name, CASE WHEN i.ordinal % 2 = 0 THEN 'call' ELSE 'extends' END AS kind FROM i LEFT JOIN part q ON q.p_partkey = i.ordinal + 1),
 l AS (SELECT module, name, last(id ORDER BY ordinal) AS l FROM i GROUP BY ALL), g AS (SELECT name, first(id ORDER BY ordinal) AS g FROM i GROUP BY ALL),
@@ -212,17 +212,22 @@ def nested_ignores(spark, d):
 
 
 @query("""
-SELECT 'doc_' || substr(sha256(p), 1, 40) AS document_id, p AS path, CASE p_partkey % 3 WHEN 0 THEN 'T' || p_partkey WHEN 1 THEN p_name ELSE 'The File ' || p_partkey END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'memo' WHEN p_partkey % 2 = 0 THEN 'adr' ELSE 'reference' END AS document_type, 'body ' || p_brand AS body
-FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'docs/adr/' ELSE 'docs/' END || 'the-file_' || p_partkey || '.md' AS p FROM part WHERE p_partkey % 7 <> 0)
+SELECT 'doc_' || substr(sha256('o1' || chr(10) || 'r1' || chr(10) || 'repo-markdown' || chr(10) || p), 1, 32) AS document_id, p AS path,
+ CASE p_partkey % 4 WHEN 0 THEN 'T' || p_partkey WHEN 1 THEN p_name ELSE CASE p_size % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'adr' ELSE 'docs' END || ' README' WHEN 1 THEN 'The File' ELSE 'User Guide' END END AS title,
+ CASE WHEN p_partkey % 4 = 0 THEN 'memo' WHEN p_partkey % 4 <> 1 AND p_size % 3 = 0 THEN 'readme' WHEN p_partkey % 2 = 0 THEN 'adr' WHEN p_size % 3 = 2 AND p_partkey % 4 <> 1 THEN 'user-guide' ELSE 'technical-documentation' END AS document_type,
+ CASE WHEN p_partkey % 4 = 0 AND p_size % 2 = 0 THEN 'end-user' ELSE 'developer' END AS audience, CASE WHEN p_partkey % 4 = 0 AND p_size % 2 = 0 THEN 'historical' WHEN p_partkey % 4 > 1 AND p_size % 3 = 0 THEN 'canonical' ELSE 'supporting' END AS authority, CASE WHEN p_partkey % 4 = 0 AND p_size % 2 = 0 THEN 'public' ELSE 'internal' END AS sensitivity, 'body ' || p_brand AS body
+FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN p_partkey || '/docs/adr/' ELSE p_partkey || '/docs/' END || CASE WHEN p_partkey % 4 < 2 THEN 'page' WHEN p_size % 3 = 0 THEN 'ReadMe' WHEN p_size % 3 = 1 THEN 'the-_file' ELSE 'user-guide' END || '.md' AS p FROM part WHERE p_partkey % 7 <> 0)
 """)
 def markdown_sources(spark, d):
-    """Markdown files as documents: front matter, titles and types; excluded paths are left out (S6, S7, F-S19)."""
-    k = F.col("p_partkey")
-    path = F.concat(F.when(k % 7 == 0, "private/").when(k % 2 == 0, "docs/adr/").otherwise("docs/"), F.lit("the-file_"), k.cast("string"), F.lit(".md"))
-    text = F.when(k % 3 == 0, _fill("---\ntitle: \"T{k}\"\ntype: memo\n---\nbody {b}", k=k, b=F.col("p_brand"))).when(k % 3 == 1, _fill("# {n}\nbody {b}", n=F.col("p_name"), b=F.col("p_brand"))).otherwise(_fill("body {b}", b=F.col("p_brand")))
-    files = table(spark, d, "part").select(path.alias("path"), F.encode(text, "UTF-8").alias("content"))
-    out = repository.markdown_documents(files, include=["docs/**"], exclude=["**/private/**"])
-    return out.select("document_id", "path", "title", "document_type", F.regexp_replace("body", "(?s)^# [^\n]*\n", "").alias("body"))
+    """Markdown files as documents: heads of files, titles, types and authority; excluded paths are left out (S6, S7, F-S19, F-H4)."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    folder = F.when(k % 7 == 0, "/docs/private/").when(k % 2 == 0, "/docs/adr/").otherwise("/docs/")
+    name = F.when(k % 4 < 2, "page").when(z % 3 == 0, "ReadMe").when(z % 3 == 1, "the-_file").otherwise("user-guide")
+    head = _fill("---\r\ntitle: \"T{k}\"\r\ndocumentType:  memo \naudience: {a}\nauthority: {h}\nsensitivity: {s}\n---\nbody {b}", k=k, b=F.col("p_brand"), a=F.when(z % 2 == 0, "'end-user'").otherwise("nobody"), h=F.when(z % 2 == 0, "historical").otherwise(""), s=F.when(z % 2 == 0, "public").otherwise("Public"))
+    text = F.when(k % 4 == 0, head).when(k % 4 == 1, _fill("# {n} #\nbody {b}", n=F.col("p_name"), b=F.col("p_brand"))).otherwise(_fill("body {b}", b=F.col("p_brand")))
+    files = table(spark, d, "part").select(F.concat(k.cast("string"), folder, name, F.lit(".md")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    out = repository.markdown_documents(files, include=["*/docs/**"], exclude=["**/private/**"], org="o1", repository="r1")
+    return out.select("document_id", "path", "title", "document_type", "audience", "authority", "sensitivity", F.regexp_replace("body", "(?s)^# [^\n]*\n", "").alias("body"))
 
 
 _SPEC = '{{"openapi": "3.0.1", "paths": {{"/a/{k}": {{"parameters": [{{"name": "id", "in": "path", "required": true}}], "get": {{"operationId": "get{k}", "responses": {{"404": {{}}, "200": {{}}}}, "security": [{{"key": []}}]}}, "post": {{"responses": {{}}}}}}}}}}'.replace("{{", "{").replace("}}", "}")

@@ -462,19 +462,19 @@ def needs_rewrite(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", text.needs_rewrite(F.col("text")).alias("needs"))
 
 
-_PATHS = "CASE p_partkey % 6 WHEN 0 THEN './docs/' WHEN 1 THEN 'docs\\adr\\' WHEN 2 THEN '/runbooks/' WHEN 3 THEN 'guides/' WHEN 4 THEN 'src/' ELSE 'a/generated/' END || replace(p_name, ' ', '-') || CASE p_partkey % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.g.cs' WHEN 2 THEN '/readme.md' ELSE '.d.ts/' END"
+_PATHS = "CASE p_partkey % 6 WHEN 0 THEN './docs/' WHEN 1 THEN 'docs\\adr\\' WHEN 2 THEN '/runbooks/' WHEN 3 THEN 'End-User/' WHEN 4 THEN 'src/API/' ELSE 'a/generated/' END || replace(p_name, ' ', '-') || CASE p_partkey % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.g.cs' WHEN 2 THEN '/readme.md' ELSE '.d.ts/' END"
 
 
 @query(rf"""
 WITH x AS (SELECT p_partkey, regexp_replace(regexp_replace(replace({_PATHS}, chr(92), '/'), '^(\./)+', ''), '^/+|/+$', '', 'g') AS path FROM part)
-SELECT p_partkey, path, CASE WHEN regexp_matches(lower(path), '(^|/)(adr|adrs|decisions)(/|$)') THEN 'adr' WHEN regexp_matches(lower(path), '(^|/)runbooks?(/|$)') THEN 'runbook' WHEN regexp_matches(lower(path), '(^|/)(guides?|tutorials?)(/|$)') THEN 'guide' WHEN regexp_matches(lower(path), '(^|/)readme\.mdx?$') THEN 'readme' ELSE 'reference' END AS type,
- regexp_matches(path, '\.g\.cs$|(^|/)generated(/|$)|\.d\.ts$') AS generated FROM x
+SELECT p_partkey, path, CASE WHEN regexp_matches(lower(path), '(^|/)readme\.mdx?$') THEN 'readme' WHEN regexp_matches(lower(path), '(^|/)adrs?/') THEN 'adr' WHEN regexp_matches(lower(path), 'runbook|operations|incident') THEN 'runbook' WHEN regexp_matches(lower(path), 'api|integration') THEN 'integration-guide' WHEN regexp_matches(lower(path), 'handbook|user-guide|end-user') THEN 'user-guide' ELSE 'technical-documentation' END AS type,
+ CASE WHEN regexp_matches(lower(path), '(^|/)readme\.mdx?$') THEN 'canonical' ELSE 'supporting' END AS authority, regexp_matches(path, '\.g\.cs$|(^|/)generated(/|$)|\.d\.ts$') AS generated FROM x
 """)
 def path_facts(spark, d):
-    """Normal paths, document types and generated files (F-S11, F-S19, F-S20)."""
+    """Normal paths, document types, authority and generated files (F-S11, F-S19, F-S20)."""
     raw = F.expr(_PATHS.replace("'docs\\adr\\'", "concat('docs', chr(92), 'adr', chr(92))"))
     x = table(spark, d, "part").select("p_partkey", text.normal_path(raw).alias("path"))
-    return x.select("p_partkey", "path", repository.document_type(F.col("path")).alias("type"), scanner.any_match(F.col("path"), scanner.GENERATED_PATHS).alias("generated"))
+    return x.select("p_partkey", "path", repository.document_type(F.col("path")).alias("type"), repository.default_authority(F.col("path")).alias("authority"), scanner.any_match(F.col("path"), scanner.GENERATED_PATHS).alias("generated"))
 
 
 @query("""

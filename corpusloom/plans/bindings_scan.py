@@ -229,6 +229,32 @@ def slugs_and_remotes(spark, d):
     return table(spark, d, "pages").select("page_id", text.slug(F.regexp_replace(u, "^https?://", "")).alias("slug"), text.canonical_remote(u).alias("remote"))
 
 
+_KEY = "CASE WHEN p_size % 3 > 0 AND p_size % 2 = 0 THEN 'pkg:npm/' || p_name ELSE 'path:r' || p_size || '/' || p_type END"
+
+
+@query(rf"""
+WITH x AS (SELECT *, chr(10) AS n, {_KEY} AS key, CASE p_partkey % 3 WHEN 0 THEN 'own.host/22/' || lower(p_brand) || '/x' WHEN 1 THEN 'own.host/' || lower(p_brand) ELSE 'own.host/' || lower(p_brand) || '.git' END AS remote FROM part),
+m AS (SELECT *, 'sym_' || substr(sha256('v2' || n || p_brand || n || key || n || 'python' || n || 'function' || n || p_name || n || CASE WHEN p_size % 2 = 0 THEN '' ELSE 'int' END), 1, 40) AS symbol_id, 'doc_' || substr(sha256(p_brand || n || p_type || n || 'repo-markdown' || n || p_name), 1, 32) AS document_id FROM x)
+SELECT p_partkey, 'repo_' || substr(sha256(p_brand || n || remote), 1, 32) AS repository_id, key AS module_key, 'mod_' || substr(sha256('v2' || n || p_brand || n || key), 1, 32) AS module_id, symbol_id,
+ 'chk_' || substr(sha256(symbol_id || n || p_size || n || sha256(p_name)), 1, 40) AS chunk_id, document_id, 'dch_' || substr(sha256(document_id || n || p_size || n || sha256(p_name)), 1, 32) AS document_chunk_id, 'dsrc_' || substr(sha256(p_brand || n || p_type || n || p_partkey), 1, 32) AS source_id,
+ 'das_' || substr(sha256(p_brand || n || document_id || n || CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END || n || n || n || symbol_id || n || 'about'), 1, 32) AS association_id FROM m
+""")
+def entity_ids(spark, d):
+    """Ids of repositories, modules, symbols, documents and their parts (F-H3, F-H4)."""
+    from corpusloom.functions import ids
+
+    k, z = F.col("p_partkey"), F.col("p_size")
+    org, name, type_ = F.col("p_brand"), F.col("p_name"), F.col("p_type")
+    remote = F.when(k % 3 == 0, F.concat(F.lit("ssh://git@own.host:22/"), org, F.lit("/X.git/"))).when(k % 3 == 1, F.concat(F.lit(" git@Own.host:"), org, F.lit(".git."))).otherwise(F.concat(F.lit("https://user@own.host/"), org, F.lit(".git.GIT")))
+    x = table(spark, d, "part").select("*", ids.module_key(F.concat(F.lit("r"), z.cast("string")), F.concat(F.lit("./"), type_, F.lit("\\")), F.when(z % 3 > 0, "npm").otherwise("none"), F.when(z % 2 == 0, name)).alias("module_key"))
+    x = x.withColumn("symbol_id", ids.symbol_id(org, F.col("module_key"), F.lit("python"), F.lit("function"), name, F.when(z % 2 > 0, "int"))).withColumn("document_id", ids.document_id(org, type_, name))
+    symbol, document, none, hash_ = F.col("symbol_id"), F.col("document_id"), F.lit(None).cast("string"), F.sha2("p_name", 256)
+    return x.select(
+        "p_partkey", ids.repository_id(org, remote).alias("repository_id"), "module_key", ids.module_id(org, F.col("module_key")).alias("module_id"), "symbol_id", ids.chunk_id(symbol, z, hash_).alias("chunk_id"), "document_id",
+        ids.document_chunk_id(document, z, hash_).alias("document_chunk_id"), ids.source_id(org, type_, k).alias("source_id"), ids.association_id(org, document, F.when(z % 2 > 0, type_), none, none, symbol, F.lit("about")).alias("association_id"),
+    )
+
+
 @query("""
 SELECT doc_id, 'doc_' || substr(sha256(coalesce(source, '') || chr(10) || coalesce(lang, '') || chr(10) || doc_id), 1, 40) AS id, substr(sha256(text), 1, 12) AS short FROM documents
 """)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.ids import document_id
 from corpusloom.functions.text import glob_regex, language_of, normal_path
 from corpusloom.operators.scanner import DENIED_PATHS, SKIPPED_PATHS, any_match
 from corpusloom.sources.rules import not_ignored, rules_of
@@ -72,26 +73,62 @@ def modules(files: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:
-    """The scalar ``key: value`` pairs between the first two --- lines as a map, and the text behind them."""
-    head = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?", 1)
-    pairs = F.filter(F.split(head, r"\r?\n"), lambda l: l.rlike(r"^[A-Za-z_][\w-]*\s*:"))
-    key = lambda l: F.regexp_extract(l, r"^([A-Za-z_][\w-]*)", 1)
-    value = lambda l: F.regexp_replace(F.regexp_extract(l, r"^[^:]*:\s*(.*?)\s*$", 1), r"^[\"'](.*)[\"']$", "$1")
+    """The ``key: value`` lines between a first line and a later line of three dashes as a map, and the text behind them.
+
+    Line ends are \\n afterwards. Without both lines of dashes the whole text is body. Of a
+    key that stands twice the last value counts; quotes around a whole value go.
+    """
+    lines = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    head = r"(?s)\A---\n(.*?)\n---\n"
+    pairs = F.filter(F.split(F.regexp_extract(lines, head, 1), "\n"), lambda l: l.rlike(r"^[A-Za-z][\w-]*:"))
+    key = lambda l: F.regexp_extract(l, r"^([A-Za-z][\w-]*)", 1)
+    value = lambda l: F.regexp_replace(F.regexp_extract(l, r"^[^:]*:\s*(.*?)\s*$", 1), r"^(?:\"(.*)\"|'(.*)')$", "$1$2")
     made = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, key)), lambda k: F.struct(k, F.element_at(F.transform(F.filter(pairs, lambda l: key(l) == k), value), -1))))
-    return made, F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---\r?\n?", "")
+    return made, F.regexp_replace(lines, head, "")
+
+
+# Kinds of documents by their lower-cased paths, the first that fits, and what
+# the fields of a document's head may say.
+DOCUMENT_TYPES = {
+    "readme": r"(^|/)readme\.mdx?$",
+    "adr": r"(^|/)adrs?/",
+    "runbook": r"runbook|operations|incident",
+    "integration-guide": r"api|integration",
+    "user-guide": r"handbook|user-guide|end-user",
+}
+OTHER_DOCUMENT = "technical-documentation"
+FIELDS = {
+    "audience": ["developer", "internal-user", "end-user", "mixed"],
+    "authority": ["canonical", "supporting", "historical"],
+    "sensitivity": ["public", "internal", "confidential", "restricted"],
+}
 
 
 def document_type(path: Column) -> Column:
     low = F.lower(path)
-    return F.when(low.rlike(r"(^|/)(adr|adrs|decisions)(/|$)"), "adr").when(low.rlike(r"(^|/)runbooks?(/|$)"), "runbook").when(low.rlike(r"(^|/)(specs?|openspec)(/|$)"), "spec").when(low.rlike(r"(^|/)(guides?|tutorials?)(/|$)"), "guide").when(low.rlike(r"(^|/)readme\.mdx?$"), "readme").otherwise("reference")
+    return F.coalesce(*[F.when(low.rlike(pattern), F.lit(kind)) for kind, pattern in DOCUMENT_TYPES.items()], F.lit(OTHER_DOCUMENT))
+
+
+def default_authority(path: Column) -> Column:
+    """canonical for a README, supporting for other documents."""
+    return F.when(F.lower(path).rlike(DOCUMENT_TYPES["readme"]), "canonical").otherwise("supporting")
 
 
 def title_of(path: Column) -> Column:
-    return F.initcap(F.regexp_replace(F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1), r"[-_]+", " "))
+    """A title from a path: the name with a capital at each word; a README is that of its folder."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.mdx?$", "")
+    words = F.split(F.regexp_replace(name, "[-_]+", " "), r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
+    upper = F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))).otherwise(w)), "")
+    return F.when(F.lower(name) == "readme", F.concat(F.coalesce(F.concat(F.try_element_at(F.split(path, "/"), F.lit(-2)), F.lit(" ")), F.lit("")), F.lit("README"))).otherwise(upper)
+
 
+def markdown_documents(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, org: str = "", repository: str = "", sensitivity: str = "internal") -> DataFrame:
+    """document_id, path, title, document_type, audience, authority, sensitivity, meta, body of Markdown files.
 
-def markdown_documents(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """document_id, path, title, document_type, meta, body of Markdown files; the title is the front matter's, the first heading's or the path's."""
+    What the head of a file says counts before what its path says: its title before the first
+    heading and the path's title, its documentType before the path's. Fields that may only
+    have certain values are ignored with others; sensitivity is the default of its field.
+    """
     rows = files.where(F.col("path").rlike(r"(?i)\.mdx?$"))
     keep = F.lit(not include)
     for g in include or []:
@@ -99,9 +136,15 @@ def markdown_documents(files: DataFrame, include: list[str] | None = None, exclu
     for g in exclude or []:
         keep = keep & ~F.col("path").rlike(glob_regex(g))
     meta, body = front_matter(F.decode("content", "UTF-8"))
-    heading = F.nullif(F.regexp_extract("body", r"(?m)^#\s+(.+?)\s*#*\s*$", 1), F.lit(""))
     out = rows.where(keep).select("path", meta.alias("meta"), body.alias("body"))
-    return out.select(F.concat(F.lit("doc_"), F.substring(F.sha2("path", 256), 1, 40)).alias("document_id"), "path", F.coalesce(F.try_element_at("meta", F.lit("title")), heading, title_of(F.col("path"))).alias("title"), F.coalesce(F.try_element_at("meta", F.lit("type")), document_type(F.col("path"))).alias("document_type"), "meta", "body")
+    heading = F.nullif(F.trim(F.regexp_extract("body", r"(?m)^#\s+(.+?)\s*#*\s*$", 1)), F.lit(""))
+    said = lambda key: F.nullif(F.trim(F.try_element_at("meta", F.lit(key))), F.lit(""))
+    one_of = lambda key: F.when(F.try_element_at("meta", F.lit(key)).isin(*FIELDS[key]), F.try_element_at("meta", F.lit(key)))
+    path = F.col("path")
+    return out.select(
+        document_id(F.lit(org), F.lit(repository), path).alias("document_id"), "path", F.coalesce(said("title"), heading, title_of(path)).alias("title"), F.coalesce(said("documentType"), document_type(path)).alias("document_type"),
+        F.coalesce(one_of("audience"), F.lit("developer")).alias("audience"), F.coalesce(one_of("authority"), default_authority(path)).alias("authority"), F.coalesce(one_of("sensitivity"), F.lit(sensitivity)).alias("sensitivity"), "meta", "body",
+    )
 
 
 def page(df: DataFrame, order: str, cursor: int, limit: int) -> DataFrame:
