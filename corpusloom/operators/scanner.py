@@ -118,33 +118,44 @@ def _passes(rule: Rule, value: Column) -> Column:
     return ok
 
 
-_MATCH = "struct<rule_no:int,nth:int,value:string,at:int>"
+_MATCH = "array<struct<rule_no:int,nth:int,value:string,step:int,length:int,lines:int,tail:int,inner:int,end:int>>"
 
 
 def _matches(rule_no: int, rule: Rule, text: Column) -> Column:
-    """(rule_no, nth, value, at) of each match of a rule; at counts the characters before the match.
+    """Each match of a rule, with what a running sum needs to place it.
 
-    The text between matches, split off by the same pattern, and the matches themselves give
-    the places by running lengths. That is only worked out for texts with a match.
+    step and length are the characters from the match before and of the match itself;
+    lines and inner the line ends in both, tail and end the characters behind the last of
+    them. The text between matches is split off by the same pattern. That is only worked
+    out for texts with a match, and costs time in proportion to the text.
     """
     wholes = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    tail = lambda c: F.length(F.substring_index(c, "\n", -1))
+    between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(wholes))
 
-    def placed(ws: Column, vs: Column, between: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_MATCH}>").alias("out"))
+    def made(x: Column, nth: Column) -> Column:
+        w, v, gap = x["w"], x["v"], x["b"]
+        value = F.when(v == "", w).otherwise(v)
+        return F.struct(F.lit(rule_no).alias("rule_no"), nth.alias("nth"), value.alias("value"), F.length(gap).alias("step"), F.length(w).alias("length"), ends(gap).alias("lines"), tail(gap).alias("tail"), ends(w).alias("inner"), tail(w).alias("end"))
 
-        def step(s: Column, i: Column) -> Column:
-            at = s["at"] + F.length(F.get(between, i))
-            value = F.when(F.get(vs, i) == "", F.get(ws, i)).otherwise(F.get(vs, i))
-            made = F.struct(F.lit(rule_no).alias("rule_no"), i.alias("nth"), value.alias("value"), at.alias("at"))
-            return F.struct((at + F.length(F.get(ws, i))).alias("at"), F.concat(s["out"], F.array(made)).alias("out"))
+    zipped = F.arrays_zip(wholes.alias("w"), values.alias("v"), between.alias("b"))
+    return F.when(text.rlike(rule.pattern), F.transform(zipped, made)).otherwise(F.array().cast(_MATCH))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(ws) - 1), start, step, lambda s: s["out"])
 
-    none = F.array().cast(f"array<{_MATCH}>")
-    parts = F.struct(wholes.alias("w"), values.alias("v"), F.split(text, rule.pattern, -1).alias("b"))
-    found = F.element_at(F.transform(F.array(parts), lambda x: placed(x["w"], x["v"], x["b"])), 1)
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+def _placed(rows: DataFrame) -> DataFrame:
+    """Matches with at (characters before it), line and column, by running sums over a text's matches of a rule; _text names the text."""
+    before = Window.partitionBy("_text", "rule_no").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda c: F.sum(c).over(before)
+    rows = rows.withColumn("at", run(F.col("step") + F.col("length")) - F.col("length")).withColumn("line", run(F.col("lines") + F.col("inner")) - F.col("inner") + 1)
+    # Where the line starts: behind the last line end of the gaps up to here and of the matches before.
+    gap = F.when(F.col("lines") > 0, F.col("at") - F.col("tail"))
+    own = F.when(F.col("inner") > 0, F.col("at") + F.col("length") - F.col("end"))
+    rows = rows.withColumns({"_gap": gap, "_own": own})
+    earlier = Window.partitionBy("_text", "rule_no").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest(F.max("_gap").over(before), F.max("_own").over(earlier), F.lit(0))
+    return rows.withColumn("column", F.col("at") - start + 1)
 
 
 def scan(files: DataFrame, key: str, path: Column, text: str, rules: list[Rule] | None = None, allow: list[tuple[str, str]] | None = None, most: int | None = None) -> DataFrame:
@@ -162,19 +173,18 @@ def scan(files: DataFrame, key: str, path: Column, text: str, rules: list[Rule]
     for i, r in enumerate(rules):
         values = _matches(i, r, F.col("_text"))
         if r.quiet_in_tests:
-            values = F.when(F.coalesce(F.col("_path").rlike(TEST_PATH), F.lit(False)), F.array().cast(f"array<{_MATCH}>")).otherwise(values)
+            values = F.when(F.coalesce(F.col("_path").rlike(TEST_PATH), F.lit(False)), F.array().cast(_MATCH)).otherwise(values)
         found.append(values)
-    rows = base.select(key, "_path", "_text", F.explode(F.concat(*found)).alias("m")).select(key, "_path", "_text", "m.*")
+    # From here on a text is a number, not carried along. The outer form keeps the optimizer
+    # from a filter on the array's size, for which it would match every rule twice more.
+    rows = _placed(base.select(key, "_path", F.monotonically_increasing_id().alias("_text"), F.concat(*found).alias("ms")).select(key, "_path", "_text", F.inline_outer("ms")).where("rule_no is not null"))
     ok = F.lit(False)
     for i, r in enumerate(rules):
         ok = ok | ((F.col("rule_no") == i) & _passes(r, F.col("value")))
     rows = rows.where(ok)
     name = lambda f: F.element_at(F.array(*[F.lit(getattr(r, f)) for r in rules]), F.col("rule_no") + 1)
-    before = F.substring("_text", F.lit(1), F.col("at"))
-    line = (F.regexp_count(before, F.lit("\n")) + 1).cast("long")
-    column = (F.length(F.substring_index(before, "\n", -1)) + 1).cast("long")
     named = [key] if key == "path" else [key, "path"]
-    rows = rows.select(*[F.col(key) if c == key else F.col("_path").alias(c) for c in named], "rule_no", "at", name("id").alias("rule"), name("category").alias("category"), name("severity").alias("severity"), line.alias("line"), column.alias("column"), redacted(F.col("value")).alias("preview"))
+    rows = rows.select(*[F.col(key) if c == key else F.col("_path").alias(c) for c in named], "rule_no", "at", name("id").alias("rule"), name("category").alias("category"), name("severity").alias("severity"), F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"), redacted(F.col("value")).alias("preview"))
     if most is not None:
         order = Window.partitionBy(key).orderBy("rule_no", "at")
         rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")

@@ -3,6 +3,8 @@
 import datetime
 import hashlib
 import hmac
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +89,17 @@ def test_findings_past_any_number_reach_the_gate(spark):
     assert [r.severity for r in scanner.by_severity(found).limit(2).collect()] == ["critical", "critical"]
 
 
+def test_places_against_a_plain_search(spark):
+    """Matches that hold line ends, stand at the start or the end, or follow each other."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab\ncd", "a\n", "x", "\n", "é", "b\n\nc", " "]) for _ in range(rng.choice([0, 1, 7, 60]))) for _ in range(60)]
+    own = [scanner.Rule("one", "secret", "high", r"b\n+c"), scanner.Rule("two", "injection", "low", r"a\s?")]
+    rows = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)], "id long, text string")
+    got = sorted((r.id, r.rule, r.line, r.column) for r in scanner.scan(rows, "id", F.lit("a.txt"), "text", own).collect())
+    want = [(i % 50, r.id, t.count("\n", 0, m.start()) + 1, m.start() - t.rfind("\n", 0, m.start())) for i, t in enumerate(texts) for r in own for m in re.finditer(r.pattern, t)]
+    assert len(want) > 500 and got == sorted(want)
+
+
 def test_rules_are_told_apart_by_their_hash():
     assert scanner.ruleset_hash() == scanner.ruleset_hash(scanner.RULES[::-1]) != scanner.ruleset_hash(scanner.RULES[1:])
 
