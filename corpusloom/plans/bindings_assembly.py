@@ -190,7 +190,8 @@ def code_owners(spark, d):
     k = F.col("p_partkey")
     names = F.array(*[F.lit(x) for x in ("docs/a{k}.md", "web/x{k}.ts", "src/api/y{k}.py", "src/api/z{k}.md", "other/{k}.py", "docs/deep/er/{k}.txt")])
     x = table(spark, d, "part").select("p_partkey", F.replace(F.get(names, (k % 6).cast("int")), F.lit("{k}"), k.cast("string")).alias("path"))
-    return x.join(rules.owners(x, _OWNERS), "path").select("p_partkey", "owners")
+    # Path columns compress well, so that sizes after a shuffle would have the join send millions of rows through the driver.
+    return x.join(rules.owners(x.select("path").distinct(), _OWNERS).hint("merge"), "path").select("p_partkey", "owners")
 
 
 @query("""

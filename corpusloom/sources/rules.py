@@ -136,10 +136,12 @@ def owners(paths: DataFrame, codeowners: str) -> DataFrame:
     if not rows:
         return paths.select("path", none.alias("owners"))
     rules = paths.sparkSession.createDataFrame(rows, "no int, size int, key string, by_name boolean, re string, below string, owners array<string>")
+    # Rules are one file's; a path's keys meet them in place, and each path is added up once with the number of its rows.
+    once = paths.groupBy("path").agg(F.count("*").alias("_rows"))
     parts = F.split("path", "/")
-    once = paths.select("path").distinct()
-    starts = once.select("path", F.posexplode(parts).alias("at", "part")).withColumn("rest", F.array_join(F.slice(parts, F.col("at") + 1, F.size(parts)), "/"))
-    keyed = starts.withColumn("key", F.explode(name_keys(F.col("part"))))
-    met = keyed.join(rules, "key").where((F.col("by_name") | (F.col("at") == 0)) & F.expr("rest rlike re or rest rlike below"))
-    best = met.groupBy("path").agg(F.max_by("owners", F.struct("size", "no")).alias("owners"))
-    return paths.select("path").join(best, "path", "left").withColumn("owners", F.coalesce("owners", none))
+    starts = once.select("path", "_rows", F.posexplode_outer(parts).alias("at", "part")).withColumn("rest", F.array_join(F.slice(parts, F.col("at") + 1, F.size(parts)), "/"))
+    keyed = starts.withColumn("key", F.explode_outer(name_keys(F.col("part"))))
+    fits = (F.col("by_name") | (F.col("at") == 0)) & F.expr("rest rlike re or rest rlike below")
+    met = keyed.join(F.broadcast(rules), "key", "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
+    best = met.groupBy("path").agg(F.max_by("owners", F.when(F.col("fits"), F.struct("size", "no"))).alias("owners"), F.first("_rows").alias("_rows"))
+    return best.select("path", F.coalesce("owners", none).alias("owners"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("_row")).drop("_row")

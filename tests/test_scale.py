@@ -4,7 +4,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from corpusloom import plans
 from corpusloom.operators import retrieval
+from corpusloom.sources import rules
 
 
 def test_symbols_of_one_name_and_queries_for_it_never_meet_as_pairs(spark):
@@ -32,3 +34,21 @@ def test_symbols_beside_a_plain_search(spark):
         want += [(q, x[0], scores[x], n + 1) for n, x in enumerate(best)]
     got = retrieval.symbol_topk(spark.createDataFrame(symbols, "symbol_id long, name string"), spark.createDataFrame(asked, "query_id long, identifier string"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def final_plan(df) -> str:
+    """The plan as it ran, after the sizes of the shuffles were known."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_owners_send_rules_and_no_paths_through_the_driver(spark):
+    plan = final_plan(plans.queries()["code_owners"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("BroadcastHashJoin") == 1
+
+
+def test_owners_keep_rows_of_equal_and_null_paths(spark):
+    paths = ["a/b.ts", "a/b.ts", None, None, "docs/x", "src/api/y.md", ""]
+    got = rules.owners(spark.createDataFrame([(p,) for p in paths], "path string"), "/docs/ @w\n*.ts @web\nsrc/api/*.md @d\n")
+    want = {"a/b.ts": ["@web"], "docs/x": ["@w"], "src/api/y.md": ["@d"]}
+    assert sorted(((r.path or "~"), r.owners) for r in got.collect()) == sorted((p or "~", want.get(p, [])) for p in paths)
