@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +12,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions.ids import symbol_id
 from corpusloom.functions.normalize import normal_doc, normal_signature
 from corpusloom.operators.graph import resolve_names, used_by
+from corpusloom.operators.tables import spread
 
 DEPTHS = ["shallow", "semantic", "artifact"]
 # By language, the kinds of declarations and the lines that open them; group 1 is the name.
@@ -20,6 +24,32 @@ OPENERS = {
 OPENERS["javascript"] = OPENERS["typescript"]
 
 
+def _owned(found: DataFrame, path: str) -> DataFrame:
+    """found (path, no, kind, name, indent, ...) with the owner: the last class or interface above that is indented less.
+
+    A file's declarations stream through a task in their order, which holds the classes that
+    may still own one: a class puts out those above it that are indented as much or more.
+    """
+    names = found.columns
+    places = [names.index(c) for c in (path, "kind", "name", "indent")]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ = None, []
+        for batch in batches:
+            owners = []
+            for at, kind, name, indent in zip(*[batch.column(i).to_pylist() for i in places]):
+                if at != file:
+                    file, open_ = at, []
+                owners.append(next((n for i, n in reversed(open_) if i < indent), None))
+                if kind in ("class", "interface"):
+                    while open_ and open_[-1][0] >= indent:
+                        open_.pop()
+                    open_.append((indent, name))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(owners, pa.string())], names=[*names, "owner"])
+
+    return spread(found, path).sortWithinPartitions(path, "no").mapInArrow(own, ", ".join(f"`{c}` {t}" for c, t in found.dtypes) + ", owner string")
+
+
 def declarations(files: DataFrame, path: str = "path", text: str = "text", language: str = "language") -> DataFrame:
     """path, line, kind, name, qualified_name, visibility, indent, signature and doc of the lines that open declarations.
 
@@ -34,6 +64,7 @@ def declarations(files: DataFrame, path: str = "path", text: str = "text", langu
         for k, pattern in reversed(openers):
             hit = (F.col(language) == lang) & F.col("line").rlike(pattern)
             kind, name = F.when(hit, k).otherwise(kind), F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(name)
+    lines = spread(lines, path, "no")
     comment = F.col("line").rlike(r"^\s*(//|/\*|\*|#|///)")
     order = Window.partitionBy(path).orderBy("no")
     near = lines.withColumns({"kind": kind, "name": name, "comment": comment, "indent": F.length(F.regexp_extract("line", r"^(\s*)", 1))})
@@ -42,9 +73,7 @@ def declarations(files: DataFrame, path: str = "path", text: str = "text", langu
     runs = near.where("comment").groupBy(path, F.col("others").alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n").alias("above"), F.max("no").alias("last"))
     near = near.withColumn("below", F.lead("line").over(order)).where("kind is not null")
     near = near.join(runs.select(F.col(path).alias("_p"), (F.col("last") + 1).alias("_n"), "above"), (F.col(path) == F.col("_p")) & (F.col("no") == F.col("_n")), "left")
-    owners = near.where(F.col("kind").isin("class", "interface")).select(F.col(path).alias("op"), F.col("no").alias("ono"), F.col("indent").alias("oi"), F.col("name").alias("oname"))
-    placed = near.join(owners, (F.col(path) == F.col("op")) & (F.col("ono") < F.col("no")) & (F.col("oi") < F.col("indent")), "left").groupBy(path, "no").agg(F.max_by("oname", "ono").alias("owner"))
-    out = near.join(placed, [path, "no"])
+    out = _owned(near.drop("_p", "_n", "comment", "others"), path)
     above = F.regexp_replace("above", r"\s*\*/\s*$", "")
     string = F.regexp_extract("below", r"^\s*(?:\"\"\"|''')(.*?)(?:\"\"\"|''')?\s*$", 1)
     hidden = F.col("name").startswith("_") | F.col("line").rlike(r"\b(private|protected)\b")

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from corpusloom import plans
-from corpusloom.operators import retrieval
+from corpusloom.operators import assembly, retrieval
 from corpusloom.sources import rules
 
 
@@ -52,3 +52,29 @@ def test_owners_keep_rows_of_equal_and_null_paths(spark):
     got = rules.owners(spark.createDataFrame([(p,) for p in paths], "path string"), "/docs/ @w\n*.ts @web\nsrc/api/*.md @d\n")
     want = {"a/b.ts": ["@web"], "docs/x": ["@w"], "src/api/y.md": ["@d"]}
     assert sorted(((r.path or "~"), r.owners) for r in got.collect()) == sorted((p or "~", want.get(p, [])) for p in paths)
+
+
+def test_declarations_of_one_long_file_are_not_joined_with_its_classes(spark):
+    n = 6_000
+    body = "\n".join(f"class C{i} {{\n  run(a: string) {{\n  }}\n}}" for i in range(n))
+    files = spark.createDataFrame([("a.ts", body, "typescript")], "path string, text string, language string")
+    found = assembly.declarations(files)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # comments only
+    assert {r.qualified_name for r in found.where("kind = 'method'").collect()} == {f"C{i}.run" for i in range(n)}
+
+
+def test_declarations_belong_to_the_last_class_that_is_indented_less(spark):
+    lines, want, classes = [], [], []
+    for i in range(300):
+        indent = (i * 7 + i // 5) % 6
+        kind = ("class", "interface", "method")[i * 5 % 3]
+        name = f"n{i}"
+        lines.append(" " * indent + (f"{name}(a) {{" if kind == "method" else f"{kind} {name} {{"))
+        owner = next((c for j, c in reversed(classes) if j < indent), None)
+        if kind != "method":
+            classes.append((indent, name))
+        if kind != "method" or indent:  # a method is indented
+            want.append((i + 1, f"{owner}.{name}" if owner else name))
+    files = spark.createDataFrame([(p, "\n".join(lines), "typescript") for p in ("a", "b")], "path string, text string, language string")
+    got = [tuple(r) for r in assembly.declarations(files).select("path", "line", "qualified_name").collect()]
+    assert sorted(got) == sorted((p, *w) for p in "ab" for w in want)
