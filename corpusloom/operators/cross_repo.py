@@ -54,6 +54,12 @@ def other_language(types: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, _members(types, per, on, "source", "to").unionByName(_members(types, per, on, "target", "from"))
 
 
+def pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """key, src, dst, src_repo, dst_repo: every link of ``other_repository``, a row each, for keys that few rows share."""
+    side = lambda df, name: df.where("key is not null and repo is not null").select("key", F.col("id").alias(name), F.col("repo").alias(f"{name}_repo"))
+    return side(sources, "src").join(side(targets, "dst"), "key").where("src_repo <> dst_repo").select("key", "src", "dst", "src_repo", "dst_repo")
+
+
 def _members(rows: DataFrame, per: DataFrame, on: list[str], side: str, links: str) -> DataFrame:
     return rows.join(per.where(F.col(links) > 0).select(*on, F.col(links).alias("links")), on).select("key", "id", *on[1:], F.lit(side).alias("side"), "links")
 
@@ -107,12 +113,17 @@ KINDS = {"api-contract": 0.95, "package-dependency": 0.9, "shared-type": 0.7}
 
 
 def all_links(contract: tuple[DataFrame, DataFrame], package: tuple[DataFrame, DataFrame], types: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members) of the three kinds together, with kind and confidence."""
+    """(classes, members) of the three kinds together, with kind and confidence.
+
+    Members carry their repository, and a type its language: with them and the side, the
+    members of a class say which of them are linked.
+    """
     each = dict(zip(KINDS, (other_repository(*contract), other_repository(*package), other_language(types))))
     classes = members = None
     for kind, (c, m) in each.items():
+        language = F.col("language") if "language" in m.columns else F.lit(None).cast("string")
         c = c.select(F.lit(kind).alias("kind"), "key", "sources", "targets", "links", F.lit(KINDS[kind]).alias("confidence"))
-        m = m.select(F.lit(kind).alias("kind"), "key", F.col("id").cast("string").alias("id"), "side", "links")
+        m = m.select(F.lit(kind).alias("kind"), "key", F.col("id").cast("string").alias("id"), F.col("repo").cast("string").alias("repo"), language.alias("language"), "side", "links", F.lit(KINDS[kind]).alias("confidence"))
         classes = c if classes is None else classes.unionByName(c)
         members = m if members is None else members.unionByName(m)
     return classes, members

@@ -133,12 +133,15 @@ TYPE_PAIRS = """SELECT a.k AS key, a.id::VARCHAR AS src, b.id::VARCHAR AS dst FR
  JOIN (SELECT p_partkey AS id, p_type AS repo, p_brand AS language, md5(array_to_string(list_sort(string_split(lower(p_name), ' ')), ',')) AS k FROM part WHERE len(string_split(p_name, ' ')) >= 2) b ON a.k = b.k AND a.repo < b.repo AND a.language <> b.language"""
 PACKAGE_PAIRS = """SELECT DISTINCT p.p_brand || ':' || p.p_name AS key, concat_ws(':', u.l_orderkey, u.l_linenumber, u.l_partkey, u.l_suppkey) AS src, p.p_partkey::VARCHAR AS dst FROM lineitem u JOIN part q ON q.p_partkey = u.l_partkey
  JOIN part p ON p.p_name = q.p_name AND p.p_brand = 'Brand#' || (u.l_suppkey % 25 + 1) WHERE p.p_type <> q.p_type"""
-_MEMBERS = "WITH e AS ({0}) SELECT key, src AS id, 'source' AS side, count(*) AS links FROM e GROUP BY key, src UNION ALL SELECT key, dst, 'target', count(*) FROM e GROUP BY key, dst"
+#: The same with the repositories (and languages) of both ends, so that members with them say which pairs there are.
+TYPE_LINKS = TYPE_PAIRS.replace("b.id::VARCHAR AS dst FROM", "b.id::VARCHAR AS dst, a.repo AS src_repo, b.repo AS dst_repo, a.language AS src_language, b.language AS dst_language FROM", 1)
+PACKAGE_LINKS = PACKAGE_PAIRS.replace("p.p_partkey::VARCHAR AS dst FROM", "p.p_partkey::VARCHAR AS dst, q.p_type AS src_repo, p.p_type AS dst_repo FROM", 1)
+_MEMBERS = "WITH e AS ({0}) SELECT key, src AS id, src_repo AS repo, {1}'source' AS side, count(*) AS links FROM e GROUP BY ALL UNION ALL SELECT key, dst, dst_repo, {2}'target', count(*) FROM e GROUP BY ALL"
 
 
-def contract_sides(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.expr("right(s_name, 4)").alias("name"), F.col("s_nationkey").alias("repo"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.expr("upper(right(c_name, 4))").alias("name"), F.col("c_nationkey").alias("repo"))
+def contract_sides(spark, d, letters: int = 4):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.expr(f"right(s_name, {letters})").alias("name"), F.col("s_nationkey").alias("repo"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.expr(f"upper(right(c_name, {letters}))").alias("name"), F.col("c_nationkey").alias("repo"))
     return cross_repo.contract_sides(s, c)
 
 
@@ -158,22 +161,23 @@ def package_sides(spark, d):
     return cross_repo.package_sides(depends, p.select(F.col("p_brand").alias("package"), owner), u.drop("b"), symbols)
 
 
-@query(_MEMBERS.format(CONTRACT_PAIRS))
+@query("SELECT s.s_suppkey AS src, c.c_custkey AS dst, s.s_nationkey AS src_repo, c.c_nationkey AS dst_repo FROM supplier s JOIN customer c ON substr(lower(s.s_name), -4) = substr(lower(c.c_name), -4) AND s.s_nationkey <> c.c_nationkey")
 def contract_edges(spark, d):
-    """Equal names in different repositories: each member with its links."""
-    return cross_repo.other_repository(*contract_sides(spark, d))[1].select("key", "id", "side", "links")
+    """Equal names in different repositories."""
+    kind = dict(table(spark, d, "supplier").dtypes)["s_suppkey"]
+    return cross_repo.pairs(*contract_sides(spark, d)).select(F.col("src").cast(kind), F.col("dst").cast(kind), "src_repo", "dst_repo")
 
 
-@query(_MEMBERS.format(TYPE_PAIRS))
+@query(_MEMBERS.format(TYPE_LINKS, "src_language AS language, ", "dst_language, "))
 def shared_type_edges(spark, d):
-    """Types with the same fields in two repositories and languages: each with its links."""
-    return cross_repo.other_language(types(spark, d))[1].select("key", "id", "side", "links")
+    """Types with the same fields in two repositories and languages: each with its repository, language and links."""
+    return cross_repo.other_language(types(spark, d))[1].select("key", "id", "repo", "language", "side", "links")
 
 
-@query(_MEMBERS.format(PACKAGE_PAIRS))
+@query(_MEMBERS.format(PACKAGE_LINKS, "", ""))
 def package_edges(spark, d):
-    """Unresolved names and the symbols that the packages of their modules have for them."""
-    return cross_repo.other_repository(*package_sides(spark, d))[1].select("key", "id", "side", "links")
+    """Unresolved names and the symbols that the packages of their modules have for them, with repositories and links."""
+    return cross_repo.other_repository(*package_sides(spark, d))[1].select("key", "id", "repo", "side", "links")
 
 
 @query("""

@@ -2,10 +2,12 @@
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from corpusloom import plans
 from corpusloom.operators import assembly, retrieval
+from corpusloom.plans import bindings_graph
 from corpusloom.sources import rules
 
 
@@ -78,3 +80,20 @@ def test_declarations_belong_to_the_last_class_that_is_indented_less(spark):
     files = spark.createDataFrame([(p, "\n".join(lines), "typescript") for p in ("a", "b")], "path string, text string, language string")
     got = [tuple(r) for r in assembly.declarations(files).select("path", "line", "qualified_name").collect()]
     assert sorted(got) == sorted((p, *w) for p in "ab" for w in want)
+
+
+def test_members_say_which_pairs_there_are(spark):
+    """Every pair of the SQL comes back from the members' keys, repositories, languages and sides alone."""
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("part", "lineitem", "supplier", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for kind, name, sql in (("shared-type", "shared_type_edges", bindings_graph.TYPE_PAIRS), ("package-dependency", "package_edges", bindings_graph.PACKAGE_PAIRS)):
+        want = sorted(con.execute(f"SELECT key, src, dst FROM ({sql})").fetchall())
+        m = plans.queries()[name](spark, d)
+        both = plans.queries()["cross_repo_edges"](spark, d).where(F.col("kind") == kind).withColumn("id", F.regexp_replace("id", "^t", ""))
+        for members in (m, both):
+            a, b = members.where("side = 'source'").alias("a"), members.where("side = 'target'").alias("b")
+            differs = F.expr("a.repo < b.repo and a.language <> b.language") if kind == "shared-type" else F.expr("a.repo <> b.repo")
+            got = a.join(b, F.expr("a.key = b.key") & differs).select("a.key", F.col("a.id"), F.col("b.id"))
+            assert want and sorted(map(tuple, got.collect())) == want
