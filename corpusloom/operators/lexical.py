@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,20 @@ from corpusloom.operators.vectors import best, met
 
 #: Asked terms up to which tasks count these only; with more of them every word of a text goes on.
 MOST_TERMS = 200_000
+#: Texts whose words a task holds at once, and texts' counts that meet a block of queries in one task.
+SLICE, PART_TEXTS = 256, 8_192
 _WORD = re.compile(r"[a-z0-9_]{3,}")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _counted(item: str, within: str | None, asked: frozenset | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             terms, tfs, lengths = [], [], []
             for text in batch.column(1).to_pylist():
                 words = _WORD.findall((text or "").lower())
@@ -37,32 +46,35 @@ def _counted(item: str, within: str | None, asked: frozenset | None):
 
 
 def _bm25(k1: float, b: float, average: float):
-    def score(items: pa.Table, queries: pa.Table) -> np.ndarray:
-        """Saturated counts of the items by weights of the queries, over the terms that the queries ask for."""
-        number: dict[str, int] = {}
-        rows, cols, idf = [], [], []
-        for j, (terms, weights) in enumerate(zip(queries.column("asked").to_pylist(), queries.column("idf").to_pylist())):
-            for t, w in zip(terms, weights):
-                rows.append(number.setdefault(t, len(number)))
-                cols.append(j)
-                idf.append(w)
-        weight = np.zeros((len(number), queries.num_rows))
-        weight[rows, cols] = idf
-        out = np.empty((items.num_rows, queries.num_rows))
-        lengths = np.asarray(items.column("len"), float)
-        terms, tfs = items.column("terms").to_pylist(), items.column("tfs").to_pylist()
-        for at in range(0, len(terms), 512):
-            count = np.zeros((min(512, len(terms) - at), len(number)))
-            for i in range(len(count)):
-                for t, n in zip(terms[at + i], tfs[at + i]):
-                    k = number.get(t)
-                    if k is not None:
-                        count[i, k] = n
-            norm = k1 * (1 - b + b * lengths[at : at + len(count), None] / average) if average else 1.0
-            out[at : at + len(count)] = (count * (k1 + 1) / (count + norm)) @ weight
-        out = np.round(out, 6)
-        out[out <= 0] = -np.inf
-        return out
+    def score(items: pa.Table, queries: pa.Table):
+        """Saturated counts of the items by weights of the queries, term by term over lists of the items that hold it."""
+        asked, idf = queries.column("asked").combine_chunks(), queries.column("idf").combine_chunks()
+        known = pc.unique(asked.flatten())
+        wanted = pc.index_in(asked.flatten(), value_set=known).to_numpy()
+        weights, begins = idf.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(asked).to_numpy())])
+        terms = items.column("terms").combine_chunks()
+        code = pc.fill_null(pc.index_in(terms.flatten(), value_set=known), -1).to_numpy()
+        row = np.repeat(np.arange(items.num_rows), pc.list_value_length(terms).to_numpy())
+        count = items.column("tfs").combine_chunks().flatten().to_numpy()
+        hit = code >= 0
+        code, row, count = code[hit], row[hit], count[hit].astype(float)
+        order = np.argsort(code, kind="stable")
+        code, row, count = code[order], row[order], count[order]
+        norm = k1 * (1 - b + b * np.asarray(items.column("len"), float)[row] / average) if average else 1.0
+        full = count * (k1 + 1) / (count + norm)
+        ends = np.searchsorted(code, np.arange(len(known) + 1))
+
+        def of(start: int, end: int) -> np.ndarray:
+            out = np.zeros((end - start, items.num_rows))
+            for j in range(start, end):
+                for i in range(begins[j], begins[j + 1]):
+                    held = slice(ends[wanted[i]], ends[wanted[i] + 1])
+                    out[j - start, row[held]] += weights[i] * full[held]
+            out = np.round(out, 6)
+            out[out <= 0] = -np.inf
+            return out
+
+        return of
 
     return score
 
@@ -88,7 +100,33 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, item: str = "d
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weighed = asked.join(df, "term").groupBy(query, *extra).agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("ts"))
     q = weighed.select(query, *extra, F.col("ts.term").alias("asked"), F.col("ts.idf").alias("idf"))
-    return met(counted.where(F.size("terms") > 0), q, _bm25(k1, b, average or 0.0), k, query, item, within)
+    return met(counted.where(F.size("terms") > 0), q, _bm25(k1, b, average or 0.0), k, query, item, within, PART_TEXTS)
+
+
+def term_matches(chunks: DataFrame, queries: DataFrame, item: str, text: str, query: str, query_text: str) -> DataFrame:
+    """(query, item, n_asked, n_terms) of chunks that hold all terms of a query.
+
+    A task cuts each text once and keeps the terms that are asked for, as long as these are
+    at most MOST_TERMS. A chunk meets a query through the query's rarest term only, by an
+    equi-join, and is then held against all of its terms.
+    """
+    asked = queries.select(query, token_set(F.col(query_text)).alias("asked")).where(F.size("asked") > 0)
+    wanted = [r[0] for r in asked.select(F.explode("asked").alias("t")).distinct().limit(MOST_TERMS + 1).collect()]
+    keep = frozenset(wanted) if len(wanted) <= MOST_TERMS else None
+    kind = dict(chunks.dtypes)[item]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = [set(_WORD.findall((t or "").lower())) for t in batch.column(1).to_pylist()]
+            held = [list(f if keep is None else f & keep) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array(held, pa.list_(pa.string()))], names=[item, "n_terms", "terms"])
+
+    made = written(chunks.select(item, text).mapInArrow(run, f"`{item}` {kind}, n_terms int, terms array<string>"), "terms")
+    held = made.select(item, F.explode("terms").alias("term"))
+    counts = held.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = asked.select(query, F.explode("asked").alias("term")).join(counts, "term", "left").groupBy(query).agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
+    near = held.join(rarest, "term").select(item, query).join(asked, query).join(made, item)
+    return near.where(F.size(F.array_except("asked", "terms")) == 0).select(query, item, F.size("asked").alias("n_asked"), "n_terms")
 
 
 #: What a cover without other words in it is worth.
@@ -124,7 +162,7 @@ def postings(chunks: DataFrame, item: str = "doc_id", text: str = "text", asked:
     kind = dict(chunks.dtypes)[item]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             terms, places = [], []
             for body in batch.column(1).to_pylist():
                 found: dict[str, list[int]] = {}

@@ -1,12 +1,15 @@
 """Shapes that make an operator's work grow faster than its rows: equal names, long files, wide groups."""
 
+import re
 import time
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom import plans
-from corpusloom.operators import assembly, retrieval
+from corpusloom.operators import assembly, retrieval, vectors
 from corpusloom.plans import bindings_graph
 from corpusloom.sources import rules
 
@@ -97,3 +100,36 @@ def test_members_say_which_pairs_there_are(spark):
             differs = F.expr("a.repo < b.repo and a.language <> b.language") if kind == "shared-type" else F.expr("a.repo <> b.repo")
             got = a.join(b, F.expr("a.key = b.key") & differs).select("a.key", F.col("a.id"), F.col("b.id"))
             assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_scores_of_a_group_are_held_for_few_queries_at_a_time(monkeypatch):
+    monkeypatch.setattr(vectors, "SCORES", 1000)
+    rng = np.random.default_rng(3)
+    x, asked = rng.integers(-2, 3, (500, 4)), rng.integers(-2, 3, (70, 4))
+    ids = rng.permutation(500)
+    most = []
+
+    def score(items, queries):
+        v = np.array(items.column("v").to_pylist(), float)
+
+        def of(start, end):
+            most.append((end - start) * len(v))
+            return asked[start:end].astype(float) @ v.T
+
+        return of
+
+    got = vectors.top_of_groups(score, 5, "q", "i")(pa.table({"i": ids, "v": x.tolist()}), pa.table({"q": range(70)}))
+    want = [(q, int(i), float(s)) for q in range(70) for s, i in sorted(zip(x @ asked[q], ids), key=lambda t: (-t[0], t[1]))[:5]]
+    assert max(most) <= 1000
+    # Equal scores: the smallest ids, and no more than k rows of a query.
+    assert sorted(zip(*[got.column(c).to_pylist() for c in ("q", "i", "score")])) == sorted(want)
+
+
+def test_term_matches_beside_a_plain_search(spark):
+    words = ["alpha", "beta", "gamma", "delta", "ab", "x_1", "Alpha"]
+    docs = [(i, " ".join(words[(i * 3 + j * j) % 7] for j in range(i % 9))) for i in range(60)] + [(99, None)]
+    asked = [(1, "alpha beta"), (2, "ab"), (3, "none alpha"), (4, "ALPHA"), (5, "x_1, delta gamma")]
+    terms = lambda t: set(re.findall("[a-z0-9_]{3,}", (t or "").lower()))
+    want = [(q, i, len(terms(a)), len(terms(t))) for q, a in asked for i, t in docs if terms(a) and terms(a) <= terms(t)]
+    got = retrieval.term_matches(spark.createDataFrame(docs, "i long, t string"), spark.createDataFrame(asked, "q long, a string"), "i", "t", "q", "a")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
