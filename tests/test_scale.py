@@ -133,3 +133,24 @@ def test_term_matches_beside_a_plain_search(spark):
     want = [(q, i, len(terms(a)), len(terms(t))) for q, a in asked for i, t in docs if terms(a) and terms(a) <= terms(t)]
     got = retrieval.term_matches(spark.createDataFrame(docs, "i long, t string"), spark.createDataFrame(asked, "q long, a string"), "i", "t", "q", "a")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_heavy_work_on_a_small_file_is_dealt_over_the_tasks(spark):
+    for name in ("normal_types", "normal_signatures", "doc_comment_parts", "signature_parameters"):
+        assert plans.queries()[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_expansion_streams_its_queries_and_takes_turns(spark):
+    rows = [(q, (i * 3) % 5, i % 3 + 1, (i * i + q) % 11, 40 + i * 17 % 60) for q in range(40) for i in range(12)]
+    frame = spark.createDataFrame(rows, "query_id long, seed_rank long, place long, symbol_id long, tokens long")
+    want = []
+    for q in range(40):
+        seen, used = set(), 0
+        for _, _, name, t in sorted((p, r, n, t) for who, r, p, n, t in rows if who == q):
+            if name not in seen and used + t <= 300:
+                seen.add(name)
+                used += t
+                want.append((q, name, len(seen), used))
+    out = retrieval.expand(frame, budget=300)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
