@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import normalize
 from corpusloom.operators import api_guide, assembly, chunking, diff
+from corpusloom.operators.tables import spread
 from corpusloom.plans.bindings_scan import table
 from corpusloom.sources import repository, rules, services, store
 from corpusloom.streaming import access, sessions
@@ -44,7 +45,7 @@ def normal_signatures(spark, d):
     py = _fill("def f_{k}(a :int=1,  # note\n   *args )", k=k)
     alias = _fill("type T{k}=A|/* x */'b|c'|(()=>D);", k=k)
     f = normalize.normal_signature
-    return table(spark, d, "part").select("p_partkey", f(ts, F.lit("typescript")).alias("ts"), f(py, F.lit("python")).alias("py"), f(alias, F.lit("typescript")).alias("alias"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", f(ts, F.lit("typescript")).alias("ts"), f(py, F.lit("python")).alias("py"), f(alias, F.lit("typescript")).alias("alias"))
 
 
 @query("SELECT p_partkey, p_name || chr(10) || chr(10) || '@see ' || p_brand AS doc FROM part")
@@ -63,7 +64,7 @@ def normal_types(spark, d):
     words = F.concat(F.split("p_name", " "), F.array(F.lit('"z | y"'), _fill("Array<b | a{k}>", k=F.col("p_size") % 3)))
     union = F.array_join(F.reverse(words), " | ")
     text = F.concat(F.lit("(x: "), union, F.lit(", y?: {k: "), union, F.lit("; }) => M & L"))
-    return table(spark, d, "part").select("p_partkey", normalize.normal_type(text).alias("type"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", normalize.normal_type(text).alias("type"))
 
 
 @query("""
@@ -72,7 +73,7 @@ SELECT p_partkey, unnest(['a', 'b', 'c', 'd']) AS name, unnest(['Map<string, ' |
 def signature_parameters(spark, d):
     """Parameters of a signature, brackets and quotes respected (F-S15)."""
     sig = _fill('f(a: Map<string, {b}>, b?: number, c = "x, y", ...d: T[]): void', b=F.col("p_brand"))
-    x = table(spark, d, "part").select("p_partkey", F.explode(normalize.parameters(sig, F.lit("typescript"))).alias("p"))
+    x = spread(table(spark, d, "part"), "p_partkey").select("p_partkey", F.explode(normalize.parameters(sig, F.lit("typescript"))).alias("p"))
     return x.select("p_partkey", "p.*")
 
 
@@ -104,7 +105,7 @@ def doc_comment_parts(spark, d):
     raw = F.when(k == 4, _fill("Does {n}\n\nParameters\n----------\na : str\n    the {b}\n\n", n=n, b=b))
     for i, form in enumerate(forms):
         raw = raw.when(k == i, _fill(form, n=n, b=b))
-    x = table(spark, d, "part").select("p_partkey", assembly.doc_parts(raw).alias("p"))
+    x = spread(table(spark, d, "part"), "p_partkey").select("p_partkey", assembly.doc_parts(raw).alias("p"))
     return x.select("p_partkey", "p.summary", F.try_element_at("p.params", F.lit("a")).alias("a"), "p.returns", "p.deprecated")
 
 
