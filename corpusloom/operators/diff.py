@@ -108,24 +108,27 @@ def parameter_changes(before: DataFrame, after: DataFrame, item: str = "symbol_i
     """Breaking changes of parameters: id, kind, detail. Rows are (id, pos, name, type, optional, has_default, rest).
 
     Parameters meet by name. One that is gone is a rename if a new name of the same type
-    stands at its place, else removed.
+    stands at its place, else removed. Both sides are gathered by symbol and meet once; a
+    signature bounds what is gathered, and all comparisons are made in place.
     """
     cols = ["pos", "name", "type", "optional", "has_default", "rest"]
-    b = before.select(item, *[F.col(c).alias(f"b_{c}") for c in cols])
-    a = after.select(item, *[F.col(c).alias(f"a_{c}") for c in cols])
-    shared = before.select(item).intersect(after.select(item))
-    b, a = b.join(shared, item, "left_semi"), a.join(shared, item, "left_semi")
-    met = b.join(a, (b[item] == a[item]) & (F.col("b_name") == F.col("a_name")), "left").select(b[item].alias(item), *[f"b_{c}" for c in cols], *[f"a_{c}" for c in cols])
-    gone = met.where("a_name is null").select(item, *[f"b_{c}" for c in cols])
-    new = a.join(b.select(item, F.col("b_name").alias("a_name")), [item, "a_name"], "left_anti")
-    at = new.select(F.col(item).alias("i2"), F.col("a_pos").alias("p2"), F.col("a_name").alias("n2"), F.col("a_type").alias("t2"))
-    placed = gone.join(at, (F.col(item) == F.col("i2")) & (F.col("b_pos") == F.col("p2")) & F.col("b_type").eqNullSafe(F.col("t2")), "left")
-    lost = placed.select(item, F.when(F.col("n2").isNotNull(), "parameter-renamed").otherwise("parameter-removed").alias("kind"), F.concat(F.col("b_name"), F.coalesce(F.concat(F.lit(" → "), "n2"), F.lit(""))).alias("detail"))
-    kept = met.where("a_name is not null")
-    typed = kept.where(~F.col("b_type").eqNullSafe(F.col("a_type"))).select(item, F.lit("parameter-type-changed").alias("kind"), F.concat("b_name", F.lit(": "), F.coalesce("b_type", F.lit("(untyped)")), F.lit(" → "), F.coalesce("a_type", F.lit("(untyped)"))).alias("detail"))
-    required = kept.where("b_optional and not a_optional").select(item, F.lit("parameter-made-required").alias("kind"), F.col("a_name").alias("detail"))
-    wanted = new.where("not a_optional and not a_has_default and not a_rest").select(item, F.lit("parameter-added-required").alias("kind"), F.col("a_name").alias("detail"))
-    return lost.unionByName(typed).unionByName(required).unionByName(wanted)
+    gathered = lambda df, name: df.groupBy(item).agg(F.collect_list(F.struct(*cols)).alias(name))
+    both = gathered(before.where(F.col(item).isNotNull()), "b").join(gathered(after.where(F.col(item).isNotNull()), "a"), item)
+    row = lambda kind, detail: F.struct(kind.alias("kind"), detail.alias("detail"))
+    say = lambda c: F.coalesce(c, F.lit("(untyped)"))
+    # A null name meets nothing.
+    same = lambda x, y: F.coalesce(x["name"] == y["name"], F.lit(False))
+    gone = F.filter("b", lambda x: ~F.exists("a", lambda y: same(x, y)))
+    new = F.filter("a", lambda y: ~F.exists("b", lambda x: same(x, y)))
+    heirs = lambda x: F.filter("new", lambda y: F.coalesce(x["pos"] == y["pos"], F.lit(False)) & x["type"].eqNullSafe(y["type"]))
+    lost = lambda x: F.when(F.size(heirs(x)) == 0, F.array(row(F.lit("parameter-removed"), x["name"]))).otherwise(
+        F.transform(heirs(x), lambda y: row(F.when(y["name"].isNotNull(), "parameter-renamed").otherwise("parameter-removed"), F.concat(x["name"], F.coalesce(F.concat(F.lit(" → "), y["name"]), F.lit(""))))))
+    kept = F.flatten(F.transform("b", lambda x: F.transform(F.filter("a", lambda y: same(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    typed = F.transform(F.filter("kept", lambda p: ~p["x"]["type"].eqNullSafe(p["y"]["type"])), lambda p: row(F.lit("parameter-type-changed"), F.concat(p["x"]["name"], F.lit(": "), say(p["x"]["type"]), F.lit(" → "), say(p["y"]["type"]))))
+    required = F.transform(F.filter("kept", lambda p: p["x"]["optional"] & ~p["y"]["optional"]), lambda p: row(F.lit("parameter-made-required"), p["y"]["name"]))
+    wanted = F.transform(F.filter("new", lambda y: ~y["optional"] & ~y["has_default"] & ~y["rest"]), lambda y: row(F.lit("parameter-added-required"), y["name"]))
+    found = both.select(item, "b", "a", gone.alias("gone"), new.alias("new"), kept.alias("kept"))
+    return found.select(item, F.explode(F.concat(F.flatten(F.transform("gone", lost)), typed, required, wanted)).alias("c")).select(item, "c.kind", "c.detail")
 
 
 def surface_changes(changes: DataFrame, item: str = "symbol_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom import plans
-from corpusloom.operators import assembly, retrieval, vectors
+from corpusloom.operators import assembly, diff, retrieval, vectors
 from corpusloom.plans import bindings_graph
 from corpusloom.sources import rules
 
@@ -154,3 +154,26 @@ def test_expansion_streams_its_queries_and_takes_turns(spark):
     out = retrieval.expand(frame, budget=300)
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parameter_changes_beside_a_plain_loop_and_with_one_meeting(spark):
+    cols = "symbol_id long, pos int, name string, type string, optional boolean, has_default boolean, rest boolean"
+    make = lambda k: [(i // 4 + k, (i * (2 + k)) % 4, [None, "a", "b", "c", "d"][(i * 3 + k * i) % 5], [None, "T", "U"][(i + k * i // 3) % 3], i % 3 == k, i % 5 == 0, i % 7 == 0) for i in range(120)]
+    old, new = make(0), make(1)
+    want = []
+    for s in {r[0] for r in old} & {r[0] for r in new}:
+        b, a = [r[1:] for r in old if r[0] == s], [r[1:] for r in new if r[0] == s]
+        same = lambda x, y: x[1] is not None and x[1] == y[1]
+        fresh = [y for y in a if not any(same(x, y) for x in b)]
+        for x in b:
+            if not any(same(x, y) for y in a):
+                heirs = [y for y in fresh if y[0] == x[0] and y[2] == x[2]]
+                for y in heirs or [(None, None)]:
+                    want.append((s, "parameter-removed" if y[1] is None else "parameter-renamed", x[1] and x[1] + (f" → {y[1]}" if y[1] else "")))
+            for y in a:
+                if same(x, y):
+                    want += [(s, "parameter-type-changed", f"{x[1]}: {x[2] or '(untyped)'} → {y[2] or '(untyped)'}")] * (x[2] != y[2]) + [(s, "parameter-made-required", y[1])] * (x[3] and not y[3])
+        want += [(s, "parameter-added-required", y[1]) for y in fresh if not any(y[3:])]
+    out = diff.parameter_changes(spark.createDataFrame(old, cols), spark.createDataFrame(new, cols))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
