@@ -20,6 +20,8 @@ FORMAT = "document_feed"
 FEED = "external_id string, revision string, title string, document_type string, content string, deleted boolean, cursor string"
 _WRITTEN = ["external_id", "revision", "title", "document_type", "content", "deleted"]
 DONE = "_SUCCESS"
+#: Bytes of a row group of a page; bytes that a reader takes of a column, and rows that it gives, at a time.
+GROUP_BYTES, READ_BYTES, BATCH_ROWS = 4 << 20, 1 << 20, 250
 
 
 def _opened(root: str) -> tuple[pafs.FileSystem, str]:
@@ -57,7 +59,8 @@ class Page(InputPartition):
 def _read(root: str, page: Page) -> Iterator[pa.RecordBatch]:
     fs, base = _opened(root)
     with fs.open_input_file(f"{base}/{page.cursor}") as f:
-        for batch in pq.ParquetFile(f).iter_batches(1000, columns=_WRITTEN):
+        # Neither the whole file nor more than a row group of it is held.
+        for batch in pq.ParquetFile(f, pre_buffer=False, buffer_size=READ_BYTES).iter_batches(BATCH_ROWS, columns=_WRITTEN):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _WRITTEN), pa.array([page.cursor] * batch.num_rows, pa.string())], names=[*_WRITTEN, "cursor"])
 
 
@@ -164,7 +167,7 @@ def publish(documents: DataFrame, root: str, page_rows: int = 10_000) -> int:
     out = both.where(new | gone).select("external_id", F.when(F.col("_listed"), F.col("revision")).otherwise(F.col("_was")).alias("revision"), "title", "document_type", "content", F.col("_listed").isNull().alias("deleted"))
     seq = max((int(t.removeprefix("seq=")) for t in taken), default=-1) + 1
     target = f"{root}/seq={seq:012d}"
-    out.write.option("maxRecordsPerFile", page_rows).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(target)
+    out.write.option("maxRecordsPerFile", page_rows).option("parquet.block.size", GROUP_BYTES).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(target)
     return seq if spark.read.schema(empty.schema).parquet(target).limit(1).count() else -1
 
 
