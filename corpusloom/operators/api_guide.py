@@ -44,8 +44,7 @@ def _cell(c: Column) -> Column:
 
 def _literal(c: Column) -> Column:
     """c as a literal in double quotes, as JSON, Python, TypeScript and C# read it."""
-    made = F.to_json(F.array(c))
-    return F.substring(made, F.lit(2), F.length(made) - 2)
+    return F.btrim(F.to_json(F.array(c)), F.lit("[]"))  # quotes stand at both ends
 
 
 def _lines(*parts: Column | str) -> Column:
@@ -56,7 +55,7 @@ def _lines(*parts: Column | str) -> Column:
 def _table(head: str, rows: Column) -> Column:
     """Rows below a head of columns; null where there are none."""
     rule = "|" + "---|" * head.count(" | ") + "---|"
-    return F.when(F.size(rows) > 0, F.concat(F.lit(f"| {head} |\n{rule}\n"), F.array_join(rows, "\n"), F.lit("\n")))
+    return _let(rows, lambda r: F.when(F.size(r) > 0, F.concat(F.lit(f"| {head} |\n{rule}\n"), F.array_join(r, "\n"), F.lit("\n"))))
 
 
 def slug(c: Column) -> Column:
@@ -67,19 +66,21 @@ def _last(ref: Column) -> Column:
     return F.element_at(F.split(ref, "/"), -1)
 
 
-def type_of(schema: Column, levels: int = 4) -> Column:
-    """What a table shows as the type of a schema's JSON: a component, the choices, or the type; arrays within arrays to a depth of ``levels``."""
+def _typed(schema: Column, p: Column, levels: int = 4) -> Column:
+    """type_of a schema whose JSON has been read as p."""
+
+    def named(p: Column, left: int) -> Column:
+        inner = F.when(p["items"].isNotNull(), _let(F.from_json(p["items"], _SCHEMA), lambda q: named(q, left - 1))) if left else F.lit("array")
+        listed = F.concat(F.coalesce(inner, F.lit("object")), F.lit("[]"))
+        return F.when(p["$ref"].isNotNull(), _last(p["$ref"])).when(F.size(p["enum"]) > 0, F.array_join(p["enum"], " \\| ")).when(p["type"] == "array", listed).otherwise(F.coalesce(p["type"], F.lit("object")))
 
-    def plain(s: Column, left: int) -> Column:
-        def named(p: Column) -> Column:
-            inner = plain(p["items"], left - 1) if left else F.lit("array")
-            listed = F.concat(F.coalesce(inner, F.lit("object")), F.lit("[]"))
-            return F.when(p["$ref"].isNotNull(), _last(p["$ref"])).when(F.size(p["enum"]) > 0, F.array_join(p["enum"], " \\| ")).when(p["type"] == "array", listed).otherwise(F.coalesce(p["type"], F.lit("object")))
+    choices = F.when(p["$ref"].isNull() & (F.size(p["enum"]) > 0), F.array_join(F.transform(p["enum"], _tick), " \\| "))
+    return F.when(schema.isNotNull(), F.coalesce(choices, _tick(named(p, levels)))).otherwise("—")
 
-        return F.when(s.isNotNull(), _let(F.from_json(s, _SCHEMA), named))
 
-    choices = _let(F.from_json(schema, _SCHEMA), lambda p: F.when(p["$ref"].isNull() & (F.size(p["enum"]) > 0), F.array_join(F.transform(p["enum"], _tick), " \\| ")))
-    return F.coalesce(choices, _tick(plain(schema, levels)), F.lit("—"))
+def type_of(schema: Column, levels: int = 4) -> Column:
+    """What a table shows as the type of a schema's JSON: a component, the choices, or the type; arrays within arrays to a depth of ``levels``."""
+    return _let(F.from_json(schema, _SCHEMA), lambda p: _typed(schema, p, levels))
 
 
 def scalar_example(schema: Column, name: Column) -> Column:
@@ -99,18 +100,19 @@ def read_specs(specs: DataFrame, path: str = "path", text: str = "text") -> Data
     Of equal paths the least text counts.
     """
     one = specs.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("spec")).agg(F.min(text).alias("text"))
-    read = one.select("spec", F.sha2("text", 256).alias("document_hash"), F.from_json("text", _SPEC).alias("document"))
-    return read.where("document.openapi like '3.%' or document.swagger = '2.0'")
+    # Both versions are read at once; a text that is cut short has none, though a part of it could be read.
+    known = F.exists(F.array(F.from_json("text", "openapi string, swagger string")), lambda d: d["openapi"].like("3.%") | (d["swagger"] == "2.0"))
+    return one.where(known).select("spec", F.sha2("text", 256).alias("document_hash"), F.from_json("text", _SPEC).alias("document"))
 
 
-def operations(read: DataFrame) -> DataFrame:
-    """A row for each operation: spec, route, method, operation_id, label, summary, description, tag, deprecated, open, parameters, request, responses.
+def operations(read: DataFrame, *more: str) -> DataFrame:
+    """A row for each operation: spec, route, method, operation_id, label, summary, description, tag, deprecated, open, parameters, request, responses, and more columns of its specification.
 
     label is the id, else method and route; open says that the operation asks for no
     authentication; request is the JSON of the first content type's schema. Parameters of a
     path come before the operation's own; those without a name are references and left out.
     """
-    items = read.select("spec", F.explode("document.paths").alias("route", "item")).select("spec", "route", F.from_json(F.try_element_at("item", F.lit("parameters")), _PARAMETERS).alias("shared"), F.explode("item").alias("key", "raw"))
+    items = read.select("spec", *more, F.explode("document.paths").alias("route", "item")).select("spec", *more, "route", F.from_json(F.try_element_at("item", F.lit("parameters")), _PARAMETERS).alias("shared"), F.explode("item").alias("key", "raw"))
     ops = items.where(F.col("key").isin(*METHODS)).withColumn("op", F.from_json("raw", _OPERATION)).where("raw like '{%'")
     none = F.array().cast(_PARAMETERS)
     given = F.filter(F.concat(F.coalesce("shared", none), F.coalesce("op.parameters", none)), lambda p: p["name"].isNotNull())
@@ -122,7 +124,7 @@ def operations(read: DataFrame) -> DataFrame:
     return ops.select(
         "spec", "route", method.alias("method"), F.col("op.operationId").alias("operation_id"), F.coalesce("op.operationId", F.concat_ws(" ", method, "route")).alias("label"), "op.summary", "op.description",
         F.coalesce(F.get("op.tags", 0), F.lit(NO_TAG)).alias("tag"), F.coalesce("op.deprecated", F.lit(False)).alias("deprecated"), F.coalesce(F.col("op.security") == "[]", F.lit(False)).alias("open"),
-        params.alias("parameters"), request.alias("request"), F.coalesce(answers, F.array().cast("array<struct<status:string,description:string>>")).alias("responses"),
+        params.alias("parameters"), request.alias("request"), F.coalesce(answers, F.array().cast("array<struct<status:string,description:string>>")).alias("responses"), *more,
     )
 
 
@@ -133,48 +135,78 @@ def components(read: DataFrame) -> DataFrame:
 
 def references(schema: Column) -> Column:
     """The names of the components that a schema's JSON refers to, each once."""
-    return F.array_distinct(F.regexp_extract_all(schema, F.lit(r'"\$ref"\s*:\s*"(?:[^"]*/)?([^"/]+)"'), F.lit(1)))
+    found = F.regexp_extract_all(schema, F.lit(r'"\$ref"\s*:\s*"(?:[^"]*/)?(?!")([^"/\\]*+(?:\\.[^"/\\]*+)*+)"'), F.lit(1))
+    told = lambda n: F.when(n.contains("\\"), F.get(F.from_json(F.concat(F.lit('["'), n, F.lit('"]')), _NONE), 0)).otherwise(n)
+    return F.array_distinct(F.transform(found, told))
 
 
-def component_closure(parts: DataFrame) -> DataFrame:
-    """(spec, root, name): every component that a component reaches by references, itself included.
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, written, with a number for each row as id: rounds of joins carry two numbers instead of names."""
+    return written(df.withColumn("id", F.monotonically_increasing_id()), name)
+
+
+def _edges(parts: DataFrame) -> DataFrame:
+    """(at, to): the ids of components and of those that they refer to. parts: (spec, name, schema, id)."""
+    refers = parts.select("spec", F.col("id").alias("at"), F.explode(references(F.col("schema"))).alias("name"))
+    return written(refers.join(parts.select("spec", "name", F.col("id").alias("to")), ["spec", "name"]).select("at", "to"), "guide-edges")
+
 
-    Rounds of joins: each round follows the references of the pairs found last, and ends
-    when none is new, so components that hold each other end too. As many rounds as the
-    longest chain of references; each round's pairs are written. References to nothing
-    have no row. parts: (spec, name, schema).
+def _reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(of, at): the seeds' pairs and every component that theirs reach.
+
+    Each round follows the references of the pairs found last, and ends when none is new, so
+    components that hold each other end too. As many rounds as the longest chain of
+    references; each round's pairs are written.
     """
-    edges = written(parts.select("spec", "name", F.explode(references(F.col("schema"))).alias("to")).join(parts.select("spec", F.col("name").alias("to")), ["spec", "to"], "left_semi"), "guide-edges")
-    found = new = written(parts.select("spec", F.col("name").alias("root"), "name"), "guide-pairs")
+    found = new = written(seeds, "guide-pairs")
     while True:
-        step = new.join(edges, ["spec", "name"]).select("spec", "root", F.col("to").alias("name")).distinct()
-        new = written(step.join(found, ["spec", "root", "name"], "left_anti"), "guide-pairs")
+        step = new.join(edges, "at").select("of", F.col("to").alias("at")).distinct()
+        new = written(step.join(found, ["of", "at"], "left_anti"), "guide-pairs")
         if new.isEmpty():
             return found
         found = found.unionByName(new)
 
 
+def component_closure(parts: DataFrame) -> DataFrame:
+    """(spec, root, name): every component that a component reaches by references, itself included.
+
+    References to nothing have no row. parts: (spec, name, schema).
+    """
+    parts = _numbered(parts.select("spec", "name", "schema"), "guide-components")
+    pairs = _reached(parts.select(F.col("id").alias("of"), F.col("id").alias("at")), _edges(parts))
+    named = pairs.join(parts.select(F.col("id").alias("at"), "name"), "at")
+    return named.join(parts.select(F.col("id").alias("of"), "spec", F.col("name").alias("root")), "of").select("spec", "root", "name")
+
+
 def _with_requests(ops: DataFrame, parts: DataFrame) -> DataFrame:
-    """ops with fields (rows of the request's table) and example (JSON); each gets just the components that its request reaches."""
-    ask = ops.where("request is not null").select("spec", "route", "method", "request")
-    key = ["spec", "route", "method"]
-    direct = ask.select(*key, F.explode(references(F.col("request"))).alias("root"))
-    reached = direct.join(component_closure(parts), ["spec", "root"]).select(*key, "name").distinct().join(parts, ["spec", "name"])
-    entry = F.concat(_literal(F.col("name")), F.lit(":"), F.col("schema"))
-    carried = reached.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("parts"))
-    shown = with_examples(ask.join(carried, key, "left").withColumn("components", F.concat(F.lit("{"), F.coalesce("parts", F.lit("")), F.lit("}"))), "request", "components")
+    """ops with fields (rows of the request's table) and example (JSON); each gets just the components that its request reaches.
+
+    ops and parts have an id.
+    """
+    direct = ops.where("request is not null").select("spec", F.col("id").alias("of"), F.explode(references(F.col("request"))).alias("name"))
+    seeds = direct.join(parts.select("spec", "name", F.col("id").alias("at")), ["spec", "name"]).select("of", "at")
+    reached = _reached(seeds, _edges(parts)).join(parts.select(F.col("id").alias("at"), "name", "schema"), "at")
+    carried = reached.groupBy(F.col("of").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", "schema"))).alias("parts"))
+    entry = lambda p: F.concat(_literal(p["name"]), F.lit(":"), p["schema"])
+    held = F.concat(F.lit("{"), F.coalesce(F.array_join(F.transform("parts", entry), ","), F.lit("")), F.lit("}"))
+    shown = with_examples(ops.join(carried, "id", "left").withColumn("components", held), "request", "components")
     # The request's own fields, through a reference if it is one; then each field's description, through its own.
-    target = parts.select("spec", F.col("name").alias("ref"), F.col("schema").alias("target"))
-    top = ask.withColumn("ref", _last(F.from_json("request", _SCHEMA)["$ref"])).join(target, ["spec", "ref"], "left").select(*key, F.from_json(F.coalesce("target", "request"), _SCHEMA).alias("s"))
-    fields = top.select(*key, F.coalesce("s.required", F.array().cast(_NONE)).alias("needed"), F.posexplode("s.properties").alias("no", "field", "schema")).withColumn("ref", _last(F.from_json("schema", _SCHEMA)["$ref"]))
-    fields = fields.join(target, ["spec", "ref"], "left").withColumn("about", F.from_json(F.coalesce("target", "schema"), _SCHEMA)["description"])
-    row = F.concat(F.lit("| "), _tick(F.col("field")), F.lit(" | "), type_of(F.col("schema")), F.lit(" | "), F.when(F.array_contains("needed", F.col("field")), "**yes**").otherwise("no"), F.lit(" | "), _cell(F.col("about")), F.lit(" |"))
-    listed = fields.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", row.alias("row")))), lambda x: x["row"]).alias("fields"))
-    return ops.join(shown.select(*key, "example"), key, "left").join(listed, key, "left").withColumn("fields", F.coalesce("fields", F.array().cast(_NONE)))
+    target = lambda p: F.get(F.filter("parts", lambda x: x["name"] == _last(p["$ref"])), 0)["schema"]
 
+    def row(e: Column, p: Column, needed: Column) -> Column:
+        about = F.coalesce(F.from_json(target(p), "description string"), F.struct(p["description"].alias("description")))["description"]
+        return F.concat(F.lit("| "), _tick(e["key"]), F.lit(" | "), _typed(e["value"], p), F.lit(" | "), F.when(F.array_contains(needed, e["key"]), "**yes**").otherwise("no"), F.lit(" | "), _cell(about), F.lit(" |"))
 
-def schemes(read: DataFrame) -> DataFrame:
-    """spec and schemes: its security schemes by name, each with the header that carries it and what stands for the credential."""
+    def rows(s: Column) -> Column:
+        needed = F.coalesce(s["required"], F.array().cast(_NONE))
+        return F.transform(F.map_entries(s["properties"]), lambda e: _let(F.from_json(e["value"], _SCHEMA), lambda p: row(e, p, needed)))
+
+    own = _let(_let(F.from_json("request", _SCHEMA), lambda p: F.coalesce(F.from_json(target(p), _SCHEMA), p)), rows)
+    return shown.withColumn("fields", F.coalesce(own, F.array().cast(_NONE))).drop("components", "parts")
+
+
+def schemes(read: DataFrame, *more: str) -> DataFrame:
+    """spec, more columns and schemes: its security schemes by name, each with the header that carries it and what stands for the credential."""
 
     def made(e: Column) -> Column:
         s = e["value"]
@@ -188,7 +220,7 @@ def schemes(read: DataFrame) -> DataFrame:
 
     found = F.transform(F.map_entries("document.components.securitySchemes"), made)
     empty = F.array().cast("array<struct<name:string,type:string,scheme:string,description:string,header:string,prefix:string,word:string>>")
-    return read.select("spec", F.coalesce(F.array_sort(found), empty).alias("schemes"))
+    return read.select("spec", *more, F.coalesce(F.array_sort(found), empty).alias("schemes"))
 
 
 def _snippets(ops: DataFrame) -> DataFrame:
@@ -233,58 +265,61 @@ def guide_sections(specs: DataFrame, handlers: DataFrame | None = None, path: st
     a text that is no specification has none.
     """
     read = written(read_specs(specs, path, text), "guide-specs")
-    parts = written(components(read), "guide-components")
-    keys = schemes(read)
-    asked = read.select("spec", F.coalesce(F.get("document.servers", 0)["url"], F.lit(NO_SERVER)).alias("base"))
-    ops = _with_requests(operations(read), parts).join(asked, "spec").join(keys.select("spec", F.get("schemes", 0).alias("first")), "spec")
+    parts = _numbered(components(read), "guide-components")
+    keys = schemes(read, "document")
+    base, first = F.coalesce(F.get("document.servers", 0)["url"], F.lit(NO_SERVER)), F.get("schemes", 0)
+    ops = operations(keys.select("spec", "document", base.alias("base"), first.alias("first")), "base", "first")
     if handlers is None:
         ops = ops.withColumn("handler", F.lit(None).cast("string"))
     else:
         linked = handlers.where("operation_id is not null").groupBy("operation_id").agg(F.min(F.struct("qualified_name", "file", "line")).alias("h"))
         ops = ops.join(linked.select("operation_id", F.concat(F.lit("Implemented by "), _tick(F.col("h.qualified_name")), F.lit(" in "), _tick(F.concat_ws(":", "h.file", "h.line")), F.lit(".\n")).alias("handler")), "operation_id", "left")
-    ops = written(_snippets(ops), "guide-operations")
+    ops = _numbered(ops, "guide-operations")
+    told = error_catalogue_rows(ops)
 
-    counted = ops.groupBy("spec").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("open"), F.col("label")))).alias("opened"))
-    base = read.join(counted, "spec", "left").join(keys, "spec").withColumn("n", F.coalesce("n", F.lit(0)))
-    hosts = F.array_join(F.transform("document.servers", lambda s: F.concat(_tick(s["url"]), F.coalesce(F.concat(F.lit(" ("), s["description"], F.lit(")")), F.lit("")))), "<br/>")
+    fields = F.coalesce(_table("Field | Type | Required | Description", F.col("fields")), F.concat(F.lit("```json\n"), "example", F.lit("\n```\n")))
+    cells = lambda p: F.concat(F.lit("| "), _tick(p["name"]), F.lit(" | "), p["place"], F.lit(" | "), F.when(p["required"], "**yes**").otherwise("no"), F.lit(" | "), p["type"], F.lit(" | "), p["description"], F.lit(" |"))
+    answer = lambda r: F.concat(F.lit("| "), _tick(r["status"]), F.lit(" | "), _cell(r["description"]), F.lit(" |"))
+    head = _lines(
+        F.concat(F.lit("### "), _tick(F.concat_ws(" ", "method", "route")), F.lit("\n")), F.concat(F.lit("**"), "summary", F.lit("**\n")), F.concat("description", F.lit("\n")),
+        F.when(F.col("deprecated"), "> **Deprecated**: a later version will not have it.\n"), F.when(F.col("open"), "_No authentication._\n"),
+        _table("Parameter | In | Required | Type | Description", F.transform("parameters", cells)), F.when(F.col("request").isNotNull(), F.concat(F.lit("**Request body**\n\n"), fields)),
+        _table("Status | Meaning", F.transform("responses", answer)),
+    )
+    rank = F.when((F.col("method") == "POST") & F.col("request").isNotNull(), 0).when(F.col("method") != "GET", 1).otherwise(2)
+    shown = _snippets(_with_requests(ops, parts)).select("spec", "tag", "route", "method", rank.alias("rank"), F.when(F.col("open"), F.col("label")).alias("opened"), head.alias("head"), "curl", "code", "handler")
+    # Operations move once, to their specification; the groups by tag and by specification are made there.
+    block = F.struct("route", "method", _lines(F.col("head"), F.col("curl"), F.col("code"), F.col("handler")).alias("b"))
+    start = F.struct("rank", "route", "method", "curl", "code")
+    tagged = shown.repartition("spec").groupBy("spec", "tag").agg(F.count("*").alias("n"), F.collect_list("opened").alias("opened"), F.min(start).alias("q"), F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "\n---\n\n").alias("b"))
+    endpoint = F.struct("tag", F.concat(F.lit("guide.endpoints."), slug(F.col("tag"))).alias("section"), F.concat(F.lit("## "), "tag", F.lit("\n\n"), "b").alias("body"))
+    counted = tagged.groupBy("spec").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("opened"))).alias("opened"), F.min("q").alias("q"), F.array_sort(F.collect_list(endpoint)).alias("endpoints"))
+    base = keys.select("spec", "schemes", *[F.col(f"document.{x}").alias(x) for x in ("info", "servers", "security")])
+    base = base.join(counted, "spec", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    hosts = F.array_join(F.transform("servers", lambda s: F.concat(_tick(s["url"]), F.coalesce(F.concat(F.lit(" ("), s["description"], F.lit(")")), F.lit("")))), "<br/>")
     fact = lambda name, value: F.concat(F.lit(f"| {name} | "), value, F.lit(" |"))
-    overview = _lines(F.concat("document.info.description", F.lit("\n")), "| | |", "|---|---|", fact("Version", _tick(F.col("document.info.version"))), fact("Operations", F.col("n").cast("string")), fact("Base URL", F.nullif(hosts, F.lit(""))), fact("Specification", _tick(F.col("spec"))), "\nRoutes, fields and statuses are those of the specification; where other text disagrees, it is the specification that holds.")
+    overview = _lines(F.concat("info.description", F.lit("\n")), "| | |", "|---|---|", fact("Version", _tick(F.col("info.version"))), fact("Operations", F.col("n").cast("string")), fact("Base URL", F.nullif(hosts, F.lit(""))), fact("Specification", _tick(F.col("spec"))), "\nRoutes, fields and statuses are those of the specification; where other text disagrees, it is the specification that holds.")
 
-    global_ = F.flatten(F.transform("document.security", F.map_keys))
+    global_ = F.flatten(F.transform("security", F.map_keys))
     scheme = lambda s: F.concat(_lines(F.concat(F.lit("### "), _tick(s["name"]), F.lit("\n")), F.concat(s["description"], F.lit("\n")), F.concat(F.lit("Type: **"), s["type"], F.lit("**"), F.coalesce(F.concat(F.lit(" ("), s["scheme"], F.lit(")")), F.lit(""))), F.when(F.array_contains(global_, s["name"]), "Holds for every operation that does not say otherwise.")), F.lit("\n\n```http\n"), s["header"], F.lit(": "), s["prefix"], F.lit("$"), s["word"], F.lit("\n```\n"))
     opened = F.when(F.size("opened") > 0, F.concat(F.size("opened").cast("string"), F.lit(" operation(s) ask for no authentication: "), F.array_join(F.transform("opened", _tick), ", "), F.lit(".\n")))
     bare = "No security scheme is declared.\n\n> A gateway before the service may ask for one. Confirm it; do not take the API to be open.\n"
     authentication = F.when(F.size("schemes") == 0, F.lit(bare)).otherwise(_lines(F.array_join(F.transform("schemes", scheme), "\n"), opened))
 
-    choice = F.struct(F.when((F.col("method") == "POST") & F.col("request").isNotNull(), 0).when(F.col("method") != "GET", 1).otherwise(2), "route", "method")
-    start = ops.groupBy("spec").agg(F.min_by(F.struct("method", "route", "curl", "code"), choice).alias("q"))
     quick = _lines(F.concat(F.lit("The shortest way to a call that works is "), _tick(F.concat_ws(" ", "q.method", "q.route")), F.lit(".\n")), F.col("q.curl"), F.col("q.code"), "> These calls are built from the specification and were neither compiled nor run.\n")
-    base = base.join(start, "spec", "left")
     quickstart = F.when(F.col("q").isNull(), "_The specification has no operations._\n").otherwise(quick)
 
-    cells = lambda p: F.concat(F.lit("| "), _tick(p["name"]), F.lit(" | "), p["place"], F.lit(" | "), F.when(p["required"], "**yes**").otherwise("no"), F.lit(" | "), p["type"], F.lit(" | "), p["description"], F.lit(" |"))
-    answer = lambda r: F.concat(F.lit("| "), _tick(r["status"]), F.lit(" | "), _cell(r["description"]), F.lit(" |"))
-    fields = F.coalesce(_table("Field | Type | Required | Description", F.col("fields")), F.concat(F.lit("```json\n"), "example", F.lit("\n```\n")))
-    block = _lines(
-        F.concat(F.lit("### "), _tick(F.concat_ws(" ", "method", "route")), F.lit("\n")), F.concat(F.lit("**"), "summary", F.lit("**\n")), F.concat("description", F.lit("\n")),
-        F.when(F.col("deprecated"), "> **Deprecated**: a later version will not have it.\n"), F.when(F.col("open"), "_No authentication._\n"),
-        _table("Parameter | In | Required | Type | Description", F.transform("parameters", cells)), F.when(F.col("request").isNotNull(), F.concat(F.lit("**Request body**\n\n"), fields)),
-        _table("Status | Meaning", F.transform("responses", answer)), F.col("curl"), F.col("code"), F.col("handler"),
-    )
-    tagged = ops.groupBy("spec", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("route", "method", block.alias("b")))), lambda x: x["b"]), "\n---\n\n").alias("b"))
-    endpoints = tagged.select("spec", F.lit(3).alias("part"), F.col("tag").alias("sub"), F.concat(F.lit("guide.endpoints."), slug(F.col("tag"))).alias("section"), F.concat(F.lit("## "), "tag", F.lit("\n\n"), "b").alias("body"))
-
     more = F.when(F.col("n") > NAMED, F.concat(F.lit(", +"), (F.col("n") - NAMED).cast("string"), F.lit(" more"))).otherwise("")
     line = F.concat(F.lit("| "), _tick(F.col("status")), F.lit(" | "), F.col("meaning"), F.lit(" | "), F.array_join(F.transform("operations", _tick), ", "), more, F.lit(" |"))
-    told = error_catalogue_rows(ops).groupBy("spec").agg(F.transform(F.array_sort(F.collect_list(F.struct("status", line.alias("l")))), lambda x: x["l"]).alias("errors"), F.max(F.col("status") == "429").alias("limited"))
+    told = told.groupBy("spec").agg(F.transform(F.array_sort(F.collect_list(F.struct("status", line.alias("l")))), lambda x: x["l"]).alias("errors"), F.max(F.col("status") == "429").alias("limited"))
     base = base.join(told, "spec", "left")
     silent = "The specification declares no error responses.\n\n> Every API has some, so it is incomplete. Expect errors of any kind.\n"
     errors = F.when(F.col("errors").isNull(), silent).otherwise(_lines(_table("Status | Meaning | Returned by", F.col("errors")), F.when(F.col("limited"), "Wait as long as the `Retry-After` of a `429` says before the next call.\n")))
 
-    whole = F.array(*[F.struct(F.lit(part).alias("part"), F.lit("").alias("sub"), F.lit(f"guide.{name}").alias("section"), body.alias("body")) for part, name, body in ((0, "overview", overview), (1, "authentication", authentication), (2, "quickstart", quickstart), (4, "errors", errors))])
-    rows = base.select("spec", F.inline(whole)).unionByName(endpoints)
-    order = F.transform(F.array_sort(F.collect_list(F.struct("part", "sub", "section", "body"))), lambda x: F.struct(x["section"].alias("section"), x["body"].alias("body")))
-    return rows.groupBy("spec").agg(order.alias("xs")).select("spec", F.posexplode("xs").alias("place", "x")).select("spec", "place", "x.section", "x.body")
+    section = lambda name, body: F.array(F.struct(F.lit(f"guide.{name}").alias("section"), body.alias("body")))
+    tags = F.coalesce(F.transform("endpoints", lambda x: F.struct(x["section"].alias("section"), x["body"].alias("body"))), F.array().cast("array<struct<section:string,body:string>>"))
+    whole = F.concat(section("overview", overview), section("authentication", authentication), section("quickstart", quickstart), tags, section("errors", errors))
+    return base.select("spec", F.posexplode(whole).alias("place", "x")).select("spec", "place", "x.section", "x.body")
 
 
 def guide_pages(specs: DataFrame, handlers: DataFrame | None = None, path: str = "path", text: str = "text") -> DataFrame:

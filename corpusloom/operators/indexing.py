@@ -103,16 +103,23 @@ def schema_rows(schema: dict, components: dict) -> list[tuple[tuple, object]]:
         if not node or len(path) >= LEVELS:
             rows.append((path, None))
             continue
-        if node.get("$ref"):
-            node = components.get(node["$ref"].rsplit("/", 1)[-1], node)
-        said = [*([node["example"]] if "example" in node else []), *(node.get("enum") or [])[:1], *([node["default"]] if "default" in node else [])]
+        ref = node.get("$ref")
+        if ref:
+            node = components.get(ref.rsplit("/", 1)[-1], node)
         kind = node.get("type", "object")
-        if said:
-            rows.append((path, said[0]))
-        elif kind in ("array", "object"):
-            inner = {0: node.get("items")} if kind == "array" else node.get("properties") or {}
-            rows.append((path, [] if kind == "array" else {}))
-            waiting.extend(((*path, k), name if kind == "array" else k, v) for k, v in inner.items())
+        if "example" in node:
+            rows.append((path, node["example"]))
+        elif node.get("enum"):
+            rows.append((path, node["enum"][0]))
+        elif "default" in node:
+            rows.append((path, node["default"]))
+        elif kind == "object":
+            rows.append((path, {}))
+            for k, v in (node.get("properties") or {}).items():
+                waiting.append(((*path, k), k, v))
+        elif kind == "array":
+            rows.append((path, []))
+            waiting.append(((*path, 0), name, node.get("items")))
         else:
             rows.append((path, PLAIN.get(kind, FORMATS.get(node.get("format"), f"<{name}>"))))
     return rows
@@ -125,7 +132,10 @@ def example_of(schema: dict, components: dict):
         made[path] = value
         if path:
             parent = made[path[:-1]]
-            parent.append(value) if isinstance(parent, list) else parent.__setitem__(path[-1], value)
+            if type(parent) is list:
+                parent.append(value)
+            else:
+                parent[path[-1]] = value
     return made[()]
 
 
@@ -133,11 +143,11 @@ def with_examples(specs: DataFrame, schema: str = "schema", components: str = "c
     """specs with ``example``, the JSON of an example of their schema; null where it cannot be read."""
 
     def build(schemas: pd.Series, parts: pd.Series) -> pd.Series:
-        out = []
+        out, text = [], json.JSONEncoder(separators=(",", ":")).encode
         for s, c in zip(schemas, parts):
             try:
-                out.append(json.dumps(example_of(json.loads(s), json.loads(c or "{}")), separators=(",", ":")))
-            except (TypeError, ValueError, AttributeError):
+                out.append(text(example_of(json.loads(s), json.loads(c or "{}"))))
+            except (TypeError, ValueError, AttributeError, LookupError):
                 out.append(None)
         return pd.Series(out, dtype=object)
 

@@ -379,7 +379,8 @@ def _part_specs(spark, d):
     op = F.struct(F.when(z % 3 == 0, F.concat(F.lit("op"), text(k))).alias("operationId"), F.col("p_name").alias("summary"), F.array("p_type").alias("tags"), F.struct(asked.alias("content")).alias("requestBody"), answers.alias("responses"))
     item = F.when(z % 4 > 0, F.create_map(F.lit("post"), op)).otherwise(F.create_map(F.lit("get"), op))
     props = F.struct(F.when(z % 3 != 0, ref(k + 1)).alias("next"), ref(k - z % 4).alias("back"), F.struct(F.lit("string").alias("type")).alias("name"))
-    per = table(spark, d, "part").groupBy(F.floor(k / 5).alias("g")).agg(
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.floor(k / 5).alias("g"))
+    per = rows.repartition("g").groupBy("g").agg(  # rows move before texts are made of them: a file of few row groups is few tasks
         F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/x"), text(k)), item))).alias("paths"),
         F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("C"), text(k)), F.struct(props.alias("properties"))))).alias("schemas"),
     )

@@ -127,3 +127,35 @@ def test_closure_is_a_search(spark):
 def test_nothing_in(spark):
     empty = spark.createDataFrame([], "path string, text string")
     assert api_guide.guide_sections(empty).count() == 0 and api_guide.guide_pages(empty).count() == 0
+
+
+def test_operations_are_read_once_and_rounds_carry_numbers(spark, monkeypatch):
+    made = []
+    write = api_guide.written
+    monkeypatch.setattr(api_guide, "written", lambda df, name, *by: made.append((name, [t for _, t in df.dtypes])) or write(df, name, *by))
+    out = api_guide.guide_sections(spark.createDataFrame([("billing.json", json.dumps(BILLING))], "path string, text string"))
+    assert [n for n, _ in made].count("guide-operations") == 1
+    rounds = [types for n, types in made if n in ("guide-edges", "guide-pairs")]
+    assert len(rounds) > 3 and all(types == ["bigint", "bigint"] for types in rounds)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # The joins: an operation's components, then what a specification's operations say and its errors.
+    assert len(re.findall(r"\bJoin ", plan)) <= 4 and "document.paths" not in plan
+
+
+def test_names_that_json_escapes_are_found(spark):
+    names = ["a\\b", 'say "x"', "plain"]
+    schemas = {n: {"description": f"about {i}", "properties": {"next": {"$ref": f"#/components/schemas/{names[(i + 1) % 3]}"}}} for i, n in enumerate(names)}
+    rows = [("s", n, json.dumps(s)) for n, s in schemas.items()]
+    got = api_guide.component_closure(spark.createDataFrame(rows, "spec string, name string, schema string")).collect()
+    assert {tuple(r) for r in got} == {("s", a, b) for a in names for b in names}
+    asked = {"post": {"requestBody": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/a\\b"}}}}, "responses": {}}}
+    spec = {"openapi": "3.0.0", "info": {"title": "T", "version": "1"}, "paths": {"/x": asked}, "components": {"schemas": schemas}}
+    bodies = [r.body for r in api_guide.guide_sections(spark.createDataFrame([("s", json.dumps(spec))], "path string, text string")).collect() if r.section == "guide.endpoints.endpoints"]
+    assert len(bodies) == 1 and '| `next` | `say "x"` | no | about 1 |' in bodies[0]
+    assert '{"next":{"next":{"next":{"next":{"next":null}}}}}' in bodies[0]
+
+
+def test_texts_cut_short_have_no_guide(spark):
+    whole = json.dumps({"openapi": "3.0.0", "info": {}, "paths": {}, "security": [{"a": []}]})
+    rows = [("whole", whole), ("cut", whole[: whole.index("[{") + 4])]
+    assert {r.spec for r in api_guide.guide_sections(spark.createDataFrame(rows, "path string, text string")).collect()} == {"whole"}
